@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import simple_return
 
 
-def previous_value(
-    df: DataFrame, column: str, group_by: str, order_by: str, out: str, period: str | None = None
+def with_previous(
+    df: DataFrame,
+    column: str,
+    out: str,
+    group_by: str = "symbol",
+    order_by: str = "ts",
+    period: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the value of ``column`` one row earlier in the same group.
 
-    The window runs over (group, period), not over the whole group, so a group with a third of all
-    rows is spread over its periods. Only the first row of a period looks outside: it takes the
-    closing value of the group's period before, found in a table of one row per (group, period)
+    The window runs over (group, period) rather than over the whole group, so a group with a third
+    of all rows is spread over its periods. Only the first row of a period looks outside: it takes
+    the closing value of the group's period before, from a table of one row per (group, period)
     that is aggregated before it is shuffled.
     """
-    unit = period or _period_unit(df.schema[order_by].dataType)
-    # Rows without a time come first, as a period of their own.
-    span = F.date_trunc(unit, F.col(order_by)).cast("timestamp_ntz")
-    split = df.withColumn("_span", span)
+    if period is None:
+        period = "year" if isinstance(df.schema[order_by].dataType, T.DateType) else "day"
+    split = df.withColumn("_span", F.date_trunc(period, order_by).cast("timestamp_ntz"))
 
-    closing = split.groupBy(group_by, "_span").agg(
-        # A struct around the value keeps a null closing value: max_by would give it back anyway,
-        # and the time alone decides.
-        F.max_by(F.struct(F.col(column)), F.col(order_by)).alias("_close")
-        if _not_fixed_width(df.schema[column].dataType)
-        else F.max_by(F.col(column), F.col(order_by)).alias("_close")
-    )
-    if _not_fixed_width(df.schema[column].dataType):
-        closing = closing.withColumn("_close", F.col(f"_close.{column}"))
+    closing = split.groupBy(group_by, "_span").agg(F.max_by(column, order_by).alias("_close"))
     by_span = Window.partitionBy(group_by).orderBy("_span")
     carried = closing.select(
         F.col(group_by).alias("_g"),
@@ -39,16 +35,15 @@ def previous_value(
     )
 
     inside = Window.partitionBy(group_by, "_span").orderBy(order_by)
-    numbered = split.withColumn("_first", F.row_number().over(inside) == 1).withColumn(
-        "_prev", F.lag(column).over(inside)
+    located = split.select(
+        "*",
+        (F.row_number().over(inside) == 1).alias("_opens"),
+        F.lag(column).over(inside).alias("_prev"),
     )
-    joined = numbered.join(
-        carried,
-        F.col(group_by).eqNullSafe(F.col("_g")) & F.col("_span").eqNullSafe(F.col("_s")),
-        "left",
+    same_span = F.col(group_by).eqNullSafe(F.col("_g")) & F.col("_span").eqNullSafe(F.col("_s"))
+    return located.join(carried, same_span, "left").select(
+        *df.columns, F.when(F.col("_opens"), F.col("_carry")).otherwise(F.col("_prev")).alias(out)
     )
-    value = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
-    return joined.withColumn(out, value).drop("_span", "_first", "_prev", "_g", "_s", "_carry")
 
 
 def add_return(
@@ -60,12 +55,12 @@ def add_return(
 ) -> DataFrame:
     """Add ``{column}_returns``: value over previous value in the group, minus one.
 
-    The first row of a group is null, gaps in time are not filled, groups never mix. ``period`` is
-    the time unit a group is split by; by default years for dates and days for timestamps.
+    The first row of a group is null, gaps in time are not filled, and groups never mix. ``period``
+    is the time unit a group is split by: by default years for dates and days for timestamps.
     """
-    prior = previous_value(df, column, group_by, order_by, "_prior", period)
+    located = with_previous(df, column, "_prior", group_by, order_by, period)
     returns = simple_return(F.col(column), F.col("_prior"))
-    return prior.withColumn(f"{column}_returns", returns).drop("_prior")
+    return located.withColumn(f"{column}_returns", returns).drop("_prior")
 
 
 def add_return_with_history(
@@ -77,31 +72,24 @@ def add_return_with_history(
 ) -> DataFrame:
     """Returns of the batch rows, where the row before a batch row may be a stored one.
 
-    Stored rows the batch replaces do not count. Only three columns of the stored rows are read,
-    and only those at or before the batch's last time are used.
+    Stored rows that the batch replaces do not count. Of the stored rows before the batch's first
+    time, each map task sends only the latest per key; those after its last time are not read.
     """
-    last = batch.agg(F.max(order_by).alias("_last"))
-    held = (
-        stored.select(group_by, order_by, column)
-        .join(F.broadcast(last), F.col(order_by) <= F.col("_last"))  # one row by construction
-        .drop("_last")
-        .join(batch.select(group_by).distinct(), group_by, "left_semi")
-        .join(batch.select(group_by, order_by), [group_by, order_by], "left_anti")
+    first, final = (batch.agg(f(order_by)).scalar() for f in (F.min, F.max))
+    known = stored.select(group_by, order_by, column)
+    time = F.col(order_by)
+    latest_before = (
+        known.where(time < first)
+        .groupBy(group_by)
+        .agg(F.max_by(column, order_by).alias(column), F.max(order_by).alias(order_by))
     )
-    both = (
-        batch.select(group_by, order_by, column)
-        .withColumn("_batch", F.lit(True))
-        .unionByName(held.withColumn("_batch", F.lit(False)))
+    between = known.where((time >= first) & (time <= final)).join(
+        batch.select(group_by, order_by), [group_by, order_by], "left_anti"
     )
-    priors = previous_value(both, column, group_by, order_by, "_prior").where("_batch")
-    returns = simple_return(F.col(column), F.col("_prior"))
-    answers = priors.select(group_by, order_by, returns.alias(f"{column}_returns"))
-    return batch.join(answers, [group_by, order_by], "left")
-
-
-def _period_unit(kind: T.DataType) -> str:
-    return "year" if isinstance(kind, T.DateType) else "day"
-
-
-def _not_fixed_width(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType))
+    context = latest_before.unionByName(between).join(
+        batch.select(group_by).distinct(), group_by, "left_semi"
+    )
+    both = batch.withColumn("_batch", F.lit(True)).unionByName(
+        context.withColumn("_batch", F.lit(False)), allowMissingColumns=True
+    )
+    return add_return(both, column, group_by, order_by).where("_batch").drop("_batch")

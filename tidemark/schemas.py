@@ -44,8 +44,21 @@ FIGI_PAYLOAD = """struct<data: array<struct<figi: string, compositeFIGI: string,
 INFO_PAYLOAD = "map<string, string>"
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "double": T.DoubleType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(text.split()))
+    """Flat schema from ``name type, …``. Spark's own parser would need a running session."""
+    pairs = (part.split() for part in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 SILVER_PRICES = ddl(
