@@ -44,7 +44,8 @@ def _head(envelopes: DataFrame, start: Column) -> DataFrame:
     run_id = envelope_run_id(path, F.col("meta"))
     # Hashes stand for the path and the request: they only part envelopes fetched in one instant,
     # and eight bytes travel through the shuffles instead of a long text.
-    which = F.xxhash64(path, F.to_json("meta.partitions"), F.to_json("meta.params"))
+    maps = ("meta.partitions", "meta.params")
+    which = F.xxhash64(path, *(f(m) for m in maps for f in (F.map_keys, F.map_values)))
     fetched = F.col("meta.fetched_at").try_cast("timestamp")
     return envelopes.withColumns(
         {

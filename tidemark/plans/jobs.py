@@ -20,7 +20,12 @@ from tidemark.operators.dedup import keep_first
 from tidemark.operators.ledger import RunLedger, finish_events, start_events
 from tidemark.operators.numbering import DENSE_BLOCK, HASH_BLOCK
 from tidemark.operators.quality import MAX_NULL_CLOSE_RATIO, check_prices, quality_metrics, verdict
-from tidemark.operators.registry import INSTRUMENTS, new_instruments, registered
+from tidemark.operators.registry import (
+    INSTRUMENTS,
+    missing_symbols,
+    new_instruments,
+    registered,
+)
 from tidemark.operators.returns import add_return, add_return_with_history
 from tidemark.operators.selection import clean_symbols, listed_codes, require_any
 from tidemark.operators.serve import INSTRUMENT_COLUMNS
@@ -67,13 +72,16 @@ def run_prices(
     envelopes: DataFrame,
     moment: Moment,
     *,
+    requested: DataFrame | None = None,
     scope: str = "history",
     max_null_close_ratio: float = MAX_NULL_CLOSE_RATIO,
 ) -> int:
     """Load daily prices. Returns the number of batch rows.
 
     ``scope`` says what the first row of a symbol in the batch is compared with: "history" takes
-    the stored row before it, "batch" leaves its return null.
+    the stored row before it, "batch" leaves its return null. ``requested`` names the symbols that
+    were asked for; those without rows count as failed. Without it, the envelopes are read a
+    second time for what they say about that.
     """
     if scope not in ("history", "batch"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -81,12 +89,13 @@ def run_prices(
     run_id = ledger.start("prices_1d", moment.run_date, moment.now)
     total = failed = 0
     try:
-        total, failed, missing = _requested(envelopes)
         rows = normalize.normalize_prices(envelopes)
         silver = _to_silver(
             spark, lake, clean.clean_prices(rows), moment, "yahoo", "prices_1d",
             schemas.SILVER_PRICES, clean.PRICES_KEY,
         )
+        items = _items(envelopes) if requested is None else _delivered(requested, silver)
+        total, failed, missing = _tally(spark, lake, items)
         if silver.isEmpty():
             _finish(ledger, run_id, moment, "success", total, failed, "no rows after cleaning")
             return 0
@@ -108,8 +117,8 @@ def _load_prices(
         priced = add_return_with_history(batch, read_table(spark, lake.gold, upsert.PRICES))
     else:
         priced = add_return(batch, "close")
-    # The keys are Silver's own, so they are checked there, without computing the returns.
-    count = load(spark, lake.gold, priced, upsert.PRICES, moment.now, keys=batch)
+    # The gate has seen to it that keys are unique; directories are found without the returns.
+    count = load(spark, lake.gold, priced, upsert.PRICES, moment.now, unique=batch)
     _advance(spark, lake, silver, "symbol", "ts", watermark.PRICES_MARK, moment)
     return count
 
@@ -175,7 +184,7 @@ def _run_keyed(
             refused = batch.select("ticker").distinct().join(known, "ticker", "left_anti").count()
             failed += refused
             batch = registered(batch, known)
-        count = load(spark, lake.gold, batch, spec, moment.now)
+        count = load(spark, lake.gold, batch, spec, moment.now, unique=batch)
         if mark:
             _advance(spark, lake, silver, key, time, mark, moment)
         status = "partial" if failed else "success"
@@ -330,20 +339,47 @@ def _chunk_outcomes(
     )
 
 
-def _requested(envelopes: DataFrame) -> tuple[int, int, list[str]]:
-    """How many symbols were asked for and how many had no rows, with some of their names."""
+def _items(envelopes: DataFrame) -> DataFrame:
+    """(symbol, failed) as the envelopes tell it: what was asked for, and what had no rows."""
+    none = F.array().cast("array<string>")
+    errors = F.coalesce("payload.errors.symbol", none)
     asked = F.col("meta.params")["symbols"]
     listed = F.when(asked.isNotNull(), listed_codes(asked)).otherwise(
-        F.concat(
-            F.coalesce("payload.rows.symbol", F.array().cast("array<string>")),
-            F.coalesce("payload.errors.symbol", F.array().cast("array<string>")),
-        )
+        F.concat(F.coalesce("payload.rows.symbol", none), errors)
     )
-    total = envelopes.select(F.explode(listed).alias("s")).agg(F.countDistinct("s")).first()[0]
-    failed = normalize.failed_symbols(envelopes).select("symbol").distinct()
-    count = failed.count()
-    names = [r.symbol for r in failed.orderBy("symbol").limit(50).collect()] if count else []
-    return total, count, names
+
+    def marked(symbols: Column, failed: bool) -> Column:
+        return F.transform(
+            symbols, lambda s: F.struct(s.alias("symbol"), F.lit(failed).alias("failed"))
+        )
+
+    both = F.concat(marked(listed, False), marked(errors, True))
+    return envelopes.select(F.explode(both).alias("i")).select("i.*")
+
+
+def _delivered(requested: DataFrame, silver: DataFrame) -> DataFrame:
+    """(symbol, failed) from a request: failed are the symbols Silver has no row of."""
+    asked = clean_symbols(requested.select("symbol"))
+    failed = missing_symbols(asked, silver).select("symbol", F.lit(True).alias("failed"))
+    return asked.withColumn("failed", F.lit(False)).unionByName(failed)
+
+
+def _tally(spark: SparkSession, lake: Lake, items: DataFrame) -> tuple[int, int, list[str]]:
+    """How many symbols were asked for, how many failed, and the names of some that did.
+
+    Symbols are folded into a small written table first, so the envelopes are read once for all
+    three.
+    """
+    path = f"{lake.root}/work/items-{uuid.uuid4().hex}"
+    items.where("symbol is not null").groupBy("symbol").agg(
+        F.max("failed").alias("failed")
+    ).write.parquet(path)
+    folded = spark.read.schema("symbol string, failed boolean").parquet(path)
+    count = folded.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed")
+    ).first()
+    some = folded.where("failed").orderBy("symbol").limit(50) if count.failed else None
+    return count.total, count.failed, [r.symbol for r in some.collect()] if some else []
 
 
 def _to_silver(spark, lake, rows, moment, vendor, dataset, schema, sort) -> DataFrame:
@@ -358,7 +394,7 @@ def _to_silver(spark, lake, rows, moment, vendor, dataset, schema, sort) -> Data
 
 def _advance(spark, lake, silver, key, time, mark, moment) -> None:
     marks = watermark.advance(silver, key, time, mark)
-    load(spark, lake.gold, marks, upsert.WATERMARKS, moment.now)
+    load(spark, lake.gold, marks, upsert.WATERMARKS, moment.now, unique=marks)
 
 
 def _finish(ledger, run_id, moment, status, total, failed, notes=None) -> None:

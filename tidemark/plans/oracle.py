@@ -467,22 +467,15 @@ ORACLE: dict[str, str] = {
     "job_prices_marks": f"""
         with {BARS}
         select 'yahoo' as source, 'prices_1d' as dataset, symbol as ticker, max(ts) as last_ts,
-               case when max(ts) >= date '2024-01-15' then '20240201160500Z'
-                    else '20240120160500Z' end as last_run_id,
-               case when max(ts) >= date '2024-01-15' then '2024-02-01 16:05:00'
-                    else '2024-01-20 16:05:00' end as updated_at
+               '20240201160500Z' as last_run_id, '2024-02-01 16:05:00' as updated_at
         from bars group by symbol""",
-    "job_prices_ledger": f"""
-        with {BARS},
-        runs as (select '2024-01-20 16:05:00' as at, symbol from bars where ts <= date '2024-01-17'
-                 union all
-                 select '2024-02-01 16:05:00' as at, symbol from bars where ts >= date '2024-01-15')
-        select 'prices_1d' as dataset, cast(left(at, 10) as date) as run_date, 'partial' as status,
-               cast(2 * count(distinct symbol) as int) as items_total,
-               cast(count(distinct symbol) as int) as items_success,
-               cast(count(distinct symbol) as int) as items_failed,
-               at as started_at, at as finished_at
-        from runs group by at""",
+    "job_prices_ledger": """
+        select 'prices_1d' as dataset, date '2024-02-01' as run_date, 'partial' as status,
+               cast(2 * count(distinct user_id) as int) as items_total,
+               cast(count(distinct user_id) as int) as items_success,
+               cast(count(distinct user_id) as int) as items_failed,
+               '2024-02-01 16:05:00' as started_at, '2024-02-01 16:05:00' as finished_at
+        from events""",
     "job_macro": f"""
         with {MACRO}
         select series, ts, value, 'fred' as source, cast(null as varchar) as run_id,

@@ -751,14 +751,19 @@ def _landed(spark, lake, rows, vendor, dataset, payload) -> DataFrame:
     return bronze.read_envelopes(spark, bronze.landed_path(lake.bronze, vendor, dataset), payload)
 
 
-def _loaded_prices(spark, sf, scope: str = "history") -> jobs.Lake:
-    """Two fetches that overlap by three days, loaded one after the other."""
-    lake = _lake(spark, "prices")
+def _fetches(spark, sf) -> list[tuple[str, DataFrame]]:
+    """Two fetches that overlap by three days."""
     bars = derive.bars(spark, sf)
-    for at, fetched in (
+    return [
         (OLD, serve.between(bars, None, "2024-01-17")),
         (NOW, serve.between(bars, "2024-01-15", None)),
-    ):
+    ]
+
+
+def _loaded_prices(spark, fetches, scope: str = "history") -> jobs.Lake:
+    """The fetches, loaded one after the other."""
+    lake = _lake(spark, "prices")
+    for at, fetched in fetches:
         landed = _landed(
             spark, lake, landing.prices(fetched, at), "yahoo", "history", schemas.PRICES_PAYLOAD
         )
@@ -774,22 +779,24 @@ def _gold(spark, lake, spec) -> DataFrame:
 
 @query
 def job_prices(spark, sf):
-    return _gold(spark, _loaded_prices(spark, sf), upsert.PRICES)
+    return _gold(spark, _loaded_prices(spark, _fetches(spark, sf)), upsert.PRICES)
 
 
 @query
 def job_prices_batch_scope(spark, sf):
-    return _gold(spark, _loaded_prices(spark, sf, "batch"), upsert.PRICES)
+    return _gold(spark, _loaded_prices(spark, _fetches(spark, sf), "batch"), upsert.PRICES)
 
 
 @query
 def job_prices_marks(spark, sf):
-    return _gold(spark, _loaded_prices(spark, sf), upsert.WATERMARKS)
+    lake = _loaded_prices(spark, [(NOW, derive.bars(spark, sf))])
+    return _gold(spark, lake, upsert.WATERMARKS)
 
 
 @query
 def job_prices_ledger(spark, sf):
-    state = _loaded_prices(spark, sf).ledger(spark).state()
+    lake = _loaded_prices(spark, [(NOW, derive.bars(spark, sf))])
+    state = lake.ledger(spark).state()
     return with_text_time(state.drop("run_id", "notes"), "started_at", "finished_at")
 
 
@@ -865,13 +872,8 @@ def job_backfill(spark, sf):
 def stream_prices(spark, sf):
     """The two fetches delivered by a file stream: one run each, and none when nothing is new."""
     lake = _lake(spark, "stream")
-    bars = derive.bars(spark, sf)
     path = bronze.landed_path(lake.bronze, "yahoo", "history")
-    for at, fetched in (
-        (OLD, serve.between(bars, None, "2024-01-17")),
-        (NOW, serve.between(bars, "2024-01-15", None)),
-        (NOW, None),
-    ):
+    for at, fetched in [*_fetches(spark, sf), (NOW, None)]:
         if fetched is not None:
             bronze.land_envelopes(landing.prices(fetched, at), lake.bronze)
         load_new_files(

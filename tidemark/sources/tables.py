@@ -62,19 +62,21 @@ def load(
     batch: DataFrame,
     spec: TableSpec,
     now: Column,
-    keys: DataFrame | None = None,
+    unique: DataFrame | None = None,
 ) -> int:
     """Upsert ``batch`` into a Gold table and return the number of batch rows.
 
-    ``keys`` may name a cheaper frame with the same keys to check. Only the directories the batch
-    touches are read and replaced. Spark writes the new files to a staging folder and swaps
+    A key that is repeated or has a null is refused. ``unique`` names a frame with the same key
+    columns whose keys are known to be unique, which saves that check. Only the directories the
+    batch touches are read and replaced. Spark writes the new files to a staging folder and swaps
     directories when all tasks are done, so a lost executor or a failed job leaves the table as it
     was. Directories are swapped one after the other: a reader may see a part of them new, and
     repeating a load that broke off there mends it.
     """
     name, expression = spec.layout
     # One row per directory: years, or a fixed number of buckets.
-    found = directories(batch if keys is None else keys, spec).collect()
+    keys = directories(batch, spec) if unique is None else directories(unique, spec, unique=True)
+    found = keys.collect()
     refuse_bad_keys(spec.key, sum(r.repeated for r in found), sum(r.null_keys for r in found))
     if not found:
         return 0
