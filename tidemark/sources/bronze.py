@@ -120,10 +120,14 @@ def land_envelopes(landing: DataFrame, root: str) -> None:
 
 
 def parse_envelopes(lines: DataFrame, payload: str) -> DataFrame:
-    """Envelopes from a column ``value`` of JSON lines, for text that is not in files."""
+    """Envelopes from a column ``value`` of JSON lines, for text that is not in files.
+
+    Unfolding the parsed text as an array of one keeps it a column of its own: otherwise every
+    later filter on a field of it would be moved down to the text and parse it once more.
+    """
     schema = envelope_schema(payload, corrupt=False)
-    parsed = lines.select(F.from_json("value", schema).alias("e"))
-    return parsed.select("e.*", F.lit("").alias("file_path"))
+    parsed = lines.select(F.inline(F.array(F.from_json("value", schema))))
+    return parsed.withColumn("file_path", F.lit(""))
 
 
 def landed_path(root: str, vendor: str, dataset: str) -> str:
