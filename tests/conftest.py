@@ -1,0 +1,42 @@
+import json
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tidemark.session import build_session  # noqa: E402
+from tidemark.sources.bronze import parse_envelopes  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session(
+        "tests",
+        cores=4,
+        **{"spark.checkpoint.dir": str(shared), "spark.sql.shuffle.partitions": "4"},
+    )
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def envelopes(spark):
+    def make(payload_schema, *documents):
+        lines = [(d if isinstance(d, str) else json.dumps(d),) for d in documents]
+        return parse_envelopes(spark.createDataFrame(lines, "value string"), payload_schema)
+
+    return make
+
+
+def rows(df, *order):
+    """Rows as tuples, sorted by ``order``."""
+    found = df.orderBy(*order) if order else df
+    return [tuple(r) for r in found.collect()]
+
+
+@pytest.fixture(name="rows")
+def rows_fixture():
+    return rows

@@ -1,0 +1,316 @@
+from datetime import date
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.operators import clean, normalize
+
+D = date
+
+
+def price(ts, symbol, **values):
+    base = {"open": 10.0, "high": 11.0, "low": 9.5, "close": 10.5, "volume": 1000}
+    return {"ts": ts, "symbol": symbol, **base, **values}
+
+
+def prices(*rows, errors=(), **meta):
+    return {"meta": meta, "payload": {"rows": list(rows), "errors": list(errors)}}
+
+
+def keyed(payload, **partitions):
+    return {"meta": {"partitions": partitions}, "payload": payload}
+
+
+# -- prices --
+
+
+def test_price_day_is_not_moved_by_the_offset(envelopes, rows):
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(price("2026-01-06 00:00:00-05:00", "AAPL")))
+    found = normalize.normalize_prices(e).drop(*normalize.LINEAGE)
+    assert rows(found) == [("AAPL", "2026-01-06", 10.0, 11.0, 9.5, 10.5, 1000.0)]
+
+
+def test_price_rows_without_time_or_symbol_are_left_out(envelopes):
+    e = envelopes(
+        schemas.PRICES_PAYLOAD, prices(price(None, "AAPL"), price("2026-01-06", None))
+    )
+    assert normalize.normalize_prices(e).count() == 0
+
+
+def test_errors_only(envelopes, rows):
+    error = {"symbol": "ZZZ", "error": "no_rows_returned"}
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(errors=[error], run_id="r1"))
+    assert normalize.normalize_prices(e).count() == 0
+    assert rows(normalize.failed_symbols(e)) == [("r1", "ZZZ", "no_rows_returned")]
+
+
+def test_missing_payload_gives_no_rows(envelopes):
+    e = envelopes(schemas.PRICES_PAYLOAD, {"meta": {}}, {"meta": {}, "payload": None})
+    assert normalize.normalize_prices(e).count() == 0
+
+
+def test_prices_keep_the_last_row_of_a_day(envelopes, rows):
+    first = dict(open=1.0, high=1.0, low=1.0, close=1.0, volume=1)
+    second = dict(open=2.0, high=2.0, low=2.0, close=2.0, volume=2)
+    e = envelopes(
+        schemas.PRICES_PAYLOAD,
+        prices(
+            price("2026-01-06", "AAPL", **first),
+            price("2026-01-06", "AAPL", **second),
+            price("2026-01-07", "AAPL"),
+            price("2026-01-07", "MSFT"),
+        ),
+    )
+    found = clean.clean_prices(normalize.normalize_prices(e)).select("symbol", "ts", "close", "volume")
+    assert rows(found, "symbol", "ts") == [
+        ("AAPL", D(2026, 1, 6), 2.0, 2),
+        ("AAPL", D(2026, 1, 7), 10.5, 1000),
+        ("MSFT", D(2026, 1, 7), 10.5, 1000),
+    ]
+
+
+def test_a_later_fetch_wins_over_an_earlier_one(envelopes, rows):
+    later = prices(price("2026-01-06", "A", close=2.0), fetched_at="2026-01-08T00:00:00+00:00")
+    earlier = prices(price("2026-01-06", "A", close=1.0), fetched_at="2026-01-07T23:59:59.5+00:00")
+    for order in ((later, earlier), (earlier, later)):
+        e = envelopes(schemas.PRICES_PAYLOAD, *order)
+        found = clean.clean_prices(normalize.normalize_prices(e))
+        assert rows(found.select("close")) == [(2.0,)]
+
+
+def test_no_rows_still_have_their_types(spark, envelopes):
+    e = envelopes(schemas.PRICES_PAYLOAD, prices())
+    silver = clean.clean_prices(normalize.normalize_prices(e)).select(*schemas.SILVER_PRICES.names)
+    assert silver.count() == 0
+    assert [(f.name, f.dataType) for f in silver.schema] == [
+        (f.name, f.dataType) for f in schemas.SILVER_PRICES
+    ]
+
+
+def test_volume_loses_its_fraction_and_a_bad_day_raises(envelopes, rows):
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(price("2026-01-06", "A", volume=1000.0)))
+    assert rows(clean.clean_prices(normalize.normalize_prices(e)).select("volume")) == [(1000,)]
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(price("2026-01-06", "A", volume=1.9)))
+    assert rows(clean.clean_prices(normalize.normalize_prices(e)).select("volume")) == [(1,)]
+    for bad in (price("06/01/2026", "A"), price("2026-01-06", "A", volume=float("nan"))):
+        with pytest.raises(PySparkException):
+            clean.clean_prices(
+                normalize.normalize_prices(envelopes(schemas.PRICES_PAYLOAD, prices(bad)))
+            ).collect()
+
+
+# -- macro --
+
+
+def observation(day, value):
+    return {"date": day, "value": value}
+
+
+def test_macro_markers_blanks_and_texts_are_left_out(envelopes, rows):
+    e = envelopes(
+        schemas.MACRO_PAYLOAD,
+        keyed(
+            {
+                "observations": [
+                    observation("2025-03-01", "3.4"),
+                    observation("2025-01-01", "3.1"),
+                    observation("2025-02-01", "."),
+                    observation("2025-04-01", None),
+                    observation("2025-05-01", "n/a"),
+                    observation("2025-06-01", "1.0d"),
+                    observation("", "1"),
+                    observation(None, "1"),
+                    observation("2025-07-01", " 1e3 "),
+                    observation("2025-08-01", 7),
+                ]
+            },
+            series="cpi",
+        ),
+    )
+    found = clean.clean_macro(normalize.normalize_macro(e)).select("series", "ts", "value")
+    assert rows(found, "ts") == [
+        ("cpi", D(2025, 1, 1), 3.1),
+        ("cpi", D(2025, 3, 1), 3.4),
+        ("cpi", D(2025, 7, 1), 1000.0),
+        ("cpi", D(2025, 8, 1), 7.0),
+    ]
+    assert dict(found.dtypes)["ts"] == "date"
+
+
+def test_series_code_with_a_slash(envelopes, rows):
+    e = envelopes(
+        schemas.MACRO_PAYLOAD,
+        keyed({"observations": [observation("2025-03-01", "1.4")]}, series="usd/cad"),
+    )
+    assert rows(normalize.normalize_macro(e).select("series", "ts")) == [("usd/cad", "2025-03-01")]
+
+
+@pytest.mark.parametrize("key", ["series", "symbol"])
+def test_missing_or_empty_key(envelopes, rows, key):
+    e = envelopes(
+        schemas.MACRO_PAYLOAD, keyed({}), keyed({}, **{key: ""}), {"payload": {}}, keyed({}, **{key: "x"}),
+        "no json",
+    )
+    good, bad = normalize.split_keyed(e, key)
+    assert good.count() == 1
+    reasons = [r.reason for r in bad.collect()]
+    assert reasons.count(f"missing meta.partitions.{key}") == 2
+    assert reasons.count("not a JSON envelope") == 2
+    with pytest.raises(PySparkException, match=f"missing meta.partitions.{key}"):
+        normalize.require_keyed(e, key).collect()
+
+
+# -- facts --
+
+
+def fact(**values):
+    base = dict(
+        end="2025-12-31", start="2025-01-01", val=1000, accn="0001", fy=2025, fp="FY",
+        form="10-K", filed="2026-02-01",
+    )
+    return {**base, **values}
+
+
+def facts(*observations, **partitions):
+    body = {"facts": {"us-gaap": {"Revenues": {"units": {"USD": list(observations)}}}}}
+    return keyed(body, **partitions)
+
+
+def test_facts_unfold(envelopes, rows):
+    e = envelopes(schemas.FACTS_PAYLOAD, facts(fact(), symbol="AAPL"))
+    found = clean.clean_facts(normalize.normalize_facts(e)).select(*schemas.SILVER_FACTS.names)
+    assert rows(found) == [
+        (
+            *("AAPL", "us-gaap:Revenues", "USD", D(2025, 1, 1), D(2025, 12, 31), 2025, "FY"),
+            *("10-K", 1000.0, "0001", D(2026, 2, 1)),
+        )
+    ]
+
+
+def test_facts_without_end_or_value_are_left_out(envelopes, rows):
+    e = envelopes(
+        schemas.FACTS_PAYLOAD,
+        facts(fact(end=None), fact(end=""), fact(val=None), fact(val="50.0"), symbol="A"),
+    )
+    assert rows(normalize.normalize_facts(e).select("val")) == [(50.0,)]
+
+
+def test_facts_without_body_or_units(envelopes):
+    body = {"facts": {"t": {"a": None, "b": {}, "c": {"units": None}, "d": {"units": {"USD": None}}}, "u": None}}
+    assert normalize.normalize_facts(envelopes(schemas.FACTS_PAYLOAD, keyed(body, symbol="A"))).count() == 0
+
+
+def test_a_value_that_is_no_number_raises(envelopes):
+    e = envelopes(schemas.FACTS_PAYLOAD, facts(fact(val="many"), symbol="A"))
+    with pytest.raises(PySparkException):
+        normalize.normalize_facts(e).collect()
+
+
+def test_the_latest_filing_wins(envelopes, rows):
+    old, new = fact(filed="2026-02-01"), fact(val=1100.0, filed="2026-03-15", accn="0002")
+    unknown = fact(val=1.0, filed=None)
+    for order in ((old, new, unknown), (new, unknown, old)):
+        e = envelopes(schemas.FACTS_PAYLOAD, facts(*order, symbol="A"))
+        found = clean.clean_facts(normalize.normalize_facts(e)).select("val", "accn")
+        assert rows(found) == [(1100.0, "0002")]
+
+
+def test_equal_filing_days_keep_the_later_position(envelopes, rows):
+    e = envelopes(schemas.FACTS_PAYLOAD, facts(fact(val=2), fact(val=1), symbol="A"))
+    assert rows(clean.clean_facts(normalize.normalize_facts(e)).select("val")) == [(1.0,)]
+
+
+def test_across_fetches_the_later_fetch_wins(envelopes, rows):
+    first, second = facts(fact(val=1, filed="2026-03-01"), symbol="A"), facts(fact(val=2), symbol="A")
+    first["meta"]["fetched_at"] = "2026-04-01T00:00:00+00:00"
+    second["meta"]["fetched_at"] = "2026-05-01T00:00:00+00:00"
+    flat = normalize.normalize_facts(envelopes(schemas.FACTS_PAYLOAD, second, first))
+    assert rows(clean.clean_facts(flat).select("val")) == [(1.0,)]
+    assert rows(clean.clean_facts(flat, clean.ENVELOPE_FIRST).select("val")) == [(2.0,)]
+
+
+def test_absent_key_parts_and_bad_lenient_dates(envelopes, rows):
+    e = envelopes(
+        schemas.FACTS_PAYLOAD,
+        facts(fact(fp=None, form=None, filed=None, fy=None, start="soon"), symbol="A"),
+    )
+    found = clean.clean_facts(normalize.normalize_facts(e))
+    assert rows(found.select("fp", "form", "filed", "fy", "period_start")) == [
+        ("UNK", "UNK", None, None, None)
+    ]
+    e = envelopes(schemas.FACTS_PAYLOAD, facts(fact(end="soon"), symbol="A"))
+    with pytest.raises(PySparkException):
+        clean.clean_facts(normalize.normalize_facts(e)).collect()
+
+
+# -- identifiers --
+
+
+def entry(figi, **values):
+    return {"figi": figi, "exchCode": "US", **values}
+
+
+def test_identifiers_keep_every_candidate_once(envelopes, rows):
+    full = entry(
+        "FIGI1", compositeFIGI="C", shareClassFIGI="S", securityType="Common Stock",
+        marketSector="Equity", name="APPLE INC",
+    )
+    data = [entry("FIGI2", exchCode="LN"), entry("FIGI1"), full, entry(None), entry(""), {}]
+    e = envelopes(schemas.FIGI_PAYLOAD, keyed({"data": data}, symbol="AAPL"))
+    found = clean.clean_figi(normalize.normalize_figi(e)).select(*schemas.SILVER_FIGI.names)
+    assert rows(found, "figi") == [
+        ("AAPL", "FIGI1", "C", "S", "Common Stock", "Equity", "US", "APPLE INC"),
+        ("AAPL", "FIGI2", None, None, None, None, "LN", None),
+    ]
+
+
+def test_no_identifiers(envelopes):
+    e = envelopes(schemas.FIGI_PAYLOAD, keyed({"data": []}, symbol="A"), keyed(None, symbol="B"))
+    found = clean.clean_figi(normalize.normalize_figi(e)).select(*schemas.SILVER_FIGI.names)
+    assert found.count() == 0 and len(found.columns) == 8
+
+
+# -- info --
+
+INFO = {"exchange": "NMS", "quoteType": "EQUITY", "timezone": "America/New_York", "currency": "USD"}
+
+
+def test_info(envelopes, rows):
+    e = envelopes(
+        schemas.INFO_PAYLOAD,
+        keyed(INFO, symbol=" aapl "),
+        keyed({**INFO, "shortName": "", "longName": "Long"}, symbol="B"),
+        keyed({**INFO, "shortName": "Short", "longName": "Long", "exchange": None}, symbol="C"),
+        keyed({}, symbol="D"),
+        keyed({"exchange": "NMS"}, symbol="E"),
+        keyed(INFO, symbol="   "),
+        keyed(INFO),
+    )
+    good, bad = normalize.normalize_info(e)
+    assert rows(good.select("ticker", "name", "exchange", "quote_type", "timezone", "currency"), "ticker") == [
+        ("AAPL", "AAPL", "NMS", "EQUITY", "America/New_York", "USD"),
+        ("B", "Long", "NMS", "EQUITY", "America/New_York", "USD"),
+        ("C", "Short", None, "EQUITY", "America/New_York", "USD"),
+    ]
+    reasons = {(r.ticker or "").strip(): r.reason for r in bad.collect()}
+    assert reasons["D"] == "unknown ticker"
+    assert reasons["E"] == "missing required field quoteType"
+    assert reasons[""] == "ticker is required"
+
+
+def test_keep_last_does_not_depend_on_partitioning(spark, rows):
+    from tidemark.operators.dedup import keep_first, keep_last
+
+    df = spark.range(2000).select(
+        (F.col("id") % 7).alias("k"), F.hash("id").alias("o"), F.col("id").alias("v")
+    )
+    want_last, want_first = {}, {}
+    for r in df.collect():
+        want_last[r.k] = max(want_last.get(r.k, (r.o, r.v)), (r.o, r.v))
+        want_first[r.k] = min(want_first.get(r.k, (r.o, r.v)), (r.o, r.v))
+    for n in (1, 13):
+        last = {r.k: (r.o, r.v) for r in keep_last(df.repartition(n), ["k"], ["o"]).collect()}
+        first = {r.k: (r.o, r.v) for r in keep_first(df.repartition(n), ["k"], ["o"]).collect()}
+        assert (last, first) == (want_last, want_first)
