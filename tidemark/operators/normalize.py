@@ -170,8 +170,8 @@ def normalize_figi(envelopes: DataFrame) -> DataFrame:
 REQUIRED_INFO = ("exchange", "quoteType", "timezone", "currency")
 
 
-def normalize_info(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Instrument candidates from ticker info, and the rejects with a reason.
+def judge_info(envelopes: DataFrame) -> DataFrame:
+    """Instrument candidates from ticker info; ``reason`` is null unless one is rejected.
 
     An empty payload means the vendor does not know the ticker.
     """
@@ -186,17 +186,22 @@ def normalize_info(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(info.isNull() | (F.size(info) == 0), F.lit("unknown ticker")),
         *lacks,
     )
-    judged = _head(envelopes, F.lit(None)).withColumns({"ticker": ticker, "reason": reason})
-    good = judged.where("reason is null").select(
-        "ticker",
-        display_name(info, F.col("ticker")).alias("name"),
+    return _head(envelopes, F.lit(None)).select(
+        ticker.alias("ticker"),
+        display_name(info, ticker).alias("name"),
         info["exchange"].alias("exchange"),
         info["quoteType"].alias("quote_type"),
         info["timezone"].alias("timezone"),
         info["currency"].alias("currency"),
+        reason.alias("reason"),
         "bronze_run_id",
         "dt",
         F.col("_env").alias("ord"),
     )
-    bad = judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")
-    return good, bad
+
+
+def normalize_info(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The accepted candidates, and the rejects with a reason."""
+    judged = judge_info(envelopes)
+    good = judged.where("reason is null").drop("reason")
+    return good, judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")

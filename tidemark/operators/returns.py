@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import simple_return
 
+UNITS = ("day", "hour", "minute", "second")
+MAX_ROWS_PER_SPAN = 5_000_000
+
 
 def with_previous(
     df: DataFrame,
@@ -20,10 +23,12 @@ def with_previous(
     The window runs over (group, period) rather than over the whole group, so a group with a third
     of all rows is spread over its periods. Only the first row of a period looks outside: it takes
     the closing value of the group's period before, from a table of one row per (group, period)
-    that is aggregated before it is shuffled.
+    that is aggregated before it is shuffled. A year of daily rows is small; for timestamps the
+    period is chosen by counting, unless given.
     """
     if period is None:
-        period = "year" if isinstance(df.schema[order_by].dataType, T.DateType) else "day"
+        daily = isinstance(df.schema[order_by].dataType, T.DateType)
+        period = "year" if daily else choose_period(df, group_by, order_by)
     split = df.withColumn("_span", F.date_trunc(period, order_by).cast("timestamp_ntz"))
 
     closing = split.groupBy(group_by, "_span").agg(F.max_by(column, order_by).alias("_close"))
@@ -46,6 +51,21 @@ def with_previous(
     )
 
 
+def choose_period(
+    df: DataFrame, group_by: str, order_by: str, max_rows: int = MAX_ROWS_PER_SPAN
+) -> str:
+    """The coarsest unit in which no (group, unit) holds more than ``max_rows`` rows.
+
+    Each unit tried costs one count over two columns; only its largest number comes back.
+    """
+    for unit in UNITS[:-1]:
+        counts = df.groupBy(group_by, F.date_trunc(unit, order_by)).count()
+        largest = counts.agg(F.max("count")).first()[0]
+        if largest is None or largest <= max_rows:
+            return unit
+    return UNITS[-1]
+
+
 def add_return(
     df: DataFrame,
     column: str,
@@ -56,7 +76,7 @@ def add_return(
     """Add ``{column}_returns``: value over previous value in the group, minus one.
 
     The first row of a group is null, gaps in time are not filled, and groups never mix. ``period``
-    is the time unit a group is split by: by default years for dates and days for timestamps.
+    is the time unit a group is split by, see ``with_previous``.
     """
     located = with_previous(df, column, "_prior", group_by, order_by, period)
     returns = simple_return(F.col(column), F.col("_prior"))

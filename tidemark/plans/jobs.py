@@ -25,10 +25,12 @@ from tidemark.operators.registry import (
     missing_symbols,
     new_instruments,
     registered,
+    unregistered,
 )
 from tidemark.operators.returns import add_return, add_return_with_history
 from tidemark.operators.selection import clean_symbols, listed_codes, require_any
 from tidemark.operators.serve import INSTRUMENT_COLUMNS
+from tidemark.plans import vendors
 from tidemark.sources.tables import load, read_silver, read_table, write_silver
 
 
@@ -125,71 +127,56 @@ def _load_prices(
 
 def run_macro(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
     """Load macro observations of all series in the batch. There is no gate."""
-    keyed, _ = normalize.split_keyed(envelopes, "series")
-    rows = clean.clean_macro(normalize.normalize_macro(keyed))
-    return _run_keyed(
-        spark, lake, envelopes, rows, moment,
-        dataset="macro", vendor="fred", silver_name="macro", key="series", time="ts",
-        schema=schemas.SILVER_MACRO, spec=upsert.MACRO, mark=watermark.MACRO_MARK,
-    )
+    return run_vendor(spark, lake, envelopes, moment, vendors.MACRO)
 
 
 def run_fundamentals(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
     """Load reported facts of all tickers in the batch. There is no gate."""
-    keyed, _ = normalize.split_keyed(envelopes, "symbol")
-    rows = clean.clean_facts(normalize.normalize_facts(keyed), clean.ENVELOPE_FIRST)
-    return _run_keyed(
-        spark, lake, envelopes, rows, moment,
-        dataset="fundamentals", vendor="sec_edgar", silver_name="fundamentals", key="ticker",
-        time="period_end", schema=schemas.SILVER_FACTS, spec=upsert.FACTS,
-        mark=watermark.FACTS_MARK,
-    )
+    return run_vendor(spark, lake, envelopes, moment, vendors.FACTS)
 
 
 def run_figi(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
-    """Load identifier candidates of registered tickers; rows of other tickers are left out of
-    the table and counted as failed. There is no high-water mark."""
-    keyed, _ = normalize.split_keyed(envelopes, "symbol")
-    rows = clean.clean_figi(normalize.normalize_figi(keyed))
-    return _run_keyed(
-        spark, lake, envelopes, rows, moment,
-        dataset="figi_mapping", vendor="openfigi", silver_name="mapping", key="ticker", time=None,
-        schema=schemas.SILVER_FIGI, spec=upsert.FIGI, mark=None,
-    )
+    """Load identifier candidates of registered tickers; other tickers count as failed. There is no
+    high-water mark."""
+    return run_vendor(spark, lake, envelopes, moment, vendors.FIGI)
 
 
-def _run_keyed(
-    spark, lake, envelopes, rows, moment, *, dataset, vendor, silver_name, key, time, schema, spec, mark
+def run_vendor(
+    spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment, vendor: vendors.Vendor
 ) -> int:
+    """Load one vendor's envelopes as its description says. Returns the number of batch rows.
+
+    Envelopes without their key are rejected and counted, the others are loaded.
+    """
     ledger = lake.ledger(spark)
-    run_id = ledger.start(dataset, moment.run_date, moment.now)
+    run_id = ledger.start(vendor.run_name, moment.run_date, moment.now)
     total = 0
     try:
-        name = "series" if key == "series" else "symbol"
-        code = normalize.partition_key(name)
+        code = normalize.partition_key(vendor.partition)
         counted = envelopes.agg(
-            F.countDistinct(code).alias("keys"), F.count_if(code.isNull()).alias("rejects")
+            F.countDistinct(code).alias("keyed"), F.count_if(code.isNull()).alias("rejects")
         ).first()
-        total = counted["keys"] + counted.rejects
+        failed = counted.rejects
+        total = counted.keyed + failed
+        keyed, _ = normalize.split_keyed(envelopes, vendor.partition)
+        rows = vendor.clean(vendor.normalize(keyed))
+        sort = vendor.table.sort or vendor.table.key
         silver = _to_silver(
-            spark, lake, rows, moment, vendor, silver_name, schema, spec.sort or spec.key
+            spark, lake, rows, moment, vendor.source, vendor.silver_name, vendor.silver, sort
         )
         if silver.isEmpty():
-            _finish(ledger, run_id, moment, "success", total, counted.rejects, "no rows returned")
+            _finish(ledger, run_id, moment, "success", total, failed, "no rows returned")
             return 0
-        batch = silver.select(*schema.names)
-        failed = counted.rejects
-        if spec is upsert.FIGI:
+        batch = silver.select(*vendor.silver.names)
+        if vendor.needs_registration:
             known = read_table(spark, lake.gold, INSTRUMENTS)
-            refused = batch.select("ticker").distinct().join(known, "ticker", "left_anti").count()
-            failed += refused
+            failed += unregistered(batch.select("ticker").distinct(), known).count()
             batch = registered(batch, known)
-        count = load(spark, lake.gold, batch, spec, moment.now, unique=batch)
-        if mark:
-            _advance(spark, lake, silver, key, time, mark, moment)
-        status = "partial" if failed else "success"
+        count = load(spark, lake.gold, batch, vendor.table, moment.now, unique=batch)
+        if vendor.mark:
+            _advance(spark, lake, silver, vendor.key, vendor.time, vendor.mark, moment)
         note = f"{failed} of {total} items rejected" if failed else None
-        _finish(ledger, run_id, moment, status, total, failed, note)
+        _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
         return count
     except Exception as e:
         _finish(ledger, run_id, moment, "failed", total, total, str(e))
@@ -224,8 +211,12 @@ def run_register(
     run_id = ledger.start("register_ticker", moment.run_date, moment.now)
     total = 0
     try:
-        good, rejects = normalize.normalize_info(info)
-        first = keep_first(good, ["ticker"], ["ord"])
+        # Judged once; the written table serves the counts, the registry and the backfill.
+        path = f"{lake.root}/work/info-{uuid.uuid4().hex}"
+        normalize.judge_info(info).write.parquet(path)
+        judged = spark.read.parquet(path)
+        rejects = judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")
+        first = keep_first(judged.where("reason is null").drop("reason"), ["ticker"], ["ord"])
         # Ids may follow any order that repeats; hashes spread the numbering over all tasks.
         candidates = first.withColumns(
             {"position": F.xxhash64("ticker"), "is_scheduled": F.lit(is_scheduled)}
