@@ -229,3 +229,19 @@ def test_stream_loads_every_file_once(spark, lake, rows):
     assert rows(gold(spark, lake, upsert.PRICES, "ts", "close_returns"), "ts") == [
         (D(2026, 1, 1), None), (D(2026, 1, 2), 2.0)
     ]
+
+
+@pytest.mark.parametrize("names", [1000, 0])
+def test_history_looks_back_as_far_as_needed(spark, lake, envelopes, rows, monkeypatch, names):
+    from tidemark.plans import jobs
+
+    monkeypatch.setattr(jobs, "MAX_NAMES", names)
+    schema = "symbol string, ts date, close double"
+    stored = [("OLD", D(2001, 5, 5), 1.0), ("OLD", D(2002, 5, 5), 2.0), ("NEAR", D(2025, 12, 1), 5.0),
+              ("NEAR", D(2003, 1, 1), 9.0), ("OTHER", D(2002, 1, 1), 9.0)]
+    tables.load(spark, lake.gold, spark.createDataFrame(stored, schema), upsert.PRICES, moment().now)
+    batch = spark.createDataFrame([(s, D(2026, 1, 5), 10.0) for s in ("OLD", "NEAR", "NEW")], schema)
+    near = jobs.stored_near(tables.read_table(spark, lake.gold, upsert.PRICES), batch)
+    assert {r.symbol for r in near.collect()} == {"OLD", "NEAR"}
+    found = jobs.add_return_with_history(batch, near).select("symbol", "close_returns")
+    assert rows(found, "symbol") == [("NEAR", 1.0), ("NEW", None), ("OLD", 4.0)]

@@ -33,6 +33,8 @@ from tidemark.operators.serve import INSTRUMENT_COLUMNS
 from tidemark.plans import vendors
 from tidemark.sources.tables import load, read_silver, read_table, write_silver
 
+MAX_NAMES = 1000  # symbols named in a filter; more are joined
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -116,7 +118,8 @@ def _load_prices(
 ) -> int:
     batch = silver.select(*schemas.SILVER_PRICES.names)
     if scope == "history":
-        priced = add_return_with_history(batch, read_table(spark, lake.gold, upsert.PRICES))
+        table = read_table(spark, lake.gold, upsert.PRICES)
+        priced = add_return_with_history(batch, stored_near(table, batch))
     else:
         priced = add_return(batch, "close")
     # The gate has seen to it that keys are unique; directories are found without the returns.
@@ -125,6 +128,29 @@ def _load_prices(
     return count
 
 
+def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored prices that can hold the row before a batch row, without reading all years.
+
+    Nearly every symbol has a row in the batch's first year or the year before. Older years are
+    read only for the symbols that have none there, by name while the names are few: files are
+    sorted by symbol, so most of them are skipped.
+    """
+    first = batch.agg(F.min("ts")).first()[0]
+    since = first.year - 1
+    recent = table.where(F.col("year") >= since)
+    older = table.where(F.col("year") < since)
+    if older.isEmpty():
+        return recent
+    found = recent.where(F.col("ts") < F.lit(first)).select("symbol").distinct()
+    open_symbols = batch.select("symbol").distinct().join(found, "symbol", "left_anti")
+    names = [r.symbol for r in open_symbols.limit(MAX_NAMES + 1).collect()]
+    if not names:
+        return recent
+    if len(names) <= MAX_NAMES:
+        return recent.unionByName(older.where(F.col("symbol").isin(names)))
+    return recent.unionByName(older.join(open_symbols, "symbol", "left_semi"))
+
+
 def run_macro(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
     """Load macro observations of all series in the batch. There is no gate."""
     return run_vendor(spark, lake, envelopes, moment, vendors.MACRO)
