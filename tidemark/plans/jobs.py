@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.functions.columns import run_status
@@ -33,6 +33,13 @@ from tidemark.operators.serve import INSTRUMENT_COLUMNS
 from tidemark.plans import vendors
 from tidemark.sources.tables import load, read_silver, read_table, write_silver
 
+CHUNKED_PRICES = T.StructType(
+    [
+        *schemas.SILVER_PRICES.fields,
+        T.StructField("batch_no", T.LongType()),
+        T.StructField("window_start", T.DateType()),
+    ]
+)
 MAX_NAMES = 1000  # symbols named in a filter; more are joined
 
 
@@ -294,28 +301,29 @@ def run_backfill(
     chunk = ["batch_no", "window_start"]
     asked = keep_first(clean_symbols(requests), ["symbol"], ["position"])
     require_any(asked)
-    rows = clean.clean_prices(normalize.normalize_prices(envelopes))
-    silver = _to_silver(
-        spark, lake, rows, moment, "yahoo", "prices_1d", schemas.SILVER_PRICES, clean.PRICES_KEY
-    )
     batched = symbol_batches(asked, batch_size, block=block).withColumn(
         "windows", date_windows(F.col("start"), F.col("end"), years)
     )
+    rows = clean.clean_prices(normalize.normalize_prices(envelopes))
     chunked = (
-        silver.join(batched.select("symbol", "batch_no", "windows"), "symbol")
+        rows.join(batched.select("symbol", "batch_no", "windows"), "symbol")
         .withColumn("window_start", window_of(F.col("windows"), F.col("ts"))["window_start"])
         .where("window_start is not null")
         .drop("windows")
     )
-    outcomes = _chunk_outcomes(batched, chunked, max_null_close_ratio, moment)
+    # Silver keeps the chunk of each row, so requests and rows are joined once.
+    silver = _to_silver(
+        spark, lake, chunked, moment, "yahoo", "prices_1d", CHUNKED_PRICES, clean.PRICES_KEY
+    )
+    outcomes = _chunk_outcomes(batched, silver, max_null_close_ratio, moment)
     # Judged once, then read for the load and for the ledger.
     judged = f"{lake.root}/work/backfill-{uuid.uuid4().hex}"
     outcomes.write.parquet(judged)
     outcomes = spark.read.parquet(judged)
 
     ledger.append(start_events(outcomes, moment.now))
-    passed = outcomes.where("status <> 'failed'").select(*chunk)
-    good = chunked.join(passed, chunk, "left_semi").drop(*chunk)
+    failed = outcomes.where("status = 'failed'").select(*chunk)
+    good = silver if failed.isEmpty() else silver.join(failed, chunk, "left_anti")
     loaded = 0 if good.isEmpty() else _load_prices(spark, lake, good, moment, scope)
     ledger.append(finish_events(outcomes, moment.now))
     return loaded
