@@ -1,0 +1,93 @@
+import hashlib
+import re
+
+import llm_samples as samples
+from pyspark.sql import functions as F
+from tidemark.llm import fingerprints as fp
+
+
+def brute_hashes(words, hashes, gram):
+    out = []
+    for i in range(len(words) - gram + 1):
+        h = 0
+        for w in words[i : i + gram]:
+            h = (h * fp.BASE + hashes[w]) % fp.PRIME
+        out.append(h)
+    return out
+
+
+def brute(text, spark_hashes, whole_hash, gram, window):
+    words = [w for w in re.split(r"[^\w]|_", text) if w] if text else []
+    grams = brute_hashes(words, spark_hashes, gram) if len(words) >= gram else ([whole_hash] if words else [])
+    if not grams:
+        return []
+    chosen = []
+    for i in range(max(1, len(grams) - window + 1)):
+        part = grams[i : i + window]
+        at = i + max(k for k, h in enumerate(part) if h == min(part))
+        if not chosen or chosen[-1] != (at, grams[at]):
+            chosen.append((at, grams[at]))
+    return chosen
+
+
+def test_windows_against_brute_force(spark):
+    rows = [r for r in samples.documents() if r[0] not in (1007,)]
+    docs = samples.table(spark, rows).select("doc_id", F.lower("text").alias("text"))
+    for gram, window in ((5, 8), (1, 1), (3, 4), (7, 5)):
+        words = F.array_remove(F.split("text", r"[^\p{L}\p{N}]+"), "")
+        hashed = docs.withColumn("w", words).withColumns(
+            {
+                "h": F.transform("w", lambda w: F.pmod(F.xxhash64(w), F.lit(fp.PRIME))),
+                "whole": F.pmod(F.xxhash64(F.array_join("w", " ")), F.lit(fp.PRIME)),
+            }
+        )
+        for r in fp.fingerprinted(hashed, "text", "p", gram, window).collect():
+            got = [(fp.LAST - (e & fp.LAST), e >> 32) for e in r["p"]]
+            expected = brute(r["text"], dict(zip(r["w"] or [], r["h"] or [])), r["whole"], gram, window)
+            assert got == expected
+
+
+def test_a_shared_run_is_found_and_equal_texts_agree(spark):
+    words = [f"word{i}" for i in range(400)]
+    run = fp.GRAM + fp.WINDOW - 1
+    for at in (0, 100, 388):
+        shared = " ".join(words[at : at + run])
+        pair = spark.createDataFrame(
+            [(" ".join(words), f"quite other words come {shared} and others follow")], "a string, b string"
+        )
+        found = fp.fingerprinted(fp.fingerprinted(pair, "a", "x"), "b", "y")
+        assert found.where(F.arrays_overlap(fp.hashes_of("x"), fp.hashes_of("y"))).count() == 1
+
+
+def test_edited_texts_against_brute_force(spark):
+    rows = samples.documents()
+    found = fp.compare_edits(samples.table(spark)).collect()
+    assert len(found) == len(rows)
+    # With single ids alone, the next document is the next id's.
+    ids = [r[0] for r in rows]
+    single = sorted((r for r in rows if r[0] is not None and ids.count(r[0]) == 1), key=lambda r: r[0])
+    texts = {r[0]: r[1] or "" for r in single}
+    alone = fp.compare_edits(samples.table(spark, [r for r in rows if r[0] in texts])).collect()
+    order = list(texts)
+    assert sorted(r["doc_id"] for r in alone) == order
+    for r in alone:
+        text, after = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        if edited == text:
+            assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
+    by_text = {}
+    for r in alone:
+        by_text.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    long_one = next(r for r in alone if r["doc_id"] == 1004)
+    assert long_one["near_next"] > 0.9 and 0.9 < long_one["near_edited"] or long_one["near_edited"] > 0.2
+
+
+def test_empty_and_single(spark):
+    assert fp.compare_edits(samples.empty(spark)).count() == 0
+    one = fp.compare_edits(samples.table(spark, [(7, "abcd efgh", None, None, None, None)])).collect()
+    assert one[0]["edited_sha256"] == hashlib.sha256(b"abcd abcd").hexdigest()

@@ -181,8 +181,8 @@ class Trie:
 def quantised(shares: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
     """A byte per value and the codebook; code 0 is kept for what is absent.
 
-    Up to ``levels`` different values are exact; more are put into bins of equal frequency on the
-    distinct logarithms, and a bin's value is its members' geometric mean.
+    Up to ``levels`` different values are exact; more go into bins of equal width on the logarithm,
+    so that no value is off by more than a bin, and a bin's value is its members' geometric mean.
     """
     different, inverse, counts = np.unique(
         shares.astype(np.float32), return_inverse=True, return_counts=True
@@ -191,9 +191,9 @@ def quantised(shares: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.nda
     if len(different) <= levels:
         bins = np.arange(len(different))
     else:
-        weight = np.cumsum(counts) - counts
-        bins = (weight * levels // weight[-1].clip(1)).clip(0, levels - 1)
-        _, bins = np.unique(bins, return_inverse=True)
+        width = (logs[-1] - logs[0]) / levels
+        _, bins = np.unique(((logs - logs[0]) / width).astype(np.int64).clip(0, levels - 1), return_inverse=True)
     sums = np.bincount(bins, weights=logs * counts, minlength=1)
-    codebook = np.concatenate([[0.0], 10 ** (sums / np.maximum(np.bincount(bins, weights=counts, minlength=1), 1))])
+    members = np.maximum(np.bincount(bins, weights=counts, minlength=1), 1)
+    codebook = np.concatenate([[0.0], 10 ** (sums / members)])
     return (bins[inverse] + 1).astype(np.uint8), codebook.astype(np.float32)

@@ -27,7 +27,7 @@ from tidemark.llm.elias_fano import Sequence, Trie
 from tidemark.llm.filesets import FileSet
 from tidemark.session import work_folder
 
-MU = 200.0
+MU = 1000.0
 BLOCK_BYTES = 32 << 20  # of text
 WORDS_PER_SHARD = 1 << 20  # that blocks ask of one shard, about
 PAIRS_PER_SHARD = 3 << 20
