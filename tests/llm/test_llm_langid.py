@@ -63,11 +63,13 @@ def test_held_out_accuracy(spark):
 def test_languages_are_no_input_and_empty_tables(spark):
     docs = samples.table(spark)
     network = langid.fitted(docs, ~langid.held_out())
-    ids = ["doc_id", "text", "lang_pred", "score"]
+    ids = ["doc_id", "text", "lang_pred", F.round("score", 3).alias("score")]
     other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit("yy")})
     a = langid.identified(docs, network).select(*ids).collect()
     b = langid.identified(other, network).select(*ids).collect()
-    assert sorted(map(tuple, a), key=repr) == sorted(map(tuple, b), key=repr)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+        assert x[:3] == y[:3] and abs(x["score"] - y["score"]) < 0.002
     nothing = langid.fitted(samples.empty(spark), F.lit(True))
     assert {r["lang_pred"] for r in langid.identified(docs, nothing).collect()} == {"und"}
     assert langid.identified(samples.empty(spark), network).count() == 0

@@ -206,7 +206,7 @@ class _Reader(DataSourceReader):
             with self.files.open(name) as stream:
                 for row in self.records(stream):
                     rows.append(row)
-                    size += 200 + len(row[-1] or b"") * (self.payload == "bytes")
+                    size += 200 + (len(row[-1]) if self.payload == "bytes" else 0)
                     if size >= BATCH_BYTES:
                         yield self.batch(rows)
                         rows, size = [], 0
