@@ -231,11 +231,9 @@ def test_stream_loads_every_file_once(spark, lake, rows):
     ]
 
 
-@pytest.mark.parametrize("names", [1000, 0])
-def test_history_looks_back_as_far_as_needed(spark, lake, envelopes, rows, monkeypatch, names):
+def test_history_looks_back_as_far_as_needed(spark, lake, rows):
     from tidemark.plans import jobs
 
-    monkeypatch.setattr(jobs, "MAX_NAMES", names)
     schema = "symbol string, ts date, close double"
     stored = [("OLD", D(2001, 5, 5), 1.0), ("OLD", D(2002, 5, 5), 2.0), ("NEAR", D(2025, 12, 1), 5.0),
               ("NEAR", D(2003, 1, 1), 9.0), ("OTHER", D(2002, 1, 1), 9.0)]

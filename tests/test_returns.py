@@ -103,10 +103,8 @@ def test_history_without_stored_rows_equals_the_batch(spark):
     assert answers(add_return_with_history(batch, batch.where("false"))) == [None, 3.0]
 
 
-def test_the_period_follows_the_largest_group(spark):
-    from tidemark.operators.returns import choose_period
-
-    df = spark.range(7200).select(F.lit("hot").alias("g"), F.timestamp_seconds("id").alias("at"))
-    sizes = {10_000: "day", 7200: "day", 3600: "hour", 100: "minute", 59: "second", 0: "second"}
-    assert {n: choose_period(df, "g", "at", n) for n in sizes} == sizes
-    assert choose_period(df.where("false"), "g", "at") == "day"
+def test_daily_returns_read_their_input_once(spark, tmp_path):
+    frame(spark, ("A", 1, 1, 5.0)).write.parquet(str(tmp_path / "bars"))
+    plan = add_return(spark.read.parquet(str(tmp_path / "bars")), "close")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1

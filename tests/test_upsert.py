@@ -88,7 +88,7 @@ def test_marks_move_back_unless_monotonic(spark, rows):
     plain = U.upsert_watermarks(stored, batch, load_time()).select("last_ts", "last_run_id")
     assert rows(plain) == [(date(2026, 1, 5), "r5")]
     kept = U.upsert_watermarks(stored, batch, load_time(), monotonic=True).select("last_ts", "last_run_id")
-    assert rows(kept) == [(date(2026, 1, 9), "r5")]
+    assert rows(kept) == [(date(2026, 1, 9), "r9")]
 
 
 def test_bad_keys_are_refused(spark, tmp_path):

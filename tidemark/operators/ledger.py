@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from tidemark.functions.columns import cut_note
 from tidemark.schemas import RUN_EVENTS
 
 START, FINISH = 0, 1
@@ -29,14 +28,17 @@ def start_events(runs: DataFrame, at: Column) -> DataFrame:
 
 
 def finish_events(outcomes: DataFrame, at: Column) -> DataFrame:
-    """Finish events for (run_id, status, items_total, items_success, items_failed, notes)."""
+    """Finish events for (run_id, status, items_total, items_success, items_failed, notes).
+
+    Notes are kept whole; what is cut is an exception's text, by whoever writes it down.
+    """
     return outcomes.select(
         "run_id",
         F.lit(None).cast("string").alias("dataset"),
         F.lit(None).cast("date").alias("run_date"),
         "status",
         *(F.col(c).cast("int").alias(c) for c in ("items_total", "items_success", "items_failed")),
-        cut_note("notes").alias("notes"),
+        "notes",
         F.lit(FINISH).alias("seq"),
         at.cast("timestamp").alias("at"),
     )

@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tidemark.functions.columns import simple_return
 
-UNITS = ("day", "hour", "minute", "second")
-MAX_ROWS_PER_SPAN = 5_000_000
-
 
 def with_previous(
     df: DataFrame,
@@ -20,15 +17,18 @@ def with_previous(
 ) -> DataFrame:
     """Add ``out``: the value of ``column`` one row earlier in the same group.
 
-    The window runs over (group, period) rather than over the whole group, so a group with a third
-    of all rows is spread over its periods. Only the first row of a period looks outside: it takes
-    the closing value of the group's period before, from a table of one row per (group, period)
-    that is aggregated before it is shuffled. A year of daily rows is small; for timestamps the
-    period is chosen by counting, unless given.
+    Days: one window over the group, which holds a row a day and so a few thousand rows; the input is
+    read once. Timestamps: the window runs over (group, day), or another ``period``, so a group with
+    a third of all rows is spread over its periods. Only the first row of a period looks outside: it
+    takes the closing value of the group's period before, from a table of one row per (group,
+    period) that is aggregated before it is shuffled. That reads the input twice. Which form is taken
+    follows from the type of ``order_by`` alone, or from ``period`` where one is given.
     """
     if period is None:
-        daily = isinstance(df.schema[order_by].dataType, T.DateType)
-        period = "year" if daily else choose_period(df, group_by, order_by)
+        if isinstance(df.schema[order_by].dataType, T.DateType):
+            whole = Window.partitionBy(group_by).orderBy(order_by)
+            return df.select("*", F.lag(column).over(whole).alias(out))
+        period = "day"
     split = df.withColumn("_span", F.date_trunc(period, order_by).cast("timestamp_ntz"))
 
     closing = split.groupBy(group_by, "_span").agg(F.max_by(column, order_by).alias("_close"))
@@ -51,21 +51,6 @@ def with_previous(
     )
 
 
-def choose_period(
-    df: DataFrame, group_by: str, order_by: str, max_rows: int = MAX_ROWS_PER_SPAN
-) -> str:
-    """The coarsest unit in which no (group, unit) holds more than ``max_rows`` rows.
-
-    Each unit tried costs one count over two columns; only its largest number comes back.
-    """
-    for unit in UNITS[:-1]:
-        counts = df.groupBy(group_by, F.date_trunc(unit, order_by)).count()
-        largest = counts.agg(F.max("count")).first()[0]
-        if largest is None or largest <= max_rows:
-            return unit
-    return UNITS[-1]
-
-
 def add_return(
     df: DataFrame,
     column: str,

@@ -136,13 +136,18 @@ def upsert_watermarks(
     target: DataFrame, batch: DataFrame, now: Column, *, monotonic: bool = False
 ) -> DataFrame:
     """High-water marks after a batch. As stored values are replaced without comparison, a mark
-    can move back; ``monotonic`` keeps the later of the two."""
+    can move back; ``monotonic`` keeps the later of the two, with the run that delivered it (of equal
+    days, the batch's)."""
     if monotonic:
-        held = target.select(*WATERMARKS.key, F.col("last_ts").alias("_held"))
+        stored = F.struct("last_ts", F.lit(0).alias("new"), F.col("last_run_id").alias("run"))
+        held = target.select(*WATERMARKS.key, stored.alias("_held"))
+        given = F.struct("last_ts", F.lit(1).alias("new"), F.col("last_run_id").alias("run"))
+        later = F.greatest(given, "_held")
         batch = (
             batch.join(held, list(WATERMARKS.key), "left")
-            .withColumn("last_ts", F.greatest("last_ts", "_held"))
-            .drop("_held")
+            .withColumn("_later", later)
+            .withColumns({"last_ts": F.col("_later.last_ts"), "last_run_id": F.col("_later.run")})
+            .drop("_held", "_later")
         )
     return upsert(target, batch, WATERMARKS, now)
 

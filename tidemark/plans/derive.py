@@ -9,16 +9,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def read_spread(spark: SparkSession, sf_dir: str, table: str, *key: str) -> DataFrame:
-    """The table, dealt out by key if its files give fewer tasks than there are cores.
-
-    A table of many files is left as it is: only a small one is worth a shuffle.
-    """
-    rows = read(spark, sf_dir, table)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per user from events: (symbol, ts) is unique."""
     events = read(spark, sf_dir, "events").select(
@@ -41,7 +31,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations from orders: several per (series, ts), missing markers for pending ones."""
-    return read_spread(spark, sf_dir, "orders", "o_orderkey").select(
+    return read(spark, sf_dir, "orders").select(
         F.lower("o_orderpriority").alias("series"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         F.when(F.col("o_orderstatus") == "P", F.lit("."))
@@ -53,7 +43,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported facts from lineitem, with restatements: the order key decides the filing day."""
-    return read_spread(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(
+    return read(spark, sf_dir, "lineitem").select(
         F.format_string("S%d", "l_suppkey").alias("ticker"),
         F.col("l_returnflag").alias("taxonomy"),
         F.col("l_linestatus").alias("name"),
@@ -113,7 +103,7 @@ def supplier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def figi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifier candidates: the parts a supplier ships, as listings of the supplier's ticker."""
-    lineitem = read_spread(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(
+    lineitem = read(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_orderkey"
     )
     part = read(spark, sf_dir, "part")

@@ -40,7 +40,6 @@ CHUNKED_PRICES = T.StructType(
         T.StructField("window_start", T.DateType()),
     ]
 )
-MAX_NAMES = 1000  # symbols named in a filter; more are joined
 
 
 @dataclass(frozen=True)
@@ -139,8 +138,8 @@ def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
     """The stored prices that can hold the row before a batch row, without reading all years.
 
     Nearly every symbol has a row in the batch's first year or the year before. Older years are
-    read only for the symbols that have none there, by name while the names are few: files are
-    sorted by symbol, so most of them are skipped.
+    read only for the symbols that have none there. Where those are few Spark broadcasts them by its
+    own size check; their names never pass through the driver.
     """
     first = batch.agg(F.min("ts")).first()[0]
     since = first.year - 1
@@ -150,11 +149,6 @@ def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
         return recent
     found = recent.where(F.col("ts") < F.lit(first)).select("symbol").distinct()
     open_symbols = batch.select("symbol").distinct().join(found, "symbol", "left_anti")
-    names = [r.symbol for r in open_symbols.limit(MAX_NAMES + 1).collect()]
-    if not names:
-        return recent
-    if len(names) <= MAX_NAMES:
-        return recent.unionByName(older.where(F.col("symbol").isin(names)))
     return recent.unionByName(older.join(open_symbols, "symbol", "left_semi"))
 
 

@@ -133,23 +133,21 @@ def quality(by: str) -> str:
 MARKS = (
     BARS
     + """,
-    marks_all as (select 'yahoo' as source, 'prices_1d' as dataset, symbol as ticker,
-                         max(ts) as last_ts, 'r' || strftime(max(ts), '%d') as last_run_id
-                  from bars where ts between date '2024-01-01' and date '2024-01-30' group by symbol),
     held as (select 'yahoo' as source, 'prices_1d' as dataset, symbol as ticker,
                     max(ts) as last_ts, 'r' || strftime(max(ts), '%d') as last_run_id
-             from bars where ts between date '2024-01-01' and date '2024-01-12' group by symbol),
+             from bars group by symbol),
     late as (select symbol as ticker, max(ts) as last_ts,
-                    'r' || strftime(max(ts), '%d') as last_run_id
-             from bars where ts between date '2024-01-05' and date '2024-01-08' group by symbol)"""
+                    'b' || strftime(max(ts), '%d') as last_run_id
+             from bars where day(ts) % 2 = 0 group by symbol)"""
 )
 
 
-def mark_upsert(last_ts: str) -> str:
+def mark_upsert(takes_late: str) -> str:
     return f"""
     with {MARKS}
-    select 'yahoo' as source, 'prices_1d' as dataset, ticker, {last_ts} as last_ts,
-           coalesce(late.last_run_id, held.last_run_id) as last_run_id,
+    select 'yahoo' as source, 'prices_1d' as dataset, ticker,
+           case when {takes_late} then late.last_ts else held.last_ts end as last_ts,
+           case when {takes_late} then late.last_run_id else held.last_run_id end as last_run_id,
            case when late.ticker is not null then '2024-02-01 16:05:00'
                 else '2024-01-20 16:05:00' end as updated_at
     from held full join late using (ticker)"""
@@ -183,7 +181,9 @@ ORACLE: dict[str, str] = {
         with p as (select event_id, event_type, value,
                           lag(value) over (partition by event_type order by ts) as p from events)
         select event_id, event_type, {ret("value", "p")} as value_returns from p""",
-    "returns_batch_scope": f"with {BARS}, {SPLIT}, {lag_return('hi', 'r')} select * from r",
+    "returns_batch_scope": f"""
+        with {BARS}, {SPLIT}, {lag_return('lo', 'r')}, {lag_return('hi', 'q')}
+        select * from r union all select * from q""",
     "returns_history_scope": f"""
         with {BARS}, {SPLIT},
         u as (select * replace (close * 2 as close) from lo union all select * from hi),
@@ -310,14 +310,14 @@ ORACLE: dict[str, str] = {
                case when batch then '2024-02-01 16:05:00' else '2024-01-20 16:05:00' end
                    as ingested_at
         from w where stored or batch""",
-    "watermark_advance": f"with {MARKS} select * from marks_all",
-    "upsert_watermark": mark_upsert("coalesce(late.last_ts, held.last_ts)"),
-    "upsert_watermark_monotonic": mark_upsert("greatest(late.last_ts, held.last_ts)"),
+    "watermark_advance": f"with {MARKS} select * from held",
+    "upsert_watermark": mark_upsert("late.ticker is not null"),
+    "upsert_watermark_monotonic": mark_upsert("late.last_ts >= held.last_ts"),
     "resolve_start_prices": f"""
         with {MARKS}
         select 'U' || c_custkey as ticker, coalesce(last_ts + 1, date '2015-01-01') as start
         from customer left join held on held.ticker = 'U' || c_custkey""",
-    "resolve_batch_start": f"with {MARKS} select min(last_ts) + 1 as start from marks_all",
+    "resolve_batch_start": f"with {MARKS} select min(last_ts) + 1 as start from held",
     "resolve_start_macro": f"""
         with {MACRO}
         select series as ticker,
@@ -342,7 +342,7 @@ ORACLE: dict[str, str] = {
                case when o_orderstatus <> 'P'
                     then strftime(o_orderdate + interval 1 hour, '%Y-%m-%d %H:%M:%S') end
                    as finished_at,
-               case when o_orderstatus <> 'P' then left(repeat('note ', 120), 500) end as notes
+               case when o_orderstatus <> 'P' then repeat('note ', 120) end as notes
         from orders""",
     "run_ledger_unknown": """
         select o_orderkey::varchar as run_id from orders where o_orderstatus = 'P'""",

@@ -80,7 +80,11 @@ def returns_by_event_type(spark, sf):
 
 @query
 def returns_batch_scope(spark, sf):
-    return returns.add_return(derive.bars(spark, sf).where(F.col("ts") >= day("2024-01-15")), "close")
+    """All bars as two batches: the first row of a symbol in each has no return."""
+    bars = derive.bars(spark, sf)
+    early = F.col("ts") < day("2024-01-15")
+    first, second = (returns.add_return(bars.where(c), "close") for c in (early, ~early))
+    return first.unionByName(second)
 
 
 @query
@@ -426,37 +430,38 @@ def upsert_figi(spark, sf):
     return with_text_time(upsert.upsert(stored, batch, upsert.FIGI, now()), "ingested_at")
 
 
-def _bars_from(spark, sf, start: str, end: str) -> DataFrame:
-    bars = serve.between(derive.bars(spark, sf), start, end)
-    return bars.withColumn("bronze_run_id", F.date_format("ts", "'r'dd"))
+def _marks(bars: DataFrame, run: str = "r") -> DataFrame:
+    """Marks after a load of ``bars``; a bar's run is named by its day of the month."""
+    named = bars.withColumn("bronze_run_id", F.date_format("ts", f"'{run}'dd"))
+    return watermark.advance(named, "symbol", "ts", watermark.PRICES_MARK)
 
 
-def _marks(spark, sf, start: str, end: str) -> DataFrame:
-    return watermark.advance(_bars_from(spark, sf, start, end), "symbol", "ts", watermark.PRICES_MARK)
+def _stored_marks(spark, sf) -> DataFrame:
+    return _marks(derive.bars(spark, sf)).withColumn("updated_at", derive.literal_time(OLD))
 
 
-def _stored_marks(spark, sf) -> DataFrame:
-    marks = _marks(spark, sf, "2024-01-01", "2024-01-12")
-    return marks.withColumn("updated_at", derive.literal_time(OLD))
+def _late_marks(spark, sf) -> DataFrame:
+    """A later batch that brings the even days of the month once more."""
+    return _marks(derive.bars(spark, sf).where(F.dayofmonth("ts") % 2 == 0), "b")
 
 
 @query
 def watermark_advance(spark, sf):
-    return _marks(spark, sf, "2024-01-01", "2024-01-30")
+    return _marks(derive.bars(spark, sf))
 
 
 @query
 def upsert_watermark(spark, sf):
     """A late batch moves marks back."""
-    batch = _marks(spark, sf, "2024-01-05", "2024-01-08")
-    return with_text_time(upsert.upsert_watermarks(_stored_marks(spark, sf), batch, now()), "updated_at")
+    moved = upsert.upsert_watermarks(_stored_marks(spark, sf), _late_marks(spark, sf), now())
+    return with_text_time(moved, "updated_at")
 
 
 @query
 def upsert_watermark_monotonic(spark, sf):
-    batch = _marks(spark, sf, "2024-01-05", "2024-01-08")
-    moved = upsert.upsert_watermarks(_stored_marks(spark, sf), batch, now(), monotonic=True)
-    return with_text_time(moved, "updated_at")
+    """The later day stays, with the run that brought it."""
+    stored, late = _stored_marks(spark, sf), _late_marks(spark, sf)
+    return with_text_time(upsert.upsert_watermarks(stored, late, now(), monotonic=True), "updated_at")
 
 
 # -- starts -------------------------------------------------------------------------------------
@@ -480,7 +485,7 @@ def resolve_start_prices(spark, sf):
 def resolve_batch_start(spark, sf):
     """Earliest start over the symbols that have bars."""
     wanted = derive.bars(spark, sf).select(F.col("symbol").alias("ticker"))
-    marks = _marks(spark, sf, "2024-01-01", "2024-01-30")
+    marks = _marks(derive.bars(spark, sf))
     starts = watermark.start_per_key(wanted, marks, watermark.PRICES_MARK)
     return watermark.batch_start(starts)
 
