@@ -85,7 +85,7 @@ def test_ledger(spark, tmp_path):
     state = {r.run_id: r for r in ledger.state().collect()}
     assert (state[a].status, state[a].items_total, state[a].items_success) == ("success", 5, 5)
     assert state[a].dataset == "prices_1d" and state[a].finished_at >= state[a].started_at
-    assert state[b].status == "failed" and len(state[b].notes) == 500
+    assert state[b].status == "failed" and len(state[b].notes) == 800
     with pytest.raises(ValueError, match="never started"):
         ledger.finish("nope", status="success")
     assert L.unknown_runs(ledger.events()).count() == 0

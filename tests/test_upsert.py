@@ -110,13 +110,13 @@ def test_load_replaces_only_touched_directories(spark, tmp_path, rows):
 
     first = spark.createDataFrame([at(2024, 1.0), at(2025, 2.0)], SILVER)
     assert tables.load(spark, root, first, U.PRICES, load_time()) == 2
-    untouched = sorted((tmp_path / "prices_1d" / "year=2024").iterdir())
+    untouched = sorted((tmp_path / "prices_1d" / "month=202401").iterdir())
     second = spark.createDataFrame([at(2025, 3.0), at(2026, 4.0)], SILVER)
     assert tables.load(spark, root, second, U.PRICES, load_time()) == 2
-    assert sorted((tmp_path / "prices_1d" / "year=2024").iterdir()) == untouched
+    assert sorted((tmp_path / "prices_1d" / "month=202401").iterdir()) == untouched
     table = tables.read_table(spark, root, U.PRICES)
-    assert rows(table.select("ts", "close", "year"), "ts") == [
-        (date(2024, 1, 1), 1.0, 2024), (date(2025, 1, 1), 3.0, 2025), (date(2026, 1, 1), 4.0, 2026)
+    assert rows(table.select("ts", "close", "month"), "ts") == [
+        (date(2024, 1, 1), 1.0, 202401), (date(2025, 1, 1), 3.0, 202501), (date(2026, 1, 1), 4.0, 202601)
     ]
     assert tables.load(spark, root, second.where("false"), U.PRICES, load_time()) == 0
 
@@ -131,6 +131,63 @@ def test_a_failed_load_leaves_the_table(spark, tmp_path):
     assert tables.read_table(spark, root, U.PRICES).select("close").first().close == 1.0
 
 
+def files_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_a_load_that_breaks_off_before_it_is_published_can_be_repeated(spark, tmp_path, monkeypatch, rows):
+    root = str(tmp_path)
+    first = spark.createDataFrame([price("A", day, float(day)) for day in range(1, 21)], SILVER)
+    tables.load(spark, root, first, U.PRICES, load_time())
+    second = spark.createDataFrame([price("A", 5, 50.0)], SILVER)
+    before = tables.read_table(spark, root, U.PRICES)
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, "publish", lost)
+        with pytest.raises(RuntimeError):
+            tables.load(spark, root, second, U.PRICES, load_time())
+    assert rows(tables.read_table(spark, root, U.PRICES).agg(F.count("*"), F.sum("close"))) == [(20, 210.0)]
+    tables.load(spark, root, second, U.PRICES, load_time())
+    assert rows(tables.read_table(spark, root, U.PRICES).agg(F.count("*"), F.sum("close"))) == [(20, 255.0)]
+    # Who read before still reads the same.
+    assert rows(before.agg(F.count("*"), F.sum("close"))) == [(20, 210.0)]
+    assert tables.vacuum(spark, root, U.PRICES, keep=1) == 2
+    assert rows(tables.read_table(spark, root, U.PRICES).agg(F.count("*"), F.sum("close"))) == [(20, 255.0)]
+
+
+def test_two_loads_at_once_are_not_merged_in_silence(spark, tmp_path):
+    root = str(tmp_path)
+    batch = spark.createDataFrame([price("A", 1, 1.0)], SILVER)
+    stale = tables._manifest(spark, root, U.PRICES)
+    tables.load(spark, root, batch, U.PRICES, load_time())
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        tables.publish(spark, tables.table_path(root, U.PRICES), stale, {"202601": "x"})
+    assert tables.read_table(spark, root, U.PRICES).count() == 1
+
+
+def test_one_company_rewrites_its_bucket_alone(spark, tmp_path):
+    root, spec = str(tmp_path), U.FACTS.with_buckets(8)
+    names = ("ticker", "concept", "unit", "period_end", "fp", "form", "val")
+
+    def facts(ticker):
+        days = spark.range(1000).select(F.date_add(F.lit(date(2000, 1, 1)), F.col("id").cast("int") * 7).alias("d"))
+        return days.select(
+            F.lit(ticker), F.lit("t:c"), F.lit("USD"), "d", F.lit("FY"), F.lit("10-K"), F.lit(1.0)
+        ).toDF(*names)
+
+    for ticker in "ABCD":
+        tables.load(spark, root, facts(ticker), spec, load_time())
+    before = files_of(tmp_path / "fundamentals")
+    # A spec with another number of buckets goes on with the table's own.
+    tables.load(spark, root, facts("A"), U.FACTS, load_time())
+    fresh = files_of(tmp_path / "fundamentals") - before
+    assert before <= files_of(tmp_path / "fundamentals") and len({f.split("/")[0] for f in fresh}) == 1
+    assert tables.read_table(spark, root, U.FACTS).count() == 4000
+
+
 @pytest.mark.parametrize("spec", [U.PRICES, U.MACRO, U.FACTS, U.FIGI, U.WATERMARKS, INSTRUMENTS])
 def test_specs_are_whole(spec):
     kept = {name for name, _ in spec.defaults} | set(spec.key) | {spec.touched}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -34,11 +34,13 @@ class TableSpec:
     defaults: tuple[tuple[str, str], ...] = ()
     sort: tuple[str, ...] = ()
 
-    def layout_column(self) -> Column:
-        return F.expr(self.layout[1])
+    def with_buckets(self, count: int) -> TableSpec:
+        """For a table yet to be begun: laid out by ``count`` buckets of the first name in its key."""
+        key = "ticker" if "ticker" in self.key else self.key[0]
+        return replace(self, layout=("bucket", f"pmod(xxhash64({key}), {count})"))
 
 
-BUCKETS = 16
+BUCKETS = 64  # directories of a table laid out by key, unless begun with another number
 
 PRICES = TableSpec(
     name="prices_1d",
@@ -49,7 +51,8 @@ PRICES = TableSpec(
         *("dividends", "stock_split", "close_returns", "run_id"),
     ),
     touched="ingested_at",
-    layout=("year", "year(ts)"),
+    # A day's batch rewrites its month alone.
+    layout=("month", "100 * year(ts) + month(ts)"),
     defaults=(("source", "yahoo"),),
 )
 MACRO = TableSpec(
@@ -69,7 +72,8 @@ FACTS = TableSpec(
     updated=("fy", "period_start", "val", "accn", "filed"),
     updated_if_given=("run_id",),
     touched="ingested_at",
-    layout=("year", "year(period_end)"),
+    # A fetch holds a company's whole history, so rows lie by company.
+    layout=("bucket", f"pmod(xxhash64(ticker), {BUCKETS})"),
     defaults=(("source", "sec_edgar"),),
     sort=("ticker", "concept", "period_end"),
 )

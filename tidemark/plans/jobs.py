@@ -135,16 +135,16 @@ def _load_prices(
 
 
 def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored prices that can hold the row before a batch row, without reading all years.
+    """The stored prices that can hold the row before a batch row, without reading all months.
 
-    Nearly every symbol has a row in the batch's first year or the year before. Older years are
+    Nearly every symbol has a row in the batch's first month or the one before. Older months are
     read only for the symbols that have none there. Where those are few Spark broadcasts them by its
     own size check; their names never pass through the driver.
     """
     first = batch.agg(F.min("ts")).first()[0]
-    since = first.year - 1
-    recent = table.where(F.col("year") >= since)
-    older = table.where(F.col("year") < since)
+    since = 100 * first.year + first.month - (89 if first.month == 1 else 1)
+    recent = table.where(F.col("month") >= since)
+    older = table.where(F.col("month") < since)
     if older.isEmpty():
         return recent
     found = recent.where(F.col("ts") < F.lit(first)).select("symbol").distinct()

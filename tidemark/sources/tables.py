@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.errors import AnalysisException
 
 from tidemark.operators.upsert import TableSpec, directories, refuse_bad_keys, upsert
+from tidemark.sources import files
 
 
 def silver_path(root: str, vendor: str, dataset: str) -> str:
@@ -41,19 +45,47 @@ def read_silver(
     return spark.read.schema(full).option("basePath", base).parquet(path)
 
 
+VERSION = "version"
+MANIFESTS = "_manifests"
+
+
 def table_path(root: str, spec: TableSpec) -> str:
     return f"{root}/{spec.name}"
 
 
 def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
-    """A Gold table, with its layout column last. A table never written is empty."""
+    """A Gold table, with its layout column last. A table never written is empty.
+
+    What is read is fixed here, by the newest manifest: a load that is published later does not
+    change it, and one that never gets that far is not seen.
+    """
     schema = T.StructType(list(spec.schema.fields)).add(spec.layout[0], T.IntegerType())
-    try:
-        return spark.read.schema(schema).parquet(table_path(root, spec))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    current = _manifest(spark, root, spec)["directories"]
+    if not current:
         return spark.createDataFrame([], schema)
+    return _scan(spark, root, spec, current)
+
+
+def _scan(spark: SparkSession, root: str, spec: TableSpec, current: dict[str, str]) -> DataFrame:
+    name, path = spec.layout[0], table_path(root, spec)
+    schema = T.StructType(list(spec.schema.fields)).add(name, T.IntegerType()).add(VERSION, T.StringType())
+    folders = [f"{path}/{name}={d}/{VERSION}={v}" for d, v in sorted(current.items())]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders).drop(VERSION)
+
+
+def _manifest_files(spark: SparkSession, root: str, spec: TableSpec) -> list[str]:
+    return [n for n in files.names(spark, f"{table_path(root, spec)}/{MANIFESTS}") if n.endswith(".json")]
+
+
+def _manifest(spark: SparkSession, root: str, spec: TableSpec) -> dict:
+    """The newest manifest: its number, the layout's expression and the version of each directory.
+
+    A table keeps the layout it was begun with, its number of buckets above all.
+    """
+    found = _manifest_files(spark, root, spec)
+    if not found:
+        return {"number": 0, "layout": spec.layout[1], "directories": {}}
+    return json.loads(files.read(spark, f"{table_path(root, spec)}/{MANIFESTS}/{max(found)}"))
 
 
 def load(
@@ -68,25 +100,68 @@ def load(
 
     A key that is repeated or has a null is refused. ``unique`` names a frame with the same key
     columns whose keys are known to be unique, which saves that check. Only the directories the
-    batch touches are read and replaced. Spark writes the new files to a staging folder and swaps
-    directories when all tasks are done, so a lost executor or a failed job leaves the table as it
-    was. Directories are swapped one after the other: a reader may see a part of them new, and
-    repeating a load that broke off there mends it.
+    batch touches are read and written anew.
+
+    The merged rows go to fresh version folders beside the old ones. They count from the moment a
+    manifest that names them appears, by one rename; until then readers see the table as it was, and
+    a load that broke off leaves nothing but files that no manifest names. So repeating it gives what
+    one load would have. A load that finds that another one was published meanwhile is refused.
     """
+    manifest = _manifest(spark, root, spec)
+    spec = replace(spec, layout=(spec.layout[0], manifest["layout"]))
     name, expression = spec.layout
-    # One row per directory: years, or a fixed number of buckets.
+    # One row per directory: months, years, or a fixed number of buckets.
     keys = directories(batch, spec) if unique is None else directories(unique, spec, unique=True)
     found = keys.collect()
     refuse_bad_keys(spec.key, sum(r.repeated for r in found), sum(r.null_keys for r in found))
     if not found:
         return 0
-    touched = [r.directory for r in found]
-    target = read_table(spark, root, spec).where(F.col(name).isin(touched))
-    merged = upsert(target, batch, spec, now).withColumn(name, F.expr(expression).cast("int"))
+    current = manifest["directories"]
+    touched = {str(r.directory): current[str(r.directory)] for r in found if str(r.directory) in current}
+    target = (
+        _scan(spark, root, spec, touched).drop(name) if touched else spark.createDataFrame([], spec.schema)
+    )
+    version = uuid.uuid4().hex
+    merged = upsert(target, batch, spec, now).withColumns(
+        {name: F.expr(expression).cast("int"), VERSION: F.lit(version)}
+    )
     # Range partitioning keeps neighbouring keys in one file, which makes file statistics useful
     # to reads by key, and cuts a large directory at any key.
     order = (name, *(spec.sort or spec.key))
-    merged.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(name).parquet(table_path(root, spec))
+    path = table_path(root, spec)
+    merged.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(
+        name, VERSION
+    ).parquet(path)
+    publish(spark, path, manifest, {str(r.directory): version for r in found})
     return sum(r.row_count for r in found)
+
+
+def publish(spark: SparkSession, path: str, manifest: dict, written: dict[str, str]) -> None:
+    """Make ``written`` directories the current ones, after the manifest that was read before."""
+    number = manifest["number"] + 1
+    text = json.dumps({**manifest, "number": number, "directories": {**manifest["directories"], **written}})
+    if not files.put_new(spark, f"{path}/{MANIFESTS}/{number:012d}.json", text):
+        raise RuntimeError(f"another load of {path} was published meanwhile; repeat this one")
+
+
+def vacuum(spark: SparkSession, root: str, spec: TableSpec, keep: int = 2) -> int:
+    """Remove version folders that none of the newest ``keep`` manifests names, and older manifests.
+
+    Run it when no load is under way and no reader holds an older state. Returns what was removed.
+    """
+    path, found = table_path(root, spec), sorted(_manifest_files(spark, root, spec))
+    named, kept = set(), found[-max(keep, 1) :]
+    for file in kept:
+        manifest = json.loads(files.read(spark, f"{path}/{MANIFESTS}/{file}"))
+        named |= {(d, v) for d, v in manifest["directories"].items()}
+    removed = 0
+    for folder in files.names(spark, path):
+        if not folder.startswith(f"{spec.layout[0]}="):
+            continue
+        for version in files.names(spark, f"{path}/{folder}"):
+            if (folder.partition("=")[2], version.partition("=")[2]) not in named:
+                files.remove(spark, f"{path}/{folder}/{version}")
+                removed += 1
+    for file in set(found) - set(kept):
+        files.remove(spark, f"{path}/{MANIFESTS}/{file}")
+    return removed
