@@ -10,7 +10,7 @@ from tidemark.plans import landing
 from tidemark.plans.jobs import (
     Lake, Moment, run_backfill, run_figi, run_fundamentals, run_macro, run_prices, run_register,
 )
-from tidemark.sources import tables
+from tidemark.sources import files, tables
 from tidemark.streaming.incremental import load_new_files
 from tidemark.sources import bronze
 
@@ -67,7 +67,8 @@ def test_prices_over_two_days(spark, lake, envelopes, rows):
         ("prices_1d", "partial", 2, 1, 1), ("prices_1d", "success", 1, 1, 0), ("prices_1d", "success", 1, 1, 0)
     ]
     notes = [r.notes for r in lake.ledger(spark).state().where("status = 'partial'").collect()]
-    assert notes == ["no rows for: ['B']"]
+    assert notes == ["1 of 2 items failed; the rejects of this run name them"]
+    assert [(r.kind, r.key) for r in lake.rejects(spark).collect()] == [("no_rows", "B")]
 
 
 def test_batch_scope_leaves_the_first_return_null(spark, lake, envelopes, rows):
@@ -189,7 +190,7 @@ def test_backfill_judges_every_chunk_by_itself(spark, lake, envelopes, rows):
         [(s, i, D(2025, 1, 10), D(2026, 1, 31)) for i, s in enumerate(["a ", "B", "C", "a"])],
         "symbol string, position bigint, start date, end date",
     )
-    assert run_backfill(spark, lake, e, asked, moment(), batch_size=1) == 4
+    assert run_backfill(spark, lake, e, asked, moment(), batch_size=1).rows == 4
     assert rows(gold(spark, lake, upsert.PRICES, "symbol", "ts"), "symbol", "ts") == [
         ("A", D(2026, 1, 5)), ("A", D(2026, 1, 20)), ("B", D(2026, 1, 20)), ("C", D(2026, 1, 20))
     ]
@@ -204,6 +205,119 @@ def test_backfill_judges_every_chunk_by_itself(spark, lake, envelopes, rows):
         run_backfill(spark, lake, e, asked.where("false"), moment())
 
 
+def rejected(spark, lake):
+    return sorted((r.kind, r.key or "", r.detail or "") for r in lake.rejects(spark).collect())
+
+
+def test_a_truncated_envelope_is_listed_and_the_others_are_loaded(spark, lake, tmp_path, rows):
+    import json
+
+    whole = json.dumps(prices(["A"], ("A", 5, 1.0)))
+    cut = json.dumps(prices(["B"], ("B", 5, 1.0)))[:60]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "one.json").write_text(whole + "\n" + cut + "\n")
+    read = bronze.read_envelopes(spark, str(tmp_path / "e"), schemas.PRICES_PAYLOAD)
+    assert run_prices(spark, lake, read, moment()) == 1
+    assert runs(spark, lake) == [("prices_1d", "partial", 2, 1, 1)]
+    assert rejected(spark, lake) == [("unreadable", "", cut)]
+    (tmp_path / "e" / "one.json").write_text(cut + "\n")
+    read = bronze.read_envelopes(spark, str(tmp_path / "e"), schemas.PRICES_PAYLOAD)
+    with pytest.raises(ValueError, match="could be read"):
+        run_prices(spark, lake, read, moment())
+    assert ("prices_1d", "failed", 1, 0, 1) in runs(spark, lake)
+
+
+def test_values_that_do_not_cast_cost_their_symbol_alone(spark, lake, envelopes, rows):
+    quoted = prices(["A", "B", "C"], ("A", 5, "1.5"), ("B", 5, 2.0), ("B", 6, "n/a"), ("C", 5, 1.0), ("D", 5, 1.0))
+    quoted["payload"]["rows"][3]["ts"] = "2026-13-05"
+    e = envelopes(schemas.PRICES_PAYLOAD, quoted)
+    assert run_prices(spark, lake, e, moment()) == 2
+    assert rows(gold(spark, lake, upsert.PRICES, "symbol", "close"), "symbol") == [("A", 1.5), ("D", 1.0)]
+    assert [(k, key) for k, key, _ in rejected(spark, lake)] == [("bad_value", "B"), ("bad_value", "C")]
+    assert "close n/a" in rejected(spark, lake)[0][2] and "ts 2026-13-05" in rejected(spark, lake)[1][2]
+    assert runs(spark, lake) == [("prices_1d", "partial", 3, 1, 2)]
+
+
+def test_a_request_of_blanks_is_refused(spark, lake, envelopes):
+    e = envelopes(schemas.PRICES_PAYLOAD, prices([], ("A", 5, 1.0)))
+    with pytest.raises(ValueError):
+        run_prices(spark, lake, e, moment(), requested=spark.createDataFrame([("  ",)], "symbol string"))
+    assert gold(spark, lake, upsert.PRICES, "ts").count() == 0
+
+
+def test_all_failures_are_named(spark, lake, envelopes):
+    names = [f"S{i:03d}" for i in range(80)]
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(["A", *names], ("A", 5, 1.0), errors=names))
+    run_prices(spark, lake, e, moment())
+    assert sorted(r.key for r in lake.rejects(spark).collect()) == names
+
+
+def test_macro_rejects(spark, lake, envelopes, rows):
+    good = [{"date": "2026-01-01", "value": "1.5"}]
+    e = envelopes(
+        schemas.MACRO_PAYLOAD, keyed({"observations": good}, series="cpi"),
+        keyed({"observations": good}, series="no_such_series"),
+        keyed({"observations": [{"date": "2026-13-05", "value": "1"}, *good]}, series="gdp"),
+        keyed({"observations": good}),
+    )
+    assert run_macro(spark, lake, e, moment()) == 1
+    assert rows(gold(spark, lake, upsert.MACRO, "series")) == [("cpi",)]
+    assert [(k, key) for k, key, _ in rejected(spark, lake)] == [
+        ("bad_value", "gdp"), ("missing_key", ""), ("unknown_key", "no_such_series")
+    ]
+    assert runs(spark, lake) == [("macro", "partial", 4, 1, 3)]
+
+
+def test_facts_rejects(spark, lake, envelopes, rows):
+    def body(**other):
+        entry = {"end": "2025-12-31", "val": 1, "fy": 2025, "fp": "FY", "form": "10-K", "filed": "2026-01-01"}
+        return {"facts": {"t": {"c": {"units": {"USD": [{**entry, **other}]}}}}}
+
+    e = envelopes(
+        schemas.FACTS_PAYLOAD, keyed(body(fy=2023.0), symbol="A"), keyed(body(val="much"), symbol="B"),
+        keyed(body(end="2025-12-99"), symbol="C"), keyed(body(fy="soon"), symbol="D"),
+    )
+    assert run_fundamentals(spark, lake, e, moment()) == 1
+    assert rows(gold(spark, lake, upsert.FACTS, "ticker", "fy")) == [("A", 2023)]
+    assert [(k, key, d) for k, key, d in rejected(spark, lake)] == [
+        ("bad_value", "B", "val much"), ("bad_value", "C", "end 2025-12-99"), ("bad_value", "D", "fy soon")
+    ]
+
+
+def test_a_backfill_that_breaks_leaves_every_chunk_failed(spark, lake, envelopes, monkeypatch):
+    from tidemark.plans import jobs
+
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(["A", "B"], ("A", 5, 1.0), ("B", 5, 1.0)))
+    asked = spark.createDataFrame(
+        [(s, i, D(2026, 1, 1), D(2026, 1, 31)) for i, s in enumerate("AB")],
+        "symbol string, position bigint, start date, end date",
+    )
+
+    def lost(*_):
+        raise RuntimeError("the load breaks")
+
+    monkeypatch.setattr(jobs, "_load_prices", lost)
+    with pytest.raises(RuntimeError):
+        run_backfill(spark, lake, e, asked, moment(), batch_size=1)
+    state = lake.ledger(spark).state().collect()
+    assert [(r.status, r.items_failed, r.notes) for r in state] == [("failed", 1, "the load breaks")] * 2
+
+
+def test_a_backfill_goes_on_without_a_faulty_symbol(spark, lake, envelopes, rows):
+    faulty = prices(["A", "B"], ("A", 5, 1.0), ("B", 5, 1.0))
+    faulty["payload"]["rows"][1]["ts"] = "2026-99-05"
+    asked = spark.createDataFrame(
+        [(s, i, D(2026, 1, 1), D(2026, 1, 31)) for i, s in enumerate("AB")],
+        "symbol string, position bigint, start date, end date",
+    )
+    done = run_backfill(spark, lake, envelopes(schemas.PRICES_PAYLOAD, faulty), asked, moment(), batch_size=1)
+    assert rows(done.chunks.select("batch_no", "status", "items_failed", "rows"), "batch_no") == [
+        (0, "success", 0, 1), (1, "success", 1, 0)
+    ]
+    assert [key for _, key, _ in rejected(spark, lake)] == ["B"]
+    assert files.names(spark, f"{lake.root}/work") == []
+
+
 def test_stream_loads_every_file_once(spark, lake, rows):
     def land(day, close):
         bars = spark.createDataFrame(

@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 from tidemark.schemas import RUN_EVENTS
+from tidemark.sources.tables import appended
 
 START, FINISH = 0, 1
 
@@ -81,14 +81,10 @@ class RunLedger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._started: set[str] = set()
 
     def events(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(RUN_EVENTS).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], RUN_EVENTS)
+        return appended(self.spark, self.path, RUN_EVENTS)
 
     def state(self) -> DataFrame:
         return run_state(self.events())
@@ -102,6 +98,7 @@ class RunLedger:
             [(run_id, dataset, str(run_date))], "run_id string, dataset string, run_date string"
         )
         self.append(start_events(runs, at if at is not None else F.current_timestamp()))
+        self._started.add(run_id)
         return run_id
 
     def finish(
@@ -115,9 +112,12 @@ class RunLedger:
         notes: str | None = None,
         at: Column | None = None,
     ) -> None:
-        known = self.events().where((F.col("run_id") == run_id) & (F.col("seq") == START))
-        if known.isEmpty():
-            raise ValueError(f"run {run_id!r} was never started")
+        # Only a run that another ledger object started is sought in the events.
+        if run_id not in self._started:
+            known = self.events().where((F.col("run_id") == run_id) & (F.col("seq") == START))
+            if known.isEmpty():
+                raise ValueError(f"run {run_id!r} was never started")
+        self._started.discard(run_id)
         outcome = self.spark.createDataFrame(
             [(run_id, status, items_total, items_success, items_failed, notes)],
             """run_id string, status string, items_total int, items_success int,

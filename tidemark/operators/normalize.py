@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.columns import display_name, parse_number
-from tidemark.sources.bronze import envelope_run_id
+from tidemark.functions.columns import display_name, lenient_date, parse_number
+from tidemark.operators.selection import listed_codes
+from tidemark.sources.bronze import CORRUPT, envelope_run_id
 
 LINEAGE = ("bronze_run_id", "dt", "ord")
 
@@ -60,22 +61,93 @@ def _ordinal(*positions: str) -> Column:
     return F.struct("_env", *positions).alias("ord")
 
 
+PRICE_FIELDS = ("open", "high", "low", "close", "volume")
+
+
 def normalize_prices(envelopes: DataFrame) -> DataFrame:
     """Daily price rows. The day is the first ten characters of ``ts``: an offset in the text must
-    not move it. Rows without ts or symbol are left out."""
+    not move it. Rows without ts or symbol are left out; a price that is no number raises."""
     rows = _head(envelopes, F.col("payload.start")).select(
         "bronze_run_id", "dt", "_env", F.posexplode("payload.rows").alias("pos", "r")
     )
     return rows.where("r.ts is not null and r.symbol is not null").select(
         "r.symbol",
         F.substring("r.ts", 1, 10).alias("ts"),
-        *(f"r.{c}" for c in ("open", "high", "low", "close", "volume")),
+        *(F.col(f"r.{c}").cast("double").alias(c) for c in PRICE_FIELDS),
         "bronze_run_id",
         "dt",
         _ordinal("pos"),
     )
 
 
+def price_items(envelopes: DataFrame) -> DataFrame:
+    """All that price envelopes hold, in one pass: an item per row, symbol asked for, and failure.
+
+    ``kind`` is ``row`` for a row that can be typed; ``bad_value`` for one with a price that is no
+    number or a malformed day, with the texts in ``detail``; ``asked`` for a symbol the envelope was
+    fetched for; ``no_rows`` for one the vendor returned nothing for; ``unreadable`` for an envelope
+    that is no JSON or has no meta, with its text where the reader kept it. Rows without symbol or
+    time are left out.
+    """
+    kinds = "kind string, symbol string, ts string, " + ", ".join(f"{c} double" for c in PRICE_FIELDS)
+    item = f"array<struct<{kinds.replace(' string', ': string').replace(' double', ': double')}, detail: string, pos: int>>"
+    blank = {c: F.lit(None).cast("double") for c in PRICE_FIELDS}
+
+    def made(kind: Column | str, symbol: Column, ts: Column, numbers: dict, detail: Column, pos: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.struct(
+            kind.alias("kind"),
+            symbol.alias("symbol"),
+            ts.alias("ts"),
+            *(numbers[c].alias(c) for c in PRICE_FIELDS),
+            detail.alias("detail"),
+            pos.cast("int").alias("pos"),
+        )
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    def of_row(r: Column, pos: Column) -> Column:
+        day = F.substring(r["ts"], 1, 10)
+        numbers = {c: parse_number(r[c]) for c in PRICE_FIELDS}
+        wrong = F.concat_ws(
+            "; ",
+            F.when(lenient_date(day).isNull(), F.concat(F.lit("ts "), r["ts"])),
+            *(
+                F.when(r[c].isNotNull() & numbers[c].isNull(), F.concat(F.lit(f"{c} "), r[c]))
+                for c in PRICE_FIELDS
+            ),
+        )
+        kind = F.when(wrong == "", F.lit("row")).otherwise(F.lit("bad_value"))
+        return made(kind, r["symbol"], day, numbers, F.nullif(wrong, F.lit("")), pos)
+
+    complete = F.filter(
+        F.transform(F.col("payload.rows"), lambda r, i: F.struct(r.alias("r"), i.alias("i"))),
+        lambda x: x["r"]["ts"].isNotNull() & x["r"]["symbol"].isNotNull(),
+    )
+    rows = F.transform(complete, lambda x: of_row(x["r"], x["i"]))
+    errors = F.transform(
+        F.col("payload.errors"), lambda e: made("no_rows", e["symbol"], none, blank, e["error"], zero)
+    )
+    listed = F.col("meta.params")["symbols"]
+    asked = F.when(listed.isNotNull(), listed_codes(listed)).otherwise(
+        F.coalesce(F.col("payload.rows.symbol"), F.array().cast("array<string>"))
+    )
+    asked = F.transform(asked, lambda s: made("asked", s, none, blank, none, zero))
+    text = F.col(CORRUPT) if CORRUPT in envelopes.columns else none
+    unreadable = F.when(
+        F.col("meta").isNull(),
+        F.array(made("unreadable", none, none, blank, F.coalesce(text, F.col("file_path")), zero)),
+    )
+    empty = F.array().cast(item)
+    items = F.concat(*(F.coalesce(x.cast(item), empty) for x in (rows, errors, asked, unreadable)))
+    return (
+        _head(envelopes, F.col("payload.start"))
+        .select("bronze_run_id", "dt", "_env", F.inline(items))
+        .withColumn("ord", F.struct("_env", "pos"))
+        .drop("_env", "pos")
+    )
+
+
 def failed_symbols(envelopes: DataFrame) -> DataFrame:
     """Symbols the vendor returned nothing for, with the run they belong to."""
     path = F.col("file_path") if "file_path" in envelopes.columns else F.lit("")
@@ -106,10 +178,44 @@ def normalize_macro(envelopes: DataFrame) -> DataFrame:
     )
 
 
+def wrong_macro(rows: DataFrame) -> Column:
+    """What is wrong with a normalised observation, or null."""
+    return F.when(lenient_date("ts").isNull(), F.concat(F.lit("date "), "ts"))
+
+
+def wrong_fact(rows: DataFrame) -> Column:
+    """What is wrong with a normalised fact whose numbers are texts still, or null."""
+    year = parse_number("fy")
+    return F.nullif(
+        F.concat_ws(
+            "; ",
+            F.when(lenient_date("period_end").isNull(), F.concat(F.lit("end "), "period_end")),
+            F.when(parse_number("val").isNull(), F.concat(F.lit("val "), "val")),
+            F.when(
+                F.col("fy").isNotNull() & (year.isNull() | (year != F.floor(year))),
+                F.concat(F.lit("fy "), "fy"),
+            ),
+        ),
+        F.lit(""),
+    )
+
+
+def typed_facts(rows: DataFrame) -> DataFrame:
+    """Facts with their numbers cast; a text that is no number raises."""
+    return rows.withColumns(
+        {"fy": F.col("fy").cast("double").cast("bigint"), "val": F.col("val").cast("double")}
+    )
+
+
 def normalize_facts(envelopes: DataFrame) -> DataFrame:
+    """Reported facts; a value or year that is no number raises."""
+    return typed_facts(untyped_facts(envelopes))
+
+
+def untyped_facts(envelopes: DataFrame) -> DataFrame:
     """Reported facts: taxonomy, concept and unit maps unfolded down to single observations.
 
-    Observations without a period end or a value are left out; a value that is no number raises.
+    Observations without a period end or a value are left out. Numbers are texts.
     """
     unfolded = (
         _head(envelopes, F.lit(None))
@@ -133,7 +239,7 @@ def normalize_facts(envelopes: DataFrame) -> DataFrame:
         "o.fy",
         "o.fp",
         "o.form",
-        F.col("o.val").cast("double").alias("val"),
+        "o.val",
         "o.accn",
         "o.filed",
         "bronze_run_id",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark import schemas
-from tidemark.functions.columns import run_status
+from tidemark.functions.columns import cut_text, run_status
 from tidemark.operators import clean, normalize, upsert, watermark
 from tidemark.operators.backfill import date_windows, symbol_batches, window_of
 from tidemark.operators.dedup import keep_first
@@ -28,10 +28,12 @@ from tidemark.operators.registry import (
     unregistered,
 )
 from tidemark.operators.returns import add_return, add_return_with_history
-from tidemark.operators.selection import clean_symbols, listed_codes, require_any
+from tidemark.operators.selection import clean_symbols, require_any
 from tidemark.operators.serve import INSTRUMENT_COLUMNS
 from tidemark.plans import vendors
-from tidemark.sources.tables import load, read_silver, read_table, write_silver
+from tidemark.sources import files
+from tidemark.sources.bronze import CORRUPT, envelope_run_id
+from tidemark.sources.tables import appended, load, read_silver, read_table, write_silver
 
 CHUNKED_PRICES = T.StructType(
     [
@@ -41,6 +43,11 @@ CHUNKED_PRICES = T.StructType(
     ]
 )
 
+CHUNKS = schemas.ddl(
+    """plan_id string, run_id string, batch_no bigint, window_start date, status string,
+       items_total int, items_success int, items_failed int, rows bigint, notes string"""
+)
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -63,6 +70,22 @@ class Lake:
     def ledger(self, spark: SparkSession) -> RunLedger:
         return RunLedger(spark, f"{self.gold}/ingestion_runs")
 
+    @property
+    def rejects_path(self) -> str:
+        return f"{self.gold}/ingestion_rejects"
+
+    @property
+    def chunks_path(self) -> str:
+        return f"{self.gold}/backfill_chunks"
+
+    def rejects(self, spark: SparkSession) -> DataFrame:
+        """What runs could not load, by name: run_id, dataset, kind, key, detail, bronze_run_id."""
+        return appended(spark, self.rejects_path, schemas.REJECTS)
+
+    def work(self, name: str) -> str:
+        """A fresh folder for what one run writes for itself; the run removes it."""
+        return f"{self.root}/work/{name}-{uuid.uuid4().hex}"
+
 
 @dataclass(frozen=True)
 class Moment:
@@ -90,33 +113,47 @@ def run_prices(
 
     ``scope`` says what the first row of a symbol in the batch is compared with: "history" takes
     the stored row before it, "batch" leaves its return null. ``requested`` names the symbols that
-    were asked for; those without rows count as failed. Without it, the envelopes are read a
-    second time for what they say about that.
+    were asked for; those without rows count as failed. Without it the envelopes say what was.
+
+    The envelopes are read once. One that cannot be read, a symbol with a price that is no number or
+    a malformed day, and a symbol without rows are listed in the rejects and count as failed; the
+    other symbols are loaded. If no envelope can be read, the run fails.
     """
     if scope not in ("history", "batch"):
         raise ValueError(f"unknown scope {scope!r}")
     ledger = lake.ledger(spark)
     run_id = ledger.start("prices_1d", moment.run_date, moment.now)
-    total = failed = 0
+    work, total = lake.work("prices"), 0
     try:
-        rows = normalize.normalize_prices(envelopes)
+        if requested is not None:
+            requested = require_any(clean_symbols(requested.select("symbol")))
+        items = _kept(normalize.price_items(envelopes), f"{work}/items")
         silver = _to_silver(
-            spark, lake, clean.clean_prices(rows), moment, "yahoo", "prices_1d",
+            spark, lake, clean.clean_prices(_good_rows(items)), moment, "yahoo", "prices_1d",
             schemas.SILVER_PRICES, clean.PRICES_KEY,
         )
-        items = _items(envelopes) if requested is None else _delivered(requested, silver)
-        total, failed, missing = _tally(spark, lake, items)
+        known = _kept(_symbols(items, requested, silver), f"{work}/symbols")
+        lost = items.where("kind = 'unreadable'").count()
+        counts = known.agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed")).first()
+        total, failed = counts.total + lost, counts.failed + lost
+        if failed:
+            _reject(lake, run_id, "prices_1d", _price_rejects(items, known))
+        if lost and not counts.total:
+            raise ValueError(f"none of {lost} envelopes could be read")
         if silver.isEmpty():
-            _finish(ledger, run_id, moment, "success", total, failed, "no rows after cleaning")
+            note = "no rows after cleaning" + (f"; {_listed(failed, total)}" if failed else "")
+            _finish(ledger, run_id, moment, "partial" if lost else "success", total, failed, note)
             return 0
         check_prices(silver, max_null_close_ratio=max_null_close_ratio)
         count = _load_prices(spark, lake, silver, moment, scope)
-        note = f"no rows for: {missing}" if failed else None
+        note = _listed(failed, total) if failed else None
         _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
         return count
     except Exception as e:
-        _finish(ledger, run_id, moment, "failed", total, total, str(e))
+        _finish(ledger, run_id, moment, "failed", total, total, cut_text(str(e)))
         raise
+    finally:
+        files.remove(spark, work)
 
 
 def _load_prices(
@@ -173,41 +210,101 @@ def run_vendor(
 ) -> int:
     """Load one vendor's envelopes as its description says. Returns the number of batch rows.
 
-    Envelopes without their key are rejected and counted, the others are loaded.
+    Envelopes that cannot be read or lack their key, keys the vendor does not know, keys with a value
+    that does not cast or a malformed day, and keys that are not registered are listed in the rejects
+    and count as failed; the others are loaded. If no envelope can be read, the run fails.
     """
     ledger = lake.ledger(spark)
     run_id = ledger.start(vendor.run_name, moment.run_date, moment.now)
-    total = 0
+    work, total = lake.work(vendor.run_name), 0
     try:
-        code = normalize.partition_key(vendor.partition)
-        counted = envelopes.agg(
-            F.countDistinct(code).alias("keyed"), F.count_if(code.isNull()).alias("rejects")
+        heads = _kept(_heads(envelopes, vendor), f"{work}/heads")
+        keyless = F.col("key").isNull()
+        counted = heads.agg(
+            F.count_if(~keyless).alias("keys"),
+            F.coalesce(F.sum(F.when(keyless, F.col("n"))), F.lit(0)).alias("keyless"),
+            F.count_if(~keyless & F.col("kind").isNotNull()).alias("unknown"),
+            F.coalesce(F.sum(F.when(F.col("kind") == "unreadable", F.col("n"))), F.lit(0)).alias("lost"),
         ).first()
-        failed = counted.rejects
-        total = counted.keyed + failed
+        total, failed = counted.keys + counted.keyless, counted.keyless + counted.unknown
+        if failed:
+            _reject(lake, run_id, vendor.run_name, heads.where("kind is not null"))
+        if counted.lost and counted.lost == total:
+            raise ValueError(f"none of {total} envelopes could be read")
         keyed, _ = normalize.split_keyed(envelopes, vendor.partition)
-        rows = vendor.clean(vendor.normalize(keyed))
+        if vendor.unknown:
+            keyed = keyed.where(vendor.unknown(normalize.partition_key(vendor.partition)).isNull())
+        rows = vendor.normalize(keyed)
+        if vendor.wrong:
+            judged = _kept(rows.withColumn("wrong", vendor.wrong(rows)), f"{work}/rows")
+            wrong = judged.where("wrong is not null")
+            keys = wrong.select(vendor.key).distinct()
+            rows = judged.join(keys, vendor.key, "left_anti").drop("wrong")
+            refused = keys.count()
+            if refused:
+                failed += refused
+                _reject(
+                    lake, run_id, vendor.run_name,
+                    wrong.select(F.lit("bad_value").alias("kind"), F.col(vendor.key).alias("key"),
+                                 F.col("wrong").alias("detail"), "bronze_run_id"),
+                )
         sort = vendor.table.sort or vendor.table.key
         silver = _to_silver(
-            spark, lake, rows, moment, vendor.source, vendor.silver_name, vendor.silver, sort
+            spark, lake, vendor.clean(rows), moment, vendor.source, vendor.silver_name, vendor.silver, sort
         )
+        note = _listed(failed, total) if failed else None
         if silver.isEmpty():
-            _finish(ledger, run_id, moment, "success", total, failed, "no rows returned")
+            note = "no rows returned" + (f"; {note}" if note else "")
+            _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
             return 0
         batch = silver.select(*vendor.silver.names)
         if vendor.needs_registration:
             known = read_table(spark, lake.gold, INSTRUMENTS)
-            failed += unregistered(batch.select("ticker").distinct(), known).count()
+            strangers = unregistered(batch.select("ticker").distinct(), known)
+            refused = strangers.count()
+            if refused:
+                failed += refused
+                none = F.lit(None).cast("string")
+                _reject(
+                    lake, run_id, vendor.run_name,
+                    strangers.select(F.lit("unregistered").alias("kind"), F.col("ticker").alias("key"),
+                                     none.alias("detail"), none.alias("bronze_run_id")),
+                )
+                note = _listed(failed, total)
             batch = registered(batch, known)
         count = load(spark, lake.gold, batch, vendor.table, moment.now, unique=batch)
         if vendor.mark:
             _advance(spark, lake, silver, vendor.key, vendor.time, vendor.mark, moment)
-        note = f"{failed} of {total} items rejected" if failed else None
         _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
         return count
     except Exception as e:
-        _finish(ledger, run_id, moment, "failed", total, total, str(e))
+        _finish(ledger, run_id, moment, "failed", total, total, cut_text(str(e)))
         raise
+    finally:
+        files.remove(spark, work)
+
+
+def _heads(envelopes: DataFrame, vendor: vendors.Vendor) -> DataFrame:
+    """One row per key, or per way in which envelopes have none: kind (null where all is well), key,
+    detail, bronze_run_id, and the number of envelopes."""
+    key = normalize.partition_key(vendor.partition)
+    path = F.col("file_path") if "file_path" in envelopes.columns else F.lit("")
+    text = F.col(CORRUPT) if CORRUPT in envelopes.columns else F.lit(None).cast("string")
+    lost = F.col("meta").isNull()
+    unknown = vendor.unknown(key) if vendor.unknown else F.lit(None).cast("string")
+    return (
+        envelopes.select(
+            F.when(lost, F.lit("unreadable"))
+            .when(key.isNull(), F.lit("missing_key"))
+            .when(unknown.isNotNull(), F.lit("unknown_key"))
+            .alias("kind"),
+            key.alias("key"),
+            F.when(lost, F.coalesce(text, path)).when(key.isNull(), path).otherwise(unknown).alias("detail"),
+            envelope_run_id(path, F.col("meta")).alias("bronze_run_id"),
+        )
+        .groupBy("kind", "key", "detail")
+        .agg(F.max("bronze_run_id").alias("bronze_run_id"), F.count(F.lit(1)).alias("n"))
+    )
 
 
 @dataclass(frozen=True)
@@ -238,10 +335,8 @@ def run_register(
     run_id = ledger.start("register_ticker", moment.run_date, moment.now)
     total = 0
     try:
-        # Judged once; the written table serves the counts, the registry and the backfill.
-        path = f"{lake.root}/work/info-{uuid.uuid4().hex}"
-        normalize.judge_info(info).write.parquet(path)
-        judged = spark.read.parquet(path)
+        # Judged once; the written table serves the counts, the registry, the backfill and the caller.
+        judged = _kept(normalize.judge_info(info), lake.work("info"))
         rejects = judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")
         first = keep_first(judged.where("reason is null").drop("reason"), ["ticker"], ["ord"])
         # Ids may follow any order that repeats; hashes spread the numbering over all tasks.
@@ -262,17 +357,31 @@ def run_register(
                 F.lit(backfill_start).cast("date").alias("start"),
                 F.lit(backfill_end or moment.run_date).cast("date").alias("end"),
             )
-            rows = run_backfill(spark, lake, prices, requests, moment, block=HASH_BLOCK)
+            rows = run_backfill(spark, lake, prices, requests, moment, block=HASH_BLOCK).rows
         status = "success" if not refused else "partial" if accepted else "failed"
-        note = f"{refused} of {total} tickers rejected" if refused else None
+        note = _listed(refused, total) if refused else None
+        if refused:
+            _reject(
+                lake, run_id, "register_ticker",
+                rejects.select(F.lit("bad_info").alias("kind"), F.col("ticker").alias("key"),
+                               F.col("reason").alias("detail"), "bronze_run_id"),
+            )
         _finish(ledger, run_id, moment, status, total, refused, note)
         stored = registered(read_table(spark, lake.gold, INSTRUMENTS), candidates)
         return Registration(stored.select(*INSTRUMENT_COLUMNS), rejects, rows)
     except Exception as e:
-        _finish(ledger, run_id, moment, "failed", total, total, str(e))
+        _finish(ledger, run_id, moment, "failed", total, total, cut_text(str(e)))
         raise
 
 
+@dataclass(frozen=True)
+class Backfill:
+    """Rows loaded, and one row per chunk: its batch, window, status, counts, rows and note."""
+
+    rows: int
+    chunks: DataFrame
+
+
 def run_backfill(
     spark: SparkSession,
     lake: Lake,
@@ -285,71 +394,105 @@ def run_backfill(
     scope: str = "history",
     max_null_close_ratio: float = MAX_NULL_CLOSE_RATIO,
     block: int = DENSE_BLOCK,
-) -> int:
-    """Load the history asked for by (symbol, position, start, end). Returns the rows loaded.
+) -> Backfill:
+    """Load the history asked for by (symbol, position, start, end).
 
-    Symbols go in batches and days in windows; every (batch, window) chunk passes or fails the
-    gate by itself and has its own ledger row, but all chunks are judged and loaded in one job.
+    Symbols go in batches and days in windows. Every (batch, window) chunk is started in the ledger
+    before anything is read, passes or fails the gate by itself, and is finished whatever happens;
+    all chunks are judged and loaded in one job. A symbol with a value that does not cast or a
+    malformed day is rejected and missing from its chunks, the others go on.
     """
     ledger = lake.ledger(spark)
-    chunk = ["batch_no", "window_start"]
+    chunk, plan_id, work = ["batch_no", "window_start"], uuid.uuid4().hex, lake.work("backfill")
     asked = keep_first(clean_symbols(requests), ["symbol"], ["position"])
     require_any(asked)
-    batched = symbol_batches(asked, batch_size, block=block).withColumn(
-        "windows", date_windows(F.col("start"), F.col("end"), years)
-    )
-    rows = clean.clean_prices(normalize.normalize_prices(envelopes))
-    chunked = (
-        rows.join(batched.select("symbol", "batch_no", "windows"), "symbol")
-        .withColumn("window_start", window_of(F.col("windows"), F.col("ts"))["window_start"])
-        .where("window_start is not null")
-        .drop("windows")
+    windows = date_windows(F.col("start"), F.col("end"), years)
+    batched = _kept(
+        symbol_batches(asked, batch_size, block=block).select("symbol", "batch_no", windows.alias("windows")),
+        f"{work}/batches",
     )
-    # Silver keeps the chunk of each row, so requests and rows are joined once.
-    silver = _to_silver(
-        spark, lake, chunked, moment, "yahoo", "prices_1d", CHUNKED_PRICES, clean.PRICES_KEY
+    planned = _kept(_planned(batched, plan_id, moment), f"{work}/planned")
+    ledger.append(start_events(planned, moment.now))
+    try:
+        items = _kept(normalize.price_items(envelopes), f"{work}/items")
+        faulty = items.where("kind in ('bad_value', 'unreadable')")
+        if not faulty.isEmpty():
+            _reject(
+                lake, plan_id, "prices_1d",
+                faulty.select("kind", F.col("symbol").alias("key"), "detail", "bronze_run_id"),
+            )
+        rows = clean.clean_prices(_good_rows(items))
+        chunked = (
+            rows.join(batched, "symbol")
+            .withColumn("window_start", window_of(F.col("windows"), F.col("ts"))["window_start"])
+            .where("window_start is not null")
+            .drop("windows")
+        )
+        # Silver keeps the chunk of each row, so requests and rows are joined once.
+        silver = _to_silver(
+            spark, lake, chunked, moment, "yahoo", "prices_1d", CHUNKED_PRICES, clean.PRICES_KEY
+        )
+        outcomes = _kept(_chunk_outcomes(planned, silver, max_null_close_ratio), f"{work}/outcomes")
+        failed = outcomes.where("status = 'failed'").select(*chunk)
+        good = silver if failed.isEmpty() else silver.join(failed, chunk, "left_anti")
+        loaded = 0 if good.isEmpty() else _load_prices(spark, lake, good, moment, scope)
+        _finish_chunks(lake, ledger, outcomes, plan_id, moment)
+    except Exception as e:
+        broken = planned.select(
+            "*",
+            F.lit("failed").alias("status"),
+            F.lit(0).alias("items_success"),
+            F.col("items_total").alias("items_failed"),
+            F.lit(0).cast("bigint").alias("rows"),
+            F.lit(cut_text(str(e))).alias("notes"),
+        )
+        _finish_chunks(lake, ledger, broken, plan_id, moment)
+        raise
+    finally:
+        files.remove(spark, work)
+    chunks = appended(spark, lake.chunks_path, CHUNKS).where(F.col("plan_id") == plan_id)
+    return Backfill(loaded, chunks.drop("plan_id"))
+
+
+def _finish_chunks(lake: Lake, ledger: RunLedger, outcomes: DataFrame, plan_id: str, moment: Moment) -> None:
+    detailed = outcomes.withColumn("plan_id", F.lit(plan_id))
+    detailed.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS)).write.mode("append").parquet(
+        lake.chunks_path
     )
-    outcomes = _chunk_outcomes(batched, silver, max_null_close_ratio, moment)
-    # Judged once, then read for the load and for the ledger.
-    judged = f"{lake.root}/work/backfill-{uuid.uuid4().hex}"
-    outcomes.write.parquet(judged)
-    outcomes = spark.read.parquet(judged)
-
-    ledger.append(start_events(outcomes, moment.now))
-    failed = outcomes.where("status = 'failed'").select(*chunk)
-    good = silver if failed.isEmpty() else silver.join(failed, chunk, "left_anti")
-    loaded = 0 if good.isEmpty() else _load_prices(spark, lake, good, moment, scope)
     ledger.append(finish_events(outcomes, moment.now))
-    return loaded
 
 
-def _chunk_outcomes(
-    batched: DataFrame, chunked: DataFrame, ratio: float, moment: Moment
-) -> DataFrame:
-    """One ledger row per chunk of the plan: its symbols, those without rows, and its status."""
+def _planned(batched: DataFrame, plan_id: str, moment: Moment) -> DataFrame:
+    """One row per chunk of the plan, as it is started."""
     chunk = ["batch_no", "window_start"]
     plan = batched.select("batch_no", F.explode("windows.window_start").alias("window_start"))
-    planned = plan.groupBy(*chunk).agg(F.count(F.lit(1)).alias("items_total"))
+    return plan.groupBy(*chunk).agg(F.count(F.lit(1)).cast("int").alias("items_total")).select(
+        *chunk,
+        F.md5(F.concat_ws("|", F.lit(plan_id), *chunk)).alias("run_id"),
+        F.lit("prices_1d").alias("dataset"),
+        F.lit(moment.run_date).alias("run_date"),
+        "items_total",
+    )
+
+
+def _chunk_outcomes(planned: DataFrame, chunked: DataFrame, ratio: float) -> DataFrame:
+    """One row per chunk of the plan: its symbols, those without rows, its status and its rows."""
+    chunk = ["batch_no", "window_start"]
     metrics = quality_metrics(chunked, by=chunk).withColumn("broken", verdict(ratio))
     seen = chunked.groupBy(*chunk, "symbol").agg(F.lit(1).alias("one"))
     delivered = seen.groupBy(*chunk).agg(F.count("one").alias("delivered"))
     joined = planned.join(metrics, chunk, "left").join(delivered, chunk, "left")
-    empty = F.col("row_count").isNull()
+    empty, broken = F.col("row_count").isNull(), F.col("broken").isNotNull()
     absent = F.col("items_total") - F.coalesce("delivered", F.lit(0))
-    status = (
-        F.when(F.col("broken").isNotNull(), F.lit("failed"))
-        .otherwise(run_status(F.coalesce("row_count", F.lit(0)), absent))
-    )
-    failed = F.when(F.col("broken").isNotNull(), F.col("items_total")).otherwise(absent)
+    found = F.coalesce("row_count", F.lit(0))
+    status = F.when(broken, F.lit("failed")).otherwise(run_status(found, absent))
+    failed = F.when(broken, F.col("items_total")).otherwise(absent)
     return joined.select(
-        *chunk,
-        F.md5(F.concat_ws("|", F.lit(uuid.uuid4().hex), *chunk)).alias("run_id"),
-        F.lit("prices_1d").alias("dataset"),
-        F.lit(moment.run_date).alias("run_date"),
+        *planned.columns,
         status.alias("status"),
-        F.col("items_total").cast("int").alias("items_total"),
         (F.col("items_total") - failed).cast("int").alias("items_success"),
         failed.cast("int").alias("items_failed"),
+        F.when(broken, F.lit(0)).otherwise(found).cast("bigint").alias("rows"),
         F.coalesce(
             F.concat(F.lit("gate: "), F.col("broken")),
             F.when(empty, F.lit("no rows after cleaning")),
@@ -358,47 +501,66 @@ def _chunk_outcomes(
     )
 
 
-def _items(envelopes: DataFrame) -> DataFrame:
-    """(symbol, failed) as the envelopes tell it: what was asked for, and what had no rows."""
-    none = F.array().cast("array<string>")
-    errors = F.coalesce("payload.errors.symbol", none)
-    asked = F.col("meta.params")["symbols"]
-    listed = F.when(asked.isNotNull(), listed_codes(asked)).otherwise(
-        F.concat(F.coalesce("payload.rows.symbol", none), errors)
-    )
+def _good_rows(items: DataFrame) -> DataFrame:
+    """The price rows of symbols without a faulty one."""
+    faulty = items.where("kind = 'bad_value'").select("symbol").distinct()
+    rows = items.where("kind = 'row'").drop("kind", "detail")
+    return rows.join(faulty, "symbol", "left_anti")
+
 
-    def marked(symbols: Column, failed: bool) -> Column:
-        return F.transform(
-            symbols, lambda s: F.struct(s.alias("symbol"), F.lit(failed).alias("failed"))
+def _symbols(items: DataFrame, requested: DataFrame | None, silver: DataFrame) -> DataFrame:
+    """(symbol, failed, reason): every symbol that was asked for or named, and what it lacks."""
+    none = F.lit(None).cast("string")
+    named = items.where("symbol is not null and kind <> 'row'")
+    said = named.where("kind = 'bad_value'") if requested is not None else named
+    found = said.select(
+        "symbol",
+        (F.col("kind") != "asked").alias("failed"),
+        F.when(F.col("kind") != "asked", F.col("kind")).alias("reason"),
+        F.col("bronze_run_id").alias("run"),
+    )
+    if requested is not None:
+        wanted = requested.select("symbol")
+        found = found.unionByName(
+            wanted.select("symbol", F.lit(False).alias("failed"), none.alias("reason"), none.alias("run"))
+        ).unionByName(
+            missing_symbols(wanted, silver).select(
+                "symbol", F.lit(True).alias("failed"), F.lit("no_rows").alias("reason"), none.alias("run")
+            )
         )
+    return found.groupBy("symbol").agg(
+        F.max("failed").alias("failed"), F.min("reason").alias("reason"), F.max("run").alias("bronze_run_id")
+    )
 
-    both = F.concat(marked(listed, False), marked(errors, True))
-    return envelopes.select(F.explode(both).alias("i")).select("i.*")
+
+def _price_rejects(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Every faulty row and unreadable envelope, and the symbols that had no rows."""
+    faulty = items.where("kind in ('bad_value', 'unreadable')").select(
+        "kind", F.col("symbol").alias("key"), "detail", "bronze_run_id"
+    )
+    silent = known.where("failed and reason = 'no_rows'").select(
+        F.col("reason").alias("kind"), F.col("symbol").alias("key"),
+        F.lit(None).cast("string").alias("detail"), "bronze_run_id",
+    )
+    return faulty.unionByName(silent)
 
 
-def _delivered(requested: DataFrame, silver: DataFrame) -> DataFrame:
-    """(symbol, failed) from a request: failed are the symbols Silver has no row of."""
-    asked = clean_symbols(requested.select("symbol"))
-    failed = missing_symbols(asked, silver).select("symbol", F.lit(True).alias("failed"))
-    return asked.withColumn("failed", F.lit(False)).unionByName(failed)
+def _reject(lake: Lake, run_id: str, dataset: str, rejects: DataFrame) -> None:
+    """Append to the table of rejects, from the executors."""
+    rows = rejects.select(
+        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), "kind", "key", "detail", "bronze_run_id"
+    )
+    rows.write.mode("append").parquet(lake.rejects_path)
 
 
-def _tally(spark: SparkSession, lake: Lake, items: DataFrame) -> tuple[int, int, list[str]]:
-    """How many symbols were asked for, how many failed, and the names of some that did.
+def _listed(failed: int, total: int) -> str:
+    return f"{failed} of {total} items failed; the rejects of this run name them"
 
-    Symbols are folded into a small written table first, so the envelopes are read once for all
-    three.
-    """
-    path = f"{lake.root}/work/items-{uuid.uuid4().hex}"
-    items.where("symbol is not null").groupBy("symbol").agg(
-        F.max("failed").alias("failed")
-    ).write.parquet(path)
-    folded = spark.read.schema("symbol string, failed boolean").parquet(path)
-    count = folded.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed")
-    ).first()
-    some = folded.where("failed").orderBy("symbol").limit(50) if count.failed else None
-    return count.total, count.failed, [r.symbol for r in some.collect()] if some else []
+
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written once, so that what follows does not read the envelopes again."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _to_silver(spark, lake, rows, moment, vendor, dataset, schema, sort) -> DataFrame:

@@ -68,6 +68,24 @@ def prices(bars: DataFrame, fetched_at: str) -> DataFrame:
     )
 
 
+def faulty_prices(bars: DataFrame, fetched_at: str, *, negative: bool = False) -> DataFrame:
+    """Price envelopes of which some are faulty, by the last digit of the symbol's number: 3 quotes
+    its closes, 4 has texts for them, 5 has a thirteenth month, 6 is cut off halfway, and 7 has
+    negative closes if asked."""
+    digit = F.pmod(F.regexp_extract(F.col("params")["symbols"], r"^U(\d+)", 1).cast("bigint"), F.lit(10))
+    payload = F.col("payload")
+    number = r'"close":([0-9.eE+-]+)'
+    faulty = (
+        F.when(digit == 3, F.regexp_replace(payload, number, r'"close":"$1"'))
+        .when(digit == 4, F.regexp_replace(payload, number, '"close":"n/a"'))
+        .when(digit == 5, F.regexp_replace(payload, r'"ts":"(\d{4})-', r'"ts":"$1-13-'))
+        .when(digit == 6, F.left(payload, F.floor(F.length(payload) / 2).cast("int")))
+        .when((digit == 7) & F.lit(negative), F.regexp_replace(payload, number, r'"close":-$1'))
+        .otherwise(payload)
+    )
+    return prices(bars, fetched_at).withColumn("payload", faulty)
+
+
 def macro(observations: DataFrame) -> DataFrame:
     """One envelope per observation, with a missing marker, texts that are no number, and entries
     without a date."""
@@ -89,7 +107,7 @@ def macro(observations: DataFrame) -> DataFrame:
     return _landing(
         observations, "fred", "macros", 1, _fetch_time(F.col("position")),
         partitions=F.create_map(F.lit("series"), F.col("series")),
-        params=F.create_map(F.lit("start"), F.date_format(F.to_date("date"), "yyyy-01-01")),
+        params=F.create_map(F.lit("start"), F.concat(F.left("date", F.lit(4)), F.lit("-01-01"))),
         payload=F.struct(entries.alias("observations")),
     )
 

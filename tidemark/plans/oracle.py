@@ -476,12 +476,37 @@ ORACLE: dict[str, str] = {
                cast(count(distinct user_id) as int) as items_failed,
                '2024-02-01 16:05:00' as started_at, '2024-02-01 16:05:00' as finished_at
         from events""",
+    "job_prices_faulty": f"""
+        with {RETURNS}
+        select symbol, ts, open, high, low, close, volume, cast(null as double) as dividends,
+               cast(null as double) as stock_split, close_returns, 'yahoo' as source,
+               cast(null as varchar) as run_id, '2024-02-01 16:05:00' as ingested_at
+        from r where substr(symbol, 2)::bigint % 10 not in (4, 5, 6)""",
+    "job_prices_rejects": f"""
+        with {BARS},
+        f as (select symbol, substr(symbol, 2)::bigint % 10 as digit, count(*) as days
+              from bars group by symbol, date_trunc('month', ts))
+        select 'bad_value' as kind, symbol as key, sum(days + 1)::bigint as n
+        from f where digit in (4, 5) group by symbol
+        union all
+        select 'unreadable', null, count(*) from f where digit = 6 having count(*) > 0
+        union all
+        select distinct 'no_rows', symbol || 'X', 1 from f where digit <> 6""",
     "job_macro": f"""
         with {MACRO}
-        select series, ts, value, 'fred' as source, cast(null as varchar) as run_id,
+        select case series when '1-urgent' then 'cpi' when '2-high' then 'usd/cad'
+                           else 'interest_rate_10y' end as series,
+               ts, value, 'fred' as source, cast(null as varchar) as run_id,
                '2024-02-01 16:05:00' as ingested_at
-        from m where value is not null
+        from m where value is not null and series in ('1-urgent', '2-high', '3-medium')
         qualify row_number() over (partition by series, ts order by position desc) = 1""",
+    "job_macro_rejects": f"""
+        with {MACRO}
+        select distinct 'unknown_key' as kind, series as key, 1 as n from m
+        where series not in ('1-urgent', '2-high', '3-medium', '5-low')
+        union all
+        select 'bad_value', 'usd/jpy', count(*) from m where series = '5-low' and value is not null
+        having count(*) > 0""",
     "job_fundamentals": f"""
         with {FACTS}, {latest_facts("filed", "f", f"l_orderkey desc, l_linenumber desc, filed desc, {LINE_ORDER}")}
         select ticker, concept, unit, period_end, fp, form, fy, period_start, val, accn, filed,
@@ -507,17 +532,21 @@ ORACLE: dict[str, str] = {
         with {BARS},
         windows(ws, we) as (values (date '2023-01-10', date '2024-01-10'),
                                    (date '2024-01-11', date '2024-01-31')),
-        s as (select 'U' || c_custkey as symbol,
+        s as (select 'U' || c_custkey as symbol, c_custkey % 10 as digit,
                      (row_number() over (order by c_custkey) - 1) // 5 as batch_no from customer),
         n as (select batch_no, count(*) as total from s group by batch_no),
-        d as (select batch_no, ws, count(distinct symbol) as seen
+        d as (select batch_no, ws, count(distinct symbol) as seen, count(*) as rows,
+                     bool_or(digit = 7) as stopped
               from bars join s using (symbol) join windows on ts between ws and we
-              group by batch_no, ws),
-        c as (select total, coalesce(seen, 0) as ok
+              where digit not in (4, 5, 6) group by batch_no, ws),
+        c as (select batch_no, ws, total, coalesce(stopped, false) as stopped,
+                     case when stopped then 0 else coalesce(seen, 0) end as ok,
+                     case when stopped then 0 else coalesce(rows, 0) end as rows
               from n cross join windows left join d using (batch_no, ws))
-        select case when ok = 0 or ok = total then 'success' else 'partial' end as status,
-               cast(total as int) as items_total, cast(ok as int) as items_success,
-               cast(total - ok as int) as items_failed, count(*) as chunks
-        from c group by all""",
+        select batch_no, ws as window_start, cast(total as int) as items_total,
+               case when stopped then 'failed' when ok = 0 or ok = total then 'success'
+                    else 'partial' end as status,
+               cast(ok as int) as items_success, cast(total - ok as int) as items_failed, rows
+        from c""",
     "stream_prices": f"with {RETURNS} {gold_prices('r')}",
 }

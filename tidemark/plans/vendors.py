@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.operators import clean, normalize, upsert, watermark
@@ -31,6 +31,8 @@ class Vendor:
     time: str | None = None  # the column high-water marks follow
     mark: tuple[str, str] | None = None
     needs_registration: bool = False
+    wrong: Callable[[DataFrame], Column] | None = None  # what is wrong with a normalised row, or null
+    unknown: Callable[[Column], Column] | None = None  # what is wrong with a key, or null
 
 
 MACRO = Vendor(
@@ -42,6 +44,8 @@ MACRO = Vendor(
     partition="series",
     normalize=normalize.normalize_macro,
     clean=clean.clean_macro,
+    wrong=normalize.wrong_macro,
+    unknown=lambda code: F.when(~F.lower(code).isin([*schemas.MACRO_SERIES]), F.lit("unknown series")),
     silver=schemas.SILVER_MACRO,
     table=upsert.MACRO,
     key="series",
@@ -55,9 +59,10 @@ FACTS = Vendor(
     run_name="fundamentals",
     payload=schemas.FACTS_PAYLOAD,
     partition="symbol",
-    normalize=normalize.normalize_facts,
+    normalize=normalize.untyped_facts,
     # Several fetches of a ticker may be in one batch: the later fetch wins.
-    clean=lambda rows: clean.clean_facts(rows, clean.ENVELOPE_FIRST),
+    clean=lambda rows: clean.clean_facts(normalize.typed_facts(rows), clean.ENVELOPE_FIRST),
+    wrong=normalize.wrong_fact,
     silver=schemas.SILVER_FACTS,
     table=upsert.FACTS,
     key="ticker",

@@ -28,15 +28,15 @@ META = """struct<source: string, dataset: string, fetched_at: string, run_id: st
     schema_version: int, partitions: map<string, string>, params: map<string, string>,
     record_count: int>"""
 
-# Doubtful numbers are read as string or double: a typed JSON read would turn a quoted number,
+# Numbers are read as text and cast by the normalisers: a typed JSON read would turn a quoted number,
 # or 1000.0 in an integer field, into null without a word.
 PRICES_PAYLOAD = """struct<start: string, end: string,
-    rows: array<struct<ts: string, open: double, high: double, low: double, close: double,
-                       volume: double, symbol: string>>,
+    rows: array<struct<ts: string, open: string, high: string, low: string, close: string,
+                       volume: string, symbol: string>>,
     errors: array<struct<symbol: string, error: string>>>"""
 MACRO_PAYLOAD = "struct<observations: array<struct<date: string, value: string>>>"
 FACTS_PAYLOAD = """struct<facts: map<string, map<string, struct<units: map<string,
-    array<struct<`end`: string, start: string, val: string, accn: string, fy: bigint,
+    array<struct<`end`: string, start: string, val: string, accn: string, fy: string,
                  fp: string, form: string, filed: string>>>>>>>"""
 FIGI_PAYLOAD = """struct<data: array<struct<figi: string, compositeFIGI: string,
     shareClassFIGI: string, securityType: string, marketSector: string, exchCode: string,
@@ -96,6 +96,9 @@ INSTRUMENTS = ddl(
     """id int, ticker string, name string, exchange string, currency string, timezone string,
        is_active boolean, is_scheduled boolean, created_at timestamp, updated_at timestamp"""
 )
+REJECTS = ddl(
+    """run_id string, dataset string, kind string, key string, detail string, bronze_run_id string"""
+)
 RUN_EVENTS = ddl(
     """run_id string, dataset string, run_date date, status string, items_total int,
        items_success int, items_failed int, notes string, seq int, at timestamp"""

@@ -16,6 +16,13 @@ def silver_path(root: str, vendor: str, dataset: str) -> str:
     return f"{root}/vendor={vendor}/dataset={dataset}"
 
 
+def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table that is only appended to; one never written is empty."""
+    if not files.names(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_silver(df: DataFrame, root: str, vendor: str, dataset: str, run_id: str, sort) -> str:
     """Write one run's rows below ``run_id=…/dt=…``, sorted inside each file.
 
