@@ -10,7 +10,12 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tidemark", cores: int | str = "*", **conf: str) -> SparkSession:
-    """A local session. On a cluster, use the session the cluster gives you instead."""
+    """A local session, with a checkpoint folder of its own unless one is given.
+
+    On a cluster, use the session the cluster gives you instead.
+    """
+    if "spark.checkpoint.dir" not in conf:
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="tidemark-")
     local_cores = os.cpu_count() if cores == "*" else int(cores)
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -30,13 +35,15 @@ def build_session(app: str = "tidemark", cores: int | str = "*", **conf: str) ->
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for tables a job writes, below the cluster's shared checkpoint folder.
+    """A fresh folder for tables a job writes, below the session's shared checkpoint folder.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary folder of its own.
+    That folder is the one the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local
+    session is given a checkpoint folder, once, and a cluster is refused.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
