@@ -120,8 +120,8 @@ def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     rows are one document with one next one, and each of them is returned. A null text is empty. Only
     doc_id and text are read.
 
-    A document's text is shuffled once, with its fingerprint, on (doc_id, hash); the half that goes to
-    the document before is shuffled once more. Numbering sees no text.
+    A document's text is shuffled once, on (doc_id, hash); the half that goes to the document before is
+    shuffled once more, with its fingerprint's hashes. Numbering sees no text.
     """
     base = docs.select("doc_id", whole_text().alias("text")).select(
         "doc_id", "text", F.xxhash64("text").alias("_key")
@@ -138,24 +138,27 @@ def edited_pairs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     links = row.join(following, "_row").select(
         F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), "_n", "_next_id", "_next_key"
     )
-    prints = fingerprinted(base, "text", "_print", gram, window)
-    follower = prints.join(
-        links, prints["doc_id"].eqNullSafe(links["_next_id"]) & (prints["_key"] == links["_next_key"])
-    ).select("_id", "_k", F.expr("left(text, _n div 2)").alias("_head"), hashes_of("_print").alias("_next"))
+    # Both joins shuffle the same columns on the same key, so Spark does it once for both.
+    follower = base.join(
+        links, base["doc_id"].eqNullSafe(links["_next_id"]) & (base["_key"] == links["_next_key"])
+    ).select("_id", "_k", "text", F.expr("left(text, _n div 2)").alias("_head"))
+    follower = fingerprinted(follower, "text", "_print", gram, window).select(
+        "_id", "_k", "_head", hashes_of("_print").alias("_next")
+    )
     # One row per document also where the next one is repeated.
     follower = follower.groupBy("_id", "_k").agg(
         F.first("_head").alias("_head"), F.first("_next").alias("_next")
     )
-    paired = prints.join(
-        follower, prints["doc_id"].eqNullSafe(follower["_id"]) & (prints["_key"] == follower["_k"])
+    paired = base.join(
+        follower, base["doc_id"].eqNullSafe(follower["_id"]) & (base["_key"] == follower["_k"])
     ).select(
         "doc_id",
         "text",
         F.length("text").cast("long").alias("n_chars"),
         F.expr("left(text, length(text) - length(text) div 2) || _head").alias("edited"),
-        F.col("_print").alias("print"),
         F.col("_next").alias("next_hashes"),
     )
+    paired = fingerprinted(paired, "text", "print", gram, window)
     return fingerprinted(paired, "edited", "edited_print", gram, window)
 
 
