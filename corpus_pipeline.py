@@ -9,7 +9,7 @@ from tidemark.llm.tokens import vocabulary
 from tidemark.session import work_folder
 
 #: A document whose language has less than this share of probability is rejected.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str, docs: DataFrame | None) -> DataFrame:

@@ -118,7 +118,7 @@ with words as (
   from words left join doubled using (doc_id) left join repeated using (doc_id)
 ), judged as (
   select *, (n_words < 10)::int * 1 + (100 * n_repeat_words > 20 * n_words)::int * 2
-    + (n_words > 0 and n_symbols / n_words > 0.5)::int * 4 + (n_lines > 0 and n_dup_lines / n_lines > 0.5)::int * 8
+    + (n_words > 0 and n_symbols / n_words > 0.1)::int * 4 + (n_lines > 0 and n_dup_lines / n_lines > 0.5)::int * 8
     + (n_words > 0 and word_chars / n_words > 40)::int * 16
     + (n_words > 0 and word_chars / n_words < 1.5)::int * 32 failures
   from measured

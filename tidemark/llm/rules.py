@@ -24,7 +24,7 @@ def _share(part: str, whole: str) -> Column:
 RULES = {
     "too_few_words": lambda: F.col("n_words") < 10,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words"),
-    "many_symbols": lambda: _share("n_symbols", "n_words") > 0.5,
+    "many_symbols": lambda: _share("n_symbols", "n_words") > 0.1,
     "repeated_lines": lambda: _share("n_dup_lines", "n_lines") > 0.5,
     "long_words": lambda: _share("word_chars", "n_words") > 40,
     "short_words": lambda: (F.col("n_words") > 0) & (_share("word_chars", "n_words") < 1.5),
