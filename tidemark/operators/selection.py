@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import clean_code, first_non_blank
 from tidemark.operators.registry import scheduled_universe
+from tidemark.schemas import MACRO_SERIES
 
 
 def clean_symbols(requests: DataFrame, column: str = "symbol", case: str = "upper") -> DataFrame:
@@ -25,6 +26,18 @@ def listed_codes(column: Column, case: str = "upper") -> Column:
     return F.array_compact(codes)
 
 
+def joined_codes(codes: Column) -> Column:
+    """Codes as the comma list a fetch is asked for, cleaned like those of a request."""
+    return F.array_join(F.array_compact(F.transform(codes, lambda c: clean_code(c))), ",")
+
+
+def selected_series(override: Column) -> Column:
+    """The macro series of a run: the override list in lower case, else all that are known, sorted."""
+    named = listed_codes(override, "lower")
+    every = F.array(*[F.lit(code) for code in sorted(MACRO_SERIES)])
+    return F.when(F.size(named) > 0, named).otherwise(every)
+
+
 def selected_tickers(registry: DataFrame, override: str | None, limit: int = 0) -> DataFrame:
     """Tickers of a run: the override list if it names any, else the scheduled universe.
 

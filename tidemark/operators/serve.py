@@ -92,11 +92,13 @@ def top_per_key(
 ) -> DataFrame:
     """The first ``limit`` rows of every key, for all keys in one job.
 
-    Spark keeps at most ``limit`` rows per key and map task ahead of a shuffle, but a hot key has
-    many map tasks. So each key is first cut down in ``salts`` parts, then as a whole.
+    The salt is the input partition, so that a map task has one part of a key and not a piece of all:
+    each key is first cut down in ``salts`` parts, of the rows of some map tasks each, and what is
+    left of them as a whole. Up to the limit that ``spark.sql.optimizer.windowGroupLimitThreshold``
+    sets, Spark also cuts each part down ahead of the shuffle.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    salted = rows.withColumn("_salt", F.pmod(F.hash(*rows.columns), F.lit(salts)))
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     part = Window.partitionBy(key, "_salt").orderBy(*by)
     cut = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= limit)
     whole = Window.partitionBy(key).orderBy(*by)
@@ -112,8 +114,8 @@ def prices_per_symbol(
     table: DataFrame, registry: DataFrame, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
     """The price read for all registered symbols at once."""
-    top = top_per_key(table.select(*PRICE_COLUMNS), "symbol", ["ts"], _checked(limit))
-    return registered(top, registry, "symbol")
+    known = registered(table.select(*PRICE_COLUMNS), registry, "symbol")
+    return top_per_key(known, "symbol", ["ts"], _checked(limit))
 
 
 def fundamentals_per_ticker(
@@ -121,5 +123,4 @@ def fundamentals_per_ticker(
 ) -> DataFrame:
     """The fundamentals read for all registered tickers at once."""
     order = [F.desc("period_end"), *FACT_ORDER]
-    top = top_per_key(table.select(*FACT_COLUMNS), "ticker", order, _checked(limit))
-    return registered(top, registry)
+    return top_per_key(registered(table.select(*FACT_COLUMNS), registry), "ticker", order, _checked(limit))

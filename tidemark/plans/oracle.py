@@ -416,6 +416,23 @@ ORACLE: dict[str, str] = {
     "code_lists": """
         select c_custkey, 0 as position, lower(c_name) as code from customer
         union all select c_custkey, 1 as position, lower(c_mktsegment) as code from customer""",
+    "selected_series": """
+        select c_custkey, 0 as position, lower(c_mktsegment) as code from customer
+        where c_mktsegment not in ('FURNITURE', 'BUILDING')
+        union all select c_custkey, 1, 'gdp' from customer
+        where c_mktsegment not in ('FURNITURE', 'BUILDING')
+        union all select c_custkey, position, code from customer, (values
+            (0, 'cpi'), (1, 'fed_funds'), (2, 'gdp'), (3, 'inflation'), (4, 'interest_rate_10y'),
+            (5, 'unemployment'), (6, 'usd/cad'), (7, 'usd/eur'), (8, 'usd/gbp'), (9, 'usd/jpy'),
+            (10, 'yield_curve')) as v(position, code)
+        where c_mktsegment in ('FURNITURE', 'BUILDING')""",
+    "joined_symbols": """
+        select c_custkey, upper(c_name) || case when c_acctbal < 0 then '' else ',' || c_mktsegment end
+               || ',X' as symbols from customer""",
+    "path_parts": """
+        select p_partkey, case when p_size % 2 = 0 then p_brand end as bucket,
+               case when p_size % 2 = 0 then p_type || '/' || p_name end as key,
+               replace(p_brand || '/' || p_type, '/', '-') as code from part""",
     "selected_tickers": f"""
         with {INSTRUMENTS} select ticker from reg where is_active and is_scheduled
         order by ticker limit 25""",

@@ -693,6 +693,40 @@ def code_lists(spark, sf):
     return derive.read(spark, sf, "customer").select("c_custkey", codes)
 
 
+@query
+def selected_series(spark, sf):
+    """An override names series for most customers; blanks fall back to all that are known."""
+    segment = F.col("c_mktsegment")
+    override = F.when(segment == "FURNITURE", F.lit(" , ")).when(
+        segment != "BUILDING", F.concat(F.lit(" "), segment, F.lit(",,GDP "))
+    )
+    codes = F.posexplode(selection.selected_series(override)).alias("position", "code")
+    return derive.read(spark, sf, "customer").select("c_custkey", codes)
+
+
+@query
+def joined_symbols(spark, sf):
+    blank = F.when(F.col("c_acctbal") < 0, F.lit("  ")).otherwise(F.col("c_mktsegment"))
+    codes = F.array(F.lower("c_name"), blank, F.lit(None), F.lit(" x "))
+    return derive.read(spark, sf, "customer").select(
+        "c_custkey", selection.joined_codes(codes).alias("symbols")
+    )
+
+
+@query
+def path_parts(spark, sf):
+    """Uris and codes with slashes, taken apart and made safe for paths."""
+    kept = F.when(F.col("p_size") % 2 == 0, F.lit("s3://")).otherwise(F.lit("file://"))
+    uri = F.concat(kept, "p_brand", F.lit("/"), "p_type", F.lit("/"), "p_name")
+    bucket, key = fx.bucket_and_key(uri)
+    return derive.read(spark, sf, "part").select(
+        "p_partkey",
+        bucket.alias("bucket"),
+        key.alias("key"),
+        fx.path_safe(F.concat_ws("/", "p_brand", "p_type")).alias("code"),
+    )
+
+
 @query
 def selected_tickers(spark, sf):
     """No override: the first 25 of the scheduled universe."""
