@@ -188,6 +188,19 @@ def test_one_company_rewrites_its_bucket_alone(spark, tmp_path):
     assert tables.read_table(spark, root, U.FACTS).count() == 4000
 
 
+def test_a_read_by_key_opens_one_bucket(spark, tmp_path, rows):
+    from tidemark.operators import serve
+
+    root = str(tmp_path)
+    batch = spark.createDataFrame([(t, f"F{t}") for t in "ABCDEFGH"], "ticker string, figi string")
+    tables.load(spark, root, batch, U.FIGI, load_time())
+    found = serve.figi_candidates(tables.read_table(spark, root, U.FIGI), "c")
+    assert rows(found.select("ticker", "figi")) == [("C", "FC")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    value = spark.range(1).select(F.expr("pmod(xxhash64('C'), 64)")).first()[0]
+    assert f"= {value})" in plan[plan.index("PartitionFilters") :].split("]")[0]
+
+
 @pytest.mark.parametrize("spec", [U.PRICES, U.MACRO, U.FACTS, U.FIGI, U.WATERMARKS, INSTRUMENTS])
 def test_specs_are_whole(spec):
     kept = {name for name, _ in spec.defaults} | set(spec.key) | {spec.touched}

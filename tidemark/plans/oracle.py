@@ -405,6 +405,7 @@ ORACLE: dict[str, str] = {
         qualify row_number() over (partition by ticker
             order by period_end desc, concept, unit, fp, form) <= 25""",
     "figi_serve": f"with {FIGI} select {FIGI_COLUMNS} from g where ticker = 'S7'",
+    "figi_serve_stored": f"with {FIGI} select {FIGI_COLUMNS} from g where ticker = 'S7'",
     "figi_registered": f"with {FIGI} select {FIGI_COLUMNS} from g where ticker in {SUPPLIERS}",
     "figi_unregistered": f"""
         with {FIGI} select {FIGI_COLUMNS} from g where ticker not in {SUPPLIERS}""",

@@ -660,6 +660,17 @@ def figi_serve(spark, sf):
     return serve.figi_candidates(figi_flatten(spark, sf), "s7")
 
 
+@query
+def figi_serve_stored(spark, sf):
+    """The read from the loaded table: one bucket of it is opened."""
+    lake, moment = _lake(spark, "serve"), jobs.Moment.at(NOW)
+    rows = dedup.keep_last(derive.figi(spark, sf), clean.FIGI_KEY, ["position"])
+    batch = rows.select(*schemas.SILVER_FIGI.names)
+    tables.load(spark, lake.gold, batch, upsert.FIGI, moment.now, unique=batch)
+    found = serve.figi_candidates(tables.read_table(spark, lake.gold, upsert.FIGI), "s7")
+    return found.select(*schemas.SILVER_FIGI.names)
+
+
 @query
 def figi_registered(spark, sf):
     return registry.registered(figi_flatten(spark, sf), derive.supplier_registry(spark, sf))
