@@ -1,12 +1,20 @@
+import zlib
 from collections import Counter
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
 import llm_samples as samples
 from __spark_entry__ import SMOKE_DIR, oracle_sql, queries
 from compare import connect, differences
+from test_llm_line_dedup import brute as brute_lines
+from test_llm_simhash import brute_print, roots
+from test_llm_tokens import ids_of
+from tidemark.llm import mixing
+from tidemark.llm.langid import Labeller, fitted, held_out
+from tidemark.llm.packing import lengths
 from tidemark.llm.queries import ORACLE, QUERIES
 
 pytestmark = pytest.mark.skipif(not Path(SMOKE_DIR).exists(), reason="supplied tables are absent")
@@ -46,6 +54,41 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert pieces.select("doc_id").distinct().count() == before.count()
 
 
+def test_run_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    assert docs.columns[:2] == ["doc_id", "text"]
+    labels = Labeller(fitted(docs, ~held_out())).label([r[1] for r in rows])
+    kept = [r for r, (lang, score) in zip(rows, labels) if lang != "und" and score >= corpus_pipeline.MIN_SCORE]
+    cut = {i: (text, dropped) for i, text, _, dropped in brute_lines(kept, 10)}
+    texts = {r[0]: cut[r[0]][0] for r in kept if not (cut[r[0]][1] and not cut[r[0]][0].strip(" \t\n\x0b\f\r"))}
+    prints = {i: brute_print(t) for i, t in texts.items()}
+    near = roots(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    firsts = {}
+    for i in sorted(texts):
+        firsts.setdefault(near[prints[i]], i)
+    expected = []
+    for i in firsts.values():
+        data, start = ids_of(texts[i]), 0
+        for length in lengths(len(data) // 4):
+            expected.append((i, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+            start += length
+    found = corpus_pipeline.run(spark, SMOKE_DIR).select("doc_id", "start", "length", "ids_crc32")
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_the_mix_lies_in_the_order_of_its_files(spark, tmp_path):
+    docs = samples.table(spark, samples.documents(n=300))
+    corpus_pipeline.source_mix(spark, docs, SMOKE_DIR).write.parquet(str(tmp_path / "mix"))
+    read = [
+        r.as_py()
+        for file in sorted((tmp_path / "mix").glob("part-*.parquet"))
+        for r in pq.read_table(file)["source"]
+    ]
+    again = mixing.mixed(docs).orderBy("mix_slot", "mix_place").select("source").collect()
+    assert read == [r["source"] for r in again]
+
+
 def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
     for name, docs in (("awkward", samples.table(spark)), ("empty", samples.empty(spark))):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
