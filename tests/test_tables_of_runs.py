@@ -94,11 +94,12 @@ def test_ledger(spark, tmp_path):
 # -- numbering --
 
 
-@pytest.mark.parametrize("block", [1, 7, 1 << 20])
-def test_numbers_are_consecutive(spark, block):
-    df = spark.range(0, 500).where("id % 3 <> 1").select((F.col("id") * 2 - 301).alias("p"))
-    found = numbering.number_rows(df, "p", "n", block=block).orderBy("p").collect()
+@pytest.mark.parametrize("position", ["id * 2 - 301", "id * 1000000007", "xxhash64(id)", "id div 100", "7"])
+def test_numbers_are_consecutive_for_any_positions(spark, position):
+    df = spark.range(0, 500, numPartitions=3).where("id % 3 <> 1").select("id", F.expr(position).alias("p"))
+    found = numbering.number_rows(df, "p", "n", ties=["id"]).orderBy("p", "id").collect()
     assert [r.n for r in found] == list(range(len(found)))
+    assert numbering.number_rows(df.where("false"), "p", "n").count() == 0
 
 
 # -- registry --

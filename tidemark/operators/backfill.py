@@ -4,19 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.numbering import DENSE_BLOCK, number_rows
+from tidemark.operators.numbering import number_rows
 
 
-def symbol_batches(
-    requests: DataFrame, batch_size: int, position: str = "position", block: int = DENSE_BLOCK
-) -> DataFrame:
-    """Add ``batch_no``: batches of at most ``batch_size`` symbols, in request order.
-
-    See ``number_rows`` for ``block``.
-    """
+def symbol_batches(requests: DataFrame, batch_size: int, position: str = "position") -> DataFrame:
+    """Add ``batch_no``: batches of at most ``batch_size`` symbols, in request order."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    numbered = number_rows(requests, position, "_n", ties=["symbol"], block=block)
+    numbered = number_rows(requests, position, "_n", ties=["symbol"])
     return numbered.withColumn("batch_no", F.floor(F.col("_n") / F.lit(batch_size))).drop("_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import schemas
 from tidemark.operators.dedup import keep_first
-from tidemark.operators.numbering import DENSE_BLOCK, number_rows
+from tidemark.operators.numbering import number_rows
 from tidemark.operators.upsert import BUCKETS, TableSpec
 
 INSTRUMENTS = TableSpec(
@@ -19,14 +19,12 @@ INSTRUMENTS = TableSpec(
 )
 
 
-def new_instruments(
-    registry: DataFrame, candidates: DataFrame, now: Column, *, block: int = DENSE_BLOCK
-) -> DataFrame:
+def new_instruments(registry: DataFrame, candidates: DataFrame, now: Column) -> DataFrame:
     """Registry rows to add for candidates that are not registered yet.
 
     Candidates carry ``ticker``, a whole number ``position`` and, where known, the other columns.
     A registered ticker is left as it is; of a ticker proposed twice the first counts. Ids go on
-    from the highest one in the order of ``position``; see ``number_rows`` for ``block``.
+    from the highest one in the order of ``position``.
     """
     given = set(candidates.columns)
 
@@ -49,7 +47,7 @@ def new_instruments(
     first = keep_first(filled, ["ticker"], ["position"])
     unknown = first.join(registry.select("ticker"), "ticker", "left_anti")
     highest = registry.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = number_rows(unknown, "position", "_n", ties=["ticker"], block=block)
+    numbered = number_rows(unknown, "position", "_n", ties=["ticker"])
     return numbered.select(
         (highest + F.col("_n") + 1).cast("int").alias("id"),
         *(c for c in schemas.INSTRUMENTS.names if c not in ("id", "created_at", "updated_at")),

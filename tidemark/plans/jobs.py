@@ -18,7 +18,6 @@ from tidemark.operators import clean, normalize, upsert, watermark
 from tidemark.operators.backfill import date_windows, symbol_batches, window_of
 from tidemark.operators.dedup import keep_first
 from tidemark.operators.ledger import RunLedger, finish_events, start_events
-from tidemark.operators.numbering import DENSE_BLOCK, HASH_BLOCK
 from tidemark.operators.quality import MAX_NULL_CLOSE_RATIO, check_prices, quality_metrics, verdict
 from tidemark.operators.registry import (
     INSTRUMENTS,
@@ -339,14 +338,14 @@ def run_register(
         judged = _kept(normalize.judge_info(info), lake.work("info"))
         rejects = judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")
         first = keep_first(judged.where("reason is null").drop("reason"), ["ticker"], ["ord"])
-        # Ids may follow any order that repeats; hashes spread the numbering over all tasks.
+        # Ids may follow any order that repeats.
         candidates = first.withColumns(
             {"position": F.xxhash64("ticker"), "is_scheduled": F.lit(is_scheduled)}
         )
         accepted, refused = candidates.count(), rejects.count()
         total = accepted + refused
         known = read_table(spark, lake.gold, INSTRUMENTS)
-        fresh = new_instruments(known, candidates, moment.now, block=HASH_BLOCK)
+        fresh = new_instruments(known, candidates, moment.now)
         load(spark, lake.gold, fresh, INSTRUMENTS, moment.now)
 
         rows = 0
@@ -357,7 +356,7 @@ def run_register(
                 F.lit(backfill_start).cast("date").alias("start"),
                 F.lit(backfill_end or moment.run_date).cast("date").alias("end"),
             )
-            rows = run_backfill(spark, lake, prices, requests, moment, block=HASH_BLOCK).rows
+            rows = run_backfill(spark, lake, prices, requests, moment).rows
         status = "success" if not refused else "partial" if accepted else "failed"
         note = _listed(refused, total) if refused else None
         if refused:
@@ -393,7 +392,6 @@ def run_backfill(
     years: int = 1,
     scope: str = "history",
     max_null_close_ratio: float = MAX_NULL_CLOSE_RATIO,
-    block: int = DENSE_BLOCK,
 ) -> Backfill:
     """Load the history asked for by (symbol, position, start, end).
 
@@ -408,7 +406,7 @@ def run_backfill(
     require_any(asked)
     windows = date_windows(F.col("start"), F.col("end"), years)
     batched = _kept(
-        symbol_batches(asked, batch_size, block=block).select("symbol", "batch_no", windows.alias("windows")),
+        symbol_batches(asked, batch_size).select("symbol", "batch_no", windows.alias("windows")),
         f"{work}/batches",
     )
     planned = _kept(_planned(batched, plan_id, moment), f"{work}/planned")
