@@ -1,12 +1,12 @@
-"""Helpers the operators share: written tables, row numbers, text columns."""
+"""Helpers the operators share: written tables and row numbers of the library, text columns, names."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
-from tidemark.session import work_folder
+from tidemark.operators.numbering import numbered as ranked, written  # noqa: F401  shared by the operators
 
 #: The white space that separates words, [\x20\x09-\x0D], and the letters A to Z.
 SPACES = " \t\n\x0b\f\r"
@@ -21,42 +21,3 @@ def own(name: str) -> str:
 def whole_text(column: str = "text") -> Column:
     """The text; a null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    It cuts the lineage: what follows sees the same rows however often it is evaluated, and a lost
-    executor costs no more than the tasks it ran.
-    """
-    spark = df.sparkSession
-    path = work_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ranked(df: DataFrame, order: list[Column], out: str, name: str) -> DataFrame:
-    """Add ``out`` = 0, 1, 2, … in the order of ``order``, for any distribution of its values.
-
-    Rows are range-partitioned and sorted, and written with their place in their partition. Only one
-    count per partition is summed up in one task, and those counts are all that is broadcast.
-    Rows that agree in all of ``order`` are numbered in any order.
-    """
-    place, part, before, count = own("place"), own("part"), own("before"), own("count")
-    placed = written(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn(place, F.monotonically_increasing_id()),
-        name,
-    )
-    # The number's upper 31 bits are the partition, the lower 33 the row in it.
-    placed = placed.withColumn(part, F.shiftright(place, 33))
-    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias(count))
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(part, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
-    row = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.join(F.broadcast(offsets), part)
-        .withColumn(out, F.col(before) + row)
-        .drop(place, part, before)
-    )
