@@ -382,7 +382,8 @@ def upsert_prices(spark, sf):
             "ingested_at": derive.literal_time(OLD),
         }
     )
-    batch = returns_batch_scope(spark, sf).withColumn("open", F.col("open") + 1)
+    late = derive.bars(spark, sf).where(F.col("ts") >= day("2024-01-15"))
+    batch = returns.add_return(late, "close").withColumn("open", F.col("open") + 1)
     return with_text_time(upsert.upsert(stored, batch, upsert.PRICES, now()), "ingested_at")
 
 

@@ -10,6 +10,7 @@ from tidemark.functions.columns import clean_code, run_id_of
 from tidemark.schemas import META
 
 CORRUPT = "_corrupt"
+FILE_RECORDS = 50_000
 
 
 def envelope_schema(payload: str, corrupt: bool = True) -> T.StructType:
@@ -113,10 +114,14 @@ def build_envelopes(landing: DataFrame) -> DataFrame:
 def land_envelopes(landing: DataFrame, root: str) -> None:
     """Append envelopes as gzip JSON lines below ``root``, by vendor, dataset and dt.
 
-    Many fetches share a file; a directory per fetch would mean a small file per fetch.
+    Many fetches share a file; a directory per fetch would mean a small file per fetch. Spark gathers
+    the lines of a day into files of about one size at run time, and a file, which a single task has
+    to read later, holds no more than ``FILE_RECORDS`` envelopes.
     """
-    lines = build_envelopes(landing).drop("run_id")
-    lines.write.mode("append").partitionBy("vendor", "dataset", "dt").text(root, compression="gzip")
+    lines = build_envelopes(landing).drop("run_id").hint("rebalance", "vendor", "dataset", "dt")
+    lines.write.mode("append").option("maxRecordsPerFile", FILE_RECORDS).partitionBy(
+        "vendor", "dataset", "dt"
+    ).text(root, compression="gzip")
 
 
 def parse_envelopes(lines: DataFrame, payload: str) -> DataFrame:
