@@ -149,15 +149,19 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, dictionary: bytes, width: int) -> None:
+    """Takes doc_id and ids or, where a tokenizer is given, the text to encode."""
+
+    def __init__(self, path: str, dictionary: bytes, width: int, tokenizer: str) -> None:
         self.files, self.dictionary, self.width = FileSet(path), dictionary, width
+        self.tokenizer = tokenizer
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         name, stream = self.files.create(".tokens")
         out = FileWriter(stream, self.dictionary, self.width)
+        ids_of = encoder(self.tokenizer).document if self.tokenizer else bytes
         for batch in iterator:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out.add(doc_id, ids.as_py())
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out.add(doc_id, ids_of(value.as_py()))
         out.close()
         return Written(TaskContext.get().partitionId(), name, len(out.counts), sum(out.counts))
 
@@ -210,7 +214,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class TokenFiles(DataSource):
-    """Format ``token_files``. Options: path; to write: dictionary (hexadecimal, or none) and width."""
+    """Format ``token_files``. Options: path; to write: dictionary (hexadecimal, or none), width, and
+    tokenizer, a file by which the second column's texts are encoded."""
 
     @classmethod
     def name(cls) -> str:
@@ -223,48 +228,32 @@ class TokenFiles(DataSource):
         path = self.options["path"]
         digest = bytes.fromhex(self.options.get("dictionary", ""))
         dictionary = FileSet(path).get(dictionary_name(digest)) if digest else b""
-        return _Writer(path, dictionary, int(self.options.get("width", "2")))
+        width, tokenizer = int(self.options.get("width", "2")), self.options.get("tokenizer", "")
+        return _Writer(path, dictionary, width, tokenizer)
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"])
 
 
-def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id and the ids of the whole text with the end id, little-endian unsigned 32-bit."""
-    schema = docs.select("doc_id").schema.add("ids", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).document
-        for batch in batches:
-            at, found, size = 0, [], 0
-            for text in batch.column(1):
-                found.append(encode(text.as_py()))
-                size += len(found[-1])
-                if size >= BATCH_BYTES:
-                    yield part(batch, at, found)
-                    at, found, size = at + len(found), [], 0
-            yield part(batch, at, found)
-
-    def part(batch: pa.RecordBatch, at: int, found: list[bytes]) -> pa.RecordBatch:
-        ids = batch.column(0).slice(at, len(found))
-        return pa.RecordBatch.from_arrays([ids, pa.array(found, pa.binary())], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
 def trained_dictionary(
     docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, width: int = 2
 ) -> bytes:
-    """A dictionary from a bounded sample: the rows with the smallest hash, of each a hashed stretch."""
+    """A dictionary from a bounded sample: the ``rows`` rows with the smallest hash, of each a stretch of
+    ``chars`` code points at a hashed place.
+
+    Only rows whose hash is below a bound by the count, about twice as many as are taken, are sent to
+    the driver, however large the table is.
+    """
     mark = own("mark")
+    texts = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id", "text").alias(mark))
+    share = min(1.0, (2 * rows + 100) / max(texts.count(), 1))
     place = F.pmod(F.col(mark), F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long")) + 1
-    stretches = (
-        docs.where(F.col("text").isNotNull())
-        .select("text", F.xxhash64("doc_id", "text").alias(mark))
-        .select(mark, F.substring("text", place.cast("int"), F.lit(chars)).alias("text"))
+    drawn = texts.where(F.col(mark) / F.lit(2.0**64) + F.lit(0.5) <= share).select(
+        mark, F.substring("text", place.cast("int"), F.lit(chars)).alias("text")
     )
+    found = sorted((r[mark], r["text"]) for r in drawn.collect())[:rows]
     encode = encoder(tokenizer).document
-    sample = [encode(r["text"]) for r in stretches.orderBy(mark, "text").limit(rows).collect()]
+    sample = [encode(text) for _, text in found]
     if width == 2:
         sample = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in sample]
     return dictionary_of(sample)
@@ -285,9 +274,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, width: int = 2) ->
     docs.sparkSession.dataSource.register(TokenFiles)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     sorted_docs = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    encoded(sorted_docs, tokenizer).write.format("token_files").option("dictionary", digest.hex()).option(
-        "width", width
-    ).mode("append").save(path)
+    options = {"dictionary": digest.hex(), "width": width, "tokenizer": tokenizer}
+    sorted_docs.write.format("token_files").options(**options).mode("append").save(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
