@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
 END = 0  # appended to each document
-CACHED = 250_000  # pieces in each of the two generations a worker keeps
+CACHED = 400_000  # parts in each of the two generations a worker keeps
+
+_ENDS = tuple(".,;:!?|")  # a mark that ends a word and starts no contraction
 
 # A space is cut off safely unless white space stands both before and after it.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
@@ -20,39 +24,74 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
+class _Parts(dict):
+    """Ids of parts, each with ``before`` in front of it; bounded, in two generations.
+
+    Those used since the older generation was filled are kept, so frequent parts stay.
+    """
+
+    def __init__(self, encoder: Encoder, before: str) -> None:
+        super().__init__()
+        self.encoder, self.before, self.older = encoder, before, {}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(part) > 200:
+            return self.encoder.whole(self.before + part)
+        found = self.older.get(part)
+        if found is None:
+            found = self.found(part)
+        self.keep(part, found)
+        return found
+
+    def keep(self, part: str, found: bytes) -> None:
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[part] = found
+
+    def found(self, part: str) -> bytes:
+        if part[-1:] in _ENDS and part[:-1].isalpha():
+            # Letters and one mark behind them are two pieces of the pattern.
+            return self[part[:-1]] + self.encoder.marks[part[-1]]
+        if "\n" in part:
+            lines = part.split("\n")
+            if part.split() == lines:
+                # A single line end between words is a piece of its own, and no space follows it.
+                words = [self[lines[0]], *[self.encoder.bare[x] for x in lines[1:]]]
+                return self.encoder.line_end.join(words)
+        return self.encoder.whole(self.before + part)
+
+
+def _parted(ids: bytes, at: bytes) -> list[bytes]:
+    """Ids cut at every occurrence of one id, which is left out."""
+    numbers = np.frombuffer(ids, "<u4")
+    cuts = (4 * np.flatnonzero(numbers == np.frombuffer(at, "<u4")[0])).tolist()
+    return [ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])]
+
+
+class Encoder:
     """Texts to ids (little-endian unsigned 32-bit), equal to encoding the whole text at once.
 
     A byte-level BPE encodes the pieces of its pattern one by one, and a piece holds a space only in
     front or within white space. So a text may be cut before every single space that follows or
     precedes a word, and most parts are then found in the cache. Texts where that is not certain, or
-    with a special token in them, are encoded whole. Two generations of parts are kept: those used
-    since the older one was filled, so memory is bounded and frequent parts stay.
+    with a special token in them, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.older: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in _ENDS}
+        self.line_end = self.whole("\n")
+        self.spaced, self.bare = _Parts(self, " "), _Parts(self, "")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        """The ids of a space and ``part``."""
-        if len(part) > 200:
-            return self.whole(" " + part)
-        found = self.older.get(part)
-        if found is None:
-            found = self.whole(" " + part)
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[part] = found
-        return found
+        ids = array("I", self.library.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text (a null is empty), without the end id."""
@@ -61,7 +100,23 @@ class Encoder(dict):
         if _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         head, *rest = text.split(" ")
-        return self.whole(head) + b"".join([self[p] for p in rest])
+        fresh = {p for p in set(rest) if p not in self.spaced}
+        if len(fresh) > 1:
+            self._learn(fresh)
+        return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode words that are new to the cache in one call, each on a line, and keep their ids."""
+        known, older = self.spaced, self.spaced.older
+        words = []
+        for word in {p[:-1] if p[-1:] in _ENDS else p for p in parts}:
+            if word.isalpha() and len(word) <= 200 and word not in known and word not in older:
+                words.append(word)
+        if len(words) > 1:
+            # A letter never gives the id of a line end, so that id parts the words again.
+            ids = self.whole(" " + "\n ".join(words))
+            for word, found in zip(words, _parted(ids, self.line_end)):
+                known.keep(word, found)
 
     def document(self, text: str | None) -> bytes:
         return self.encode(text) + END.to_bytes(4, "little")
