@@ -173,11 +173,13 @@ class Labeller:
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.network.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         words = [sequences(t) if t and _LETTER.search(t) else [] for t in texts]
         rows = self._table_of([w for some in words for w in some])
         found, at = [], 0
         for some in words:
-            if not some or not self.network.languages:
+            if not some:
                 found.append((UNKNOWN, 0.0))
             else:
                 sums = self.table[rows[at : at + len(some)]].sum(axis=0, dtype=np.float64)
