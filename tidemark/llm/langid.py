@@ -199,15 +199,24 @@ def fitted(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int =
     """A network fitted on a bounded sample of the rows of ``docs`` where ``learn`` holds.
 
     Of each language the ``rows`` rows with the smallest hash of id and text are taken, and of each a
-    stretch of ``chars`` code points at a hashed place: that bounds what comes to the driver. The rank
-    within a language is cut off map-side, so a frequent language is no burden.
+    stretch of ``chars`` code points at a hashed place: that bounds what comes to the driver. Only rows
+    whose hash is below a bound by the language's count are ranked, about twice as many as are taken,
+    however large the table is.
     """
-    mark, rank = own("mark"), own("rank")
+    mark, rank, draw = own("mark"), own("rank"), own("draw")
     keys = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", F.xxhash64("doc_id", "text").alias(mark), "text"
     )
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}  # a row per language
+    if not counts:
+        return Network([])
+    parts = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (2 * rows + 100) / n))]
+    bound = F.element_at(F.create_map(*parts), F.col("lang"))
+    # The hash as a fraction, in the order of the hash.
+    drawn = keys.select("lang", mark).withColumn(draw, F.col(mark) / F.lit(2.0**64) + F.lit(0.5))
     first = Window.partitionBy("lang").orderBy(mark)
-    chosen = keys.select("lang", mark).withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= rows)
+    chosen = drawn.where(F.col(draw) <= bound).withColumn(rank, F.row_number().over(first))
+    chosen = chosen.where(F.col(rank) <= rows)
     place = F.pmod(F.col(mark), F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long")) + 1
     stretch = F.substring("text", place.cast("int"), F.lit(chars))
     sample = (
