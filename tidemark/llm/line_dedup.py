@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import LOWER, SPACES, UPPER, own, whole_text
+from tidemark.llm.common import LOWER, SPACES, UPPER, own, whole_text, written
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -51,12 +51,12 @@ def drop_common_lines(
         .where(F.length("_key") >= max(min_chars, 1))
         .select(*hashed(F.col("_key")))
     )
-    common = (
-        counted.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_documents)
-    )
+    counts = counted.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    # Written, so that the join below has a shuffle of its own, whose hot keys Spark can split.
+    common = written(counts.where(F.col("_n") >= min_documents).select("_h", "_c"), "common-lines")
     dropped = (
         lines.select("doc_id", text_hash, "_position", *hashed(F.col("_key")))
-        .join(common.select("_h", "_c"), ["_h", "_c"])
+        .join(common, ["_h", "_c"])
         .groupBy(F.col("doc_id").alias(doc), F.col(text_hash).alias(same))
         .agg(F.collect_set("_position").alias(positions))
     )
