@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import langid, line_dedup, mixing, packing, simhash
+from tidemark.llm.common import own
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import work_folder
 
@@ -44,7 +46,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame | None, sf_dir: str)
 def source_mix(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """All documents, sorted so that the sources interleave at their target weights.
 
-    The rows are sorted over all partitions, so the files, read by name, hold the mix in its order.
+    The rows are sorted over all partitions, so the files, read by name, hold the mix in its order,
+    from which packing numbers its sequences.
     """
     docs = _documents(spark, sf_dir, docs)
     mix = mixing.mixed(docs)
@@ -52,8 +55,19 @@ def source_mix(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
-    """Pieces of binary lengths with their ids; each is a sequence."""
-    return packing.packed(_documents(spark, sf_dir, docs), vocabulary())
+    """Pieces of binary lengths with their ids; each is a sequence.
+
+    Pieces of one length are numbered in the order of their documents over the files by name, which
+    is the mix of the stage before. Documents that lie in no files have no order yet and are mixed here.
+    """
+    docs = _documents(spark, sf_dir, docs)
+    place = [own("file"), own("row")]
+    try:
+        placed = docs.select("*", *[F.col(f"_metadata.{c}").alias(p) for c, p in zip(("file_path", "row_index"), place)])
+    except AnalysisException:
+        place = ["mix_slot", "mix_place"]
+        placed = mixing.mixed(docs)
+    return packing.packed(placed, vocabulary(), place=place)
 
 
 STAGES = [

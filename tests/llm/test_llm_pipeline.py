@@ -96,3 +96,28 @@ def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
             stage(spark, docs, SMOKE_DIR).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() == 0) == (name == "empty")
+
+
+def numbered_by_brute_force(docs):
+    """(sequence_id, doc_id, start, length, ids_crc32) with the documents in the order of their mix."""
+    made = []
+    for place, r in enumerate(mixing.mixed(docs).orderBy("mix_slot", "mix_place").select("doc_id", "text").collect()):
+        data, start = ids_of(r["text"]), 0
+        for length in lengths(len(data) // 4):
+            made.append((-length, place, start, r["doc_id"], zlib.crc32(data[4 * start : 4 * (start + length)])))
+            start += length
+    return [(n, i, start, -length, crc) for n, (length, _, start, i, crc) in enumerate(sorted(made, key=lambda x: x[:3]))]
+
+
+def test_sequences_are_numbered_in_the_order_of_the_mix(spark, tmp_path):
+    columns = ("sequence_id", "doc_id", "start", "length", "ids_crc32")
+    supplied = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
+    for name, docs in (("awkward", samples.table(spark, parts=3)), ("supplied", supplied)):
+        path = str(tmp_path / name)
+        corpus_pipeline.source_mix(spark, docs, SMOKE_DIR).write.parquet(path)
+        expected = numbered_by_brute_force(docs)
+        assert expected != sorted(expected, key=lambda r: (-r[3], r[1] is not None, r[1] or 0, r[2], r[4]))
+        for mix in (spark.read.parquet(path), spark.read.parquet(path).localCheckpoint()):
+            found = corpus_pipeline.pack(spark, mix, SMOKE_DIR)
+            assert "ids" in found.columns and not any(c.startswith("_") for c in found.columns)
+            assert sorted(map(tuple, found.select(*columns).collect())) == expected
