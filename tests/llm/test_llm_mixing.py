@@ -63,3 +63,36 @@ def test_given_weights_and_empty(spark):
     assert mixing.mixed(docs, given, block=2, frame=16).count() == docs.count()
     assert mixing.mixed(samples.empty(spark)).count() == 0
     assert mixing.mixed(mixing.mixed(docs)).columns == mixing.mixed(docs).columns
+
+
+def deviation(order, weights):
+    """The largest distance of a source from its target over all prefixes of ``order``, in blocks."""
+    total, done, worst = sum(weights), [0] * len(weights), 0
+    for slot, k in enumerate(order):
+        done[k] += 1
+        worst = max(worst, *(abs(n * total - w * (slot + 1)) for n, w in zip(done, weights)))
+    return Fraction(worst, total)
+
+
+@pytest.mark.parametrize("small", [19, 300])
+def test_the_target_holds_over_many_frames(small):
+    exact = mixing.whole({k: w for k, w in enumerate([1 / 3, *[2 / 3 / small] * small])})
+    weights, frames = list(exact.values()), 5 if small < 100 else 1
+    slots = frames * mixing.FRAME
+    found = [r for r, _ in zip(mixing.course(weights, [slots] * len(weights)), range(slots))]
+    assert [r[4] for r in found] == list(range(slots)) and all(r[5] for r in found)
+    assert deviation([r[0] for r in found], weights) < 1
+    rounded = [n for n in mixing.shares(exact).values()]
+    assert abs(Fraction(rounded[0], mixing.FRAME) - Fraction(weights[0], sum(weights))) * slots > 1
+
+
+def test_rows_hold_the_target_and_all_blocks_are_scheduled(spark):
+    rows = [(i, None, None, "hot" if i % 3 == 0 else f"s{i % 40}", None, None) for i in range(3000)]
+    given = {s: 1 / 3 if s == "hot" else 2 / 3 / 40 for s in {r[3] for r in rows}}
+    mix = mixing.mixed(samples.table(spark, rows), given, block=1).collect()
+    assert sorted(r["mix_slot"] for r in mix) == list(range(3000))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in mix)
+    names, exact = sorted(given), mixing.whole(given)
+    on_target = sorted((r["mix_slot"], names.index(r["source"])) for r in mix if r["on_target"])
+    assert [slot for slot, _ in on_target] == list(range(len(on_target))) and len(on_target) > 1000
+    assert deviation([k for _, k in on_target], [exact[s] for s in names]) < 1
