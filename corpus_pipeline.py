@@ -33,7 +33,7 @@ def by_language(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Dat
 def without_common_lines(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; ``n_chars`` follows. Emptied ones go."""
     docs = _documents(spark, sf_dir, docs)
-    cut = line_dedup.drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    cut = line_dedup.drop_common_lines(docs, by_id=True).withColumn("n_chars", F.length("text").cast("long"))
     gone = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
     return cut.where(~gone).select(*[f"`{c}`" for c in docs.columns])
 

@@ -4,6 +4,7 @@ import pytest
 
 import llm_samples as samples
 from tidemark.llm import line_dedup
+from tidemark.llm.queries import ORACLE, QUERIES
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -37,3 +38,17 @@ def test_empty_table_and_long_documents(spark):
     found = line_dedup.drop_common_lines(samples.table(spark, rows), 2).orderBy("doc_id").collect()
     assert [(r["n_lines"], r["n_dropped"]) for r in found] == [(100_000, 2), (2, 1)]
     assert found[1]["text"] == "own" and found[0]["text"].count("\n") == 99_997
+
+
+def test_repeated_rows_count_once_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "only here\nshared", "en", "s", 0, 0)] * 10  # one document, ten rows
+    rows += [(i, f"own {i}\nshared", "en", "s", 0, 0) for i in range(2, 11)]
+    rows += [(None, "without id\nshared", "en", "s", 0, 0)] * 12
+    samples.table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(f"select doc_id, n_lines, n_dropped from ({ORACLE['op10_line_dedup']})").fetchall()
+    found = QUERIES["op10_line_dedup"](spark, str(tmp_path)).groupBy("doc_id").agg({"n_lines": "sum", "n_dropped": "sum"})
+    got = [tuple(r) for r in found.select("doc_id", "sum(n_lines)", "sum(n_dropped)").collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and (1, 20, 10) in got

@@ -15,7 +15,7 @@ def line_key(line: Column) -> Column:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, by_id: bool = False
 ) -> DataFrame:
     """Every row of ``docs`` with its ``text`` cut, ``n_lines`` before and ``n_dropped``.
 
@@ -23,8 +23,9 @@ def drop_common_lines(
     least ``min_chars`` code points found in at least ``min_documents`` rows loses all its lines, in
     every document; the other lines stay as they are, in their order.
 
-    Each row counts as a document, a repeated row too, and once however often it has the line. A
-    null or empty text is one empty line, and so is a text that loses all its lines. Null ids are
+    Each row counts as a document, a repeated row too, and once however often it has the line. With
+    ``by_id`` each distinct id does, however many rows have it, and a row without an id for none, as
+    in SQL's count of distinct ids; it still loses the lines that others make common. A null or empty text is one empty line, and so is a text that loses all its lines. Null ids are
     ids like any other. Other columns pass through, except that columns named ``n_lines``,
     ``n_dropped`` are replaced.
 
@@ -47,10 +48,13 @@ def drop_common_lines(
     )
     hashed = lambda key: (F.xxhash64(key).alias("_h"), F.crc32(F.encode(key, "UTF-8")).alias("_c"))
     counted = (
-        base.select(F.explode(F.array_distinct(keys)).alias("_key"))
+        base.select("doc_id", F.explode(F.array_distinct(keys)).alias("_key"))
         .where(F.length("_key") >= max(min_chars, 1))
-        .select(*hashed(F.col("_key")))
+        .select("doc_id", *hashed(F.col("_key")))
     )
+    if by_id:
+        # Dealt by hash and id, so the rows of a hot line are spread before they are counted.
+        counted = counted.where(F.col("doc_id").isNotNull()).distinct()
     counts = counted.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_n"))
     # Written, so that the join below has a shuffle of its own, whose hot keys Spark can split.
     common = written(counts.where(F.col("_n") >= min_documents).select("_h", "_c"), "common-lines")

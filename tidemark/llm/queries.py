@@ -69,7 +69,7 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.drop_common_lines(docs).select(
+    return line_dedup.drop_common_lines(docs, by_id=True).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
 
