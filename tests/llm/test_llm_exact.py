@@ -1,0 +1,93 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import llm_samples as samples
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact
+
+LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def keyed(text):
+    return hashlib.sha256((text or "").translate(LOWERED).encode()).hexdigest()
+
+
+def digests(n, seed=1):
+    rng = random.Random(seed)
+    return np.frombuffer(b"".join(rng.randbytes(32) for _ in range(n)), np.uint8)
+
+
+def test_the_hash_is_perfect_and_minimal():
+    for n in (0, 1, 2, 3, 100, 5000):
+        known = digests(n)
+        built = exact.PerfectHash.of(known)
+        stored = built.dump()
+        for hashed in (built, exact.PerfectHash.load(stored["sizes"], stored["bits"], stored["rest"])):
+            assert sorted(hashed.slots(known).tolist()) == list(range(n))
+            strangers = hashed.slots(digests(500, seed=2))
+            assert len(strangers) == 500 and strangers.max(initial=-1) < n
+
+
+def test_digests_that_no_level_places(monkeypatch):
+    monkeypatch.setattr(exact, "LEVELS", 1)
+    known = digests(300)
+    known = np.where(np.arange(300)[:, None] < 5, 0, known.reshape(-1, 32)).astype(np.uint8)
+    known[:5, 0] = range(5)  # few bits, and ends of zeros
+    built = exact.PerfectHash.of(known.ravel())
+    assert len(built.rest) > 0
+    stored = built.dump()
+    hashed = exact.PerfectHash.load(stored["sizes"], stored["bits"], stored["rest"])
+    assert sorted(hashed.slots(known.ravel()).tolist()) == list(range(300))
+    assert (hashed.slots(digests(50, seed=3)) < 300).all()
+
+
+def test_a_slot_must_hold_the_whole_digest(spark):
+    """Digests outside the index get slots too; only equal bytes make a member."""
+    rows = [(bytes(digests(1, seed=s)), {"id": s, "row": s}, 1) for s in range(400)]
+    schema = "digest binary, winner struct<id: long, row: long>, members long"
+    frame = spark.createDataFrame(rows, schema)
+    known, asked = frame.where("winner.id < 200"), frame.where("winner.id >= 150")
+    for shards in (1, 3):
+        found = exact.looked_up(asked, exact.index(known, shards), shards).collect()
+        assert len(found) == 250
+        for r in found:
+            member = r["winner"]["id"] < 200
+            assert r["past"] == (r["winner"] if member else None) and r["past_members"] == (1 if member else None)
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[keyed(r[1])].append(r[0])
+    return groups
+
+
+def test_against_brute_force_whatever_the_history(spark):
+    rows = samples.documents()
+    rows += [(2000 + i, "Hot TEXT" if i % 2 else "hot text", "en", "s", 1, 1) for i in range(120)]
+    groups = brute(rows)
+    docs = samples.table(spark, rows).withColumnRenamed("n_chars", "kept")  # a clashing name
+    for history in (exact.history(), F.lit(False), F.lit(True), F.col("doc_id") < 500):
+        got = exact.deduplicated(docs, history)
+        assert got.columns == ["doc_id", "lang", "source", "_key", "keep_id", "group_size", "kept", "text_sha256"]
+        found = got.collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_sha256"]) for r in found) == sorted(
+            (r[0] is None, r[0] or 0, keyed(r[1])) for r in rows
+        )
+        stay = defaultdict(list)
+        for r in found:
+            ids = groups[r["text_sha256"]]
+            assert r["group_size"] == len(ids)
+            assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
+            if r["kept"]:
+                stay[r["text_sha256"]].append(r["doc_id"])
+        assert {k: len(v) for k, v in stay.items()} == dict.fromkeys(groups, 1)
+        assert all(v[0] == max((i for i in groups[k] if i is not None), default=None) for k, v in stay.items())
+
+
+def test_empty_table(spark):
+    got = exact.deduplicated(samples.empty(spark), exact.history())
+    assert got.count() == 0 and got.columns[-4:] == ["keep_id", "group_size", "kept", "text_sha256"]

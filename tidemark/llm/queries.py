@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc
+from tidemark.llm import exact, fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc
 from tidemark.llm.tokens import vocabulary
 
 
@@ -74,6 +74,11 @@ def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.deduplicated(docs, exact.history())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprint_query,
     "op2_lm_scoring": lm_query,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_query,
     "op9_packing": packing_query,
     "op10_line_dedup": line_query,
+    "op11_exact_dedup": exact_query,
 }
 
 _RULES_SQL = r"""
@@ -146,4 +152,19 @@ select doc_id, count(*) n_lines, count(*) filter (where key in (from common)) n_
 from keyed group by doc_id
 """
 
-ORACLE: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op10_line_dedup": _LINES_SQL}
+_EXACT_SQL = """
+with hashed as (
+  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256
+  from documents
+)
+select doc_id, max(doc_id) over (partition by text_sha256) keep_id,
+       count(*) over (partition by text_sha256) group_size,
+       doc_id = max(doc_id) over (partition by text_sha256) kept, text_sha256
+from hashed
+"""
+
+ORACLE: dict[str, str] = {
+    "op6_quality_rules": _RULES_SQL,
+    "op10_line_dedup": _LINES_SQL,
+    "op11_exact_dedup": _EXACT_SQL,
+}
