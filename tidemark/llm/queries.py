@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import exact, fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc
+from tidemark.llm import dialogs, exact, fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc
 from tidemark.llm.tokens import vocabulary
 
 
@@ -79,6 +79,11 @@ def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicated(docs, exact.history())
 
 
+def dialog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogs.report(dialogs.damaged(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprint_query,
     "op2_lm_scoring": lm_query,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing_query,
     "op10_line_dedup": line_query,
     "op11_exact_dedup": exact_query,
+    "op12_conversation_repair": dialog_query,
 }
 
 _RULES_SQL = r"""
