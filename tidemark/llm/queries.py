@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import dialogs, exact, fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc
+from tidemark.llm import dialogs, exact, fingerprints, langid, line_dedup, lm, mixing, packing, rules, simhash, token_files, warc, whitening
 from tidemark.llm.tokens import vocabulary
 
 
@@ -84,6 +84,10 @@ def dialog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogs.report(dialogs.damaged(turns), turns)
 
 
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprint_query,
     "op2_lm_scoring": lm_query,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": line_query,
     "op11_exact_dedup": exact_query,
     "op12_conversation_repair": dialog_query,
+    "op13_whitening": whitening_query,
 }
 
 _RULES_SQL = r"""
