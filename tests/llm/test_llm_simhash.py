@@ -120,3 +120,12 @@ def test_one_of_each_group_stays(spark):
         known = [i for i in ids if i is not None]
         assert r["doc_id"] == (min(known) if known else None)
     assert simhash.keep_one(samples.empty(spark)).count() == 0
+
+
+def test_fingerprints_are_spread_once_more_before_their_variants(spark):
+    """The spreading shuffle is in the plan that ran, and its partitions were not merged."""
+    prints = spark.range(300).select(F.xxhash64("id").alias("v"))
+    links = simhash.collisions(prints, "v")
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64(_value" in plan and "REPARTITION_BY_NUM" in plan

@@ -80,9 +80,10 @@ def collisions(prints: DataFrame, column: str, radius: int = RADIUS) -> DataFram
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even")
     values = prints.select(F.col(column).alias("_value")).where(F.col(column).isNotNull()).distinct()
-    # Values are short and their variants many: they are spread by number, not merged by size.
+    # Values are short and their variants many, so they are spread once more, by number: a shuffle
+    # that was asked for with a number is not merged by size, as that of the distinct values is.
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = values.repartition(spread, "_value")
+    values = values.repartition(spread, F.xxhash64("_value"))
     variants = values.select(F.explode(ball(F.col("_value"), radius // 2)).alias("_variant"), "_value")
     met = variants.groupBy("_variant").agg(F.collect_list("_value").alias("_members"))
     links = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import operator
 import re
 import struct
 import zlib
@@ -21,6 +22,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualNullSafe,
     EqualTo,
     Filter,
     GreaterThan,
@@ -28,8 +30,13 @@ from pyspark.sql.datasource import (
     In,
     InputPartition,
     IsNotNull,
+    IsNull,
     LessThan,
     LessThanOrEqual,
+    Not,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
     WriterCommitMessage,
 )
 
@@ -38,6 +45,7 @@ from tidemark.llm.filesets import FileSet
 from tidemark.session import work_folder
 
 FILE_BYTES = 256 << 20  # a file is closed when it has reached this size
+PIECE_BYTES = 8 << 20  # the manifest names a record's start after so many bytes, where a file may be cut
 BATCH_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,12 +121,14 @@ class _Writer(DataSourceArrowWriter):
         self.files, self.file_bytes = FileSet(path), file_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        entries, stream, name, size, count = [], None, "", 0, 0
+        entries, stream, name, size, count, starts = [], None, "", 0, 0, []
         for batch in iterator:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 if stream is None:
-                    (name, stream), size, count = self.files.create(".warc.gz"), 0, 0
+                    (name, stream), size, count, starts = self.files.create(".warc.gz"), 0, 0, []
+                if not starts or size - starts[-1] >= PIECE_BYTES:
+                    starts.append(size)
                 row = {n: c[i].as_py() for n, c in columns.items()}
                 data = record(
                     row["page_id"],
@@ -133,11 +143,11 @@ class _Writer(DataSourceArrowWriter):
                 size, count = size + len(data), count + 1
                 if size >= self.file_bytes:
                     stream.close()
-                    entries.append({"name": name, "bytes": size, "records": count})
+                    entries.append({"name": name, "bytes": size, "records": count, "starts": starts})
                     stream = None
         if stream is not None:
             stream.close()
-            entries.append({"name": name, "bytes": size, "records": count})
+            entries.append({"name": name, "bytes": size, "records": count, "starts": starts})
         return Written(entries)
 
     def commit(self, messages: list[Written]) -> None:
@@ -147,30 +157,49 @@ class _Writer(DataSourceArrowWriter):
         self.files.remove([e["name"] for m in messages if m for e in m.entries])
 
 
+_COMPARED = {
+    EqualTo: operator.eq,
+    GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge,
+    LessThan: operator.lt,
+    LessThanOrEqual: operator.le,
+    StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith,
+    StringContains: operator.contains,
+}
+
+
 def _test(found: Filter) -> tuple[str, Callable] | None:
-    """Column and test of a filter that headers can answer."""
-    kind, path = type(found), getattr(found, "attribute", ())
+    """Column and test of a filter that headers can answer; None leaves it to Spark.
+
+    A comparison with a null is unknown, and so is its negation: neither is in the result. Tests for
+    null and null-safe equality are never unknown.
+    """
+    asked = found.child if isinstance(found, Not) else found
+    path, value = getattr(asked, "attribute", ()), getattr(asked, "value", None)
     if len(path) != 1 or path[0] not in COLUMNS:
         return None
-    if kind is IsNotNull:
-        return path[0], lambda x: x is not None
-    value = found.value
-    tests = {
-        EqualTo: lambda x: x == value,
-        In: lambda x: x in value,
-        GreaterThan: lambda x: x > value,
-        GreaterThanOrEqual: lambda x: x >= value,
-        LessThan: lambda x: x < value,
-        LessThanOrEqual: lambda x: x <= value,
-    }
-    if kind not in tests:
+    certain = True
+    if isinstance(asked, IsNull):
+        test = lambda x: x is None
+    elif isinstance(asked, IsNotNull):
+        test = lambda x: x is not None
+    elif isinstance(asked, EqualNullSafe):
+        test = lambda x: x == value
+    elif isinstance(asked, In) and None not in value:
+        certain, test = False, lambda x: x in value
+    elif type(asked) in _COMPARED and value is not None:
+        certain, test = False, lambda x: _COMPARED[type(asked)](x, value)
+    else:
         return None
-    return path[0], lambda x, test=tests[kind]: x is not None and test(x)
+    if isinstance(found, Not):
+        return path[0], lambda x: (certain or x is not None) and not test(x)
+    return path[0], lambda x: (certain or x is not None) and test(x)
 
 
 @dataclass
 class Files(InputPartition):
-    names: tuple[str, ...]
+    spans: tuple[tuple[str, int, int], ...]  # name, first byte, byte behind the last
 
 
 class _Reader(DataSourceReader):
@@ -190,21 +219,25 @@ class _Reader(DataSourceReader):
                 yield found
 
     def partitions(self) -> list[Files]:
-        """Small files share a partition, up to ``split_bytes``."""
-        found, names, size = [], [], 0
+        """Up to ``split_bytes`` each: small files share a partition, large ones are cut where a record
+        starts."""
+        found, spans, size = [], [], 0
         for e in self.files.entries():
-            if names and size + e["bytes"] > self.split_bytes:
-                found.append(Files(tuple(names)))
-                names, size = [], 0
-            names.append(e["name"])
-            size += e["bytes"]
-        return [*found, Files(tuple(names))]
+            for start, end in zip(e["starts"], [*e["starts"][1:], e["bytes"]]):
+                if spans and size + end - start > self.split_bytes:
+                    found.append(Files(tuple(spans)))
+                    spans, size = [], 0
+                size += end - start
+                if spans and spans[-1][0] == e["name"]:
+                    start = spans.pop()[1]
+                spans.append((e["name"], start, end))
+        return [*found, Files(tuple(spans))]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for name in partition.names:
+        for name, start, end in partition.spans:
             with self.files.open(name) as stream:
-                for row in self.records(stream):
+                for row in self.records(stream, start, end):
                     rows.append(row)
                     size += 200 + (len(row[-1]) if self.payload == "bytes" else 0)
                     if size >= BATCH_BYTES:
@@ -221,8 +254,8 @@ class _Reader(DataSourceReader):
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    def records(self, stream) -> Iterator[tuple]:
-        at, end = 0, stream.size()
+    def records(self, stream, at: int, end: int) -> Iterator[tuple]:
+        end = min(end, stream.size())
         while at < end:
             stream.seek(at)
             head = stream.read(_HEAD)
@@ -340,7 +373,13 @@ def read_warc(spark: SparkSession, path: str, payload: str = "bytes") -> DataFra
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` below the shared folder and read them back, every payload checked."""
-    path = work_folder(pages.sparkSession, "warc")
+    """Write ``pages`` below the shared folder and read them back, every payload checked.
+
+    Responses are read with their payloads, revisits from their headers alone; both conditions are
+    answered by the source, so a record that isn't asked for costs its headers.
+    """
+    path, spark = work_folder(pages.sparkSession, "warc"), pages.sparkSession
     write_warc(pages, path, min_bytes)
-    return read_warc(pages.sparkSession, path, "verify")
+    responses = read_warc(spark, path, "verify").where(F.col("refers_to").isNull())
+    revisits = read_warc(spark, path, "none").where(F.col("record_type") == "revisit")
+    return responses.unionByName(revisits)
