@@ -6,13 +6,19 @@ import re
 import sys
 from array import array
 
-import numpy as np
-
 END = 0  # appended to each document
 CACHED = 400_000  # parts in each of the two generations a worker keeps
 
 _ENDS = tuple(".,;:!?|")  # a mark that ends a word and starts no contraction
 
+# The pieces that the byte-level pattern makes of ASCII without white space.
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
+
+# Bytes that the byte-level alphabet shows as themselves; the others follow from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_ALPHABET = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
+
 # A space is cut off safely unless white space stands both before and after it.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 
@@ -50,23 +56,25 @@ class _Parts(dict):
         self[part] = found
 
     def found(self, part: str) -> bytes:
+        encoder = self.encoder
+        if not encoder.plain:
+            return encoder.whole(self.before + part)
+        if part.isalpha():
+            return encoder.piece(self.before + part)
         if part[-1:] in _ENDS and part[:-1].isalpha():
             # Letters and one mark behind them are two pieces of the pattern.
-            return self[part[:-1]] + self.encoder.marks[part[-1]]
+            return self[part[:-1]] + encoder.marks[part[-1]]
+        words = part.split()
+        if words == [part] and part.isascii() and part.isprintable():
+            pieces = _PIECES.findall(self.before + part)
+            return b"".join(map(encoder.piece, pieces))
         if "\n" in part:
             lines = part.split("\n")
-            if part.split() == lines:
+            if words == lines:
                 # A single line end between words is a piece of its own, and no space follows it.
-                words = [self[lines[0]], *[self.encoder.bare[x] for x in lines[1:]]]
-                return self.encoder.line_end.join(words)
-        return self.encoder.whole(self.before + part)
-
-
-def _parted(ids: bytes, at: bytes) -> list[bytes]:
-    """Ids cut at every occurrence of one id, which is left out."""
-    numbers = np.frombuffer(ids, "<u4")
-    cuts = (4 * np.flatnonzero(numbers == np.frombuffer(at, "<u4")[0])).tolist()
-    return [ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)])]
+                words = [self[lines[0]], *[encoder.bare[x] for x in lines[1:]]]
+                return encoder.line_end.join(words)
+        return encoder.whole(self.before + part)
 
 
 class Encoder:
@@ -74,8 +82,10 @@ class Encoder:
 
     A byte-level BPE encodes the pieces of its pattern one by one, and a piece holds a space only in
     front or within white space. So a text may be cut before every single space that follows or
-    precedes a word, and most parts are then found in the cache. Texts where that is not certain, or
-    with a special token in them, are encoded whole.
+    precedes a word, and most parts are then found in the cache. A part that is one piece, or ASCII
+    whose pieces are known, goes to the library's model itself, which spares it the offsets of each
+    character. Texts where that is not certain, or with a special token in them, are encoded whole, and
+    so are all parts if the file has another pattern or a step before it.
     """
 
     def __init__(self, path: str) -> None:
@@ -83,6 +93,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        steps = f"{self.library.normalizer} {self.library.pre_tokenizer} {self.library.post_processor}"
+        self.plain = re.fullmatch(r"None ByteLevel\(add_prefix_space=False, .*use_regex=True\) None", steps) is not None
+        self.model = self.library.model
         self.marks = {c: self.whole(c) for c in _ENDS}
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Parts(self, " "), _Parts(self, "")
@@ -93,6 +106,17 @@ class Encoder:
             ids.byteswap()
         return ids.tobytes()
 
+    def piece(self, text: str) -> bytes:
+        """The ids of one piece of the pattern, by the model. It has no ASCII controls."""
+        if text.isascii():
+            shown = text.replace(" ", _ALPHABET[0x20])
+        else:
+            shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text (a null is empty), without the end id."""
         if not text:
@@ -100,24 +124,8 @@ class Encoder:
         if _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         head, *rest = text.split(" ")
-        fresh = {p for p in set(rest) if p not in self.spaced}
-        if len(fresh) > 1:
-            self._learn(fresh)
         return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
 
-    def _learn(self, parts: set[str]) -> None:
-        """Encode words that are new to the cache in one call, each on a line, and keep their ids."""
-        known, older = self.spaced, self.spaced.older
-        words = []
-        for word in {p[:-1] if p[-1:] in _ENDS else p for p in parts}:
-            if word.isalpha() and len(word) <= 200 and word not in known and word not in older:
-                words.append(word)
-        if len(words) > 1:
-            # A letter never gives the id of a line end, so that id parts the words again.
-            ids = self.whole(" " + "\n ".join(words))
-            for word, found in zip(words, _parted(ids, self.line_end)):
-                known.keep(word, found)
-
     def document(self, text: str | None) -> bytes:
         return self.encode(text) + END.to_bytes(4, "little")
 
