@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import registry, upsert
 from tidemark.operators.quality import DataQualityError
+from tidemark.operators.returns import add_return_with_history
 from tidemark.plans import landing
 from tidemark.plans.jobs import (
     Lake, Moment, run_backfill, run_figi, run_fundamentals, run_macro, run_prices, run_register,
@@ -355,5 +356,115 @@ def test_history_looks_back_as_far_as_needed(spark, lake, rows):
     batch = spark.createDataFrame([(s, D(2026, 1, 5), 10.0) for s in ("OLD", "NEAR", "NEW")], schema)
     near = jobs.stored_near(tables.read_table(spark, lake.gold, upsert.PRICES), batch)
     assert {r.symbol for r in near.collect()} == {"OLD", "NEAR"}
-    found = jobs.add_return_with_history(batch, near).select("symbol", "close_returns")
+    found = add_return_with_history(batch, near).select("symbol", "close_returns")
     assert rows(found, "symbol") == [("NEAR", 1.0), ("NEW", None), ("OLD", 4.0)]
+
+
+def test_a_batch_delivered_again_leaves_one_run(spark, lake, envelopes, rows):
+    from tidemark.streaming.incremental import load_batch
+
+    good = [{"date": "2026-01-01", "value": "1.5"}]
+    e = envelopes(schemas.MACRO_PAYLOAD, keyed({"observations": good}, series="cpi"), keyed({"observations": good}))
+    assert load_batch(lake, e, 0, run_macro, moment(), "/progress") is True
+    assert load_batch(lake, e, 0, run_macro, moment(), "/progress") is False
+    assert len(runs(spark, lake)) == 1 and len(rejected(spark, lake)) == 1
+    assert load_batch(lake, e, 1, run_macro, moment(), "/progress") is True
+    assert load_batch(lake, e, 0, run_macro, moment(), "/another") is True
+    assert len(runs(spark, lake)) == 3
+
+
+def test_a_batch_whose_run_broke_off_is_run_again_under_its_name(spark, lake, envelopes, monkeypatch):
+    from tidemark.plans import jobs
+    from tidemark.streaming.incremental import load_batch
+
+    good = [{"date": "2026-01-01", "value": "1.5"}]
+    e = envelopes(schemas.MACRO_PAYLOAD, keyed({"observations": good}, series="cpi"), keyed({"observations": good}))
+
+    def lost(*_, **__):
+        raise RuntimeError("the load breaks")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs, "load", lost)
+        with pytest.raises(RuntimeError):
+            load_batch(lake, e, 0, run_macro, moment(), "/progress")
+    assert [s for _, s, *_ in runs(spark, lake)] == ["failed"]
+    later = Moment.at("2026-02-01 17:00:00")
+    assert load_batch(lake, e, 0, run_macro, later, "/progress") is True
+    assert [s for _, s, *_ in runs(spark, lake)] == ["partial"]
+    assert len(rejected(spark, lake)) == 1
+    silver = tables.read_silver(spark, lake.silver, "fred", "macro", schemas.SILVER_MACRO)
+    assert silver.count() == 1
+
+
+def test_a_backfill_goes_on_where_it_was_left(spark, lake, envelopes, rows, monkeypatch):
+    from tidemark.plans import jobs
+
+    names = "ABCD"
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(list(names), *[(s, 5, 1.0 + i) for i, s in enumerate(names)]))
+    asked = spark.createDataFrame(
+        [(s, i, D(2026, 1, 1), D(2026, 1, 31)) for i, s in enumerate(names)],
+        "symbol string, position bigint, start date, end date",
+    )
+    plain, loads = jobs._load_prices, []
+
+    def second_breaks(*args):
+        loads.append(sorted(r.symbol for r in args[2].select("symbol").collect()))
+        if len(loads) == 2:
+            raise RuntimeError("the load breaks")
+        return plain(*args)
+
+    monkeypatch.setattr(jobs, "_load_prices", second_breaks)
+    with pytest.raises(RuntimeError):
+        run_backfill(spark, lake, e, asked, moment(), batch_size=1, waves=4)
+    assert loads == [["A"], ["B"]]
+    again = run_backfill(spark, lake, e, asked, Moment.at("2026-02-02 16:05:00"), batch_size=1, waves=4)
+    assert loads[2:] == [["B"], ["C"], ["D"]] and again.rows == 3
+    assert rows(again.chunks.select("batch_no", "status", "rows"), "batch_no") == [
+        (i, "success", 1) for i in range(4)
+    ]
+    assert rows(gold(spark, lake, upsert.PRICES, "symbol", "close"), "symbol") == [
+        (s, 1.0 + i) for i, s in enumerate(names)
+    ]
+    # Nothing is open any more, so nothing is read.
+    unread = e.withColumn("payload", F.raise_error(F.lit("read")).cast(e.schema["payload"].dataType))
+    third = run_backfill(spark, lake, unread, asked, moment(), batch_size=1, waves=4)
+    assert third.rows == 0 and third.chunks.count() == 4 and len(loads) == 5
+    # Another request is another plan.
+    other = run_backfill(spark, lake, e, asked.where("symbol <> 'D'"), moment(), batch_size=1)
+    assert other.rows == 3
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0), (2, 0, 1)])
+def test_days_may_come_in_any_order(spark, lake, envelopes, rows, order):
+    days = [[("A", 5, 1.0), ("B", 5, 8.0), ("A", 6, 2.0)], [("A", 9, 8.0)], [("A", 12, 4.0), ("B", 14, 2.0), ("C", 13, 1.0)]]
+    for i in order:
+        e = envelopes(schemas.PRICES_PAYLOAD, prices(sorted({s for s, *_ in days[i]}), *days[i]))
+        run_prices(spark, lake, e, moment())
+    assert rows(gold(spark, lake, upsert.PRICES, "symbol", "ts", "close_returns"), "symbol", "ts") == [
+        ("A", D(2026, 1, 5), None), ("A", D(2026, 1, 6), 1.0), ("A", D(2026, 1, 9), 3.0), ("A", D(2026, 1, 12), -0.5),
+        ("B", D(2026, 1, 5), None), ("B", D(2026, 1, 14), -0.75), ("C", D(2026, 1, 13), None),
+    ]
+
+
+def test_a_repaired_row_keeps_its_other_columns(spark, lake, envelopes, rows):
+    schema = "symbol string, ts date, close double, dividends double, run_id string, source string"
+    stored = spark.createDataFrame([("A", D(2026, 1, 9), 4.0, 0.5, "old", "manual")], schema)
+    tables.load(spark, lake.gold, stored, upsert.PRICES, moment().now)
+    run_prices(spark, lake, envelopes(schemas.PRICES_PAYLOAD, prices(["A"], ("A", 5, 2.0))), moment())
+    found = gold(spark, lake, upsert.PRICES, "ts", "close", "dividends", "run_id", "source", "close_returns")
+    assert rows(found, "ts") == [
+        (D(2026, 1, 5), 2.0, None, None, "yahoo", None), (D(2026, 1, 9), 4.0, 0.5, "old", "manual", 1.0)
+    ]
+
+
+def test_counts_are_observed_and_not_scanned_for(spark, lake, envelopes):
+    """Jobs that a load of prices starts, listed by the call that started them."""
+    e = envelopes(schemas.PRICES_PAYLOAD, prices(["A", "B"], ("A", 5, 1.0), ("B", 6, 2.0)))
+    run_prices(spark, lake, e, moment())
+    group = "observed-prices"
+    spark.sparkContext.setJobGroup(group, "a second load")
+    try:
+        run_prices(spark, lake, e, moment())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 40

@@ -196,3 +196,26 @@ def test_column_helpers(spark):
         got = value(fx.parse_number(lit(text)))
         assert (got != got) if want is True else got == want, text
     assert [value(fx.run_status(lit(r), lit(f))) for r, f in ((0, 3), (5, 0), (5, 1))] == ["success", "success", "partial"]
+
+
+def test_a_symbol_opens_only_the_files_that_hold_it(spark, tmp_path, rows):
+    from datetime import date
+
+    from tidemark.plans import landing
+
+    root, index = str(tmp_path / "bronze"), str(tmp_path / "index")
+    path = bronze.landed_path(root, "yahoo", "history")
+
+    def land(symbol, day):
+        schema = "symbol string, ts date, open double, high double, low double, close double, volume bigint"
+        bars = spark.createDataFrame([(symbol, date(2026, 1, day), 1.0, 1.0, 1.0, 1.0, 1)], schema)
+        bronze.land_envelopes(landing.prices(bars, f"2026-02-{day:02d} 00:00:00"), root)
+        return bronze.refresh_index(spark, path, schemas.PRICES_PAYLOAD, index)
+
+    assert [land(s, d) for s, d in (("A", 1), ("B", 2), ("A", 3))] == [1, 1, 1]
+    assert bronze.refresh_index(spark, path, schemas.PRICES_PAYLOAD, index) == 0
+    found = bronze.read_symbol(spark, index, schemas.PRICES_PAYLOAD, "a")
+    assert rows(found.select("meta.dt"), "dt") == [("2026-02-01",), ("2026-02-03",)]
+    opened = {f.split("/dt=")[1][:10] for f in found.inputFiles()}
+    assert opened == {"2026-02-01", "2026-02-03"}
+    assert bronze.read_symbol(spark, index, schemas.PRICES_PAYLOAD, "Z").count() == 0

@@ -91,6 +91,31 @@ def test_ledger(spark, tmp_path):
     assert L.unknown_runs(ledger.events()).count() == 0
 
 
+def test_the_ledger_folds_its_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "TAIL_FILES", 6)
+    path = str(tmp_path / "runs")
+    plain, folded = [], L.RunLedger(spark, path)
+    for n in range(9):
+        at = F.lit(f"2026-02-01 00:00:{n:02d}").cast("timestamp")
+        run = folded.start("macro", "2026-02-01", at, run_id=f"r{n}")
+        if n != 4:
+            folded.finish(run, status="failed" if n == 5 else "success", items_total=n, at=at)
+        assert len(folded.tail()) <= 6 + 1
+        plain.append((f"r{n}", "running" if n == 4 else "failed" if n == 5 else "success", 0 if n == 4 else n))
+    state = folded.state().orderBy("run_id")
+    assert [(r.run_id, r.status, r.items_total) for r in state.collect()] == plain
+    # A run that is started and finished again, across a fold.
+    folded.start("macro", "2026-02-01", F.lit("2026-02-02 00:00:00").cast("timestamp"), run_id="r5")
+    folded.finish("r5", status="success", items_total=50, at=F.lit("2026-02-02 00:00:01").cast("timestamp"))
+    folded.fold()
+    assert folded.tail() == [] and folded.loaded("r5") and not folded.loaded("r4") and not folded.loaded("r99")
+    again = {r.run_id: r for r in folded.state().collect()}
+    assert len(again) == 9 and (again["r5"].status, again["r5"].items_total) == ("success", 50)
+    assert again["r5"].started_at == datetime(2026, 2, 1, 0, 0, 5)
+    folded.fold()
+    assert folded.state().count() == 9
+
+
 # -- numbering --
 
 

@@ -89,3 +89,8 @@ def cut_text(text: str) -> str:
 def run_status(rows: Column, failed: Column) -> Column:
     """No rows at all still counts as success; otherwise one failed key makes it partial."""
     return F.when((rows == 0) | (failed == 0), F.lit("success")).otherwise(F.lit("partial"))
+
+
+def random_run_id() -> Column:
+    """A fresh id for every row: 32 hexadecimal digits."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))

@@ -248,6 +248,95 @@ def untyped_facts(envelopes: DataFrame) -> DataFrame:
     )
 
 
+FACT_FIELDS = ("end", "start", "val", "accn", "fy", "fp", "form", "filed")
+
+
+def _unfolded(rows: DataFrame, value: Column, key: str, out: str) -> DataFrame:
+    """A row for each entry of a VARIANT object or array; none where it is neither."""
+    entries = F.coalesce(
+        F.try_variant_get(value, "$", "map<string, variant>"),
+        F.map_from_entries(
+            F.transform(
+                F.try_variant_get(value, "$", "array<variant>"),
+                lambda v, i: F.struct(F.lpad(i.cast("string"), 9, "0").alias("key"), v.alias("value")),
+            )
+        ),
+    )
+    return rows.select("*", F.explode(entries).alias(key, out))
+
+
+def _company_facts(lines: DataFrame) -> DataFrame:
+    """Envelope lines (column ``value``) down to single observations, as VARIANT."""
+    v = F.col("_v")
+    rows = lines.select(F.try_parse_json("value").alias("_v"))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    rows = rows.select(
+        "_v",
+        F.nullif(text("$.meta.partitions.symbol"), F.lit("")).alias("ticker"),
+        text("$.meta.run_id").alias("bronze_run_id"),
+        F.coalesce(text("$.meta.params.start"), text("$.meta.dt")).alias("dt"),
+        F.struct(
+            text("$.meta.fetched_at").try_cast("timestamp").alias("at"),
+            text("$.meta.run_id").alias("run"),
+            F.xxhash64(F.to_json(F.try_variant_get(v, "$.meta.params", "map<string, string>"))).alias("which"),
+        ).alias("_env"),
+    )
+    return rows
+
+
+def variant_facts(lines: DataFrame) -> DataFrame:
+    """Reported facts from envelope lines as ``untyped_facts`` gives them, with ``extra``: the fields of
+    the observation that no schema names, as JSON (null if there are none).
+
+    Envelopes are read as VARIANT, so what a vendor adds arrives, whatever its type. Entries of
+    another shape than expected are left out.
+    """
+    rows = _company_facts(lines)
+    rows = _unfolded(rows, F.try_variant_get("_v", "$.payload.facts", "variant"), "taxonomy", "_t")
+    rows = _unfolded(rows.drop("_v"), F.col("_t"), "name", "_b")
+    rows = _unfolded(rows.drop("_t"), F.try_variant_get("_b", "$.units", "variant"), "unit", "_l")
+    rows = _unfolded(rows.drop("_b"), F.col("_l"), "_pos", "_o").drop("_l")
+    fields = F.try_variant_get("_o", "$", "map<string, string>")
+    rows = rows.select("*", fields.alias("o"))
+    extra = F.map_filter("o", lambda k, v: ~k.isin(*FACT_FIELDS))
+    kept = rows.where((F.col("o")["end"] != "") & F.col("o")["val"].isNotNull())
+    return kept.select(
+        "ticker",
+        F.concat_ws(":", "taxonomy", "name").alias("concept"),
+        "unit",
+        F.col("o")["start"].alias("period_start"),
+        F.col("o")["end"].alias("period_end"),
+        *(F.col("o")[c].alias(c) for c in ("fy", "fp", "form", "val", "accn", "filed")),
+        F.when(F.size(extra) > 0, F.to_json(extra)).alias("extra"),
+        "bronze_run_id",
+        "dt",
+        F.struct("_env", "taxonomy", "name", "unit", "_pos").alias("ord"),
+    )
+
+
+def unknown_fact_fields(lines: DataFrame) -> DataFrame:
+    """(level, field, n): fields that company envelopes carry and no schema names, and how often.
+
+    Levels are the payload, the body of a concept, and the observation.
+    """
+    rows = _company_facts(lines).select("_v")
+    payload = _unfolded(rows, F.try_variant_get("_v", "$.payload", "variant"), "field", "value")
+    bodies = _unfolded(rows, F.try_variant_get("_v", "$.payload.facts", "variant"), "_1", "_t").select("_t")
+    bodies = _unfolded(bodies, F.col("_t"), "_2", "_b").select("_b")
+    units = _unfolded(bodies, F.try_variant_get("_b", "$.units", "variant"), "_3", "_l").select("_l")
+    observations = _unfolded(units, F.col("_l"), "_4", "_o").select("_o")
+    levels = (
+        ("payload", payload, ("facts",)),
+        ("concept", _unfolded(bodies, F.col("_b"), "field", "value"), ("units",)),
+        ("observation", _unfolded(observations, F.col("_o"), "field", "value"), FACT_FIELDS),
+    )
+    found = None
+    for level, entries, known in levels:
+        named = entries.where(~F.col("field").isin(*known)).select(F.lit(level).alias("level"), "field")
+        found = named if found is None else found.unionByName(named)
+    return found.groupBy("level", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
 def normalize_figi(envelopes: DataFrame) -> DataFrame:
     """Identifier candidates of a ticker: every one that has an identifier is kept."""
     rows = _head(envelopes, F.lit(None)).select(

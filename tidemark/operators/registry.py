@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import schemas
 from tidemark.operators.dedup import keep_first
 from tidemark.operators.numbering import number_rows
-from tidemark.operators.upsert import BUCKETS, TableSpec
+from tidemark.operators.upsert import TableSpec
 
 INSTRUMENTS = TableSpec(
     name="universal_instruments",
@@ -15,7 +15,8 @@ INSTRUMENTS = TableSpec(
     key=("ticker",),
     updated=("id", "name", "exchange", "currency", "timezone", "is_active", "is_scheduled"),
     touched="updated_at",
-    layout=("bucket", f"pmod(xxhash64(ticker), {BUCKETS})"),
+    layout=("bucket", "pmod(xxhash64(ticker), 4)"),
+    files=2,
 )
 
 

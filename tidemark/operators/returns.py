@@ -98,3 +98,35 @@ def add_return_with_history(
         context.withColumn("_batch", F.lit(False)), allowMissingColumns=True
     )
     return add_return(both, column, group_by, order_by).where("_batch").drop("_batch")
+
+
+def returns_around(batch: DataFrame, stored: DataFrame, first, final) -> DataFrame:
+    """The batch rows with ``close_returns``, and the stored rows whose return a batch row changes.
+
+    A batch row follows the row before it in its symbol, stored or in the batch. The stored row that
+    comes to follow a batch row is returned whole, with its return anew; so days may be loaded in any
+    order, and the table ends up as if they had come in theirs. Stored rows that the batch replaces do
+    not count. ``first`` and ``final`` are the batch's first and last day. Of the stored rows before
+    them only each symbol's latest goes on, of those behind them only the earliest.
+    """
+    time = F.col("ts")
+    whole = F.struct(*stored.columns)
+    symbols = batch.select("symbol").distinct()
+    known = stored.join(symbols, "symbol", "left_semi")
+
+    before, behind = known.where(time < F.lit(first)), known.where(time > F.lit(final))
+    between = known.where(time.between(F.lit(first), F.lit(final))).join(
+        batch.select("symbol", "ts"), ["symbol", "ts"], "left_anti"
+    )
+    # Nothing before the batch follows a batch row, so of those rows the value is enough.
+    latest = before.groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("close", "ts").alias("close"))
+    earliest = behind.groupBy("symbol").agg(F.min_by(whole, time).alias("_row")).select("_row.*")
+    context = between.unionByName(earliest).unionByName(latest, allowMissingColumns=True)
+    both = batch.withColumn("_batch", F.lit(True)).unionByName(
+        context.withColumn("_batch", F.lit(False)), allowMissingColumns=True
+    )
+    located = with_previous(with_previous(both, "close", "_prior"), "_batch", "_follows")
+    touched = located.where(F.col("_batch") | F.col("_follows"))
+    return touched.withColumn("close_returns", simple_return(F.col("close"), F.col("_prior"))).drop(
+        "_batch", "_prior", "_follows"
+    )

@@ -16,6 +16,7 @@ FACT_COLUMNS = ("ticker", "concept", "unit", "period_end", "fy", "fp", "form", "
 INSTRUMENT_COLUMNS = (
     *("id", "ticker", "name", "exchange", "currency", "timezone", "is_active", "is_scheduled"),
 )
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 FACT_ORDER = ("concept", "unit", "fp", "form")
 
 
@@ -94,9 +95,12 @@ def top_per_key(
 
     The salt is the input partition, so that a map task has one part of a key and not a piece of all:
     each key is first cut down in ``salts`` parts, of the rows of some map tasks each, and what is
-    left of them as a whole. Up to the limit that ``spark.sql.optimizer.windowGroupLimitThreshold``
-    sets, Spark also cuts each part down ahead of the shuffle.
+    left of them as a whole. Spark also cuts each part down ahead of the shuffle, to ``limit`` rows of a
+    key and map task, up to a limit that the session sets (``GROUP_LIMIT``); it is raised to this one.
     """
+    spark = rows.sparkSession
+    if 0 <= int(spark.conf.get(GROUP_LIMIT)) < limit:
+        spark.conf.set(GROUP_LIMIT, limit)
     by = [F.col(c) if isinstance(c, str) else c for c in order]
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     part = Window.partitionBy(key, "_salt").orderBy(*by)

@@ -21,7 +21,9 @@ class TableSpec:
     ``updated_if_given`` columns do so only if the batch has them. ``defaults`` fill new rows; on
     conflict such a column keeps its stored value. ``touched`` is set to the load time.
     ``layout`` names the directory column and its expression; a key's rows never move between
-    directories, since the expression uses key columns only.
+    directories, since the expression uses key columns only. A directory's rows lie in ``files`` files,
+    by a hash of the key and sorted by it; that is also the number of tasks that load a batch.
+    ``sought`` columns have Bloom filters, for reads that look for one value.
     """
 
     name: str
@@ -33,14 +35,16 @@ class TableSpec:
     updated_if_given: tuple[str, ...] = ()
     defaults: tuple[tuple[str, str], ...] = ()
     sort: tuple[str, ...] = ()
+    files: int = 8
+    sought: tuple[str, ...] = ()
 
-    def with_buckets(self, count: int) -> TableSpec:
-        """For a table yet to be begun: laid out by ``count`` buckets of the first name in its key."""
+    def with_buckets(self, count: int, files: int | None = None) -> TableSpec:
+        """For a table yet to be begun: laid out by ``count`` directories of the first name in its key."""
         key = "ticker" if "ticker" in self.key else self.key[0]
-        return replace(self, layout=("bucket", f"pmod(xxhash64({key}), {count})"))
+        return replace(self, layout=("bucket", f"pmod(xxhash64({key}), {count})"), files=files or self.files)
 
 
-BUCKETS = 64  # directories of a table laid out by key, unless begun with another number
+BUCKETS = 16  # directories of a table laid out by key, unless begun with another number
 
 PRICES = TableSpec(
     name="prices_1d",
@@ -54,6 +58,7 @@ PRICES = TableSpec(
     # A day's batch rewrites its month alone.
     layout=("month", "100 * year(ts) + month(ts)"),
     defaults=(("source", "yahoo"),),
+    sought=("symbol",),
 )
 MACRO = TableSpec(
     name="macro_series",
@@ -76,6 +81,7 @@ FACTS = TableSpec(
     layout=("bucket", f"pmod(xxhash64(ticker), {BUCKETS})"),
     defaults=(("source", "sec_edgar"),),
     sort=("ticker", "concept", "period_end"),
+    sought=("ticker",),
 )
 FIGI = TableSpec(
     name="instrument_figi",
@@ -89,6 +95,8 @@ FIGI = TableSpec(
     touched="ingested_at",
     layout=("bucket", f"pmod(xxhash64(ticker), {BUCKETS})"),
     defaults=(("source", "openfigi"),),
+    files=4,
+    sought=("ticker",),
 )
 WATERMARKS = TableSpec(
     name="ingestion_watermarks",
@@ -96,7 +104,8 @@ WATERMARKS = TableSpec(
     key=("source", "dataset", "ticker"),
     updated=("last_ts", "last_run_id"),
     touched="updated_at",
-    layout=("bucket", f"pmod(xxhash64(ticker), {BUCKETS})"),
+    layout=("bucket", "pmod(xxhash64(ticker), 4)"),
+    files=2,
 )
 
 

@@ -1,8 +1,9 @@
 """The batch jobs: landed envelopes to Silver, through the gate, to Gold, with marks and ledger.
 
-Each job takes the envelopes of all keys at once. The stages meet in written tables: Silver is
-written once and read back for the gate, the features, the load and the marks, so no stage repeats
-the parsing and nothing depends on a cached partition surviving.
+Each job takes the envelopes of all keys at once. The stages meet in written tables: envelopes are
+parsed once, Silver is written once and read back for the features, the load and the marks, and nothing
+depends on a cached partition surviving. The counts a job decides by, the gate's among them, are
+observed in those writes, so none of them costs a scan of its own.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import schemas
 from tidemark.functions.columns import cut_text, run_status
 from tidemark.operators import clean, normalize, upsert, watermark
 from tidemark.operators.backfill import date_windows, symbol_batches, window_of
-from tidemark.operators.dedup import keep_first
+from tidemark.operators.dedup import keep_first, keep_last
 from tidemark.operators.ledger import RunLedger, finish_events, start_events
-from tidemark.operators.quality import MAX_NULL_CLOSE_RATIO, check_prices, quality_metrics, verdict
+from tidemark.operators.quality import MAX_NULL_CLOSE_RATIO, gate_counts, passed, quality_metrics, verdict
 from tidemark.operators.registry import (
     INSTRUMENTS,
     missing_symbols,
@@ -26,7 +27,7 @@ from tidemark.operators.registry import (
     registered,
     unregistered,
 )
-from tidemark.operators.returns import add_return, add_return_with_history
+from tidemark.operators.returns import add_return, returns_around
 from tidemark.operators.selection import clean_symbols, require_any
 from tidemark.operators.serve import INSTRUMENT_COLUMNS
 from tidemark.plans import vendors
@@ -44,7 +45,7 @@ CHUNKED_PRICES = T.StructType(
 
 CHUNKS = schemas.ddl(
     """plan_id string, run_id string, batch_no bigint, window_start date, status string,
-       items_total int, items_success int, items_failed int, rows bigint, notes string"""
+       items_total int, items_success int, items_failed int, rows bigint, notes string, at timestamp"""
 )
 
 
@@ -107,12 +108,15 @@ def run_prices(
     requested: DataFrame | None = None,
     scope: str = "history",
     max_null_close_ratio: float = MAX_NULL_CLOSE_RATIO,
+    run_id: str | None = None,
 ) -> int:
     """Load daily prices. Returns the number of batch rows.
 
     ``scope`` says what the first row of a symbol in the batch is compared with: "history" takes
-    the stored row before it, "batch" leaves its return null. ``requested`` names the symbols that
+    the stored row before it, and stored rows that now follow a batch row get their return anew;
+    "batch" leaves its return null and stored rows alone. ``requested`` names the symbols that
     were asked for; those without rows count as failed. Without it the envelopes say what was.
+    A run that is repeated under the same ``run_id`` replaces what the one before left.
 
     The envelopes are read once. One that cannot be read, a symbol with a price that is no number or
     a malformed day, and a symbol without rows are listed in the rejects and count as failed; the
@@ -121,33 +125,37 @@ def run_prices(
     if scope not in ("history", "batch"):
         raise ValueError(f"unknown scope {scope!r}")
     ledger = lake.ledger(spark)
-    run_id = ledger.start("prices_1d", moment.run_date, moment.now)
+    run_id = ledger.start("prices_1d", moment.run_date, moment.now, run_id)
     work, total = lake.work("prices"), 0
     try:
         if requested is not None:
             requested = require_any(clean_symbols(requested.select("symbol")))
-        items = _kept(normalize.price_items(envelopes), f"{work}/items")
-        silver = _to_silver(
+        items, seen = _counted(
+            normalize.price_items(envelopes), f"{work}/items", lost=F.count_if(F.col("kind") == "unreadable")
+        )
+        silver, gate = _to_silver(
             spark, lake, clean.clean_prices(_good_rows(items)), moment, "yahoo", "prices_1d",
-            schemas.SILVER_PRICES, clean.PRICES_KEY,
+            schemas.SILVER_PRICES, clean.PRICES_KEY, run_id, **gate_counts(), **_days(),
+        )
+        known, counts = _counted(
+            _symbols(items, requested, silver), f"{work}/symbols",
+            total=F.count(F.lit(1)), failed=F.count_if("failed"),
         )
-        known = _kept(_symbols(items, requested, silver), f"{work}/symbols")
-        lost = items.where("kind = 'unreadable'").count()
-        counts = known.agg(F.count(F.lit(1)).alias("total"), F.count_if("failed").alias("failed")).first()
-        total, failed = counts.total + lost, counts.failed + lost
+        lost = seen["lost"]
+        total, failed = counts["total"] + lost, counts["failed"] + lost
         if failed:
-            _reject(lake, run_id, "prices_1d", _price_rejects(items, known))
-        if lost and not counts.total:
+            _reject(lake, run_id, "prices_1d", _price_rejects(items, known), "items")
+        if lost and not counts["total"]:
             raise ValueError(f"none of {lost} envelopes could be read")
-        if silver.isEmpty():
+        if not gate["row_count"]:
             note = "no rows after cleaning" + (f"; {_listed(failed, total)}" if failed else "")
             _finish(ledger, run_id, moment, "partial" if lost else "success", total, failed, note)
             return 0
-        check_prices(silver, max_null_close_ratio=max_null_close_ratio)
-        count = _load_prices(spark, lake, silver, moment, scope)
+        passed(gate, max_null_close_ratio)
+        _load_prices(spark, lake, silver, moment, scope, gate["first"], gate["final"])
         note = _listed(failed, total) if failed else None
         _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
-        return count
+        return gate["row_count"]
     except Exception as e:
         _finish(ledger, run_id, moment, "failed", total, total, cut_text(str(e)))
         raise
@@ -155,29 +163,40 @@ def run_prices(
         files.remove(spark, work)
 
 
+def _days() -> dict[str, Column]:
+    return {"first": F.min("ts"), "final": F.max("ts")}
+
+
 def _load_prices(
-    spark: SparkSession, lake: Lake, silver: DataFrame, moment: Moment, scope: str
-) -> int:
+    spark: SparkSession, lake: Lake, silver: DataFrame, moment: Moment, scope: str, first, final
+) -> None:
+    """Load gated rows, whose days lie between ``first`` and ``final``, with their returns."""
     batch = silver.select(*schemas.SILVER_PRICES.names)
     if scope == "history":
         table = read_table(spark, lake.gold, upsert.PRICES)
-        priced = add_return_with_history(batch, stored_near(table, batch))
+        stored = stored_near(table, batch, first)
+        work = lake.work("returns")
+        try:
+            # The rows that follow the batch are among the stored ones that the load replaces.
+            priced = _kept(returns_around(batch, stored, first, final), f"{work}/priced")
+            load(spark, lake.gold, priced, upsert.PRICES, moment.now, unique=priced)
+        finally:
+            files.remove(spark, work)
     else:
-        priced = add_return(batch, "close")
-    # The gate has seen to it that keys are unique; directories are found without the returns.
-    count = load(spark, lake.gold, priced, upsert.PRICES, moment.now, unique=batch)
+        load(spark, lake.gold, add_return(batch, "close"), upsert.PRICES, moment.now, unique=batch)
     _advance(spark, lake, silver, "symbol", "ts", watermark.PRICES_MARK, moment)
-    return count
 
 
-def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """The stored prices that can hold the row before a batch row, without reading all months.
+def stored_near(table: DataFrame, batch: DataFrame, first=None) -> DataFrame:
+    """The stored prices that can hold the row before a batch row, and all from its ``first`` day on,
+    without reading all months.
 
     Nearly every symbol has a row in the batch's first month or the one before. Older months are
     read only for the symbols that have none there. Where those are few Spark broadcasts them by its
     own size check; their names never pass through the driver.
     """
-    first = batch.agg(F.min("ts")).first()[0]
+    if first is None:
+        first = batch.agg(F.min("ts")).first()[0]
     since = 100 * first.year + first.month - (89 if first.month == 1 else 1)
     recent = table.where(F.col("month") >= since)
     older = table.where(F.col("month") < since)
@@ -188,87 +207,110 @@ def stored_near(table: DataFrame, batch: DataFrame) -> DataFrame:
     return recent.unionByName(older.join(open_symbols, "symbol", "left_semi"))
 
 
-def run_macro(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
+def run_macro(
+    spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment, *, run_id: str | None = None
+) -> int:
     """Load macro observations of all series in the batch. There is no gate."""
-    return run_vendor(spark, lake, envelopes, moment, vendors.MACRO)
+    return run_vendor(spark, lake, envelopes, moment, vendors.MACRO, run_id=run_id)
 
 
-def run_fundamentals(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
+def run_fundamentals(
+    spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment, *, run_id: str | None = None
+) -> int:
     """Load reported facts of all tickers in the batch. There is no gate."""
-    return run_vendor(spark, lake, envelopes, moment, vendors.FACTS)
+    return run_vendor(spark, lake, envelopes, moment, vendors.FACTS, run_id=run_id)
 
 
-def run_figi(spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment) -> int:
+def run_figi(
+    spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment, *, run_id: str | None = None
+) -> int:
     """Load identifier candidates of registered tickers; other tickers count as failed. There is no
     high-water mark."""
-    return run_vendor(spark, lake, envelopes, moment, vendors.FIGI)
+    return run_vendor(spark, lake, envelopes, moment, vendors.FIGI, run_id=run_id)
 
 
 def run_vendor(
-    spark: SparkSession, lake: Lake, envelopes: DataFrame, moment: Moment, vendor: vendors.Vendor
+    spark: SparkSession,
+    lake: Lake,
+    envelopes: DataFrame,
+    moment: Moment,
+    vendor: vendors.Vendor,
+    *,
+    run_id: str | None = None,
 ) -> int:
     """Load one vendor's envelopes as its description says. Returns the number of batch rows.
 
     Envelopes that cannot be read or lack their key, keys the vendor does not know, keys with a value
     that does not cast or a malformed day, and keys that are not registered are listed in the rejects
-    and count as failed; the others are loaded. If no envelope can be read, the run fails.
+    and count as failed; the others are loaded. If no envelope can be read, the run fails. The text of
+    the envelopes is parsed once, into columns that the keys and the rows are taken from.
     """
     ledger = lake.ledger(spark)
-    run_id = ledger.start(vendor.run_name, moment.run_date, moment.now)
+    run_id = ledger.start(vendor.run_name, moment.run_date, moment.now, run_id)
     work, total = lake.work(vendor.run_name), 0
     try:
-        heads = _kept(_heads(envelopes, vendor), f"{work}/heads")
-        keyless = F.col("key").isNull()
-        counted = heads.agg(
-            F.count_if(~keyless).alias("keys"),
-            F.coalesce(F.sum(F.when(keyless, F.col("n"))), F.lit(0)).alias("keyless"),
-            F.count_if(~keyless & F.col("kind").isNotNull()).alias("unknown"),
-            F.coalesce(F.sum(F.when(F.col("kind") == "unreadable", F.col("n"))), F.lit(0)).alias("lost"),
-        ).first()
-        total, failed = counted.keys + counted.keyless, counted.keyless + counted.unknown
+        envelopes = _kept(envelopes, f"{work}/envelopes")
+        keyless, lost = F.col("key").isNull(), F.col("kind") == "unreadable"
+        heads, counted = _counted(
+            _heads(envelopes, vendor), f"{work}/heads",
+            keys=F.count_if(~keyless),
+            keyless=F.coalesce(F.sum(F.when(keyless, F.col("n"))), F.lit(0)),
+            unknown=F.count_if(~keyless & F.col("kind").isNotNull()),
+            lost=F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)),
+        )
+        total = counted["keys"] + counted["keyless"]
+        failed = counted["keyless"] + counted["unknown"]
         if failed:
-            _reject(lake, run_id, vendor.run_name, heads.where("kind is not null"))
-        if counted.lost and counted.lost == total:
+            _reject(lake, run_id, vendor.run_name, heads.where("kind is not null"), "envelopes")
+        if counted["lost"] and counted["lost"] == total:
             raise ValueError(f"none of {total} envelopes could be read")
         keyed, _ = normalize.split_keyed(envelopes, vendor.partition)
         if vendor.unknown:
             keyed = keyed.where(vendor.unknown(normalize.partition_key(vendor.partition)).isNull())
         rows = vendor.normalize(keyed)
         if vendor.wrong:
-            judged = _kept(rows.withColumn("wrong", vendor.wrong(rows)), f"{work}/rows")
-            wrong = judged.where("wrong is not null")
-            keys = wrong.select(vendor.key).distinct()
-            rows = judged.join(keys, vendor.key, "left_anti").drop("wrong")
-            refused = keys.count()
-            if refused:
-                failed += refused
+            judged, seen = _counted(
+                rows.withColumn("wrong", vendor.wrong(rows)), f"{work}/rows",
+                wrong=F.count_if(F.col("wrong").isNotNull()),
+            )
+            rows = judged.drop("wrong")
+            if seen["wrong"]:
+                wrong = judged.where("wrong is not null")
+                keys, refused = _counted(
+                    wrong.select(vendor.key).distinct(), f"{work}/refused", keys=F.count(F.lit(1))
+                )
+                rows = rows.join(keys, vendor.key, "left_anti")
+                failed += refused["keys"]
                 _reject(
                     lake, run_id, vendor.run_name,
                     wrong.select(F.lit("bad_value").alias("kind"), F.col(vendor.key).alias("key"),
                                  F.col("wrong").alias("detail"), "bronze_run_id"),
+                    "values",
                 )
         sort = vendor.table.sort or vendor.table.key
-        silver = _to_silver(
-            spark, lake, vendor.clean(rows), moment, vendor.source, vendor.silver_name, vendor.silver, sort
+        silver, written = _to_silver(
+            spark, lake, vendor.clean(rows), moment, vendor.source, vendor.silver_name, vendor.silver, sort,
+            run_id, n_rows=F.count(F.lit(1)),
         )
         note = _listed(failed, total) if failed else None
-        if silver.isEmpty():
+        if not written["n_rows"]:
             note = "no rows returned" + (f"; {note}" if note else "")
             _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
             return 0
         batch = silver.select(*vendor.silver.names)
         if vendor.needs_registration:
             known = read_table(spark, lake.gold, INSTRUMENTS)
-            strangers = unregistered(batch.select("ticker").distinct(), known)
-            refused = strangers.count()
-            if refused:
-                failed += refused
-                none = F.lit(None).cast("string")
-                _reject(
-                    lake, run_id, vendor.run_name,
-                    strangers.select(F.lit("unregistered").alias("kind"), F.col("ticker").alias("key"),
-                                     none.alias("detail"), none.alias("bronze_run_id")),
-                )
+            none = F.lit(None).cast("string")
+            strangers, refused = _counted(
+                unregistered(batch.select("ticker").distinct(), known).select(
+                    F.lit("unregistered").alias("kind"), F.col("ticker").alias("key"),
+                    none.alias("detail"), none.alias("bronze_run_id"),
+                ),
+                f"{work}/strangers", keys=F.count(F.lit(1)),
+            )
+            if refused["keys"]:
+                failed += refused["keys"]
+                _reject(lake, run_id, vendor.run_name, strangers, "strangers")
                 note = _listed(failed, total)
             batch = registered(batch, known)
         count = load(spark, lake.gold, batch, vendor.table, moment.now, unique=batch)
@@ -332,17 +374,20 @@ def run_register(
     """
     ledger = lake.ledger(spark)
     run_id = ledger.start("register_ticker", moment.run_date, moment.now)
-    total = 0
+    total, work = 0, lake.work("info")
     try:
-        # Judged once; the written table serves the counts, the registry, the backfill and the caller.
-        judged = _kept(normalize.judge_info(info), lake.work("info"))
+        # Judged once; the written table serves the counts, the registry and the backfill.
+        judged, counts = _counted(
+            normalize.judge_info(info), f"{work}/judged", refused=F.count_if(F.col("reason").isNotNull())
+        )
         rejects = judged.where("reason is not null").select("ticker", "reason", "bronze_run_id")
         first = keep_first(judged.where("reason is null").drop("reason"), ["ticker"], ["ord"])
         # Ids may follow any order that repeats.
-        candidates = first.withColumns(
-            {"position": F.xxhash64("ticker"), "is_scheduled": F.lit(is_scheduled)}
+        candidates, seen = _counted(
+            first.withColumns({"position": F.xxhash64("ticker"), "is_scheduled": F.lit(is_scheduled)}),
+            f"{work}/candidates", accepted=F.count(F.lit(1)),
         )
-        accepted, refused = candidates.count(), rejects.count()
+        accepted, refused = seen["accepted"], counts["refused"]
         total = accepted + refused
         known = read_table(spark, lake.gold, INSTRUMENTS)
         fresh = new_instruments(known, candidates, moment.now)
@@ -364,18 +409,27 @@ def run_register(
                 lake, run_id, "register_ticker",
                 rejects.select(F.lit("bad_info").alias("kind"), F.col("ticker").alias("key"),
                                F.col("reason").alias("detail"), "bronze_run_id"),
+                "info",
             )
         _finish(ledger, run_id, moment, status, total, refused, note)
-        stored = registered(read_table(spark, lake.gold, INSTRUMENTS), candidates)
-        return Registration(stored.select(*INSTRUMENT_COLUMNS), rejects, rows)
+        # Of this run's candidates, fresh or known before, the registry's rows; the rejects by its id.
+        named = f"{lake.silver}/registered/{run_id}"
+        candidates.select("ticker").write.mode("overwrite").parquet(named)
+        stored = registered(read_table(spark, lake.gold, INSTRUMENTS), spark.read.parquet(named))
+        listed = lake.rejects(spark).where(F.col("run_id") == run_id)
+        listed = listed.select(F.col("key").alias("ticker"), F.col("detail").alias("reason"), "bronze_run_id")
+        return Registration(stored.select(*INSTRUMENT_COLUMNS), listed, rows)
     except Exception as e:
         _finish(ledger, run_id, moment, "failed", total, total, cut_text(str(e)))
         raise
+    finally:
+        files.remove(spark, work)
 
 
 @dataclass(frozen=True)
 class Backfill:
-    """Rows loaded, and one row per chunk: its batch, window, status, counts, rows and note."""
+    """Rows loaded now, and one row per chunk that was tried, in this run or an earlier one of the plan:
+    its batch, window, last status, counts, rows and note."""
 
     rows: int
     chunks: DataFrame
@@ -392,68 +446,123 @@ def run_backfill(
     years: int = 1,
     scope: str = "history",
     max_null_close_ratio: float = MAX_NULL_CLOSE_RATIO,
+    waves: int = 1,
+    at_most: int | None = None,
 ) -> Backfill:
     """Load the history asked for by (symbol, position, start, end).
 
     Symbols go in batches and days in windows. Every (batch, window) chunk is started in the ledger
     before anything is read, passes or fails the gate by itself, and is finished whatever happens;
-    all chunks are judged and loaded in one job. A symbol with a value that does not cast or a
+    all chunks of a wave are judged and loaded in one job. A symbol with a value that does not cast or a
     malformed day is rejected and missing from its chunks, the others go on.
+
+    The plan's id follows from the request, so the same request goes on where it was left: chunks that
+    were loaded are left alone, failed ones and those never started are open. ``waves`` deals the
+    batches, in their order, to loads one after the other, each finished in the ledger before the next
+    begins; ``at_most`` ends the run after so many of them. Nothing is read if no chunk is open, and
+    rows of closed chunks go no further than the parsing.
     """
     ledger = lake.ledger(spark)
-    chunk, plan_id, work = ["batch_no", "window_start"], uuid.uuid4().hex, lake.work("backfill")
+    chunk, work = ["batch_no", "window_start"], lake.work("backfill")
     asked = keep_first(clean_symbols(requests), ["symbol"], ["position"])
     require_any(asked)
     windows = date_windows(F.col("start"), F.col("end"), years)
-    batched = _kept(
-        symbol_batches(asked, batch_size).select("symbol", "batch_no", windows.alias("windows")),
-        f"{work}/batches",
+    request = F.xxhash64("symbol", "batch_no", "start", "end").cast("decimal(38,0)")
+    batched, counts = _counted(
+        symbol_batches(asked, batch_size).select("symbol", "batch_no", "start", "end", windows.alias("windows")),
+        f"{work}/batches", symbols=F.count(F.lit(1)), request=F.sum(request), last=F.max("batch_no"),
     )
-    planned = _kept(_planned(batched, plan_id, moment), f"{work}/planned")
-    ledger.append(start_events(planned, moment.now))
+    plan_id = uuid.uuid5(
+        uuid.NAMESPACE_OID, f"{counts['symbols']} {counts['request']} {batch_size} {years}"
+    ).hex
+    batched, loaded = batched.drop("start", "end"), 0
+    size = -(-(counts["last"] + 1) // waves)
     try:
-        items = _kept(normalize.price_items(envelopes), f"{work}/items")
-        faulty = items.where("kind in ('bad_value', 'unreadable')")
-        if not faulty.isEmpty():
-            _reject(
-                lake, plan_id, "prices_1d",
-                faulty.select("kind", F.col("symbol").alias("key"), "detail", "bronze_run_id"),
-            )
-        rows = clean.clean_prices(_good_rows(items))
-        chunked = (
-            rows.join(batched, "symbol")
-            .withColumn("window_start", window_of(F.col("windows"), F.col("ts"))["window_start"])
-            .where("window_start is not null")
-            .drop("windows")
-        )
-        # Silver keeps the chunk of each row, so requests and rows are joined once.
-        silver = _to_silver(
-            spark, lake, chunked, moment, "yahoo", "prices_1d", CHUNKED_PRICES, clean.PRICES_KEY
-        )
-        outcomes = _kept(_chunk_outcomes(planned, silver, max_null_close_ratio), f"{work}/outcomes")
-        failed = outcomes.where("status = 'failed'").select(*chunk)
-        good = silver if failed.isEmpty() else silver.join(failed, chunk, "left_anti")
-        loaded = 0 if good.isEmpty() else _load_prices(spark, lake, good, moment, scope)
-        _finish_chunks(lake, ledger, outcomes, plan_id, moment)
-    except Exception as e:
-        broken = planned.select(
-            "*",
-            F.lit("failed").alias("status"),
-            F.lit(0).alias("items_success"),
-            F.col("items_total").alias("items_failed"),
-            F.lit(0).cast("bigint").alias("rows"),
-            F.lit(cut_text(str(e))).alias("notes"),
+        done = _tried(spark, lake, plan_id).where("status <> 'failed'")
+        planned, open_ = _counted(
+            _planned(batched, plan_id, moment).join(done.select(*chunk), chunk, "left_anti"),
+            f"{work}/planned", chunks=F.count(F.lit(1)),
         )
-        _finish_chunks(lake, ledger, broken, plan_id, moment)
-        raise
+        numbers = planned.select(F.floor(F.col("batch_no") / size).alias("wave")).distinct()
+        found = sorted(r.wave for r in numbers.collect()) if open_["chunks"] else []  # waves at most
+        items = None
+        for wave in found[:at_most]:
+            of_wave = F.floor(F.col("batch_no") / size) == wave
+            now_planned = planned.where(of_wave)
+            ledger.append(start_events(now_planned, moment.now))
+            try:
+                if items is None:
+                    items, seen = _counted(
+                        normalize.price_items(envelopes), f"{work}/items",
+                        faulty=F.count_if(F.col("kind").isin("bad_value", "unreadable")),
+                    )
+                    if seen["faulty"]:
+                        faulty = items.where("kind in ('bad_value', 'unreadable')").select(
+                            "kind", F.col("symbol").alias("key"), "detail", "bronze_run_id"
+                        )
+                        _reject(lake, plan_id, "prices_1d", faulty, "items")
+                loaded += _load_wave(
+                    spark, lake, items, batched.where(of_wave), now_planned, moment, f"{plan_id}-{wave}",
+                    scope, max_null_close_ratio, f"{work}/{wave}", ledger,
+                )
+            except Exception as e:
+                broken = now_planned.select(
+                    "*",
+                    F.lit("failed").alias("status"),
+                    F.lit(0).alias("items_success"),
+                    F.col("items_total").alias("items_failed"),
+                    F.lit(0).cast("bigint").alias("rows"),
+                    F.lit(cut_text(str(e))).alias("notes"),
+                )
+                _finish_chunks(lake, ledger, broken, plan_id, moment)
+                raise
     finally:
         files.remove(spark, work)
+    return Backfill(loaded, _tried(spark, lake, plan_id).drop("plan_id", "at"))
+
+
+def _tried(spark: SparkSession, lake: Lake, plan_id: str) -> DataFrame:
+    """The last state of each chunk of a plan that was ever finished; one that was loaded stays so."""
     chunks = appended(spark, lake.chunks_path, CHUNKS).where(F.col("plan_id") == plan_id)
-    return Backfill(loaded, chunks.drop("plan_id"))
+    ranked = chunks.withColumn("_loaded", F.col("status") != "failed")
+    return keep_last(ranked, ["batch_no", "window_start"], ["_loaded", "at"]).drop("_loaded")
+
+
+def _load_wave(
+    spark, lake, items, batched, planned, moment, silver_id, scope, ratio, work, ledger
+) -> int:
+    """Judge and load the open chunks of one wave, and finish them. Returns the number of rows."""
+    chunk = ["batch_no", "window_start"]
+    chunked = (
+        clean.clean_prices(_good_rows(items))
+        .join(batched, "symbol")
+        .withColumn("window_start", window_of(F.col("windows"), F.col("ts"))["window_start"])
+        .where("window_start is not null")
+        .drop("windows")
+        .join(planned.select(*chunk), chunk, "left_semi")
+    )
+    # Silver keeps the chunk of each row, so requests and rows are joined once.
+    silver, days = _to_silver(
+        spark, lake, chunked, moment, "yahoo", "prices_1d", CHUNKED_PRICES, clean.PRICES_KEY, silver_id, **_days()
+    )
+    broken = F.col("status") == "failed"
+    outcomes, counts = _counted(
+        _chunk_outcomes(planned, silver, ratio), f"{work}/outcomes",
+        failed=F.count_if(broken), rows=F.coalesce(F.sum(F.when(~broken, F.col("rows"))), F.lit(0)),
+    )
+    if counts["rows"]:
+        good = silver
+        if counts["failed"]:
+            good = silver.join(outcomes.where(broken).select(*chunk), chunk, "left_anti")
+            days = good.agg(*(c.alias(n) for n, c in _days().items())).first()
+        _load_prices(spark, lake, good, moment, scope, days["first"], days["final"])
+    plan_id = silver_id.partition("-")[0]
+    _finish_chunks(lake, ledger, outcomes, plan_id, moment)
+    return counts["rows"]
 
 
 def _finish_chunks(lake: Lake, ledger: RunLedger, outcomes: DataFrame, plan_id: str, moment: Moment) -> None:
-    detailed = outcomes.withColumn("plan_id", F.lit(plan_id))
+    detailed = outcomes.withColumns({"plan_id": F.lit(plan_id), "at": moment.now})
     detailed.select(*(F.col(f.name).cast(f.dataType) for f in CHUNKS)).write.mode("append").parquet(
         lake.chunks_path
     )
@@ -543,12 +652,13 @@ def _price_rejects(items: DataFrame, known: DataFrame) -> DataFrame:
     return faulty.unionByName(silent)
 
 
-def _reject(lake: Lake, run_id: str, dataset: str, rejects: DataFrame) -> None:
-    """Append to the table of rejects, from the executors."""
+def _reject(lake: Lake, run_id: str, dataset: str, rejects: DataFrame, step: str) -> None:
+    """Add to the table of rejects, from the executors. A run's steps have folders of their own, so
+    repeating the run replaces its rejects."""
     rows = rejects.select(
         F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), "kind", "key", "detail", "bronze_run_id"
     )
-    rows.write.mode("append").parquet(lake.rejects_path)
+    rows.write.mode("overwrite").parquet(f"{lake.rejects_path}/{run_id}-{step}")
 
 
 def _listed(failed: int, total: int) -> str:
@@ -561,14 +671,27 @@ def _kept(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _to_silver(spark, lake, rows, moment, vendor, dataset, schema, sort) -> DataFrame:
-    """Write cleaned rows as one Silver run and scan them back."""
-    run_id = uuid.uuid4().hex
+def _observed(rows: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return rows.observe(seen, *(m.alias(n) for n, m in metrics.items())), seen
+
+
+def _counted(rows: DataFrame, path: str, /, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``_kept`` rows, and aggregates over them that were observed while they were written."""
+    watched, seen = _observed(rows, metrics)
+    return _kept(watched, path), seen.get
+
+
+def _to_silver(
+    spark, lake, rows, moment, vendor, dataset, schema, sort, run_id, **metrics: Column
+) -> tuple[DataFrame, dict]:
+    """Write cleaned rows as one Silver run and scan them back; ``metrics`` are observed on the way."""
     dated = rows.withColumn("dt", F.coalesce("dt", F.lit(moment.run_date))).select(
         *schema.names, "bronze_run_id", "dt"
     )
-    write_silver(dated, lake.silver, vendor, dataset, run_id, sort)
-    return read_silver(spark, lake.silver, vendor, dataset, schema, run_id)
+    watched, seen = _observed(dated, metrics) if metrics else (dated, None)
+    write_silver(watched, lake.silver, vendor, dataset, run_id, sort)
+    return read_silver(spark, lake.silver, vendor, dataset, schema, run_id), seen.get if seen else {}
 
 
 def _advance(spark, lake, silver, key, time, mark, moment) -> None:

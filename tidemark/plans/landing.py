@@ -13,6 +13,11 @@ from tidemark.plans import derive
 EPOCH = 1_700_000_000  # fetch times of the row-wise envelopes count up from here
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by a key, since a table's only row group is read, built and parsed by one task."""
+    return rows.repartition(*by)
+
+
 def _landing(rows: DataFrame, vendor: str, dataset: str, version: int, fetched: Column, **fields) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     return rows.select(
@@ -23,7 +28,7 @@ def _landing(rows: DataFrame, vendor: str, dataset: str, version: int, fetched:
         fields.get("params", none).alias("params"),
         F.lit(version).alias("schema_version"),
         fetched.alias("fetched_at"),
-        F.to_json(fields["payload"], {"ignoreNullFields": "false"}).alias("payload"),
+        fields.get("text", F.to_json(fields.get("payload", none), {"ignoreNullFields": "false"})).alias("payload"),
     )
 
 
@@ -105,7 +110,7 @@ def macro(observations: DataFrame) -> DataFrame:
         entry(F.lit(""), F.lit("1.5")),
     )
     return _landing(
-        observations, "fred", "macros", 1, _fetch_time(F.col("position")),
+        _spread(observations, "position"), "fred", "macros", 1, _fetch_time(F.col("position")),
         partitions=F.create_map(F.lit("series"), F.col("series")),
         params=F.create_map(F.lit("start"), F.concat(F.left("date", F.lit(4)), F.lit("-01-01"))),
         payload=F.struct(entries.alias("observations")),
@@ -130,7 +135,7 @@ def facts(rows: DataFrame) -> DataFrame:
     units = F.create_map("unit", F.array(no_value, entry, no_end))
     concepts = F.create_map("name", F.struct(units.alias("units")))
     return _landing(
-        rows, "sec_edgar", "companyfacts", 1,
+        _spread(rows, "ord"), "sec_edgar", "companyfacts", 1,
         _fetch_time(F.col("ord.l_orderkey"), F.col("ord.l_linenumber")),
         partitions=F.create_map(F.lit("symbol"), F.col("ticker")),
         params=F.create_map(F.lit("start"), F.date_format("filed", "yyyy-01-01")),
@@ -138,6 +143,52 @@ def facts(rows: DataFrame) -> DataFrame:
     )
 
 
+def company(rows: DataFrame) -> DataFrame:
+    """One envelope per company and month: several taxonomies, concepts, units and observations, with
+    fields that no schema names at three levels."""
+    entry = F.struct(
+        "ord",
+        F.struct(
+            F.col("period_end").cast("string").alias("end"),
+            F.col("period_start").cast("string").alias("start"),
+            "val",
+            "accn",
+            "fy",
+            "fp",
+            "form",
+            F.col("filed").cast("string").alias("filed"),
+            F.concat(F.lit("CY"), F.col("fy").cast("string")).alias("frame"),
+        ).alias("o"),
+    )
+    unit = F.when(F.col("ord.l_linenumber") % 2 == 0, F.lit("shares")).otherwise(F.col("unit"))
+    month = F.trunc("period_end", "month").alias("month")
+    named = rows.withColumn("unit", unit)
+
+    observations = named.groupBy("ticker", month, "taxonomy", "name", "unit").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["o"])).alias("text")
+    )
+
+    def joined(frame: DataFrame, name: str, *by: str) -> DataFrame:
+        """The texts of one level as the fields of an object each."""
+        field = F.concat(F.lit('"'), name, F.lit('":'), "text")
+        fields = F.array_join(F.array_sort(F.collect_list(field)), ",")
+        return frame.groupBy(*by).agg(F.concat(F.lit("{"), fields, F.lit("}")).alias("text"))
+
+    units = joined(observations, "unit", "ticker", "month", "taxonomy", "name").withColumn(
+        "text", F.concat(F.lit('{"label":"of '), "name", F.lit('","units":'), "text", F.lit("}"))
+    )
+    facts = joined(joined(units, "name", "ticker", "month", "taxonomy"), "taxonomy", "ticker", "month")
+    number = F.regexp_extract("ticker", r"(\d+)", 1)
+    return _landing(
+        facts, "sec_edgar", "companyfacts", 1, derive.literal_time("2024-02-01 16:05:00"),
+        partitions=F.create_map(F.lit("symbol"), F.col("ticker")),
+        params=F.create_map(F.lit("start"), F.date_format("month", "yyyy-01-01")),
+        text=F.concat(
+            F.lit('{"cik":'), number, F.lit(',"entityName":"Company '), number, F.lit('","facts":'), "text", F.lit("}")
+        ),
+    )
+
+
 def figi(rows: DataFrame) -> DataFrame:
     """One envelope per candidate, with an entry without identifier."""
     entry = F.struct(
@@ -151,7 +202,7 @@ def figi(rows: DataFrame) -> DataFrame:
     )
     blank = entry.withField("figi", F.lit(None).cast("string"))
     return _landing(
-        rows, "openfigi", "mapping", 1, _fetch_time(F.col("position")),
+        _spread(rows, "position"), "openfigi", "mapping", 1, _fetch_time(F.col("position")),
         partitions=F.create_map(F.lit("symbol"), F.col("ticker")),
         payload=F.struct(F.array(blank, entry).alias("data")),
     )

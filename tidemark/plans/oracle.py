@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark import schemas
+
 BARS = """
     e as (select 'U' || user_id as symbol, cast(ts as date) as day, ts as t, value from events),
     bars as (select symbol, day as ts, arg_min(value, t) as open, max(value) as high,
@@ -78,6 +80,13 @@ FIGI = """
 FIGI_COLUMNS = """ticker, figi, composite_figi, share_class_figi, security_type, market_sector,
                   exch_code, name"""
 
+COMPANY = FACTS.replace("'USD' as unit", "case when l_linenumber % 2 = 0 then 'shares' else 'USD' end as unit")
+
+
+def typed(vendor: str, schema) -> str:
+    return ", ".join(f"('{vendor}', '{f.name}', '{f.dataType.simpleString()}')" for f in schema)
+
+
 SEGMENTS = "('MACHINERY', 'BUILDING')"
 INSTRUMENTS = f"""
     i as (select c_custkey as position, upper(c_name) as ticker, c_name as name,
@@ -170,6 +179,27 @@ SPLIT = """
 
 REGISTERED_INFO = "c_mktsegment not in ('FURNITURE', 'HOUSEHOLD')"
 
+BACKFILLED = f"""
+    {BARS},
+    windows(ws, we) as (values (date '2023-01-10', date '2024-01-10'),
+                               (date '2024-01-11', date '2024-01-31')),
+    s as (select 'U' || c_custkey as symbol, c_custkey % 10 as digit,
+                 (row_number() over (order by c_custkey) - 1) // 5 as batch_no from customer),
+    n as (select batch_no, count(*) as total from s group by batch_no),
+    d as (select batch_no, ws, count(distinct symbol) as seen, count(*) as rows,
+                 bool_or(digit = 7) as stopped
+          from bars join s using (symbol) join windows on ts between ws and we
+          where digit not in (4, 5, 6) group by batch_no, ws),
+    c as (select batch_no, ws, total, coalesce(stopped, false) as stopped,
+                 case when stopped then 0 else coalesce(seen, 0) end as ok,
+                 case when stopped then 0 else coalesce(rows, 0) end as rows
+          from n cross join windows left join d using (batch_no, ws)),
+    chunks as (select batch_no, ws as window_start, cast(total as int) as items_total,
+                      case when stopped then 'failed' when ok = 0 or ok = total then 'success'
+                           else 'partial' end as status,
+                      cast(ok as int) as items_success, cast(total - ok as int) as items_failed, rows
+               from c)"""
+
 ORACLE: dict[str, str] = {
     "bars_returns": f"with {RETURNS} select * from r",
     "bars_returns_zero_prev": f"""
@@ -546,25 +576,77 @@ ORACLE: dict[str, str] = {
                'USD' as currency, 'America/New_York' as timezone, true as is_active,
                true as is_scheduled, rows, first
         from customer left join b on symbol = 'U' || c_custkey where {REGISTERED_INFO}""",
-    "job_backfill": f"""
-        with {BARS},
-        windows(ws, we) as (values (date '2023-01-10', date '2024-01-10'),
-                                   (date '2024-01-11', date '2024-01-31')),
-        s as (select 'U' || c_custkey as symbol, c_custkey % 10 as digit,
-                     (row_number() over (order by c_custkey) - 1) // 5 as batch_no from customer),
-        n as (select batch_no, count(*) as total from s group by batch_no),
-        d as (select batch_no, ws, count(distinct symbol) as seen, count(*) as rows,
-                     bool_or(digit = 7) as stopped
-              from bars join s using (symbol) join windows on ts between ws and we
-              where digit not in (4, 5, 6) group by batch_no, ws),
-        c as (select batch_no, ws, total, coalesce(stopped, false) as stopped,
-                     case when stopped then 0 else coalesce(seen, 0) end as ok,
-                     case when stopped then 0 else coalesce(rows, 0) end as rows
-              from n cross join windows left join d using (batch_no, ws))
-        select batch_no, ws as window_start, cast(total as int) as items_total,
-               case when stopped then 'failed' when ok = 0 or ok = total then 'success'
-                    else 'partial' end as status,
-               cast(ok as int) as items_success, cast(total - ok as int) as items_failed, rows
-        from c""",
+    "job_backfill": f"with {BACKFILLED} select * from chunks",
+    "job_backfill_resumed": f"""
+        with {BACKFILLED},
+        w as (select *, batch_no // ((max(batch_no) over () + 4) // 4) < 2 as early from chunks)
+        select * exclude (early), case when early and status <> 'failed' then 1 else 2 end as run,
+               case when early and status <> 'failed' then '2024-01-20 16:05:00'
+                    else '2024-02-01 16:05:00' end as finished_at
+        from w""",
     "stream_prices": f"with {RETURNS} {gold_prices('r')}",
+    "job_prices_late": f"""
+        with {RETURNS}
+        select symbol, ts, open, high, low, close, volume, cast(null as double) as dividends,
+               cast(null as double) as stock_split, close_returns, 'yahoo' as source,
+               cast(null as varchar) as run_id from r""",
+    "facts_flatten_company": f"""
+        with {COMPANY}, {latest_facts("filed", "f", f"filed desc, {LINE_ORDER}")}
+        select {FACT_COLUMNS}, '{{"frame":"CY' || fy || '"}}' as extra from f""",
+    "facts_flatten_company_typed": f"""
+        with {COMPANY}, {latest_facts("filed", "f", f"filed desc, {LINE_ORDER}")}
+        select {FACT_COLUMNS} from f""",
+    "facts_unknown_fields": f"""
+        with {COMPANY},
+        k as (select ticker, date_trunc('month', period_end) as month, concept from l)
+        select 'payload' as level, field, n
+        from (select count(distinct (ticker, month)) as n from k), (values ('cik'), ('entityName')) as v(field)
+        union all
+        select 'concept', 'label', count(distinct (ticker, month, concept)) from k
+        union all
+        select 'observation', 'frame', count(*) from k""",
+    "empty_batches": f"""
+        select 0::bigint as n, * from (values {typed("prices", schemas.SILVER_PRICES)},
+            {typed("macro", schemas.SILVER_MACRO)}, {typed("facts", schemas.SILVER_FACTS)},
+            {typed("figi", schemas.SILVER_FIGI)}) as v(vendor, "column", type)""",
+    "bronze_by_symbol": f"""
+        with {BARS}, days(dt) as (values ('2024-01-20'), ('2024-02-01'))
+        select symbol || ',' || symbol || 'X' as symbols, dt, cast(count(*) + 3 as int) as n_rows
+        from bars cross join days where symbol = 'U7' group by symbol, dt, date_trunc('month', ts)""",
+    "silver_order": f"with {BARS} select count(*) as n_rows, 0::bigint as disordered from bars",
+    "quality_refusals": f"""
+        with {FLAWED},
+        k as (select symbol, ts, any_value(low) as low, any_value(open) as open, any_value(high) as high,
+                     any_value(volume) as volume from flawed group by symbol, ts),
+        q as (select count(*) filter (open < 0 or high < 0 or low < 0) as negative,
+                     count(*) filter (volume < 0) as sold from k)
+        select 'no rows' as batch, '[prices_1d] the batch has no rows' as refusal
+        union all select 'no rows and no columns', '[prices_1d] the batch has no rows'
+        union all select 'no close and no volume', '[prices_1d] columns are missing: [''close'', ''volume'']'
+        union all select 'sound', null
+        union all
+        select 'flawed', case when negative > 0
+                   then '[prices_1d] open, high, low or close is negative in ' || negative || ' rows'
+                   when sold > 0 then '[prices_1d] volume is negative in ' || sold || ' rows' end
+        from q""",
+    "events_topk_per_type": """
+        select event_id, event_type, value from events
+        qualify row_number() over (partition by event_type order by ts, event_id) <= 2000""",
+    "prices_serve_stored": f"""
+        with {RETURNS}
+        select symbol, ts, open, high, low, close, volume, close_returns from r
+        where symbol = 'U7' and symbol in {SYMBOLS}
+          and ts between date '2024-01-05' and date '2024-01-25'
+        order by ts limit 500""",
+    "facts_serve_stored": f"""
+        with {FACTS_LATEST}
+        select ticker, concept, unit, period_end, fy, fp, form, val from f
+        where ticker = 'S7' and concept = 'A:F' and ticker in {SUPPLIERS}
+        order by period_end desc, concept, unit, fp, form limit 500""",
+    "run_ids": """
+        select count(*) as rows, count(*) as ids, count(*) as hexadecimal from orders""",
 }
+ORACLE["stream_macro"] = f"select *, 1 as runs from ({ORACLE['job_macro']})"
+ORACLE["stream_facts"] = f"select *, 1 as runs from ({ORACLE['job_fundamentals']})"
+ORACLE["stream_figi"] = f"select *, 1 as runs from ({ORACLE['job_figi']})"
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark import schemas
 from tidemark.functions import columns as fx
@@ -25,7 +25,7 @@ from tidemark.operators import (
 from tidemark.plans import derive, jobs, landing
 from tidemark.session import work_folder
 from tidemark.sources import bronze, lookups, panel, tables
-from tidemark.streaming.incremental import load_new_files
+from tidemark.streaming.incremental import load_batch, load_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +143,57 @@ def facts_flatten(spark, sf):
     return rows.select(*schemas.SILVER_FACTS.names)
 
 
+@query
+def facts_flatten_company(spark, sf):
+    """Envelopes of several taxonomies, concepts, units and observations each, read as VARIANT."""
+    lines = bronze.build_envelopes(landing.company(derive.facts(spark, sf)))
+    rows = clean.clean_facts(normalize.typed_facts(normalize.variant_facts(lines)))
+    return rows.select(*schemas.SILVER_FACTS.names, "extra")
+
+
+@query
+def facts_flatten_company_typed(spark, sf):
+    """The same envelopes by the payload's schema, which knows no further fields."""
+    envelopes = parsed(landing.company(derive.facts(spark, sf)), schemas.FACTS_PAYLOAD)
+    rows = clean.clean_facts(normalize.normalize_facts(envelopes))
+    return rows.select(*schemas.SILVER_FACTS.names)
+
+
+@query
+def facts_unknown_fields(spark, sf):
+    lines = bronze.build_envelopes(landing.company(derive.facts(spark, sf)))
+    return normalize.unknown_fact_fields(lines)
+
+
+@query
+def empty_batches(spark, sf):
+    """What each vendor's cleaned rows are when nothing came: no rows, and their columns and types."""
+    made = {
+        "prices": clean.clean_prices(normalize.normalize_prices(
+            parsed(landing.prices(derive.bars(spark, sf).where("volume < 0"), NOW), schemas.PRICES_PAYLOAD))),
+        "macro": clean.clean_macro(normalize.normalize_macro(
+            parsed(landing.macro(derive.macro(spark, sf).where("position < 0")), schemas.MACRO_PAYLOAD))),
+        "facts": clean.clean_facts(normalize.normalize_facts(
+            parsed(landing.facts(derive.facts(spark, sf).where("val < 0")), schemas.FACTS_PAYLOAD))),
+        "figi": clean.clean_figi(normalize.normalize_figi(
+            parsed(landing.figi(derive.figi(spark, sf).where("position < 0")), schemas.FIGI_PAYLOAD))),
+    }
+    silver = {
+        "prices": schemas.SILVER_PRICES, "macro": schemas.SILVER_MACRO,
+        "facts": schemas.SILVER_FACTS, "figi": schemas.SILVER_FIGI,
+    }
+    found = None
+    for vendor, rows in made.items():
+        kinds = dict(rows.dtypes)
+        columns = F.array(*(
+            F.struct(F.lit(vendor).alias("vendor"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"))
+            for c in silver[vendor].names
+        ))
+        counted = rows.agg(F.count(F.lit(1)).alias("n")).select("n", F.inline(columns))
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
 @query
 def figi_flatten(spark, sf):
     envelopes = parsed(landing.figi(derive.figi(spark, sf)), schemas.FIGI_PAYLOAD)
@@ -248,6 +299,40 @@ def silver_round_trip(spark, sf):
     return silver.select(*schemas.SILVER_PRICES.names, "run_id", "dt")
 
 
+@query
+def bronze_by_symbol(spark, sf):
+    """One symbol's envelopes of two days, from the files that the index names."""
+    root = work_folder(spark, "indexed")
+    bars = derive.bars(spark, sf)
+    path, index = bronze.landed_path(root, "yahoo", "history"), f"{root}/index"
+    for at in (OLD, NOW):
+        bronze.land_envelopes(landing.prices(bars, at), root)
+        bronze.refresh_index(spark, path, schemas.PRICES_PAYLOAD, index)
+    found = bronze.read_symbol(spark, index, schemas.PRICES_PAYLOAD, " u7")
+    return found.select(
+        F.col("meta.params")["symbols"].alias("symbols"),
+        F.col("meta.dt").alias("dt"),
+        F.size("payload.rows").alias("n_rows"),
+    )
+
+
+@query
+def silver_order(spark, sf):
+    """Rows of the Silver files, and those that lie before a smaller key in theirs."""
+    root = work_folder(spark, "silver")
+    bars = derive.bars(spark, sf).withColumns(
+        {"bronze_run_id": F.lit("r"), "dt": F.date_format("ts", "yyyy-MM-01")}
+    )
+    tables.write_silver(bars, root, "yahoo", "prices_1d", "run1", clean.PRICES_KEY)
+    silver = tables.read_silver(spark, root, "yahoo", "prices_1d", schemas.SILVER_PRICES)
+    key = F.struct(*clean.PRICES_KEY)
+    place = silver.select(key.alias("key"), "_metadata.file_path", "_metadata.row_index")
+    before = F.lag("key").over(Window.partitionBy("file_path").orderBy("row_index"))
+    return place.withColumn("before", before).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("before") > F.col("key")).alias("disordered")
+    )
+
+
 @query
 def wide_panel_long(spark, sf):
     """Bars per event type, spread into one column per (type, field), and back to rows."""
@@ -367,6 +452,21 @@ def quality_report_by_symbol(spark, sf):
     return _reported(quality.quality_metrics(_flawed_bars(spark, sf), by=["symbol"]))
 
 
+@query
+def quality_refusals(spark, sf):
+    """Why the gate refuses each of some batches: without rows, without columns, flawed, and a sound one."""
+    bars = derive.bars(spark, sf)
+    batches = {
+        "no rows": bars.where("volume < 0"),
+        "no rows and no columns": bars.where("volume < 0").select("symbol"),
+        "no close and no volume": bars.drop("close", "volume"),
+        "flawed": _flawed_bars(spark, sf).dropDuplicates(["symbol", "ts"]).withColumn("close", F.abs("close")),
+        "sound": bars,
+    }
+    said = [(name, quality.refusal(batch, max_null_close_ratio=1.0)) for name, batch in batches.items()]
+    return spark.createDataFrame(said, "batch string, refusal string")
+
+
 # -- upserts ------------------------------------------------------------------------------------
 
 
@@ -555,6 +655,17 @@ def run_ledger_unknown(spark, sf):
     return ledger.unknown_runs(started.unionByName(finished))
 
 
+@query
+def run_ids(spark, sf):
+    """A fresh run id for every order."""
+    ids = derive.read(spark, sf, "orders").select(fx.random_run_id().alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("ids"),
+        F.count_if(F.col("id").rlike("^[0-9a-f]{32}$")).alias("hexadecimal"),
+    )
+
+
 @query
 def run_status(spark, sf):
     """Per nation: customers asked for, customers with orders, and the status that gives."""
@@ -656,6 +767,34 @@ def facts_serve_topk_per_ticker(spark, sf):
     return serve.fundamentals_per_ticker(table, known, 25)
 
 
+@query
+def events_topk_per_type(spark, sf):
+    """Five keys hold all rows, and the limit is above what Spark cuts down to by itself."""
+    events = derive.read(spark, sf, "events").select("event_id", "event_type", "ts", "value")
+    top = serve.top_per_key(events, "event_type", ["ts", "event_id"], 2000)
+    return top.select("event_id", "event_type", "value")
+
+
+def _stored(spark, rows, spec, name) -> DataFrame:
+    """Rows loaded into a Gold table of their own, read back."""
+    lake = _lake(spark, name)
+    tables.load(spark, lake.gold, rows, spec, now(), unique=rows)
+    return tables.read_table(spark, lake.gold, spec)
+
+
+@query
+def prices_serve_stored(spark, sf):
+    """The read from the loaded table: months in range, and row groups that may hold the symbol."""
+    table = _stored(spark, bars_returns(spark, sf), upsert.PRICES, "serve-prices")
+    return serve.prices(table, derive.symbol_registry(spark, sf), "u7", start="2024-01-05", end="2024-01-25")
+
+
+@query
+def facts_serve_stored(spark, sf):
+    table = _stored(spark, facts_latest_filed(spark, sf), upsert.FACTS, "serve-facts")
+    return serve.fundamentals(table, derive.supplier_registry(spark, sf), "s7", concept="A:F")
+
+
 @query
 def figi_serve(spark, sf):
     return serve.figi_candidates(figi_flatten(spark, sf), "s7")
@@ -663,13 +802,10 @@ def figi_serve(spark, sf):
 
 @query
 def figi_serve_stored(spark, sf):
-    """The read from the loaded table: one bucket of it is opened."""
-    lake, moment = _lake(spark, "serve"), jobs.Moment.at(NOW)
+    """The read from the loaded table: one directory of it is opened."""
     rows = dedup.keep_last(derive.figi(spark, sf), clean.FIGI_KEY, ["position"])
-    batch = rows.select(*schemas.SILVER_FIGI.names)
-    tables.load(spark, lake.gold, batch, upsert.FIGI, moment.now, unique=batch)
-    found = serve.figi_candidates(tables.read_table(spark, lake.gold, upsert.FIGI), "s7")
-    return found.select(*schemas.SILVER_FIGI.names)
+    table = _stored(spark, rows.select(*schemas.SILVER_FIGI.names), upsert.FIGI, "serve-figi")
+    return serve.figi_candidates(table, "s7").select(*schemas.SILVER_FIGI.names)
 
 
 @query
@@ -833,6 +969,13 @@ def job_prices(spark, sf):
     return _gold(spark, _loaded_prices(spark, _fetches(spark, sf)), upsert.PRICES)
 
 
+@query
+def job_prices_late(spark, sf):
+    """The later fetch is loaded first: stored rows that follow the late ones get their return anew."""
+    fetches = [(at, rows) for at, (_, rows) in zip((OLD, NOW), reversed(_fetches(spark, sf)))]
+    return _gold(spark, _loaded_prices(spark, fetches), upsert.PRICES).drop("ingested_at")
+
+
 @query
 def job_prices_batch_scope(spark, sf):
     return _gold(spark, _loaded_prices(spark, _fetches(spark, sf), "batch"), upsert.PRICES)
@@ -872,9 +1015,8 @@ def job_prices_rejects(spark, sf):
     return rejects.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _macro_loaded(spark, sf) -> jobs.Lake:
+def _macro_landing(spark, sf) -> DataFrame:
     """Three known series, one unknown, and one known whose days are malformed."""
-    lake = _lake(spark, "macro")
     series = F.col("series")
     code = (
         F.when(series == "1-urgent", "cpi")
@@ -884,8 +1026,12 @@ def _macro_loaded(spark, sf) -> jobs.Lake:
         .otherwise(series)
     )
     date = F.when(series == "5-low", F.concat(F.left("date", F.lit(5)), F.lit("13-05"))).otherwise(F.col("date"))
-    rows = landing.macro(derive.macro(spark, sf).withColumns({"series": code, "date": date}))
-    landed = _landed(spark, lake, rows, "fred", "macros", schemas.MACRO_PAYLOAD)
+    return landing.macro(derive.macro(spark, sf).withColumns({"series": code, "date": date}))
+
+
+def _macro_loaded(spark, sf) -> jobs.Lake:
+    lake = _lake(spark, "macro")
+    landed = _landed(spark, lake, _macro_landing(spark, sf), "fred", "macros", schemas.MACRO_PAYLOAD)
     jobs.run_macro(spark, lake, landed, jobs.Moment.at(NOW))
     return lake
 
@@ -910,20 +1056,24 @@ def job_fundamentals(spark, sf):
     return _gold(spark, lake, upsert.FACTS)
 
 
-@query
-def job_figi(spark, sf):
-    """Only suppliers whose ticker was registered first are mapped."""
-    lake = _lake(spark, "figi")
-    moment = jobs.Moment.at(NOW)
+def _register_suppliers(spark, sf, lake) -> None:
+    """Only suppliers with no debt are registered."""
     candidates = derive.read(spark, sf, "supplier").where("s_acctbal >= 0").select(
         F.format_string("S%d", "s_suppkey").alias("ticker"), F.col("s_suppkey").alias("position")
     )
     known = tables.read_table(spark, lake.gold, registry.INSTRUMENTS)
-    fresh = registry.new_instruments(known, candidates, moment.now)
-    tables.load(spark, lake.gold, fresh, registry.INSTRUMENTS, moment.now)
+    fresh = registry.new_instruments(known, candidates, now())
+    tables.load(spark, lake.gold, fresh, registry.INSTRUMENTS, now())
+
+
+@query
+def job_figi(spark, sf):
+    """Only suppliers whose ticker was registered first are mapped."""
+    lake = _lake(spark, "figi")
+    _register_suppliers(spark, sf, lake)
     rows = landing.figi(derive.figi(spark, sf))
     landed = _landed(spark, lake, rows, "openfigi", "mapping", schemas.FIGI_PAYLOAD)
-    jobs.run_figi(spark, lake, landed, moment)
+    jobs.run_figi(spark, lake, landed, jobs.Moment.at(NOW))
     return _gold(spark, lake, upsert.FIGI)
 
 
@@ -960,6 +1110,70 @@ def job_backfill(spark, sf):
     return done.chunks.drop("run_id", "notes")
 
 
+@query
+def job_backfill_resumed(spark, sf):
+    """A backfill that ends after two of four waves, and its repetition: what was loaded in the first
+    run is left alone, what the gate stopped is tried again."""
+    lake = _lake(spark, "resumed")
+    requests = _symbol_requests(spark, sf).withColumns(
+        {"start": day("2023-01-10"), "end": day("2024-01-31")}
+    )
+    rows = landing.faulty_prices(derive.bars(spark, sf), NOW, negative=True)
+    landed = _landed(spark, lake, rows, "yahoo", "history", schemas.PRICES_PAYLOAD)
+    first = jobs.run_backfill(spark, lake, landed, requests, jobs.Moment.at(OLD), waves=4, at_most=2)
+    second = jobs.run_backfill(spark, lake, landed, requests, jobs.Moment.at(NOW), waves=4)
+    chunk = ["batch_no", "window_start"]
+    closed = first.chunks.where("status <> 'failed'").select(*chunk, F.lit(True).alias("_closed"))
+    runs = lake.ledger(spark).state().select("run_id", "finished_at")
+    return (
+        second.chunks.join(closed, chunk, "left")
+        .join(runs, "run_id")
+        .select(
+            *(c for c in second.chunks.columns if c not in ("run_id", "notes")),
+            F.when(F.col("_closed"), 1).otherwise(2).alias("run"),
+            derive.as_text("finished_at"),
+        )
+    )
+
+
+def _streamed(spark, lake, rows, vendor, dataset, payload, job, spec) -> DataFrame:
+    """Rows landed and delivered by a file stream, and its first batch delivered once more; with the
+    number of runs that makes."""
+    landed = _landed(spark, lake, rows, vendor, dataset, payload)
+    path, progress, moment = bronze.landed_path(lake.bronze, vendor, dataset), f"{lake.root}/progress", jobs.Moment.at(NOW)
+    load_new_files(spark, lake, path, payload, job, moment, progress).awaitTermination()
+    load_batch(lake, landed, 0, job, moment, progress)
+    runs = lake.ledger(spark).state().count()
+    return _gold(spark, lake, spec).withColumn("runs", F.lit(runs))
+
+
+@query
+def stream_macro(spark, sf):
+    lake = _lake(spark, "stream-macro")
+    return _streamed(
+        spark, lake, _macro_landing(spark, sf), "fred", "macros", schemas.MACRO_PAYLOAD, jobs.run_macro, upsert.MACRO
+    )
+
+
+@query
+def stream_facts(spark, sf):
+    lake = _lake(spark, "stream-facts")
+    return _streamed(
+        spark, lake, landing.facts(derive.facts(spark, sf)), "sec_edgar", "companyfacts", schemas.FACTS_PAYLOAD,
+        jobs.run_fundamentals, upsert.FACTS,
+    )
+
+
+@query
+def stream_figi(spark, sf):
+    lake = _lake(spark, "stream-figi")
+    _register_suppliers(spark, sf, lake)
+    return _streamed(
+        spark, lake, landing.figi(derive.figi(spark, sf)), "openfigi", "mapping", schemas.FIGI_PAYLOAD,
+        jobs.run_figi, upsert.FIGI,
+    )
+
+
 @query
 def stream_prices(spark, sf):
     """The two fetches delivered by a file stream: one run each, and none when nothing is new."""

@@ -7,7 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.columns import clean_code, run_id_of
+from tidemark.operators.selection import listed_codes
 from tidemark.schemas import META
+from tidemark.sources.tables import appended
 
 CORRUPT = "_corrupt"
 FILE_RECORDS = 50_000
@@ -142,3 +144,43 @@ def landed_path(root: str, vendor: str, dataset: str) -> str:
 def envelope_run_id(file_path: Column, meta: Column) -> Column:
     """The run id in the path, which the jobs trust; the one in meta where the path has none."""
     return F.coalesce(run_id_of(file_path), meta["run_id"])
+
+
+def envelope_symbols(meta: Column) -> Column:
+    """The symbols an envelope was fetched for: the one in its partitions, else those in its params."""
+    own, listed = F.nullif(F.upper(F.trim(meta["partitions"]["symbol"])), F.lit("")), meta["params"]["symbols"]
+    return F.when(own.isNotNull(), F.array(own)).otherwise(listed_codes(listed))
+
+
+INDEX = "symbol string, file_path string"
+
+
+def refresh_index(spark: SparkSession, path: str, payload: str, index: str) -> int:
+    """Bring the index of the files below ``path`` up to date: which symbols are in which file.
+
+    Files are only ever added, so those the index names are not opened again. The names of new files
+    pass through the driver, as any read of them would have it. Returns how many there were.
+    """
+    known = appended(spark, index, T.StructType.fromDDL(INDEX)).select("file_path").distinct()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    fresh = listed.select("_metadata.file_path").join(known, "file_path", "left_anti")
+    names = [r.file_path for r in fresh.collect()]
+    if names:
+        found = read_envelopes(spark, names, payload).select(
+            F.explode(envelope_symbols(F.col("meta"))).alias("symbol"), "file_path"
+        )
+        ordered = found.distinct().repartitionByRange("symbol", "file_path")
+        ordered.sortWithinPartitions("symbol", "file_path").write.mode("append").parquet(index)
+    return len(names)
+
+
+def read_symbol(spark: SparkSession, index: str, payload: str, symbol: str) -> DataFrame:
+    """The envelopes of a symbol, from the files that hold it alone. One in no file has none."""
+    wanted = F.lit(symbol.strip().upper())
+    rows = appended(spark, index, T.StructType.fromDDL(INDEX)).where(F.col("symbol") == wanted)
+    names = sorted(r.file_path for r in rows.select("file_path").distinct().collect())
+    if not names:
+        empty = spark.createDataFrame([], envelope_schema(payload))
+        return empty.withColumn("file_path", F.lit(""))
+    envelopes = read_envelopes(spark, names, payload)
+    return envelopes.where(F.array_contains(envelope_symbols(F.col("meta")), wanted))

@@ -1,9 +1,7 @@
-"""Small files on the file system Spark writes to: listing, reading, putting, removing."""
+"""Folders on the file system Spark writes to: listing and removing."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -20,30 +18,6 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(where)]
 
 
-def read(spark: SparkSession, path: str) -> str:
-    system, where = _at(spark, path)
-    stream = system.open(where)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def put_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a file that must not be there yet; it appears whole, by a rename. False if it was there."""
-    system, where = _at(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".draft-{uuid.uuid4().hex}")
-    stream = system.create(draft)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-    if system.exists(where) or not system.rename(draft, where):
-        system.delete(draft, False)
-        return False
-    return True
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a file, or a folder with all in it, if it is there."""
     system, where = _at(spark, path)

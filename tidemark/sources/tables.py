@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import uuid
+import hashlib
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -17,10 +16,10 @@ def silver_path(root: str, vendor: str, dataset: str) -> str:
 
 
 def appended(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table that is only appended to; one never written is empty."""
+    """A table that is only appended to, in files or folders of files; one never written is empty."""
     if not files.names(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def write_silver(df: DataFrame, root: str, vendor: str, dataset: str, run_id: str, sort) -> str:
@@ -52,51 +51,53 @@ def read_silver(
     return spark.read.schema(full).option("basePath", base).parquet(path)
 
 
-VERSION = "version"
-MANIFESTS = "_manifests"
-
-
 def table_path(root: str, spec: TableSpec) -> str:
     return f"{root}/{spec.name}"
 
 
-def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
-    """A Gold table, with its layout column last. A table never written is empty.
+def attach(spark: SparkSession, root: str, spec: TableSpec) -> str:
+    """The catalog's name of a Gold table, which is created there if it is missing.
 
-    What is read is fixed here, by the newest manifest: a load that is published later does not
-    change it, and one that never gets that far is not seen.
+    The table is Parquet below ``root``, partitioned by the layout, bucketed and sorted by the key. A
+    catalog that outlives the session keeps it; one that doesn't finds the partitions in the folder
+    again, and must then be given the spec that the table was begun with.
     """
-    schema = T.StructType(list(spec.schema.fields)).add(spec.layout[0], T.IntegerType())
-    manifest = _manifest(spark, root, spec)
-    if not manifest["directories"]:
-        return spark.createDataFrame([], schema)
-    table = _scan(spark, root, spec, manifest["directories"])
-    if spec.layout[0] != "bucket":
+    database = f"tidemark_{hashlib.md5(root.encode()).hexdigest()[:16]}"
+    table = f"{database}.{spec.name}"
+    if spark.catalog.tableExists(table):
         return table
-    # True of every row. Said aloud, it lets a filter on the key leave all other buckets unread.
-    return table.where(F.col("bucket") == F.expr(manifest["layout"]).cast("int"))
-
-
-def _scan(spark: SparkSession, root: str, spec: TableSpec, current: dict[str, str]) -> DataFrame:
-    name, path = spec.layout[0], table_path(root, spec)
-    schema = T.StructType(list(spec.schema.fields)).add(name, T.IntegerType()).add(VERSION, T.StringType())
-    folders = [f"{path}/{name}={d}/{VERSION}={v}" for d, v in sorted(current.items())]
-    return spark.read.schema(schema).option("basePath", path).parquet(*folders).drop(VERSION)
-
+    spark.sql(f"create database if not exists {database}")
+    name, expression = spec.layout
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.schema)
+    options = {"partitionOverwriteMode": "dynamic"}
+    options |= {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.sought}
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    key, path = ", ".join(spec.key), table_path(root, spec)
+    spark.sql(
+        f"""create table if not exists {table} ({columns}, `{name}` int) using parquet
+        options ({", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in options.items())})
+        partitioned by (`{name}`) clustered by ({key}) sorted by ({key}) into {spec.files} buckets
+        location {quoted(path)} tblproperties ('layout' = {quoted(expression)})"""
+    )
+    if files.names(spark, path):
+        spark.sql(f"alter table {table} recover partitions")
+    return table
 
-def _manifest_files(spark: SparkSession, root: str, spec: TableSpec) -> list[str]:
-    return [n for n in files.names(spark, f"{table_path(root, spec)}/{MANIFESTS}") if n.endswith(".json")]
 
+def _as_begun(spark: SparkSession, table: str, spec: TableSpec) -> TableSpec:
+    """``spec`` with the layout the table was begun with, its number of directories above all."""
+    found = spark.sql(f"show tblproperties {table} ('layout')").first()
+    return replace(spec, layout=(spec.layout[0], found["value"]))
 
-def _manifest(spark: SparkSession, root: str, spec: TableSpec) -> dict:
-    """The newest manifest: its number, the layout's expression and the version of each directory.
 
-    A table keeps the layout it was begun with, its number of buckets above all.
-    """
-    found = _manifest_files(spark, root, spec)
-    if not found:
-        return {"number": 0, "layout": spec.layout[1], "directories": {}}
-    return json.loads(files.read(spark, f"{table_path(root, spec)}/{MANIFESTS}/{max(found)}"))
+def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
+    """A Gold table, with its layout column last. A table never written is empty."""
+    name = attach(spark, root, spec)
+    table = spark.table(name)
+    if spec.layout[0] != "bucket":
+        return table
+    # True of every row. Said aloud, it lets a filter on the key leave all other directories unread.
+    return table.where(F.col("bucket") == F.expr(_as_begun(spark, name, spec).layout[1]).cast("int"))
 
 
 def load(
@@ -113,66 +114,26 @@ def load(
     columns whose keys are known to be unique, which saves that check. Only the directories the
     batch touches are read and written anew.
 
-    The merged rows go to fresh version folders beside the old ones. They count from the moment a
-    manifest that names them appears, by one rename; until then readers see the table as it was, and
-    a load that broke off leaves nothing but files that no manifest names. So repeating it gives what
-    one load would have. A load that finds that another one was published meanwhile is refused.
+    The stored side is bucketed by the key, so it meets the batch without a shuffle of its own, and
+    the merged rows are written where they were joined. They replace the directories by an insert
+    that overwrites the partitions it has rows for: a load that fails leaves the table as it was, and
+    one that is repeated gives what one load would have. A table has one loader at a time.
     """
-    manifest = _manifest(spark, root, spec)
-    spec = replace(spec, layout=(spec.layout[0], manifest["layout"]))
+    table = attach(spark, root, spec)
+    spec = _as_begun(spark, table, spec)
     name, expression = spec.layout
-    # One row per directory: months, years, or a fixed number of buckets.
+    # One row per directory: months, years, or a fixed number of them.
     keys = directories(batch, spec) if unique is None else directories(unique, spec, unique=True)
     found = keys.collect()
     refuse_bad_keys(spec.key, sum(r.repeated for r in found), sum(r.null_keys for r in found))
     if not found:
         return 0
-    current = manifest["directories"]
-    touched = {str(r.directory): current[str(r.directory)] for r in found if str(r.directory) in current}
-    target = (
-        _scan(spark, root, spec, touched).drop(name) if touched else spark.createDataFrame([], spec.schema)
-    )
-    version = uuid.uuid4().hex
-    merged = upsert(target, batch, spec, now).withColumns(
-        {name: F.expr(expression).cast("int"), VERSION: F.lit(version)}
-    )
-    # Range partitioning keeps neighbouring keys in one file, which makes file statistics useful
-    # to reads by key, and cuts a large directory at any key.
-    order = (name, *(spec.sort or spec.key))
-    path = table_path(root, spec)
-    merged.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(
-        name, VERSION
-    ).parquet(path)
-    publish(spark, path, manifest, {str(r.directory): version for r in found})
+    merged = merge(spark.table(table), batch, spec, now, [r.directory for r in found])
+    merged.withColumn(name, F.expr(expression).cast("int")).write.mode("overwrite").insertInto(table)
     return sum(r.row_count for r in found)
 
 
-def publish(spark: SparkSession, path: str, manifest: dict, written: dict[str, str]) -> None:
-    """Make ``written`` directories the current ones, after the manifest that was read before."""
-    number = manifest["number"] + 1
-    text = json.dumps({**manifest, "number": number, "directories": {**manifest["directories"], **written}})
-    if not files.put_new(spark, f"{path}/{MANIFESTS}/{number:012d}.json", text):
-        raise RuntimeError(f"another load of {path} was published meanwhile; repeat this one")
-
-
-def vacuum(spark: SparkSession, root: str, spec: TableSpec, keep: int = 2) -> int:
-    """Remove version folders that none of the newest ``keep`` manifests names, and older manifests.
-
-    Run it when no load is under way and no reader holds an older state. Returns what was removed.
-    """
-    path, found = table_path(root, spec), sorted(_manifest_files(spark, root, spec))
-    named, kept = set(), found[-max(keep, 1) :]
-    for file in kept:
-        manifest = json.loads(files.read(spark, f"{path}/{MANIFESTS}/{file}"))
-        named |= {(d, v) for d, v in manifest["directories"].items()}
-    removed = 0
-    for folder in files.names(spark, path):
-        if not folder.startswith(f"{spec.layout[0]}="):
-            continue
-        for version in files.names(spark, f"{path}/{folder}"):
-            if (folder.partition("=")[2], version.partition("=")[2]) not in named:
-                files.remove(spark, f"{path}/{folder}/{version}")
-                removed += 1
-    for file in set(found) - set(kept):
-        files.remove(spark, f"{path}/{MANIFESTS}/{file}")
-    return removed
+def merge(table: DataFrame, batch: DataFrame, spec: TableSpec, now: Column, touched: list[int]) -> DataFrame:
+    """The rows of the touched directories after the load."""
+    name = spec.layout[0]
+    return upsert(table.where(F.col(name).isin(touched)).drop(name), batch, spec, now)

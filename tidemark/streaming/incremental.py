@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.plans.jobs import Lake, Moment
 from tidemark.sources.bronze import read_envelopes
 
-Job = Callable[[SparkSession, Lake, DataFrame, Moment], int]
+Job = Callable[..., int]
 
 
 def load_new_files(
@@ -25,13 +26,15 @@ def load_new_files(
 ) -> StreamingQuery:
     """Run ``job`` on the files below ``path`` that no earlier call with this checkpoint has seen.
 
-    The stream only tells which files are new; state lives in the tables. Loads are keyed, so a
-    batch that is repeated after a failure leaves the tables as one run would.
+    The stream only tells which files are new; state lives in the tables. A batch's run is named by
+    the checkpoint and the batch's number. One that is delivered again after its run was loaded is left
+    alone; one whose run failed or broke off is run again under the same name, so the ledger, Silver
+    and the rejects hold it once.
     """
     envelopes = read_envelopes(spark, path, payload, stream=True, files_per_batch=files_per_batch)
 
-    def handle(batch: DataFrame, _: int) -> None:
-        job(batch.sparkSession, lake, batch, moment)
+    def handle(batch: DataFrame, number: int) -> None:
+        load_batch(lake, batch, number, job, moment, checkpoint)
 
     return (
         envelopes.writeStream.foreachBatch(handle)
@@ -39,3 +42,15 @@ def load_new_files(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def load_batch(
+    lake: Lake, batch: DataFrame, number: int, job: Job, moment: Moment, checkpoint: str
+) -> bool:
+    """Run ``job`` on one batch of a stream unless its run was loaded before. Returns whether it ran."""
+    spark = batch.sparkSession
+    run_id = uuid.uuid5(uuid.NAMESPACE_URL, f"{checkpoint}#{number}").hex
+    if lake.ledger(spark).loaded(run_id):
+        return False
+    job(spark, lake, batch, moment, run_id=run_id)
+    return True
