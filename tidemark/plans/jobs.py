@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from tidemark import schemas
@@ -676,10 +677,20 @@ def _observed(rows: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, O
     return rows.observe(seen, *(m.alias(n) for n, m in metrics.items())), seen
 
 
+def _seen(seen: Observation, written: DataFrame, metrics: dict[str, Column]) -> dict:
+    """What was observed. Where Spark found at run time that there are no rows, it drops the observation
+    with the rest of the plan; then the written table, which is empty, gives the same."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return written.agg(*(m.alias(n) for n, m in metrics.items())).first().asDict()
+
+
 def _counted(rows: DataFrame, path: str, /, **metrics: Column) -> tuple[DataFrame, dict]:
     """``_kept`` rows, and aggregates over them that were observed while they were written."""
     watched, seen = _observed(rows, metrics)
-    return _kept(watched, path), seen.get
+    kept = _kept(watched, path)
+    return kept, _seen(seen, kept, metrics)
 
 
 def _to_silver(
@@ -689,9 +700,10 @@ def _to_silver(
     dated = rows.withColumn("dt", F.coalesce("dt", F.lit(moment.run_date))).select(
         *schema.names, "bronze_run_id", "dt"
     )
-    watched, seen = _observed(dated, metrics) if metrics else (dated, None)
+    watched, seen = _observed(dated, metrics)
     write_silver(watched, lake.silver, vendor, dataset, run_id, sort)
-    return read_silver(spark, lake.silver, vendor, dataset, schema, run_id), seen.get if seen else {}
+    silver = read_silver(spark, lake.silver, vendor, dataset, schema, run_id)
+    return silver, _seen(seen, silver, metrics)
 
 
 def _advance(spark, lake, silver, key, time, mark, moment) -> None:
