@@ -52,3 +52,17 @@ def test_repeated_rows_count_once_as_in_sql(spark, tmp_path):
     found = QUERIES["op10_line_dedup"](spark, str(tmp_path)).groupBy("doc_id").agg({"n_lines": "sum", "n_dropped": "sum"})
     got = [tuple(r) for r in found.select("doc_id", "sum(n_lines)", "sum(n_dropped)").collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr) and (1, 20, 10) in got
+
+
+def test_copies_make_no_line_common_and_no_text_is_emptied(spark):
+    copies = [(i, "one line\nanother line", "en", "s", 0, 0) for i in range(30)]
+    edited = [(100 + i, f"one line\nedit {i}", "en", "s", 0, 0) for i in range(8)]
+    boiler = [(200 + i, "cookies\nlogin" if i % 2 else "login\ncookies", "en", "s", 0, 0) for i in range(4)]
+    others = [(300 + i, f"login\nown {i}\nCOOKIES", "en", "s", 0, 0) for i in range(12)]
+    docs = samples.table(spark, copies + edited + boiler + others)
+    found = line_dedup.drop_common_lines(docs, 10, by_text=True, spare_whole=True)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in found.collect()}
+    assert all(got[i] == ("one line\nanother line", 0) for i in range(30))  # nine texts have the line
+    assert all(got[100 + i] == (f"one line\nedit {i}", 0) for i in range(8))
+    assert all(got[200 + i][1] == 0 and "login" in got[200 + i][0] for i in range(4))
+    assert all(got[300 + i] == (f"own {i}", 2) for i in range(12))

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -96,3 +97,40 @@ def test_rows_hold_the_target_and_all_blocks_are_scheduled(spark):
     on_target = sorted((r["mix_slot"], names.index(r["source"])) for r in mix if r["on_target"])
     assert [slot for slot, _ in on_target] == list(range(len(on_target))) and len(on_target) > 1000
     assert deviation([k for _, k in on_target], [exact[s] for s in names]) < 1
+
+
+def edf(weights, blocks):
+    """Slot by slot: of the blocks that are released, the one with the earliest deadline."""
+    total, slots = sum(weights), []
+    done = [0] * len(blocks)
+    for slot in range(sum(blocks)):
+        ready = []
+        for k, w in enumerate(weights):
+            share = Fraction(w, total)
+            if math.floor(done[k] / share) <= slot:
+                ready.append((math.ceil((done[k] + 1) / share), k))
+        deadline, k = min(ready)
+        if done[k] == blocks[k]:  # from here on the proportions are those of the sources left
+            return slots
+        slots.append((k, done[k], math.floor(done[k] / Fraction(weights[k], total)), deadline, slot))
+        done[k] += 1
+    return slots
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_course_against_brute_force(seed):
+    rng = random.Random(seed)
+    weights = [rng.randint(1, 9) for _ in range(rng.randint(1, 7))]
+    blocks = [rng.randint(1, 60) for _ in weights]
+    want = edf(weights, blocks)
+    found = list(mixing.course(weights, blocks))
+    assert len(found) == sum(blocks) and [r[:5] for r in found[: len(want)]] == want
+    assert all(r[5] for r in found[: len(want)]) and not any(r[5] for r in found[len(want) :])
+
+
+def test_named_weights_with_a_default(spark):
+    docs = samples.table(spark, [(i, "x", "en", f"s{i % 4}", 1, 1) for i in range(400)])
+    mix = mixing.mixed(docs, {"s0": 5.0, "s1": 3.0}, block=1, default=1.0).collect()
+    first = [r for r in mix if r["on_target"]]
+    counts = Counter(r["source"] for r in first)
+    assert abs(counts["s0"] - len(first) / 2) < 1 and abs(counts["s3"] - len(first) / 10) < 1

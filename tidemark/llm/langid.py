@@ -14,8 +14,7 @@ from tidemark.llm.common import own
 UNKNOWN = "und"
 HIDDEN = 12
 WINDOW = 24  # bytes of a sequence: a word, or a window of a longer one
-SAMPLE_ROWS = 300  # labelled rows per language that the network is fitted on, at most
-SAMPLE_CHARS = 2000  # of each of them, code points in one stretch at a place drawn by hash
+SAMPLE_ROWS = 150  # labelled rows per language whose whole texts the network is fitted on, at most
 STEPS = 450
 BATCH = 256
 CACHED = 400_000  # words whose pooled probabilities a worker keeps
@@ -195,13 +194,12 @@ def held_out(remainder: int = 2, modulus: int = 4) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % modulus == remainder
 
 
-def fitted(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Network:
+def fitted(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted on a bounded sample of the rows of ``docs`` where ``learn`` holds.
 
-    Of each language the ``rows`` rows with the smallest hash of id and text are taken, and of each a
-    stretch of ``chars`` code points at a hashed place: that bounds what comes to the driver. Only rows
-    whose hash is below a bound by the language's count are ranked, about twice as many as are taken,
-    however large the table is.
+    Of each language the ``rows`` rows with the smallest hash of id and text are taken, with their whole
+    texts: so many texts a language come to the driver. Only rows whose hash is below a bound by the
+    language's count are ranked, about twice as many as are taken, however large the table is.
     """
     mark, rank, draw = own("mark"), own("rank"), own("draw")
     keys = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
@@ -217,11 +215,8 @@ def fitted(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int =
     first = Window.partitionBy("lang").orderBy(mark)
     chosen = drawn.where(F.col(draw) <= bound).withColumn(rank, F.row_number().over(first))
     chosen = chosen.where(F.col(rank) <= rows)
-    place = F.pmod(F.col(mark), F.greatest(F.length("text") - chars + 1, F.lit(1)).cast("long")) + 1
-    stretch = F.substring("text", place.cast("int"), F.lit(chars))
     sample = (
-        keys.select("lang", mark, stretch.alias("text"))
-        .join(F.broadcast(chosen.select("lang", mark).distinct()), ["lang", mark], "left_semi")
+        keys.join(F.broadcast(chosen.select("lang", mark).distinct()), ["lang", mark], "left_semi")
         .dropDuplicates(["lang", mark])
     )
     found = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())

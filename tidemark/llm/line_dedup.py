@@ -15,7 +15,12 @@ def line_key(line: Column) -> Column:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, by_id: bool = False
+    docs: DataFrame,
+    min_documents: int = MIN_DOCUMENTS,
+    min_chars: int = MIN_CHARS,
+    by_id: bool = False,
+    by_text: bool = False,
+    spare_whole: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with its ``text`` cut, ``n_lines`` before and ``n_dropped``.
 
@@ -25,9 +30,12 @@ def drop_common_lines(
 
     Each row counts as a document, a repeated row too, and once however often it has the line. With
     ``by_id`` each distinct id does, however many rows have it, and a row without an id for none, as
-    in SQL's count of distinct ids; it still loses the lines that others make common. A null or empty text is one empty line, and so is a text that loses all its lines. Null ids are
-    ids like any other. Other columns pass through, except that columns named ``n_lines``,
-    ``n_dropped`` are replaced.
+    in SQL's count of distinct ids; it still loses the lines that others make common. With ``by_text``
+    each distinct text does, however many copies there are, so a group of copies makes none of its own
+    lines common. A null or empty text is one empty line, and so is a text that loses all its lines;
+    with ``spare_whole`` a text that would be left without a word stays whole instead. Null ids are ids
+    like any other. Other columns pass through, except that columns named ``n_lines``, ``n_dropped``
+    are replaced.
 
     Keys are compared by 96 bits of hash. Lines leave a document as (position, hash), so that the
     shuffles hold no text but the documents themselves, once, on their way to their list of dropped
@@ -48,13 +56,15 @@ def drop_common_lines(
     )
     hashed = lambda key: (F.xxhash64(key).alias("_h"), F.crc32(F.encode(key, "UTF-8")).alias("_c"))
     counted = (
-        base.select("doc_id", F.explode(F.array_distinct(keys)).alias("_key"))
+        base.select("doc_id", text_hash, F.explode(F.array_distinct(keys)).alias("_key"))
         .where(F.length("_key") >= max(min_chars, 1))
-        .select("doc_id", *hashed(F.col("_key")))
+        .select("doc_id", text_hash, *hashed(F.col("_key")))
     )
-    if by_id:
-        # Dealt by hash and id, so the rows of a hot line are spread before they are counted.
-        counted = counted.where(F.col("doc_id").isNotNull()).distinct()
+    # Dealt by hash and id or text, so the rows of a hot line are spread before they are counted.
+    if by_text:
+        counted = counted.drop("doc_id").distinct()
+    elif by_id:
+        counted = counted.drop(text_hash).where(F.col("doc_id").isNotNull()).distinct()
     counts = counted.groupBy("_h", "_c").agg(F.count(F.lit(1)).alias("_n"))
     # Written, so that the join below has a shuffle of its own, whose hot keys Spark can split.
     common = written(counts.where(F.col("_n") >= min_documents).select("_h", "_c"), "common-lines")
@@ -71,6 +81,9 @@ def drop_common_lines(
     ).withColumn(lines_of, F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col(positions))
     cut = F.array_join(F.transform(F.array_sort(stay), lambda i: F.get(F.col(lines_of), i)), "\n")
+    if spare_whole:
+        left = F.btrim(cut, F.lit(SPACES)) != ""
+        joined = joined.withColumn(positions, F.when(left, F.col(positions)))
     text = F.when(F.col(positions).isNull(), F.col("text")).otherwise(cut)
     return joined.select(
         *[(text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in kept],

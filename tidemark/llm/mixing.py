@@ -18,6 +18,7 @@ FRAME = 4096  # slots of a frame for which weights are rounded, where that is as
 BATCH = 1 << 14  # blocks of the schedule that are written at a time
 EXPONENT = 0.7  # without given weights, a source weighs its number of rows to this power
 SEED = 17
+BROADCAST = 100_000  # sources up to which their table, a short row each, is broadcast
 
 
 def shares(weights: Mapping[object, float], frame: int = FRAME) -> dict[object, int]:
@@ -118,6 +119,7 @@ def mixed(
     frame: int | None = None,
     exponent: float = EXPONENT,
     seed: int = SEED,
+    default: float | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` once, with ``mix_block``, ``mix_release``, ``mix_deadline``, ``mix_slot``,
     ``mix_place`` (its place in the block) and ``on_target``. Sorted by (mix_slot, mix_place) the
@@ -136,7 +138,8 @@ def mixed(
     A block's slot is unique, so an order by (mix_slot, mix_place) has no ties. No row is dropped or
     repeated whatever the weights.
 
-    Sources absent from ``weights`` are refused, since they have no target; a null source is a source.
+    Sources absent from ``weights`` have the weight ``default``; without one they are refused, since
+    they have no target. A null source is a source.
     Without weights they follow ``target_weights``. Sources number ``frame`` at most, if given. Repeated rows
     are rows of their own. Existing columns of the new names are replaced. Rows are numbered by a
     range partitioning on (source, hash), so a source with most rows is spread like any other.
@@ -148,9 +151,10 @@ def mixed(
     counted = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # one row per source
     if weights is None:
         weights = {s: n**exponent for s, n in counted.items()}
-    if absent := [s for s in counted if s not in weights]:
+    absent = [s for s in counted if s not in weights]
+    if absent and default is None:
         raise ValueError(f"no weight for {absent[:5]}")
-    weights = {s: weights[s] for s in counted}
+    weights = {s: weights.get(s, default) for s in counted}
     slots = whole(weights) if frame is None else shares(weights, frame)
     row, order, start = own("row"), own("order"), own("start")
     texts = [c.cast("string") for c in columns]
@@ -175,7 +179,9 @@ def mixed(
     blocks = [-(-counted[s] // block) for s in names]
     table = _courses(spark, [slots[s] for s in names], blocks, (of, at, *new_columns))
     inside = F.col(row) - F.col(start)
-    numbered = placed.join(F.broadcast(sources), F.col(source).eqNullSafe(F.col(own_source))).withColumn(
+    if len(names) <= BROADCAST:
+        sources = F.broadcast(sources)
+    numbered = placed.join(sources, F.col(source).eqNullSafe(F.col(own_source))).withColumn(
         "mix_block", F.floor(inside / F.lit(block)).cast("long")
     )
     numbered = numbered.withColumn("mix_place", F.pmod(inside, F.lit(block)).cast("int"))

@@ -32,8 +32,13 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Target weights of the supplied sources, one to five parts; a source without a name here has one.
+TARGETS = {f"src{n}": float(1 + n % 5) for n in range(20)}
+
+
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs, TARGETS, default=1.0)
 
 
 def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
