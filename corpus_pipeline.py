@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm import langid, line_dedup, mixing, packing, simhash
 from tidemark.llm.common import own
@@ -31,42 +32,57 @@ def by_language(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Dat
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many share; ``n_chars`` follows. Emptied ones go."""
+    """All documents, without the lines that many different texts share; ``n_chars`` follows.
+
+    A group of copies counts once for each of its lines, and a text that would be left without a word
+    stays whole, so no document is emptied and every group of copies reaches the next stage. A null
+    text becomes an empty one, repeated rows are returned each, an empty table gives none.
+    """
     docs = _documents(spark, sf_dir, docs)
-    cut = line_dedup.drop_common_lines(docs, by_id=True).withColumn("n_chars", F.length("text").cast("long"))
-    gone = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")
-    return cut.where(~gone).select(*[f"`{c}`" for c in docs.columns])
+    cut = line_dedup.drop_common_lines(docs, by_text=True, spare_whole=True)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Of rows that share it one stays; one without an id stays only where its whole group has none.
+    Texts without words are one group. An empty table gives none.
+    """
     return simhash.keep_one(_documents(spark, sf_dir, docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """All documents, sorted so that the sources interleave at their target weights.
 
-    The rows are sorted over all partitions, so the files, read by name, hold the mix in its order,
-    from which packing numbers its sequences.
+    The rows are sorted over all partitions, so the files, read by number, hold the mix in its order,
+    from which packing numbers its sequences. A null source is a source, repeated rows are rows of
+    their own, an empty table gives none.
     """
     docs = _documents(spark, sf_dir, docs)
     mix = mixing.mixed(docs)
     return mix.orderBy("mix_slot", "mix_place").select(*[f"`{c}`" for c in docs.columns])
 
 
-def pack(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+def file_order() -> list[Column]:
+    """The place of a row in the files of its table: by the number in the file's name, then in the file."""
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    return [number, F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
+def pack(
+    spark: SparkSession, docs: DataFrame | None, sf_dir: str, order: Sequence[Column] | None = None
+) -> DataFrame:
     """Pieces of binary lengths with their ids; each is a sequence.
 
-    Pieces of one length are numbered in the order of their documents over the files by name, which
-    is the mix of the stage before. Documents that lie in no files have no order yet and are mixed here.
+    Pieces of one length are numbered in ``order`` of their documents: by default that of their files,
+    which is the mix of the stage before, so ``docs`` must be read from files unless an order is given.
+    A null text is empty, a repeated row is packed like any other, an empty table gives none.
     """
     docs = _documents(spark, sf_dir, docs)
-    place = [own("file"), own("row")]
-    try:
-        placed = docs.select("*", *[F.col(f"_metadata.{c}").alias(p) for c, p in zip(("file_path", "row_index"), place)])
-    except AnalysisException:
-        place = ["mix_slot", "mix_place"]
-        placed = mixing.mixed(docs)
+    order = file_order() if order is None else order
+    place = [own(f"place{n}") for n in range(len(order))]
+    placed = docs.select("*", *[c.alias(p) for c, p in zip(order, place)])
     return packing.packed(placed, vocabulary(), place=place)
 
 
