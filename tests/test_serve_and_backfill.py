@@ -173,3 +173,15 @@ def test_coverage(spark, rows):
     ]
     plan = B.backfill_plan(asked, 2, 1)
     assert plan.count() == 6 and plan.columns == ["batch_no", "symbol", "window_start", "window_end"]
+
+
+def test_a_limit_above_sparks_own_is_cut_down_ahead_of_the_shuffle(spark):
+    from tidemark.operators import serve
+
+    rows_ = spark.range(0, 40_000, 1, 4).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    top = serve.top_per_key(rows_, "k", ["v"], 2000)
+    found = top.collect()
+    assert len(found) == 6000 and all(r.v < 6000 for r in found)
+    # Each map task cuts its part down to 2000 rows of a key before it shuffles.
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "2000, Partial" in plan and plan.index("2000, Final") < plan.index("2000, Partial")

@@ -34,7 +34,16 @@ from tidemark.operators.serve import INSTRUMENT_COLUMNS
 from tidemark.plans import vendors
 from tidemark.sources import files
 from tidemark.sources.bronze import CORRUPT, envelope_run_id
-from tidemark.sources.tables import appended, load, read_silver, read_table, write_silver
+from tidemark.sources.tables import (
+    appended,
+    begun,
+    directory,
+    load,
+    read_silver,
+    read_table,
+    replace_touched,
+    write_silver,
+)
 
 CHUNKED_PRICES = T.StructType(
     [
@@ -179,8 +188,11 @@ def _load_prices(
         work = lake.work("returns")
         try:
             # The rows that follow the batch are among the stored ones that the load replaces.
-            priced = _kept(returns_around(batch, stored, first, final), f"{work}/priced")
-            load(spark, lake.gold, priced, upsert.PRICES, moment.now, unique=priced)
+            spec = begun(spark, lake.gold, upsert.PRICES)
+            priced, seen = _counted(
+                returns_around(batch, stored, first, final), f"{work}/priced", touched=F.collect_set(directory(spec))
+            )
+            replace_touched(spark, lake.gold, priced, spec, moment.now, seen["touched"])
         finally:
             files.remove(spark, work)
     else:
@@ -288,10 +300,10 @@ def run_vendor(
                                  F.col("wrong").alias("detail"), "bronze_run_id"),
                     "values",
                 )
-        sort = vendor.table.sort or vendor.table.key
+        sort, spec = vendor.table.sort or vendor.table.key, begun(spark, lake.gold, vendor.table)
         silver, written = _to_silver(
             spark, lake, vendor.clean(rows), moment, vendor.source, vendor.silver_name, vendor.silver, sort,
-            run_id, n_rows=F.count(F.lit(1)),
+            run_id, n_rows=F.count(F.lit(1)), touched=F.collect_set(directory(spec)),
         )
         note = _listed(failed, total) if failed else None
         if not written["n_rows"]:
@@ -314,7 +326,11 @@ def run_vendor(
                 _reject(lake, run_id, vendor.run_name, strangers, "strangers")
                 note = _listed(failed, total)
             batch = registered(batch, known)
-        count = load(spark, lake.gold, batch, vendor.table, moment.now, unique=batch)
+            count = load(spark, lake.gold, batch, spec, moment.now, unique=batch)
+        else:
+            # Cleaned rows are one of a key, so what was observed of them is all a load has to know.
+            count = written["n_rows"]
+            replace_touched(spark, lake.gold, batch, spec, moment.now, written["touched"])
         if vendor.mark:
             _advance(spark, lake, silver, vendor.key, vendor.time, vendor.mark, moment)
         _finish(ledger, run_id, moment, "partial" if failed else "success", total, failed, note)
@@ -707,8 +723,14 @@ def _to_silver(
 
 
 def _advance(spark, lake, silver, key, time, mark, moment) -> None:
-    marks = watermark.advance(silver, key, time, mark)
-    load(spark, lake.gold, marks, upsert.WATERMARKS, moment.now, unique=marks)
+    work, spec = lake.work("marks"), begun(spark, lake.gold, upsert.WATERMARKS)
+    try:
+        marks, seen = _counted(
+            watermark.advance(silver, key, time, mark), f"{work}/marks", touched=F.collect_set(directory(spec))
+        )
+        replace_touched(spark, lake.gold, marks, spec, moment.now, seen["touched"])
+    finally:
+        files.remove(spark, work)
 
 
 def _finish(ledger, run_id, moment, status, total, failed, notes=None) -> None:

@@ -84,8 +84,17 @@ def attach(spark: SparkSession, root: str, spec: TableSpec) -> str:
     return table
 
 
+def begun(spark: SparkSession, root: str, spec: TableSpec) -> TableSpec:
+    """``spec`` with the layout its table was begun with, its number of directories above all."""
+    return _as_begun(spark, attach(spark, root, spec), spec)
+
+
+def directory(spec: TableSpec) -> Column:
+    """The directory a row belongs to, by its key."""
+    return F.expr(spec.layout[1]).cast("int")
+
+
 def _as_begun(spark: SparkSession, table: str, spec: TableSpec) -> TableSpec:
-    """``spec`` with the layout the table was begun with, its number of directories above all."""
     found = spark.sql(f"show tblproperties {table} ('layout')").first()
     return replace(spec, layout=(spec.layout[0], found["value"]))
 
@@ -97,7 +106,7 @@ def read_table(spark: SparkSession, root: str, spec: TableSpec) -> DataFrame:
     if spec.layout[0] != "bucket":
         return table
     # True of every row. Said aloud, it lets a filter on the key leave all other directories unread.
-    return table.where(F.col("bucket") == F.expr(_as_begun(spark, name, spec).layout[1]).cast("int"))
+    return table.where(F.col("bucket") == directory(_as_begun(spark, name, spec)))
 
 
 def load(
@@ -119,20 +128,25 @@ def load(
     that overwrites the partitions it has rows for: a load that fails leaves the table as it was, and
     one that is repeated gives what one load would have. A table has one loader at a time.
     """
-    table = attach(spark, root, spec)
-    spec = _as_begun(spark, table, spec)
-    name, expression = spec.layout
+    spec = begun(spark, root, spec)
     # One row per directory: months, years, or a fixed number of them.
     keys = directories(batch, spec) if unique is None else directories(unique, spec, unique=True)
     found = keys.collect()
     refuse_bad_keys(spec.key, sum(r.repeated for r in found), sum(r.null_keys for r in found))
-    if not found:
-        return 0
-    merged = merge(spark.table(table), batch, spec, now, [r.directory for r in found])
-    merged.withColumn(name, F.expr(expression).cast("int")).write.mode("overwrite").insertInto(table)
+    replace_touched(spark, root, batch, spec, now, [r.directory for r in found])
     return sum(r.row_count for r in found)
 
 
+def replace_touched(
+    spark: SparkSession, root: str, batch: DataFrame, spec: TableSpec, now: Column, touched: list[int]
+) -> None:
+    """Upsert ``batch``, whose keys are unique and whose rows lie in the directories ``touched``."""
+    if touched:
+        table = attach(spark, root, spec)
+        merged = merge(spark.table(table), batch, spec, now, touched)
+        merged.withColumn(spec.layout[0], directory(spec)).write.mode("overwrite").insertInto(table)
+
+
 def merge(table: DataFrame, batch: DataFrame, spec: TableSpec, now: Column, touched: list[int]) -> DataFrame:
     """The rows of the touched directories after the load."""
     name = spec.layout[0]
