@@ -66,12 +66,12 @@ def attach(spark: SparkSession, root: str, spec: TableSpec) -> str:
     table = f"{database}.{spec.name}"
     if spark.catalog.tableExists(table):
         return table
-    spark.sql(f"create database if not exists {database}")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spark.sql(f"create database if not exists {database} location {quoted(root)}")
     name, expression = spec.layout
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spec.schema)
     options = {"partitionOverwriteMode": "dynamic"}
     options |= {f"parquet.bloom.filter.enabled#{c}": "true" for c in spec.sought}
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     key, path = ", ".join(spec.key), table_path(root, spec)
     spark.sql(
         f"""create table if not exists {table} ({columns}, `{name}` int) using parquet
