@@ -57,38 +57,90 @@ def words_of(text):
     return [w for w in lowered.split(" ") if w] + [None]
 
 
-def brute(rows, mu):
+def brute(rows, mu, nu=None):
+    """Scores by one word before, or by two where nu is given."""
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 5 == 1 for r in rows]
-    single, pairs = Counter(), Counter()
+    single, pairs, triples = Counter(), Counter(), Counter()
     for r, h in zip(rows, held):
         if not h:
             words = words_of(r[1])
             single.update(words)
             pairs.update(zip([None, *words], words))
+            triples.update(zip([None, *words], words, words[1:]))
     n, v = sum(single.values()), len(single)
     out = []
     for r, h in zip(rows, held):
         words = words_of(r[1])
         p = {w: (single[w] + 0.5) / (n + 0.5 * (v + 1)) for w in words}
         base = sum(math.log10(p[w]) for w in words)
-        score = sum(math.log10((pairs[a, b] + mu * p[b]) / (single[a] + mu)) for a, b in zip([None, *words], words))
+        score = 0.0
+        for i, w in enumerate(words):
+            before = words[i - 1] if i else None
+            q = (pairs[before, w] + mu * p[w]) / (single[before] + mu)
+            if nu and i:
+                first = words[i - 2] if i > 1 else None
+                q = (triples[first, before, w] + nu * q) / (pairs[first, before] + nu)
+            score += math.log10(q)
         out.append((str(r[0]), h, len(words), sum(single[w] > 0 for w in words), n, base, score))
     return sorted(out)
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("block, hot, per_shard", [(1 << 25, 200_000, 3 << 20), (2000, 3, 500)])
-def test_scores_against_brute_force(spark, monkeypatch, block, hot, per_shard):
+def test_scores_against_brute_force(spark, monkeypatch, block, hot, per_shard, order):
     for name, value in {"BLOCK_BYTES": block, "HOT": hot, "PAIRS_PER_SHARD": per_shard, "WORDS_PER_SHARD": per_shard}.items():
         monkeypatch.setattr(lm, name, value)
     rows = samples.documents()
-    found = sorted((str(r[0]), *r[1:]) for r in lm.scored(samples.table(spark), lm.held_out()).collect())
-    expected = brute(rows, lm.MU)
+    found = sorted((str(r[0]), *r[1:]) for r in lm.scored(samples.table(spark), lm.held_out(), order=order).collect())
+    expected = brute(rows, lm.MU, lm.NU if order == 3 else None)
     assert [r[:5] for r in found] == [r[:5] for r in expected]
     for a, b in zip(found, expected):
         assert math.isclose(a[5], b[5], rel_tol=1e-9)
         assert math.isclose(a[6], b[6], rel_tol=2e-3)  # shares are quantised
 
 
+def test_orders_are_two_or_three(spark):
+    with pytest.raises(ValueError):
+        lm.scored(samples.table(spark), lm.held_out(), order=4)
+
+
+def test_numbers_are_packed_whole():
+    rng = np.random.default_rng(4)
+    for kind in ("u1", "<u4", "<u8"):
+        for n in (0, 1, 1000):
+            values = rng.integers(0, np.iinfo(kind).max, n, kind)
+            assert (lm._unpacked(lm._packed(values), kind) == values).all()
+
+
+def test_a_trie_of_three_levels():
+    rng = np.random.default_rng(3)
+    seen = sorted({tuple(int(x) for x in rng.integers(1, 40, 3)) for _ in range(3000)})
+    pairs = sorted({x[:2] for x in seen})
+    firsts = sorted({x[0] for x in seen})
+    shares = rng.random(len(seen)) + 1e-6
+    trie = Trie.from_buffer(
+        Trie.of(
+            np.array(firsts, np.uint64),
+            *(np.array(x) for x in zip(*((firsts.index(u), v) for u, v in pairs))),
+            *(np.array(x) for x in zip(*((pairs.index(x[:2]), x[2]) for x in seen))),
+            shares,
+        ).to_bytes()
+    )
+    value = dict(zip(seen, shares))
+    asked = [(u, v, w) for u in range(50) for v in range(50) for w in (1, 7, 39, 70)]
+    codes = trie.find(
+        np.arange(50, dtype=np.uint64),
+        np.full(50, 50),
+        np.tile(np.arange(50), 50),
+        np.full(2500, 4),
+        np.array([x[2] for x in asked]),
+    )
+    for x, code in zip(asked, codes):
+        assert (code > 0) == (x in value)
+        if code:
+            assert abs(math.log(trie.codebook[code] / value[x])) < 0.2
+
+
 def test_probabilities_sum_to_one():
     rows = [(i, "a b a c", *[None] * 4) for i in range(9)]
     single, pairs = Counter(), Counter()

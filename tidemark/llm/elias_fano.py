@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and the two-level n-gram trie made of them, in numpy."""
+"""Elias-Fano sequences and the n-gram trie made of them, in numpy."""
 
 from __future__ import annotations
 
@@ -116,65 +116,81 @@ class Sequence:
         return begin, equal
 
 
-CHILD_BITS = 32
-
-
 class Trie:
-    """Contexts and, below each, the words seen after it, with quantised probabilities.
+    """Contexts and, below each, the words seen after it, one level or more, with quantised probabilities.
 
-    ``contexts`` are hashes. The children of the i-th context stand in ``children`` from pointer i to
-    pointer i + 1; ``pointers`` never decrease. A child is a 32-bit hash of a word; the i-th context's
-    are raised by i * 2^32, so the whole level increases and is one sequence, in which a child is
-    sought by its successor relative to its context. ``codes`` holds a byte per child, an index into
-    ``codebook``.
+    ``contexts`` are unsigned 64-bit numbers. A level holds the children of the level above: those of its
+    i-th node stand from pointer i to pointer i + 1; ``pointers`` never decrease. A child is a number
+    below 2^bits; the i-th node's are raised by i * 2^bits, so the whole level increases and is one
+    sequence, in which a child is sought by its successor relative to its context. ``codes`` holds a byte
+    per node of the last level, an index into ``codebook``.
     """
 
-    def __init__(self, contexts, pointers, children, codes, codebook) -> None:
-        self.contexts, self.pointers, self.children = contexts, pointers, children
-        self.codes, self.codebook = codes, codebook
+    def __init__(self, contexts, levels, codes, codebook) -> None:
+        self.contexts, self.levels, self.codes, self.codebook = contexts, levels, codes, codebook
 
     @classmethod
-    def of(cls, contexts: np.ndarray, parents: np.ndarray, children: np.ndarray, shares: np.ndarray) -> Trie:
-        """contexts: ascending; parents, children: of each pair, ascending; shares: positive."""
+    def of(cls, contexts: np.ndarray, *levels: np.ndarray) -> Trie:
+        """contexts: ascending; then of each level the parents and children, ascending by both and
+        different; last the values of the last level's nodes, positive."""
+        *levels, shares = levels
         codes, codebook = quantised(shares)
-        keys = (parents.astype(np.uint64) << np.uint64(CHILD_BITS)) | children.astype(np.uint64)
-        pointers = np.searchsorted(parents, np.arange(len(contexts) + 1))
-        return cls(
-            Sequence.of(contexts, 1 << 64),
-            Sequence.of(pointers, len(parents) + 1),
-            Sequence.of(keys, max(len(contexts), 1) << CHILD_BITS),
-            codes,
-            codebook,
-        )
+        above, made = len(contexts), []
+        for parents, children in zip(levels[::2], levels[1::2]):
+            bits = max(1, int(children.max(initial=0)).bit_length())
+            keys = (parents.astype(np.uint64) << np.uint64(bits)) | children.astype(np.uint64)
+            pointers = np.searchsorted(parents, np.arange(above + 1))
+            made.append(
+                (bits, Sequence.of(pointers, len(parents) + 1), Sequence.of(keys, max(above, 1) << bits))
+            )
+            above = len(parents)
+        return cls(Sequence.of(contexts, 1 << 64), made, codes, codebook)
 
     def to_bytes(self) -> bytes:
-        levels = b"".join(s.to_bytes() for s in (self.contexts, self.pointers, self.children))
+        levels = [
+            _HEAD.pack(bits, 0) + pointers.to_bytes() + children.to_bytes() for bits, pointers, children in self.levels
+        ]
         book = self.codebook.astype("<f4").tobytes()
-        return levels + struct.pack("<QQ", len(self.codes), len(self.codebook)) + book + self.codes.tobytes()
+        sizes = _HEAD.pack(len(self.codes), len(self.codebook))
+        return b"".join(
+            [_HEAD.pack(len(levels), 0), self.contexts.to_bytes(), *levels, sizes, book, self.codes.tobytes()]
+        )
 
     @classmethod
     def from_buffer(cls, data) -> Trie:
-        at, levels = 0, []
-        for _ in range(3):
-            level, at = Sequence.from_buffer(data, at)
-            levels.append(level)
-        codes, book = struct.unpack_from("<QQ", data, at)
+        (depth, _), levels = _HEAD.unpack_from(data, 0), []
+        contexts, at = Sequence.from_buffer(data, _HEAD.size)
+        for _ in range(depth):
+            bits, _ = _HEAD.unpack_from(data, at)
+            pointers, at = Sequence.from_buffer(data, at + _HEAD.size)
+            children, at = Sequence.from_buffer(data, at)
+            levels.append((bits, pointers, children))
+        codes, book = _HEAD.unpack_from(data, at)
         codebook = np.frombuffer(data, "<f4", book, at + 16)
-        return cls(*levels, np.frombuffer(data, np.uint8, codes, at + 16 + 4 * book), codebook)
+        return cls(contexts, levels, np.frombuffer(data, np.uint8, codes, at + 16 + 4 * book), codebook)
+
+    def find(self, contexts: np.ndarray, *below: np.ndarray) -> np.ndarray:
+        """Codes of the last level's nodes, 0 where one is absent.
 
-    def find(self, contexts: np.ndarray, counts: np.ndarray, children: np.ndarray) -> np.ndarray:
-        """Codes of pairs, 0 where a pair is absent; the i-th context has the next counts[i] children."""
-        found = np.zeros(len(children), np.uint8)
-        if not self.contexts.size or not len(children):
-            return found
+        ``below`` has two arrays a level: how many children each node asked for above has, and these.
+        """
+        if not self.contexts.size:
+            return np.zeros(len(below[-1]), np.uint8)
         rank, known = self.contexts.successor(contexts)
-        begin = self.pointers.get(np.where(known, rank, 0)).astype(np.int64)
-        end = self.pointers.get(np.where(known, rank + 1, 0)).astype(np.int64)
-        ask = np.flatnonzero(np.repeat(known, counts))
-        base = np.repeat(rank, counts)[ask].astype(np.uint64) << np.uint64(CHILD_BITS)
-        at, equal = self.children.successor(base | children[ask].astype(np.uint64))
-        equal &= (at >= np.repeat(begin, counts)[ask]) & (at < np.repeat(end, counts)[ask])
-        found[ask[equal]] = self.codes[at[equal]]
+        for (bits, pointers, children), counts, asked in zip(self.levels, below[::2], below[1::2]):
+            if not children.size:
+                return np.zeros(len(below[-1]), np.uint8)
+            begin = pointers.get(np.where(known, rank, 0)).astype(np.int64)
+            end = pointers.get(np.where(known, rank + 1, 0)).astype(np.int64)
+            asked = asked.astype(np.uint64)
+            ask = np.flatnonzero(np.repeat(known, counts) & (asked >> np.uint64(bits) == 0))
+            base = np.repeat(rank, counts)[ask].astype(np.uint64) << np.uint64(bits)
+            at, equal = children.successor(base | asked[ask])
+            equal &= (at >= np.repeat(begin, counts)[ask]) & (at < np.repeat(end, counts)[ask])
+            known, rank = np.zeros(len(asked), bool), np.zeros(len(asked), np.int64)
+            known[ask[equal]], rank[ask[equal]] = True, at[equal]
+        found = np.zeros(len(rank), np.uint8)
+        found[known] = self.codes[rank[known]]
         return found
 
 

@@ -1,15 +1,20 @@
-"""Language-model scoring: a bigram model in Elias-Fano tries, one per shard of contexts.
+"""Language-model scoring: a trigram model in Elias-Fano tries, one per shard of contexts.
 
-    P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    P(w | u, v) = (c(u, v, w) + NU * P(w | v)) / (c(u, v) + NU)
+    P(w | v)    = (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-Both sum to one. A trie holds the quantised share c(v, w) / (c(v) + MU) of each pair seen in training;
-the rest of the formula needs only counts of single words.
+Each sums to one. A document's first word has the pair's probability. Tries hold, quantised, what the
+sequences seen in training add to the probability of the shorter one: c(v, w) / (c(v) + MU) in tries of
+two levels, c(u, v, w) / (c(u, v) + NU) in tries of three; the rest is the weight of backing off. In
+the latter c(u, v) is the count read back from the quantised pair, which is exact where it is small.
 
 Documents are cut into blocks of bounded size, numbered words in files in the shared folder. A block
-asks for the counts of its distinct words, then for the shares of its distinct pairs, and is answered
-by the shard that gathers them from all blocks: counts, builds its trie, writes it and looks up what
-was asked. So no table of all words or pairs is ever in one place, and a frequent word costs a row per
-block. A frequent context's pairs are dealt to as many shards as its count asks for.
+asks for the counts and numbers of its distinct words, then for its distinct pairs, then for its
+distinct triples, and is answered by the shard that gathers them from all blocks: counts, builds its
+trie, writes it and looks up what was asked. So no table of all words or sequences is ever in one place,
+and a frequent word costs a row per block. What follows a frequent word or pair is dealt to as many
+shards as its count asks for. Words that training lacks have no number, and nothing asks for sequences
+with them, nor for triples that begin with an unseen pair: their counts are zero.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import written
@@ -27,11 +33,13 @@ from tidemark.llm.elias_fano import Sequence, Trie
 from tidemark.llm.filesets import FileSet
 from tidemark.session import work_folder
 
+ORDER = 3
 MU = 1000.0
+NU = 100.0
 BLOCK_BYTES = 32 << 20  # of text
 WORDS_PER_SHARD = 1 << 20  # that blocks ask of one shard, about
-PAIRS_PER_SHARD = 3 << 20
-HOT = 200_000  # occurrences of a context for which it gets one more shard
+PAIRS_PER_SHARD = 3 << 20  # pairs or triples
+HOT = 200_000  # occurrences of a word or pair for which what follows it gets one more shard
 SEED = 5
 END = b""  # ends each document, and is what stands before its first word
 
@@ -104,17 +112,99 @@ class _Block:
     def end(self) -> int:
         return int(self.ids[-1])
 
-    def by_pair_shard(self, before: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: int):
-        """The pairs' places ordered by shard and context, and where each shard begins.
+    def later(self) -> np.ndarray:
+        """Whether a position has a word of its document before it."""
+        found = np.ones(len(self.ids), bool)
+        found[np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)[:-1]])] = False
+        return found
+
+    def learned(self) -> np.ndarray:
+        """Whether a position is in the training part."""
+        return np.repeat(~self.held, self.lengths)
+
+    def triples(self, inverse: np.ndarray, later: np.ndarray):
+        """The distinct triples as (pair's place, word), and for each later position its triple's place."""
+        at = np.flatnonzero(later)
+        key = (inverse[at - 1].astype(np.uint64) << np.uint64(32)) | self.ids[at]
+        key, place = np.unique(key, return_inverse=True)
+        return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), place
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest bytes of all first, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-        A context seen more than HOT times in training is dealt to several shards by the next word.
-        """
-        first, second = self.words[before], self.words[word]
-        parts = counts[before].astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
-        mixed = (first >> np.uint64(7)) + (second >> np.uint64(9)) % parts * np.uint64(0x9E3779B1)
-        shard = (mixed % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _dealt(shards: int, first: np.ndarray, *below: tuple[np.ndarray, np.ndarray]):
+    """The order of sequences by shard, and where each shard begins.
+
+    The shard is that of the first word's hash, moved by the hash of each next word within the number
+    of parts that the count of what stands before it asks for. ``below`` has (hashes, counts before).
+    """
+    mixed = first >> np.uint64(7)
+    for turn, (word, counts) in enumerate(below):
+        parts = counts.astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
+        mixed = mixed + (word >> np.uint64(9 + 2 * turn)) % parts * np.uint64(0x9E3779B1 + 2 * turn)
+    shard = (mixed % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+class _Known:
+    """A block with what the answers so far say: counts and numbers of words, then the pairs' shares."""
+
+    def __init__(self, path: str, answers: pa.Table, word_shards: int, shards: int, mu: float) -> None:
+        self.block = block = _open(path, answers["block"][0].as_py())
+        order, begins = block.by_word_shard(word_shards)
+        self.counts, self.numbers = np.zeros(len(order), "<u8"), np.zeros(len(order), "<u8")
+        data = _by_shard(answers, 0)
+        for shard, (a, b) in enumerate(zip(begins, begins[1:])):
+            if a < b:
+                both = _unpacked(data[shard][0], "<u8")
+                self.counts[order[a:b]], self.numbers[order[a:b]] = both[: b - a], both[b - a :]
+        self.before, self.word, self.inverse = block.pairs()
+        # Only pairs of known words are asked for.
+        self.asked = np.flatnonzero((self.numbers[self.before] > 0) & (self.numbers[self.word] > 0))
+        before, word = self.before[self.asked], self.word[self.asked]
+        self.dealt, self.begins = _dealt(shards, block.words[before], (block.words[word], self.counts[before]))
+        self.shares = _read(answers, 1, len(self.before), self.asked[self.dealt], self.begins)
+        contexts = self.counts[self.before].astype(np.float64)
+        #: How often a pair was seen, as far as its quantised share tells.
+        self.pair_counts = np.rint(self.shares * (contexts + mu)).astype("<u8")
+        self.pair_counts[(self.shares > 0) & (self.pair_counts == 0)] = 1
+
+    def triples(self, shards: int):
+        """The distinct triples, those asked for in the shards' order, where each shard begins, and for
+        each later position its triple's place."""
+        block = self.block
+        pair, word, place = block.triples(self.inverse, block.later())
+        asked = np.flatnonzero((self.pair_counts[pair] > 0) & (self.numbers[word] > 0))
+        p, w = pair[asked], word[asked]
+        u, v = self.before[p], self.word[p]
+        order, begins = _dealt(
+            shards,
+            block.words[u],
+            (block.words[v], self.counts[u]),
+            (block.words[w], self.pair_counts[p]),
+        )
+        return pair, word, asked[order], begins, place
+
+
+def _read(answers: pa.Table, kind: int, size: int, asked: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The shares that the shards answered, at the places asked for; zero elsewhere."""
+    shares, data = np.zeros(size), _by_shard(answers, kind)
+    for shard, (a, b) in enumerate(zip(begins, begins[1:])):
+        if a < b and shard in data:
+            codes, book = data[shard]
+            shares[asked[a:b]] = np.frombuffer(book, "<f4")[_unpacked(codes, "u1")]
+    return shares
 
 
 def blocks(docs: DataFrame, held: Column, path: str) -> DataFrame:
@@ -196,7 +286,7 @@ def _asked_words(meta: DataFrame, path: str, shards: int) -> DataFrame:
                                 pa.array([shard], pa.int32()),
                                 pa.array([name]),
                                 pa.array([block.words[order[a:b]].tobytes()]),
-                                pa.array([block.trained[order[a:b]].tobytes()]),
+                                pa.array([_packed(block.trained[order[a:b]])]),
                             ],
                             names=["shard", "block", "words", "counts"],
                         )
@@ -204,23 +294,31 @@ def _asked_words(meta: DataFrame, path: str, shards: int) -> DataFrame:
     return meta.select("block").mapInArrow(run, "shard int, block string, words binary, counts binary")
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """One shard: counts over all blocks, the level of words, and each block's answer."""
-    asked = [np.frombuffer(x.as_buffer(), "<u8") for x in table["words"]]
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["counts"]])
-    different, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    totals = np.zeros(len(different), np.uint64)
-    np.add.at(totals, inverse, counts)
-    seen = totals > 0
-    level, totals = Sequence.of(different[seen], 1 << 64), totals[seen]
-    rows = [("", 0, np.array([totals.sum(), len(totals)], "<u8").tobytes())]
-    for name, words in zip(table["block"].to_pylist(), asked):
-        answer = np.zeros(len(words), "<u8")
-        if level.size:
-            at, equal = level.successor(words)
-            answer[equal] = totals[at[equal]]
-        rows.append((name, 0, answer.tobytes()))
-    return _answers(rows, table["shard"][0].as_py())
+def _count_words(shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One shard: counts over all blocks, the level of words, and each block's answer: counts, then
+        numbers, small ones for frequent words and 0 for those that training lacks."""
+        shard = table["shard"][0].as_py()
+        asked = [np.frombuffer(x.as_buffer(), "<u8") for x in table["words"]]
+        counts = np.concatenate([_unpacked(x.as_buffer(), "<u8") for x in table["counts"]])
+        different, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = np.zeros(len(different), np.uint64)
+        np.add.at(totals, inverse, counts)
+        seen = totals > 0
+        level, totals = Sequence.of(different[seen], 1 << 64), totals[seen]
+        numbers = np.empty(len(totals), np.uint64)
+        numbers[np.argsort(totals, kind="stable")[::-1]] = np.arange(len(totals), dtype=np.uint64)
+        numbers = numbers * np.uint64(shards) + np.uint64(shard + 1)
+        rows = [("", 0, np.array([totals.sum(), len(totals)], "<u8").tobytes())]
+        for name, words in zip(table["block"].to_pylist(), asked):
+            answer = np.zeros((2, len(words)), "<u8")
+            if level.size:
+                at, equal = level.successor(words)
+                answer[0, equal], answer[1, equal] = totals[at[equal]], numbers[at[equal]]
+            rows.append((name, 0, _packed(answer.ravel())))
+        return _answers(rows, shard)
+
+    return run
 
 
 def _answers(rows: list[tuple], shard: int, book: bytes = b"") -> pa.Table:
@@ -243,48 +341,71 @@ def _by_shard(answers: pa.Table, kind: int) -> dict[int, tuple[bytes, bytes]]:
     }
 
 
-def _word_counts(block: _Block, answers: pa.Table, shards: int) -> np.ndarray:
-    order, begins = block.by_word_shard(shards)
-    found, data = np.zeros(len(order), np.uint64), _by_shard(answers, 0)
-    for shard, (a, b) in enumerate(zip(begins, begins[1:])):
-        if a < b:
-            found[order[a:b]] = np.frombuffer(data[shard][0], "<u8")
-    return found
+_ASKED = pa.schema(
+    [("shard", pa.int32()), ("block", pa.string())]
+    + [(n, pa.binary()) for n in ("firsts", "fans", "seconds", "totals", "children", "words", "counts")]
+)
 
 
-def _ask_pairs(path: str, word_shards: int, shards: int):
-    schema = pa.schema(
-        [("shard", pa.int32()), ("block", pa.string())]
-        + [(n, pa.binary()) for n in ("contexts", "totals", "children", "words", "counts")]
-    )
+def _asked_row(shard: int, name: str, **columns: np.ndarray) -> dict:
+    return {"shard": shard, "block": name, **{n: _packed(x) for n, x in columns.items()}}
+
 
+def _ask_pairs(path: str, word_shards: int, shards: int, mu: float):
     def run(answers: pa.Table) -> pa.Table:
-        name = answers["block"][0].as_py()
-        block = _open(path, name)
-        counts = _word_counts(block, answers, word_shards)
-        before, word, inverse = block.pairs()
-        learned = inverse[np.repeat(~block.held, block.lengths)]
-        trained = np.bincount(learned, minlength=len(before)).astype("<u4")
-        order, begins = block.by_pair_shard(before, word, counts, shards)
-        rows = []
+        """The distinct pairs of a block by shard: first words, how many words follow each, and these."""
+        known = _Known(path, answers, word_shards, shards, mu)
+        block, rows = known.block, []
+        seen = np.bincount(known.inverse[block.learned()], minlength=len(known.before)).astype("<u4")
+        for shard, (a, b) in enumerate(zip(known.begins, known.begins[1:])):
+            if a < b:
+                part = known.asked[known.dealt[a:b]]
+                firsts, children = _runs(known.before[part])
+                rows.append(
+                    _asked_row(
+                        shard,
+                        answers["block"][0].as_py(),
+                        firsts=known.numbers[firsts],
+                        totals=known.counts[firsts],
+                        children=children.astype("<u4"),
+                        words=known.numbers[known.word[part]],
+                        counts=seen[part],
+                    )
+                )
+        return pa.Table.from_pylist(rows, schema=_ASKED)
+
+    return run
+
+
+def _ask_triples(path: str, word_shards: int, shards: int, mu: float):
+    def run(answers: pa.Table) -> pa.Table:
+        """The distinct triples of a block by shard, below their pairs, below their first words."""
+        known = _Known(path, answers, word_shards, shards, mu)
+        block, rows = known.block, []
+        pair, word, asked, begins, place = known.triples(shards)
+        learned = block.learned()[block.later()]
+        seen = np.bincount(place[learned], minlength=len(pair)).astype("<u4")
         for shard, (a, b) in enumerate(zip(begins, begins[1:])):
             if a < b:
-                part = order[a:b]
-                context, children = _runs(before[part])
+                part = asked[a:b]
+                pairs, children = _runs(pair[part])
+                firsts, fans = _runs(known.before[pairs])
                 rows.append(
-                    {
-                        "shard": shard,
-                        "block": name,
-                        "contexts": block.words[context].tobytes(),
-                        "totals": counts[context].astype("<u8").tobytes(),
-                        "children": children.astype("<u4").tobytes(),
-                        "words": (block.words[word[part]] >> np.uint64(32)).astype("<u4").tobytes(),
-                        "counts": trained[part].tobytes(),
-                    }
+                    _asked_row(
+                        shard,
+                        answers["block"][0].as_py(),
+                        firsts=known.numbers[firsts],
+                        fans=fans.astype("<u4"),
+                        seconds=known.numbers[known.word[pairs]],
+                        totals=known.pair_counts[pairs],
+                        children=children.astype("<u4"),
+                        words=known.numbers[word[part]],
+                        counts=seen[part],
+                    )
                 )
-        return pa.Table.from_pylist(rows, schema=schema)
+        return pa.Table.from_pylist(rows, schema=_ASKED)
 
-    return run, schema
+    return run
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,25 +414,39 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
-def _build_and_find(path: str, mu: float):
+def _below(parents: np.ndarray, children: np.ndarray):
+    """The distinct nodes (parent, child) in order, and each row's place among them."""
+    bits = np.uint64(max(1, int(children.max(initial=0)).bit_length()))
+    key, place = np.unique((parents.astype(np.uint64) << bits) | children, return_inverse=True)
+    return (key >> bits).astype(np.int64), key & ((np.uint64(1) << bits) - np.uint64(1)), place
+
+
+def _build_and_find(path: str, kind: int, prior: float):
     def run(table: pa.Table) -> pa.Table:
         """One shard: its trie from all blocks' counts, written and mapped, and each block's answer."""
         shard = table["shard"][0].as_py()
-        column = lambda n, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[n]]
-        contexts, children, words = column("contexts", "<u8"), column("children", "<u4"), column("words", "<u4")
+        column = lambda n, of: [_unpacked(x.as_buffer(), of) for x in table[n]]
+        firsts, children, words = column("firsts", "<u8"), column("children", "<u4"), column("words", "<u8")
+        below = [children, words]
+        contexts, above = np.unique(np.concatenate(firsts), return_inverse=True)
+        size, levels = len(contexts), []
+        if kind == 2:
+            fans, seconds = column("fans", "<u4"), column("seconds", "<u8")
+            below = [fans, seconds, *below]
+            *nodes, above = _below(np.repeat(above, np.concatenate(fans)), np.concatenate(seconds))
+            size, levels = len(nodes[0]), nodes
+        totals = np.zeros(size, np.uint64)
+        totals[above] = np.concatenate(column("totals", "<u8"))
         counts = np.concatenate(column("counts", "<u4"))
         seen = np.flatnonzero(counts)
-        different, inverse = np.unique(np.concatenate(contexts), return_inverse=True)
-        totals = np.zeros(len(different), np.uint64)
-        totals[inverse] = np.concatenate(column("totals", "<u8"))
-        parents = np.repeat(inverse, np.concatenate(children))[seen]
-        key = (parents.astype(np.uint64) << np.uint64(32)) | np.concatenate(words)[seen]
-        key, place = np.unique(key, return_inverse=True)
-        sums = np.bincount(place, weights=counts[seen], minlength=len(key))
-        del inverse, place, seen, counts
-        parents = (key >> np.uint64(32)).astype(np.int64)
-        shares = sums / (totals[parents].astype(np.float64) + mu)
-        trie = Trie.of(different, parents, key & np.uint64(0xFFFFFFFF), shares)
+        parents = np.repeat(above, np.concatenate(children))[seen]
+        parents, leaves, place = _below(parents, np.concatenate(words)[seen])
+        sums = np.bincount(place, weights=counts[seen], minlength=len(parents))
+        del place, seen, counts, above
+        # A total that was read back from a quantised share may be a little below its parts' sum.
+        whole = np.maximum(totals, np.bincount(parents, weights=sums, minlength=size)) if kind == 2 else totals
+        shares = sums / (whole[parents].astype(np.float64) + prior)
+        trie = Trie.of(contexts, *levels, parents, leaves, shares)
         files = FileSet(path)
         name, stream = files.create(".trie")
         with stream:
@@ -319,29 +454,28 @@ def _build_and_find(path: str, mu: float):
         trie = Trie.from_buffer(files.mapped(name))
         book = trie.codebook.astype("<f4").tobytes()
         rows = [
-            (block, 1, trie.find(c, n, w).tobytes())
-            for block, c, n, w in zip(table["block"].to_pylist(), contexts, children, words)
+            (block, kind, _packed(trie.find(*asked)))
+            for block, *asked in zip(table["block"].to_pylist(), firsts, *below)
         ]
         return _answers(rows, shard, book)
 
     return run
 
 
-def _score(path: str, word_shards: int, shards: int, trained_tokens: int, distinct: int, mu: float, schema):
+def _score(path, word_shards, shards, trained_tokens, distinct, order, mu, nu, schema):
     def run(answers: pa.Table) -> pa.Table:
-        name = answers["block"][0].as_py()
-        block = _open(path, name)
-        counts = _word_counts(block, answers, word_shards)
+        known = _Known(path, answers, word_shards, shards, mu)
+        block, counts = known.block, known.counts
         plain = (counts.astype(np.float64) + 0.5) / (trained_tokens + 0.5 * (distinct + 1))
-        before, word, inverse = block.pairs()
-        order, begins = block.by_pair_shard(before, word, counts, shards)
-        shares, data = np.zeros(len(order)), _by_shard(answers, 1)
-        for shard, (a, b) in enumerate(zip(begins, begins[1:])):
-            if a < b:
-                codes, book = data[shard]
-                shares[order[a:b]] = np.frombuffer(book, "<f4")[np.frombuffer(codes, np.uint8)]
-        context = counts[before].astype(np.float64)
-        logs = np.log10(shares + mu / (context + mu) * plain[word])
+        context = counts[known.before].astype(np.float64)
+        after_one = known.shares + mu / (context + mu) * plain[known.word]
+        each = after_one[known.inverse]
+        if order == 3:
+            pair, _, asked, begins, place = known.triples(shards)
+            shares = _read(answers, 2, len(pair), asked, begins)
+            at = np.flatnonzero(block.later())
+            back = nu / (known.pair_counts[known.inverse[at - 1]].astype(np.float64) + nu)
+            each[at] = shares[place] + back * each[at]
         starts = np.concatenate([[0], np.cumsum(block.lengths, dtype=np.int64)[:-1]])
         summed = lambda x: np.add.reduceat(x, starts)
         n = len(starts)
@@ -353,7 +487,7 @@ def _score(path: str, word_shards: int, shards: int, trained_tokens: int, distin
                 pa.array(summed((counts > 0)[block.ids].astype(np.int64))),
                 pa.array(np.full(n, trained_tokens, np.int64)),
                 pa.array(summed(np.log10(plain)[block.ids])),
-                pa.array(summed(logs[inverse])),
+                pa.array(summed(np.log10(each))),
             ],
             names=schema.names,
         )
@@ -361,15 +495,18 @@ def _score(path: str, word_shards: int, shards: int, trained_tokens: int, distin
     return run
 
 
-def scored(docs: DataFrame, held: Column, mu: float = MU) -> DataFrame:
+def scored(docs: DataFrame, held: Column, mu: float = MU, nu: float = NU, order: int = ORDER) -> DataFrame:
     """Learn from the rows of ``docs`` where ``held`` is false and score all: a row for each row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (single words alone) and
-    score, the log10 probability of the text and its end. A null text is empty: the end alone. Where
-    nothing is learned from, every word has probability 1. Repeated rows count as often as they occur,
-    in learning and in the result. Words are compared by 64 bits of hash, and below a context by 32.
-    Only doc_id and text are read. Tries stay in the shared folder, one file a shard.
+    score, the log10 probability of the text and its end. A word's context are the two words before it,
+    or with ``order`` 2 the one. A null text is empty: the end alone. Where nothing is learned from,
+    every word has probability 1. Repeated rows count as often as they occur, in learning and in the
+    result. Words are compared by 64 bits of hash. Only doc_id and text are read. Tries stay in the
+    shared folder, one file a shard.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     schema = docs.select("doc_id").schema.add("held_out", "boolean")
     for name in ("n_tokens", "n_known", "train_tokens"):
@@ -388,30 +525,34 @@ def scored(docs: DataFrame, held: Column, mu: float = MU) -> DataFrame:
         _asked_words(spread, path, word_shards)
         .repartition(min(word_shards, 4 * parallel), "shard")
         .groupBy("shard")
-        .applyInArrow(_count_words, _ANSWERS),
+        .applyInArrow(_count_words(word_shards), _ANSWERS),
         "lm-words",
     )
     trained_tokens = distinct = 0
     for row in counted.where("block = ''").select("data").toLocalIterator():  # one short row a shard
         n, v = np.frombuffer(row["data"], "<u8")
         trained_tokens, distinct = trained_tokens + int(n), distinct + int(v)
-    of_words = counted.where("block <> ''")
+    answers = counted.where("block <> ''")
     by_block = min(n_blocks, 4 * parallel)
-    ask, asked = _ask_pairs(path, word_shards, shards)
-    found = written(
-        of_words.repartition(by_block, "block")
-        .groupBy("block")
-        .applyInArrow(ask, ", ".join(f"{f.name} {_sql(f.type)}" for f in asked))
-        .repartition(min(shards, 4 * parallel), "shard")
-        .groupBy("shard")
-        .applyInArrow(_build_and_find(path, mu), _ANSWERS),
-        "lm-pairs",
-    )
+    asked = ", ".join(f"{f.name} {_sql(f.type)}" for f in _ASKED)
+    rounds = [(1, _ask_pairs, mu, "lm-pairs"), (2, _ask_triples, nu, "lm-triples")]
+    for kind, ask, prior, name in rounds[: order - 1]:
+        found = written(
+            answers.repartition(by_block, "block")
+            .groupBy("block")
+            .applyInArrow(ask(path, word_shards, shards, mu), asked)
+            .repartition(min(shards, 4 * parallel), "shard")
+            .groupBy("shard")
+            .applyInArrow(_build_and_find(path, kind, prior), _ANSWERS),
+            name,
+        )
+        answers = answers.unionByName(found)
     return (
-        of_words.unionByName(found)
-        .repartition(by_block, "block")
+        answers.repartition(by_block, "block")
         .groupBy("block")
-        .applyInArrow(_score(path, word_shards, shards, trained_tokens, distinct, mu, schema), schema)
+        .applyInArrow(
+            _score(path, word_shards, shards, trained_tokens, distinct, order, mu, nu, schema), schema
+        )
     )
 
 
