@@ -35,7 +35,7 @@ from tidemark.session import work_folder
 
 ORDER = 3
 MU = 1000.0
-NU = 100.0
+NU = 10.0
 BLOCK_BYTES = 32 << 20  # of text
 WORDS_PER_SHARD = 1 << 20  # that blocks ask of one shard, about
 PAIRS_PER_SHARD = 3 << 20  # pairs or triples
