@@ -104,9 +104,7 @@ class _Block:
     def pairs(self):
         """The distinct pairs (before, word), and for each position its pair's place among them."""
         before = np.concatenate([[np.uint32(self.end)], self.ids[:-1]])
-        pair = (before.astype(np.uint64) << np.uint64(32)) | self.ids
-        pair, inverse = np.unique(pair, return_inverse=True)
-        return (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), inverse
+        return _distinct(before, self.ids)
 
     @property
     def end(self) -> int:
@@ -125,9 +123,15 @@ class _Block:
     def triples(self, inverse: np.ndarray, later: np.ndarray):
         """The distinct triples as (pair's place, word), and for each later position its triple's place."""
         at = np.flatnonzero(later)
-        key = (inverse[at - 1].astype(np.uint64) << np.uint64(32)) | self.ids[at]
-        key, place = np.unique(key, return_inverse=True)
-        return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), place
+        return _distinct(inverse[at - 1], self.ids[at])
+
+
+def _distinct(first: np.ndarray, second: np.ndarray):
+    """The distinct pairs of numbers in order, and for each row its pair's place; a block has fewer
+    words than 32 bits hold."""
+    key = (first.astype(np.uint64) << np.uint64(32)) | second
+    key, place = np.unique(key, return_inverse=True)
+    return (key >> np.uint64(32)).astype(np.int32), key.astype(np.uint32).view(np.int32), place.astype(np.int32)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -142,18 +146,24 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _dealt(shards: int, first: np.ndarray, *below: tuple[np.ndarray, np.ndarray]):
+def _dealt(shards: int, hashes: np.ndarray, first: np.ndarray, *below: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """The order of sequences by shard, and where each shard begins.
 
     The shard is that of the first word's hash, moved by the hash of each next word within the number
-    of parts that the count of what stands before it asks for. ``below`` has (hashes, counts before).
+    of parts that the count of what stands before it asks for. ``below`` has for each next word its
+    place, what stands before it and the counts of those.
     """
-    mixed = first >> np.uint64(7)
-    for turn, (word, counts) in enumerate(below):
-        parts = counts.astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
-        mixed = mixed + (word >> np.uint64(9 + 2 * turn)) % parts * np.uint64(0x9E3779B1 + 2 * turn)
-    shard = (mixed % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
+    mixed = hashes[first] >> np.uint64(7)
+    for turn, (word, before, counts) in enumerate(below):
+        parts = (counts // np.uint64(HOT) + np.uint64(1))[before]
+        part = (hashes >> np.uint64(9 + 2 * turn))[word]
+        part %= parts
+        part *= np.uint64(0x9E3779B1 + 2 * turn)
+        mixed += part
+    mixed %= np.uint64(shards)
+    shard = mixed.astype(np.int32)
+    del mixed
+    order = np.argsort(shard, kind="stable").astype(np.int32)
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
@@ -171,9 +181,10 @@ class _Known:
                 self.counts[order[a:b]], self.numbers[order[a:b]] = both[: b - a], both[b - a :]
         self.before, self.word, self.inverse = block.pairs()
         # Only pairs of known words are asked for.
-        self.asked = np.flatnonzero((self.numbers[self.before] > 0) & (self.numbers[self.word] > 0))
+        known = self.numbers > 0
+        self.asked = np.flatnonzero(known[self.before] & known[self.word]).astype(np.int32)
         before, word = self.before[self.asked], self.word[self.asked]
-        self.dealt, self.begins = _dealt(shards, block.words[before], (block.words[word], self.counts[before]))
+        self.dealt, self.begins = _dealt(shards, block.words, before, (word, before, self.counts))
         self.shares = _read(answers, 1, len(self.before), self.asked[self.dealt], self.begins)
         contexts = self.counts[self.before].astype(np.float64)
         #: How often a pair was seen, as far as its quantised share tells.
@@ -185,15 +196,10 @@ class _Known:
         each later position its triple's place."""
         block = self.block
         pair, word, place = block.triples(self.inverse, block.later())
-        asked = np.flatnonzero((self.pair_counts[pair] > 0) & (self.numbers[word] > 0))
+        asked = np.flatnonzero((self.pair_counts > 0)[pair] & (self.numbers > 0)[word]).astype(np.int32)
         p, w = pair[asked], word[asked]
         u, v = self.before[p], self.word[p]
-        order, begins = _dealt(
-            shards,
-            block.words[u],
-            (block.words[v], self.counts[u]),
-            (block.words[w], self.pair_counts[p]),
-        )
+        order, begins = _dealt(shards, block.words, u, (v, u, self.counts), (w, p, self.pair_counts))
         return pair, word, asked[order], begins, place
 
 
