@@ -8,6 +8,9 @@ import numpy as np
 
 _ONE = np.uint64(1)
 _HEAD = struct.Struct("<QQ")
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: The place of the k-th one in a byte, at 8 * byte + k.
+_ONE_IN_BYTE = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable").astype(np.int64).ravel()
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -70,19 +73,22 @@ class Sequence:
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Position of the k-th zero or one."""
+        if len(k) > 4 * len(self.high):  # so many are asked that unpacking all is less work
+            places = np.unpackbits(self.high.view(np.uint8), bitorder="little") == (0 if zeros else 1)
+            return np.flatnonzero(places)[k]
         before = self.zeros if zeros else self.ones
         word = np.searchsorted(before, k, side="right") - 1
         rest = k - before[word]
         bits = ~self.high[word] if zeros else self.high[word]
         place = word * 64
-        for half in (32, 16, 8, 4, 2, 1):
+        for half in (32, 16, 8):
             lower = bits & np.uint64((1 << half) - 1)
             count = np.bitwise_count(lower)
             up = rest >= count
             rest = rest - np.where(up, count, 0)
             place = place + np.where(up, half, 0)
             bits = np.where(up, bits >> np.uint64(half), lower)
-        return place
+        return place + _ONE_IN_BYTE[(bits.astype(np.int64) << 3) + rest]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""

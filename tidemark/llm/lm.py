@@ -432,36 +432,37 @@ def _build_and_find(path: str, kind: int, prior: float):
         """One shard: its trie from all blocks' counts, written and mapped, and each block's answer."""
         shard = table["shard"][0].as_py()
         column = lambda n, of: [_unpacked(x.as_buffer(), of) for x in table[n]]
-        firsts, children, words = column("firsts", "<u8"), column("children", "<u4"), column("words", "<u8")
-        below = [children, words]
-        contexts, above = np.unique(np.concatenate(firsts), return_inverse=True)
-        size, levels = len(contexts), []
+        words = column("words", "<u8")
+        sizes, words = [len(x) for x in words], np.concatenate(words)
+        firsts, children = np.concatenate(column("firsts", "<u8")), np.concatenate(column("children", "<u4"))
+        contexts, above = np.unique(firsts, return_inverse=True)
+        size, levels, asked = len(contexts), [], []
         if kind == 2:
-            fans, seconds = column("fans", "<u4"), column("seconds", "<u8")
-            below = [fans, seconds, *below]
-            *nodes, above = _below(np.repeat(above, np.concatenate(fans)), np.concatenate(seconds))
-            size, levels = len(nodes[0]), nodes
+            fans, seconds = np.concatenate(column("fans", "<u4")), np.concatenate(column("seconds", "<u8"))
+            *levels, above = _below(np.repeat(above, fans), seconds)
+            asked = [np.bincount(levels[0], minlength=size), levels[1]]
+            size = len(levels[0])
         totals = np.zeros(size, np.uint64)
         totals[above] = np.concatenate(column("totals", "<u8"))
-        counts = np.concatenate(column("counts", "<u4"))
-        seen = np.flatnonzero(counts)
-        parents = np.repeat(above, np.concatenate(children))[seen]
-        parents, leaves, place = _below(parents, np.concatenate(words)[seen])
-        sums = np.bincount(place, weights=counts[seen], minlength=len(parents))
-        del place, seen, counts, above
+        parents, leaves, place = _below(np.repeat(above, children), words)
+        del words, above
+        sums = np.bincount(place, weights=np.concatenate(column("counts", "<u4")), minlength=len(parents))
         # A total that was read back from a quantised share may be a little below its parts' sum.
         whole = np.maximum(totals, np.bincount(parents, weights=sums, minlength=size)) if kind == 2 else totals
-        shares = sums / (whole[parents].astype(np.float64) + prior)
-        trie = Trie.of(contexts, *levels, parents, leaves, shares)
+        seen = np.flatnonzero(sums)
+        shares = sums[seen] / (whole[parents[seen]].astype(np.float64) + prior)
+        trie = Trie.of(contexts, *levels, parents[seen], leaves[seen], shares)
         files = FileSet(path)
         name, stream = files.create(".trie")
         with stream:
             stream.write(trie.to_bytes())
         trie = Trie.from_buffer(files.mapped(name))
         book = trie.codebook.astype("<f4").tobytes()
+        # Each different sequence is looked up once, however many blocks ask for it.
+        codes = trie.find(contexts, *asked, np.bincount(parents, minlength=size), leaves)[place]
         rows = [
-            (block, kind, _packed(trie.find(*asked)))
-            for block, *asked in zip(table["block"].to_pylist(), firsts, *below)
+            (block, kind, _packed(part))
+            for block, part in zip(table["block"].to_pylist(), np.split(codes, np.cumsum(sizes)[:-1]))
         ]
         return _answers(rows, shard, book)
 
