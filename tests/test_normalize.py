@@ -1,3 +1,4 @@
+import json
 from datetime import date
 
 import pytest
@@ -314,3 +315,22 @@ def test_keep_last_does_not_depend_on_partitioning(spark, rows):
         last = {r.k: (r.o, r.v) for r in keep_last(df.repartition(n), ["k"], ["o"]).collect()}
         first = {r.k: (r.o, r.v) for r in keep_first(df.repartition(n), ["k"], ["o"]).collect()}
         assert (last, first) == (want_last, want_first)
+
+
+def test_variant_facts_of_any_shape(spark, rows):
+    """A usual envelope is cast as a whole, one with an odd part is taken apart; both give the same facts."""
+    fact = {"end": "2026-01-01", "val": 1, "x": 2}
+    usual = {"t": {"n": {"label": "l", "units": {"USD": [fact, {"end": "", "val": 1}]}}}}
+    odd = [{"u": 5}, {"u": {"n": None}}, {"u": {"n": {"units": {"USD": 7}}}}, {"u": {"n": {"units": {"USD": [3, [4]]}}}}]
+    for extra in ({}, *odd):
+        line = json.dumps({"meta": {"partitions": {"symbol": "A"}}, "payload": {"facts": {**usual, **extra}, "cik": 1}})
+        lines = spark.createDataFrame([(line,)], "value string")
+        found = normalize.variant_facts(lines).select("ticker", "concept", "unit", "period_end", "val", "extra")
+        assert rows(found) == [("A", "t:n", "USD", "2026-01-01", "1", '{"x":"2"}')]
+        levels = dict(((r.level, r.field), r.n) for r in normalize.unknown_fact_fields(lines).collect())
+        names = {("payload", "cik"): 1, ("concept", "label"): 1, ("observation", "x"): 1}
+        listed = {("observation", "000000000"): 1} if extra == odd[3] else {}
+        assert levels == {**names, **listed}
+    list_of_units = json.dumps({"payload": {"facts": [{"n": {"units": {"USD": {"a": fact}}}}]}})
+    found = normalize.variant_facts(spark.createDataFrame([(list_of_units,)], "value string"))
+    assert rows(found.select("concept", "ord._pos")) == [("000000000:n", "a")]

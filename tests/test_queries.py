@@ -44,3 +44,10 @@ def test_no_local_checkpoints_and_no_python_functions_over_rows():
     for path in (p for p in (ROOT / "tidemark").rglob("*.py") if "llm" not in p.parts):
         for node in ast.walk(ast.parse(path.read_text())):
             assert getattr(node, "attr", None) not in forbidden, path
+
+
+@pytest.mark.parametrize("name", ["facts_unknown_fields", "facts_flatten_company", "facts_flatten_company_typed"])
+def test_company_envelopes_are_gathered_in_one_shuffle_and_parsed_once(spark, name):
+    """One exchange to gather the envelopes, one for the aggregation over what they hold."""
+    plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan parquet") == 1
