@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import columns as fx
 from tidemark.operators import normalize
+from tidemark.plans import landing as landed_rows
 from tidemark.sources import bronze, lookups
 from tidemark.sources.panel import panel_to_rows
 
@@ -219,3 +220,15 @@ def test_a_symbol_opens_only_the_files_that_hold_it(spark, tmp_path, rows):
     opened = {f.split("/dt=")[1][:10] for f in found.inputFiles()}
     assert opened == {"2026-02-01", "2026-02-03"}
     assert bronze.read_symbol(spark, index, schemas.PRICES_PAYLOAD, "Z").count() == 0
+
+
+def test_a_price_file_holds_few_envelopes(spark, tmp_path):
+    """Files are read by one task each, so large envelopes are landed fewer to a file."""
+    days = spark.range(40).select(
+        F.concat(F.lit("U"), F.col("id").cast("string")).alias("symbol"), F.lit("2024-01-03").cast("date").alias("ts"),
+        *(F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")), F.lit(1).cast("bigint").alias("volume"),
+    )
+    bronze.land_envelopes(landed_rows.prices(days, "2024-02-01 16:05:00"), str(tmp_path), 10)
+    assert len(list(tmp_path.rglob("*.gz"))) >= 4
+    path = bronze.landed_path(str(tmp_path), "yahoo", "history")
+    assert bronze.read_envelopes(spark, path, schemas.PRICES_PAYLOAD).count() == 40
