@@ -8,6 +8,8 @@ import pytest
 
 from compare import connect, differences
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql
+from pyspark.sql import functions as F
+from tidemark.plans import queries
 from tidemark.plans.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -51,3 +53,13 @@ def test_company_envelopes_are_gathered_in_one_shuffle_and_parsed_once(spark, na
     """One exchange to gather the envelopes, one for the aggregation over what they hold."""
     plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan parquet") == 1
+
+
+def test_neighbours_in_a_file_are_compared_across_blocks(spark, monkeypatch):
+    """Rows 2 and 5 lie before a smaller key; in blocks of two rows the second pair parts at an edge."""
+    monkeypatch.setattr(queries, "ORDER_BLOCK", 2)
+    keys = [(i, k) for i, k in enumerate([1, 2, 9, 3, 4, 7, 6])]
+    placed = spark.createDataFrame(keys, "row_index bigint, key int").withColumn("file", F.lit("a"))
+    other = spark.createDataFrame([(0, 5), (1, 8)], "row_index bigint, key int").withColumn("file", F.lit("b"))
+    assert queries.disordered(placed.unionByName(other), ["file"]).collect() == [(9, 2)]
+    assert queries.disordered(placed.where("false"), ["file"]).collect() == [(0, 0)]
