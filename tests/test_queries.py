@@ -9,7 +9,7 @@ import pytest
 from compare import connect, differences
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql
 from pyspark.sql import functions as F
-from tidemark.plans import queries
+from tidemark.plans import derive, queries
 from tidemark.plans.queries import QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -63,3 +63,12 @@ def test_neighbours_in_a_file_are_compared_across_blocks(spark, monkeypatch):
     other = spark.createDataFrame([(0, 5), (1, 8)], "row_index bigint, key int").withColumn("file", F.lit("b"))
     assert queries.disordered(placed.unionByName(other), ["file"]).collect() == [(9, 2)]
     assert queries.disordered(placed.where("false"), ["file"]).collect() == [(0, 0)]
+
+
+@pytest.mark.parametrize("name", ["figi_flatten", "facts_flatten", "facts_flatten_company_typed"])
+def test_narrow_rows_are_dealt_to_tasks_of_a_bounded_number(spark, monkeypatch, name):
+    """6,000 rows of lineitem, in tasks of 500."""
+    monkeypatch.setattr(derive, "TASK_ROWS", 500)
+    plan = QUERIES[name](spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)[1] == "12"
+    assert "REPARTITION_BY_COL" not in plan
