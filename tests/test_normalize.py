@@ -334,3 +334,25 @@ def test_variant_facts_of_any_shape(spark, rows):
     list_of_units = json.dumps({"payload": {"facts": [{"n": {"units": {"USD": {"a": fact}}}}]}})
     found = normalize.variant_facts(spark.createDataFrame([(list_of_units,)], "value string"))
     assert rows(found.select("concept", "ord._pos")) == [("000000000:n", "a")]
+
+
+def test_whole_keeps_a_row_of_every_envelope(envelopes, rows):
+    entry = {"end": "2025-12-31", "val": 1}
+    e = envelopes(
+        schemas.FACTS_PAYLOAD, facts(entry, {"end": ""}, entry, symbol="A"), facts({"end": ""}, {"end": ""}, symbol="B"),
+        facts(entry, entry, symbol="C"), facts(symbol="D"), {"meta": {"partitions": {"symbol": "E"}}},
+    )
+    key = normalize.partition_key("symbol")
+    state = {"kind": F.when(key == "C", F.lit("unknown_key")), "key": key, "detail": F.lit(None).cast("string")}
+    marked = normalize.untyped_facts(e.withColumns(state), whole=True)
+    assert rows(marked.select("key", "ord.p3", "good", "alone"), "key", "p3") == [
+        ("A", 0, True, False), ("A", 2, True, False), ("B", 0, False, True), ("C", 0, False, True),
+        ("D", None, False, True), ("E", None, False, True),
+    ]
+
+
+def test_dates_of_any_form(spark, rows):
+    texts = ["2024-02-29", "2023-02-29", "2024-1-5", "02024-01-05", "0999-01-05", " 2024-01-05", "2024-01-05 ", "2024-01-05x", "", None]
+    dates = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    cast = normalize.lenient_date("t").alias("d")
+    assert rows(dates.select("i", cast), "i") == rows(dates.select("i", F.try_to_date("t", "yyyy-MM-dd").alias("d")), "i")

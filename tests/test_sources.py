@@ -232,3 +232,20 @@ def test_a_price_file_holds_few_envelopes(spark, tmp_path):
     assert len(list(tmp_path.rglob("*.gz"))) >= 4
     path = bronze.landed_path(str(tmp_path), "yahoo", "history")
     assert bronze.read_envelopes(spark, path, schemas.PRICES_PAYLOAD).count() == 40
+
+
+def test_rows_dealt_out_are_not_shuffled_as_text(spark, tmp_path):
+    """Facts were dealt out as narrow rows; their envelopes lie in a file a task, each of them once."""
+    seven = spark.range(0, 70, 1, 7).selectExpr("id", "concat('S', id) ticker", "timestamp '2024-02-01 00:00:00' at")
+    payload = F.struct(F.struct(F.col("id").alias("records")).alias("facts"))
+    rows = landed_rows._landing(seven, "v", "d", 1, F.col("at"), payload=payload)
+    bronze.land_envelopes(rows, str(tmp_path), dealt=True)
+    read = spark.read.option("recursiveFileLookup", True).text(str(tmp_path))
+    assert read.select("_metadata.file_path").distinct().count() == 7 and read.distinct().count() == read.count() == 70
+
+
+def test_record_count_of_any_payload(spark, rows):
+    texts = ['{"a":1}', '[1,2]', ' [1]', '{"records":[1,2,3]}', '{"\\u0072ecords":[1,2]}', '{"a":"records"}', '{"a":"x\\\\y"}', "null", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    parsed = F.coalesce(F.json_array_length("t"), F.json_array_length(F.get_json_object("t", "$.records")), F.lit(1))
+    assert rows(df.select("i", bronze.record_count("t").alias("n")), "i") == rows(df.select("i", parsed.alias("n")), "i")
