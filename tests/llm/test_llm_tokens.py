@@ -33,6 +33,13 @@ def test_parts_give_the_ids_of_whole_texts(monkeypatch):
     assert len(encoder.spaced) <= 50 and len(encoder.bare) <= 50
 
 
+def test_a_rare_word_with_a_mark_takes_one_place():
+    encoder = tokens.Encoder(PATH)
+    for kept in ({"qwertz"}, {"qwertz", "qwertz,"}):
+        assert encoder.encode("a qwertz,") == encoder.whole("a qwertz,")
+        assert set(encoder.spaced) == kept
+
+
 def brute(rows):
     """Rows in the order of their ids, as long as ids are unique."""
     start, out = 0, []

@@ -7,7 +7,7 @@ import sys
 from array import array
 
 END = 0  # appended to each document
-CACHED = 400_000  # parts in each of the two generations a worker keeps
+CACHED = 700_000  # parts in each of the two generations a worker keeps
 
 _ENDS = tuple(".,;:!?|")  # a mark that ends a word and starts no contraction
 
@@ -19,6 +19,8 @@ _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _ALPHABET = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 
+_SWAPPED = sys.byteorder == "big"
+
 # A space is cut off safely unless white space stands both before and after it.
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 
@@ -30,6 +32,13 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _packed(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if _SWAPPED:
+        found.byteswap()
+    return found.tobytes()
+
+
 class _Parts(dict):
     """Ids of parts, each with ``before`` in front of it; bounded, in two generations.
 
@@ -39,21 +48,30 @@ class _Parts(dict):
     def __init__(self, encoder: Encoder, before: str) -> None:
         super().__init__()
         self.encoder, self.before, self.older = encoder, before, {}
+        self.shown = before.replace(" ", _ALPHABET[0x20])
+        self.ends = _ENDS if encoder.plain else ()
 
     def __missing__(self, part: str) -> bytes:
-        if len(part) > 200:
+        # A word and one mark behind it are two pieces of the pattern; kept apart, rare ones take one place.
+        if part[-1:] in self.ends and (word := part[:-1]).isalpha():
+            known = word in self
+            found = self[word] + self.encoder.marks[part[-1]]
+            if not known or len(part) > 200:
+                return found
+        elif len(part) > 200:
             return self.encoder.whole(self.before + part)
-        found = self.older.get(part)
-        if found is None:
-            found = self.found(part)
-        self.keep(part, found)
-        return found
-
-    def keep(self, part: str, found: bytes) -> None:
+        else:
+            found = self.older.get(part) if self.older else None
+            if found is None:
+                if self.ends and part.isascii() and part.isalpha():
+                    found = _packed([t.id for t in self.encoder.tokenize(self.shown + part)])
+                else:
+                    found = self.found(part)
         if len(self) >= CACHED:
             self.older = dict(self)
             self.clear()
         self[part] = found
+        return found
 
     def found(self, part: str) -> bytes:
         encoder = self.encoder
@@ -61,9 +79,6 @@ class _Parts(dict):
             return encoder.whole(self.before + part)
         if part.isalpha():
             return encoder.piece(self.before + part)
-        if part[-1:] in _ENDS and part[:-1].isalpha():
-            # Letters and one mark behind them are two pieces of the pattern.
-            return self[part[:-1]] + encoder.marks[part[-1]]
         words = part.split()
         if words == [part] and part.isascii() and part.isprintable():
             pieces = _PIECES.findall(self.before + part)
@@ -95,16 +110,13 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         steps = f"{self.library.normalizer} {self.library.pre_tokenizer} {self.library.post_processor}"
         self.plain = re.fullmatch(r"None ByteLevel\(add_prefix_space=False, .*use_regex=True\) None", steps) is not None
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.marks = {c: self.whole(c) for c in _ENDS}
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Parts(self, " "), _Parts(self, "")
 
     def whole(self, text: str) -> bytes:
-        ids = array("I", self.library.encode(text, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def piece(self, text: str) -> bytes:
         """The ids of one piece of the pattern, by the model. It has no ASCII controls."""
@@ -112,10 +124,7 @@ class Encoder:
             shown = text.replace(" ", _ALPHABET[0x20])
         else:
             shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
-        ids = array("I", [t.id for t in self.model.tokenize(shown)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return _packed([t.id for t in self.tokenize(shown)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text (a null is empty), without the end id."""
