@@ -40,6 +40,30 @@ def test_a_rare_word_with_a_mark_takes_one_place():
         assert set(encoder.spaced) == kept
 
 
+def test_marks_and_line_ends_are_cut_off_where_that_is_certain():
+    encoder = tokens.Encoder(PATH)
+    whole = tokens.Encoder(PATH)
+    encoder.encode("qwertz, uiopa. asdfg\nhjklz, yxcvb, nm")
+    assert not [p for p in encoder.spaced if p[:1] != "\0" and p[-1:] in ",.\n"]
+    assert {"qwertz", "uiopa", "asdfg", "\0hjklz", "yxcvb"} <= set(encoder.spaced)
+    rng = random.Random(8)
+    alphabet = ["word", "Ünï", "7", " ", " ", ", ", ". ", ".\n", ",\n", "\n", "!, ", ".. ", "'s, ", "e\u0301. ", "_, ", "\0", "\xa0"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(20_000)]
+    for text in [*texts, ", a", ". ", "a, ", "a,\n", "\na", "a\n", "a\n\nb, c", "a \nb, c", "a, \0b, c", "\0, a"]:
+        assert encoder.encode(text) == whole.whole(text), text
+
+
+def test_parts_that_come_once_take_no_place(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 800)
+    encoder = tokens.Encoder(PATH)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=12)) for _ in range(700)]
+    for text, most in ((" ".join(words), 110), (" ".join(words[:300]), 310)):
+        assert encoder.encode(text) == encoder.whole(text)
+        assert len(encoder.spaced) + len(encoder.spaced.older) <= most
+    assert set(words[1:300]) <= set(encoder.spaced)
+
+
 def brute(rows):
     """Rows in the order of their ids, as long as ids are unique."""
     start, out = 0, []

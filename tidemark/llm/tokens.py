@@ -7,9 +7,11 @@ import sys
 from array import array
 
 END = 0  # appended to each document
-CACHED = 700_000  # parts in each of the two generations a worker keeps
+CACHED = 349_000  # parts in each of the two generations a worker keeps
+SEEN = 1 << 22  # places in which parts that came once are marked
 
-_ENDS = tuple(".,;:!?|")  # a mark that ends a word and starts no contraction
+# ASCII that is neither letter, digit nor white space; behind a word a run of it is one piece.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # The pieces that the byte-level pattern makes of ASCII without white space.
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
@@ -22,7 +24,14 @@ _ALPHABET = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 _SWAPPED = sys.byteorder == "big"
 
 # A space is cut off safely unless white space stands both before and after it.
-_UNSAFE = re.compile(r"\s \s|\s \Z")
+_UNSAFE = re.compile(r" (?=\s|\Z)(?<=\s )")
+
+# Frequent marks are cut off the word before them, if a letter or digit stands before each that ends a part,
+# and line ends are cut out, if no white space stands beside one. A part behind such a cut begins with its sign.
+_ENDS = ".,"
+_NO_WORD = re.compile(r"[.,](?=[ \n])(?<![^\W_].)")
+_NO_LINE = re.compile(r"\n(?:(?=\s|\Z)|(?<=\s\n)|(?<!.\n))", re.DOTALL)
+_CUT = "\0"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -39,47 +48,75 @@ def _packed(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
+class _Shown(dict):
+    """Characters as the byte-level alphabet shows their bytes."""
+
+    def __missing__(self, char: str) -> str:
+        found = char.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
+        if len(self) < 5000:
+            self[char] = found
+        return found
+
+
+_shown = _Shown().__getitem__
+
+
 class _Parts(dict):
     """Ids of parts, each with ``before`` in front of it; bounded, in two generations.
 
-    Those used since the older generation was filled are kept, so frequent parts stay.
+    Those used since the older generation was filled are kept, so frequent parts stay. Beyond an eighth of
+    the places a new part is kept only when it comes again, as most parts of a large table come once.
     """
 
     def __init__(self, encoder: Encoder, before: str) -> None:
         super().__init__()
         self.encoder, self.before, self.older = encoder, before, {}
-        self.shown = before.replace(" ", _ALPHABET[0x20])
-        self.ends = _ENDS if encoder.plain else ()
+        self.shown, self.tokenize = before.replace(" ", _ALPHABET[0x20]), encoder.tokenize
+        self.seen, self.marked = bytearray(SEEN), 0
 
     def __missing__(self, part: str) -> bytes:
-        # A word and one mark behind it are two pieces of the pattern; kept apart, rare ones take one place.
-        if part[-1:] in self.ends and (word := part[:-1]).isalpha():
-            known = word in self
-            found = self[word] + self.encoder.marks[part[-1]]
-            if not known or len(part) > 200:
+        found = self.older.get(part) if self.older else None
+        if found is None:
+            if len(part) > 200 or not self.encoder.plain:
+                found = self.encoder.whole(self.before + part)
+                if len(part) > 200:
+                    return found
+            elif part.isalpha():
+                shown = part if part.isascii() else "".join(map(_shown, part))
+                found = _packed([t.id for t in self.tokenize(self.shown + shown)])
+            elif part[:1] == _CUT and self.before:
+                found = self.encoder.bare[part[1:]]
+            elif (word := part.rstrip(_MARKS)).isalpha():
+                # A word and the marks behind it are two pieces; kept apart, rare ones take one place.
+                known = word in self
+                found = self[word] + self.encoder.bare[part[len(word) :]]
+                if not known:
+                    return found
+            else:
+                found = self.found(part)
+            if self.new(part):
                 return found
-        elif len(part) > 200:
-            return self.encoder.whole(self.before + part)
-        else:
-            found = self.older.get(part) if self.older else None
-            if found is None:
-                if self.ends and part.isascii() and part.isalpha():
-                    found = _packed([t.id for t in self.encoder.tokenize(self.shown + part)])
-                else:
-                    found = self.found(part)
         if len(self) >= CACHED:
             self.older = dict(self)
             self.clear()
         self[part] = found
         return found
 
+    def new(self, part: str) -> bool:
+        """Whether a part needn't be kept as it comes for the first time, and most places are taken."""
+        if not self.older and len(self) <= CACHED // 8:
+            return False
+        place = hash(part) % SEEN
+        if self.seen[place]:
+            return False
+        if self.marked >= SEEN // 4:
+            self.seen, self.marked = bytearray(SEEN), 0
+        self.seen[place] = 1
+        self.marked += 1
+        return True
+
     def found(self, part: str) -> bytes:
-        encoder = self.encoder
-        if not encoder.plain:
-            return encoder.whole(self.before + part)
-        if part.isalpha():
-            return encoder.piece(self.before + part)
-        words = part.split()
+        encoder, words = self.encoder, part.split()
         if words == [part] and part.isascii() and part.isprintable():
             pieces = _PIECES.findall(self.before + part)
             return b"".join(map(encoder.piece, pieces))
@@ -111,20 +148,15 @@ class Encoder:
         steps = f"{self.library.normalizer} {self.library.pre_tokenizer} {self.library.post_processor}"
         self.plain = re.fullmatch(r"None ByteLevel\(add_prefix_space=False, .*use_regex=True\) None", steps) is not None
         self.tokenize = self.library.model.tokenize
-        self.marks = {c: self.whole(c) for c in _ENDS}
         self.line_end = self.whole("\n")
         self.spaced, self.bare = _Parts(self, " "), _Parts(self, "")
 
     def whole(self, text: str) -> bytes:
         return _packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, text: str) -> bytes:
-        """The ids of one piece of the pattern, by the model. It has no ASCII controls."""
-        if text.isascii():
-            shown = text.replace(" ", _ALPHABET[0x20])
-        else:
-            shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
-        return _packed([t.id for t in self.tokenize(shown)])
+    def piece(self, piece: str) -> bytes:
+        """The ids of one piece of the pattern, by the model. It is printable ASCII."""
+        return _packed([t.id for t in self.tokenize(piece.replace(" ", _ALPHABET[0x20]))])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text (a null is empty), without the end id."""
@@ -132,6 +164,12 @@ class Encoder:
             return b""
         if _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
+        if self.plain and _CUT not in text:
+            marks = "" if _NO_WORD.search(text) else _ENDS
+            if "\n" in text and not _NO_LINE.search(text):
+                text = text.replace("\n", f" {_CUT}\n {_CUT}")
+            for mark in marks:
+                text = text.replace(f"{mark} ", f" {_CUT}{mark} ")
         head, *rest = text.split(" ")
         return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
 
