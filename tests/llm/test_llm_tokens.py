@@ -43,7 +43,7 @@ def test_a_rare_word_with_a_mark_takes_one_place():
 def test_marks_and_line_ends_are_cut_off_where_that_is_certain():
     encoder = tokens.Encoder(PATH)
     whole = tokens.Encoder(PATH)
-    encoder.encode("qwertz, uiopa. asdfg\nhjklz, yxcvb, nm")
+    encoder.encode("a qwertz, uiopa. asdfg\nhjklz, yxcvb, nm")
     assert not [p for p in encoder.spaced if p[:1] != "\0" and p[-1:] in ",.\n"]
     assert {"qwertz", "uiopa", "asdfg", "\0hjklz", "yxcvb"} <= set(encoder.spaced)
     rng = random.Random(8)

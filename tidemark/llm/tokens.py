@@ -134,7 +134,8 @@ class Encoder:
 
     A byte-level BPE encodes the pieces of its pattern one by one, and a piece holds a space only in
     front or within white space. So a text may be cut before every single space that follows or
-    precedes a word, and most parts are then found in the cache. A part that is one piece, or ASCII
+    precedes a word, and most parts are then found in the cache. Marks and line ends between words are cut
+    off first where that is as safe. A part that is one piece, or ASCII
     whose pieces are known, goes to the library's model itself, which spares it the offsets of each
     character. Texts where that is not certain, or with a special token in them, are encoded whole, and
     so are all parts if the file has another pattern or a step before it.
@@ -162,9 +163,9 @@ class Encoder:
         """The ids of a whole text (a null is empty), without the end id."""
         if not text:
             return b""
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
+        if _CUT in text or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if self.plain and _CUT not in text:
+        if self.plain:
             marks = "" if _NO_WORD.search(text) else _ENDS
             if "\n" in text and not _NO_LINE.search(text):
                 text = text.replace("\n", f" {_CUT}\n {_CUT}")
