@@ -1,4 +1,6 @@
+import re
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from tidemark import schemas
 from tidemark.operators import registry, upsert
 from tidemark.operators.quality import DataQualityError
 from tidemark.operators.returns import add_return_with_history
-from tidemark.plans import landing
+from tidemark.plans import jobs, landing
 from tidemark.plans.jobs import (
     Lake, Moment, run_backfill, run_figi, run_fundamentals, run_macro, run_prices, run_register,
 )
@@ -469,3 +471,89 @@ def test_counts_are_observed_and_not_scanned_for(spark, lake, envelopes):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 30
     assert files.names(spark, f"{lake.root}/work") == []
+
+
+def many_facts(n):
+    """Facts of some tickers, from two fetches that differ in their values, with a malformed day among them."""
+    for fetch in (1, 2):
+        for i in range(n):
+            end = "2026-13-01" if i == 3 else f"2025-{i % 12 + 1:02d}-28"
+            entry = {"end": end, "val": i * fetch, "fy": 2025, "fp": f"Q{i}", "filed": "2026-01-02", "accn": f"a{i}"}
+            yield {
+                "meta": {
+                    "run_id": f"r{fetch}", "fetched_at": f"2026-01-0{fetch}T00:00:00+00:00",
+                    "partitions": {"symbol": f"S{i % 7}"}, "params": {"start": f"202{fetch}-01-01"},
+                },
+                "payload": {"facts": {"g": {"N": {"units": {"USD": [entry]}}}}},
+            }
+
+
+def test_a_large_batch_is_shuffled_once_by_its_key(spark, lake, envelopes, rows, monkeypatch, tmp_path):
+    """Silver is written where the keys were cleaned, and loaded without a shuffle; rows are those of a small
+    batch, loaded twice and on top of stored ones."""
+    e = envelopes(schemas.FACTS_PAYLOAD, *many_facts(40))
+    small = Lake(str(tmp_path / "small"))
+    assert run_fundamentals(spark, small, e, moment()) == 34
+    plans, merge = [], tables.merge
+
+    def merged(*args):
+        found = merge(*args)
+        plans.append((args[-2], found._jdf.queryExecution().executedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(tables, "merge", merged)
+    monkeypatch.setattr(tables, "FILE_ROWS", 1)
+    wanted = ("ticker", "period_end", "fp", "val", "accn", "filed")
+    for task_rows, tasks, exchanges in ((10, None, 0), (4, 32, 1)):
+        monkeypatch.setattr(tables, "TASK_ROWS", task_rows)
+        plans.clear()
+        assert run_fundamentals(spark, lake, e, moment(), run_id=f"run{task_rows}") == 34
+        # The stored side alone is dealt out, and only beyond a task for each of the table's buckets.
+        assert plans[0][0] == tasks and plans[0][1].count("Exchange") == exchanges
+        assert rows(gold(spark, lake, upsert.FACTS, *wanted), "fp") == rows(gold(spark, small, upsert.FACTS, *wanted), "fp")
+        silver = [
+            tables.read_silver(spark, x.silver, "sec_edgar", "fundamentals", schemas.SILVER_FACTS, r)
+            for x, r in ((lake, f"run{task_rows}"), (small, None))
+        ]
+        found, same = (rows(x.drop("run_id"), "fp") for x in silver)
+        assert found == same and {(r[-2], str(r[-1])) for r in found} == {("r2", "2022-01-01")}
+    # Into an empty table too, each task writes rows of one bucket.
+    fresh = Lake(str(tmp_path / "fresh"))
+    assert run_fundamentals(spark, fresh, e, moment()) == 34
+    written = {tuple(re.findall(r"part-(\d+)-.*_(\d+)\.c", p.name)[0]) for p in Path(fresh.gold).rglob("fundamentals/*/part-*")}
+    assert len(written) == len({task for task, _ in written}) > 8
+    assert rows(gold(spark, fresh, upsert.FACTS, *wanted), "fp") == rows(gold(spark, small, upsert.FACTS, *wanted), "fp")
+    marks = ("ticker", "last_ts", "last_run_id")
+    assert rows(gold(spark, lake, upsert.WATERMARKS, *marks), "ticker") == rows(gold(spark, small, upsert.WATERMARKS, *marks), "ticker")
+    assert not spark.catalog.listTables(tables.database_name(lake.silver))
+    assert files.names(spark, f"{lake.root}/work") == []
+
+
+def test_a_large_batch_refused_whole_leaves_nothing(spark, lake, envelopes, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 1)
+    monkeypatch.setattr(tables, "FILE_ROWS", 0)
+    entry = [{"end": "2026-13-01", "val": 1}, {"end": "2026-01-01", "val": 2}]
+    e = envelopes(schemas.FACTS_PAYLOAD, keyed({"facts": {"g": {"N": {"units": {"USD": entry}}}}}, symbol="A"))
+    assert run_fundamentals(spark, lake, e, moment()) == 0
+    assert runs(spark, lake) == [("fundamentals", "partial", 1, 0, 1)]
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark, tmp_path):
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    left = lambda: {p.name.split("_")[1] for f in folders for p in Path(f).rglob("shuffle_*")}
+    dealt = spark.range(100).repartition(3, "id")
+    at, none = F.lit("2026-01-01").cast("timestamp"), F.create_map().cast("map<string,string>")
+    dated = dealt.select(F.col("id").cast("string").alias("series"), F.to_date(at).alias("ts"), F.lit(1.0).alias("value"))
+    landed = landing._landing(dealt, "v", "d", 1, at, payload=F.struct("id"), partitions=none)
+    root, spec = str(tmp_path), tables.begun(spark, str(tmp_path / "gold"), upsert.MACRO)
+    writes = {
+        "kept": lambda: jobs._kept(dealt, f"{root}/kept"),
+        "silver": lambda: tables.write_silver(dated.withColumn("dt", F.lit("d")), root, "v", "d", "r", ("ts",)),
+        "bronze": lambda: bronze.land_envelopes(landed, f"{root}/bronze", dealt=True),
+        "gold": lambda: tables.replace_touched(spark, f"{root}/gold", dated, spec, moment().now, [2026], 100),
+    }
+    for name, write in writes.items():
+        before = left()
+        write()
+        assert not left() - before, name
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
